@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strataspan.llm import line_dedup
+from strataspan.llm import decontaminate, line_dedup
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_line_dedup": line_dedup.op3_line_dedup,
 }
 ORACLES = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }

@@ -71,7 +71,7 @@ def _induce(t: np.ndarray, up: np.ndarray, lms: np.ndarray, head: np.ndarray, sy
     first = np.searchsorted(of, symbols, side="left")
     last = np.searchsorted(of, symbols, side="right")
     for k, c in enumerate(symbols):
-        at = fill_from = head[c]
+        at = head[c]
         while True:  # larger-type suffixes of this bucket, wave by wave
             upto = fill[c]
             if at == upto:
@@ -81,7 +81,6 @@ def _induce(t: np.ndarray, up: np.ndarray, lms: np.ndarray, head: np.ndarray, sy
             p = p[~prev_up[p]]
             if len(p):
                 _deal(sa, fill, prev_sym[p], p - 1, False)
-        del fill_from
         if last[k] > first[k]:
             p = lms[first[k] : last[k]]
             p = p[~prev_up[p]]
