@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, line_dedup
+from strataspan.llm import decontaminate, line_dedup, warc
 
 QUERIES = {
+    "op8_warc": warc.op8_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_line_dedup": line_dedup.op3_line_dedup,
 }
 ORACLES = {
+    "op8_warc": warc.OP8_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
