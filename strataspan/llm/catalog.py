@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, line_dedup, warc
+from strataspan.llm import decontaminate, line_dedup, packing, warc
 
 QUERIES = {
+    "op7_packing": packing.op7_packing,
     "op8_warc": warc.op8_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_line_dedup": line_dedup.op3_line_dedup,
