@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, line_dedup, packing, warc
+from strataspan.llm import decontaminate, line_dedup, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op6_quality": quality.op6_quality,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_warc": warc.op8_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
