@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, line_dedup, packing, quality, toxicity, warc
+from strataspan.llm import decontaminate, language_id, line_dedup, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op9_language_id": language_id.op9_language_id,
     "op6_quality": quality.op6_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op7_packing": packing.op7_packing,

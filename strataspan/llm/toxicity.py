@@ -2,7 +2,7 @@
 
 In labelled sentences identity terms are swapped for others of their group, and the squared change of the logit is
 penalised beside the log loss, so that a neutral mention of a group moves the score little. Features are hashed
-words and word beginnings; only those that ``MIN_ROWS`` rows of the sample have carry weight. At most ``PER_CLASS``
+words and word beginnings, scaled by the classes' log-count ratio; only those that ``MIN_ROWS`` rows of the sample have carry weight. At most ``PER_CLASS``
 labelled rows of each class are used to fit, and a fifth of them calibrates the scores.
 
 Defined results: a null or empty text has no feature and gets the score of the bias; without labelled rows of both
@@ -47,38 +47,41 @@ def counterfactual(text: str) -> str:
     return _TERMS.sub(other, text)
 
 
-def fit(sample: Sample, bits: int = BITS, ridge: float = 2e-4, pairing: float = 1.0, rounds: int = 300, min_rows: int = MIN_ROWS) -> Linear:
+def fit(sample: Sample, bits: int = BITS, ridge: float = 2e-4, pairing: float = 1.0, rounds: int = 200, min_rows: int = MIN_ROWS, smooth: float = 1.0) -> Linear:
     y = sample.labels
     if not len(y) or y.min() == y.max():
         p = min(max(sample.prior, 1e-6), 1 - 1e-6)
         return Linear(np.zeros(1 << bits), float(np.log(p / (1 - p))), word_parts, bits=bits)
     train, rest = split(sample)
-    seen = np.bincount(np.concatenate([sample.row(i) for i in train]), minlength=1 << bits)
-    used = np.flatnonzero(seen >= min_rows)
+    pos, neg = np.full(1 << bits, smooth), np.full(1 << bits, smooth)
+    for i in train:
+        (pos if y[i] else neg)[sample.row(i)] += 1
+    used = np.flatnonzero(pos + neg - 2 * smooth >= min_rows)
+    scale = np.log(pos[used] / (y[train].sum() + smooth)) - np.log(neg[used] / ((1 - y[train]).sum() + smooth))
     new = np.full(1 << bits, -1)
     new[used] = np.arange(len(used))
 
-    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kept = [k[k >= 0] for k in (new[r] for r in rows)]
-        return np.repeat(np.arange(len(rows)), [len(k) for k in kept]), np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        at = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        return np.repeat(np.arange(len(rows)), [len(k) for k in kept]), at, scale[at]
 
-    r, c = matrix([sample.row(i) for i in train])
+    r, c, v = matrix([sample.row(i) for i in train])
     pairs = [i for i in train if sample.others[i] is not None]
-    pr, pc = matrix([sample.row(i) for i in pairs])
-    qr, qc = matrix([sample.others[i] for i in pairs])
+    pr, pc, pv = matrix([sample.row(i) for i in pairs])
+    qr, qc, qv = matrix([sample.others[i] for i in pairs])
     t, n, k = y[train], len(train), len(used)
     weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / n
     w, b = np.zeros(k), 0.0
-    # rows are scaled by the root of their length inside the step size only; Adam copes with the rest
     m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(r, w[c], minlength=n) + b
+        z = np.bincount(r, w[c] * v, minlength=n) + b
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         d = weight * (p - t)
-        g = np.bincount(c, d[r], minlength=k) + ridge * w
+        g = np.bincount(c, d[r] * v, minlength=k) + ridge * w
         if len(pairs):
-            gap = (np.bincount(pr, w[pc], minlength=len(pairs)) - np.bincount(qr, w[qc], minlength=len(pairs))) * (2 * pairing / len(pairs))
-            g += np.bincount(pc, gap[pr], minlength=k) - np.bincount(qc, gap[qr], minlength=k)
+            gap = (np.bincount(pr, w[pc] * pv, minlength=len(pairs)) - np.bincount(qr, w[qc] * qv, minlength=len(pairs))) * (2 * pairing / len(pairs))
+            g += np.bincount(pc, gap[pr] * pv, minlength=k) - np.bincount(qc, gap[qr] * qv, minlength=k)
         g = np.append(g, d.sum())
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.999 * m2 + 0.001 * g * g
@@ -86,7 +89,7 @@ def fit(sample: Sample, bits: int = BITS, ridge: float = 2e-4, pairing: float =
         w -= move[:-1]
         b -= move[-1]
     weights = np.zeros(1 << bits)
-    weights[used] = w
+    weights[used] = w * scale
     margin = np.array([weights[sample.row(i)].sum() + b for i in rest])
     return Linear(weights, b, word_parts, platt(margin, y[rest], sample.prior), bits)
 
