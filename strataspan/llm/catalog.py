@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, language_id, line_dedup, minhash, packing, quality, toxicity, warc
+from strataspan.llm import decontaminate, language_id, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op9_language_id": language_id.op9_language_id,
     "op6_quality": quality.op6_quality,
