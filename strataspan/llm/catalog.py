@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, language_id, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, warc
+from strataspan.llm import decontaminate, language_id, line_dedup, minhash, packing, quality, spotsigs, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op4_spotsigs": spotsigs.op4_spotsigs,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op9_language_id": language_id.op9_language_id,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
 }
 ORACLES = {
+    "op4_spotsigs": spotsigs.OP4_SQL,
     "op8_warc": warc.OP8_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
