@@ -1,22 +1,69 @@
-"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
+
+Each stage works on all its predecessor kept, and its decisions take effect: texts in no learned language go, shared
+lines are cut out of the texts, one document of each near-duplicate class stays (that with the smallest id), documents
+with a benchmark passage go, and what is left is packed. All stages but the last return the columns they were given.
+
+Defined results: rows with a null id are never near-duplicates of others; where no row has a language, only texts
+without a letter are rejected; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strataspan.llm.common import shared_dir, table
+from strataspan.llm.decontaminate import find_spans
+from strataspan.llm.language_id import UND, identify
 from strataspan.llm.line_dedup import line_dedup
+from strataspan.llm.minhash import near_duplicate_classes
+from strataspan.llm.packing import pack_corpus
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    if docs.where(F.col("lang").isNotNull()).isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return identify(docs).where(F.col("lang_pred") != UND).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup(docs).select(*docs.columns)
+    kept = line_dedup(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = near_duplicate_classes(docs).where("doc_id <> class_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return find_spans(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_corpus(docs).drop("loss_tokens")
 
 
-STAGES = [("line_dedup", drop_lines)]
+STAGES = [
+    ("language_id", keep_languages),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack),
+]
+#: Language ID, weighted sampling and packing have no SQL form; tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    path = shared_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):  # the next stage reads its input several times
+            docs.write.parquet(f"{path}/{k}-{name}")
+            docs = spark.read.parquet(f"{path}/{k}-{name}")
     return docs
