@@ -10,7 +10,7 @@ most ``POOL`` tokens of pending examples. A task leaves at most the last bins of
 
 Defined results: a null or empty text is the closing token alone; a repeated row is packed again; every token lies in
 exactly one piece; an empty table gives no piece; further input columns are ignored; without ``split`` an example
-longer than a bin is still cut into full bins and a rest.
+over a limit is still cut into parts within it.
 """
 
 from __future__ import annotations
@@ -46,12 +46,14 @@ def pack(lengths: np.ndarray, loss: np.ndarray, limits: Limits = Limits(), split
     rest: list[tuple[int, int, int, int]] = []  # (length, example, start, loss)
     for e, (n, y) in enumerate(zip(lengths.tolist(), loss.tolist())):
         start = 0
-        while n - start >= limits.tokens:
-            take = min(limits.tokens, max(1, limits.loss + max(0, n - y - start)))
-            bins.append([(e, start, take)])
+        while n > start:
+            free = max(0, n - y - start)  # tokens before the loss-bearing part
+            take = min(limits.tokens, n - start, free + limits.loss)
+            if take == limits.tokens:
+                bins.append([(e, start, take)])
+            else:
+                rest.append((take, e, start, max(0, take - free)))
             start += take
-        if n > start:
-            rest.append((n - start, e, start, min(y, n - start)))
     rest.sort(key=lambda x: (-x[0], x[1]))
     if not rest:
         return bins
