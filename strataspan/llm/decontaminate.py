@@ -9,7 +9,7 @@ The benchmark's words are sent to the tasks in groups of items of at most ``MAX_
 what a task holds); a larger benchmark takes one pass per group, merged per row.
 
 Defined results: A-Z are lower-cased, words are runs of digits, letters a-z and characters over U+007F; a null or
-empty text has no words and is never contaminated; an item without words has no window; equal items each count;
+empty text has no words and is never contaminated; an item without words has no window; rows that repeat an item id count once;
 rows repeating a doc_id are judged one by one; empty tables give empty results, or no hits; further input columns
 are carried along, and input columns named like a result are replaced.
 """
@@ -138,7 +138,7 @@ class Shard:
             hi = lo + batch.num_rows
             yield batch, [
                 pa.array(n_words[lo:hi], pa.int64()), pa.array(n_hit[lo:hi], pa.int64()),
-                pa.array([sorted(items.get(r, [])) for r in range(lo, hi)], pa.list_(pa.string())),
+                pa.array([sorted(set(items.get(r, []))) for r in range(lo, hi)], pa.list_(pa.string())),
                 pa.array([spans.get(r, []) for r in range(lo, hi)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]
             lo = hi
