@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import ensure_checkpoints, parts, shared_dir, table
+from strataspan.llm.common import Settled, parts, table
 from strataspan.llm.components import classes_of_buckets
 
 CHAIN, REACH, THRESHOLD = 2, 8, 0.8
@@ -49,13 +49,21 @@ def signatures(text: Column) -> Column:
         opened = F.filter(F.transform(t, lambda x, i: F.when(anchor(x), F.concat(
             F.array(x), F.slice(F.filter(F.slice(t, i + 2, REACH), lambda y: ~anchor(y)), 1, CHAIN)))), lambda c: c.isNotNull() & (F.size(c) == CHAIN + 1))
         plain = F.transform(t, lambda x: F.array(x))
-        return F.array_sort(F.array_distinct(F.transform(
+        return F.sort_array(F.array_distinct(F.transform(
             F.when(F.size(opened) > 0, opened).otherwise(plain), lambda c: F.substring(F.md5(F.array_join(c, " ")), 1, 8))))
 
     # a one-row lambda binds the words once
     return F.element_at(F.transform(F.array(w), chain), 1)
 
 
+def packed(sigs: Column) -> Column:
+    return F.unhex(F.array_join(sigs, ""))
+
+
+def unpacked(raw: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(raw)), F.lit(".{8}"), F.lit(0))
+
+
 def likeness(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
@@ -108,17 +116,21 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # for each document the one that borrows from it, and how many characters at most
     need = sized.groupBy("id").agg(F.max("n_chars").alias("n"))
     borrow = link.join(need, "id").select(F.col("next_id").alias("id"), F.col("id").alias("borrower"), F.floor(F.col("n") / 3).cast("int").alias("most"))
-    full = own.join(borrow, "id", "left").withColumn("sigs", signatures(F.col("text")))
-    lent = full.where("borrower IS NOT NULL").groupBy("borrower").agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("most")).alias("head"), F.col("sigs").alias("next_sigs"))).alias("x")).select(F.col("borrower").alias("id"), "x.*")
+    # sets travel as bytes, four for a signature; both uses below read one exchange
+    signed = own.withColumn("sigs", packed(signatures(F.col("text"))))
+    full = signed.join(borrow, "id", "left")
+    lent = full.groupBy("borrower").agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("most")).alias("head"), F.col("sigs").alias("next_sigs"))).alias("x")).select(F.col("borrower").alias("id"), "x.*")
     joined = full.select("id", "text", "sigs").join(lent, "id", "left")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.coalesce(F.substring(F.col("head"), F.lit(1), cut), F.lit("")))
-    out = joined.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
+    out = joined.select(
+        "id", n.cast("long").alias("n_chars"), edited.alias("edited"), unpacked(F.col("sigs")).alias("sigs"), unpacked(F.coalesce("next_sigs", F.lit(b""))).alias("next_sigs"))
+    out = out.withColumn("edited_sigs", signatures(F.col("edited")))
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("sigs", "").alias("fingerprint"),
         F.array_join("edited_sigs", "").alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.coalesce("next_sigs", F.array().cast("array<string>"))).alias("near_next"))
+        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
 def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -129,15 +141,11 @@ def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     can match, one leader of a bucket at a time, and are compared whole.
     """
     spark = docs.sparkSession
-    ensure_checkpoints(spark)
     sets = docs.select(F.col(id_col).alias("id"), signatures(F.col(text_col)).alias("sigs")).where("id IS NOT NULL")
     signed = sets.withColumn("h", F.sha2(F.array_join("sigs", ""), 256))
-    path = shared_dir(spark)
-    signed.write.parquet(f"{path}/sets")
-    signed = spark.read.parquet(f"{path}/sets")
-    nodes = signed.groupBy("h").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs"))
-    nodes.write.parquet(f"{path}/nodes")
-    nodes = spark.read.parquet(f"{path}/nodes")
+    settled = Settled(spark)
+    signed = settled(signed)
+    nodes = settled(signed.groupBy("h").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")))
     each = nodes.select("rep", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
     ranked = each.join(often, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
@@ -145,11 +153,8 @@ def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # sets of lengths within a factor t lie in one length partition or in two neighbouring ones
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")
     rows = ranked.select(F.col("rep").alias("a"), part.alias("l"), F.explode(prefix).alias("p")).select("a", F.explode(F.array("l", F.col("l") + 1)).alias("band"), F.col("p.s").alias("sig"))
-    lead = rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z")
-    lead.write.parquet(f"{path}/leaders")
-    lead = spark.read.parquet(f"{path}/leaders")
-    rows.join(lead, ["band", "sig"]).write.parquet(f"{path}/buckets")
-    shared = spark.read.parquet(f"{path}/buckets")
+    lead = settled(rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z"))
+    shared = settled(rows.join(lead, ["band", "sig"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         one, two = nodes.select(F.col("rep").alias("a"), F.col("sigs").alias("sa")), nodes.select(F.col("rep").alias("b"), F.col("sigs").alias("sb"))
