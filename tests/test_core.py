@@ -216,3 +216,14 @@ def test_store_policies(spark, tmp_path):
         s.write("k", b, {"v": 2}, RunPolicy("resume"))
     assert s.write("k", b, {"v": 2}, RunPolicy("replace")).count() == 5
     assert s.has("k") and not s.has("other")
+
+
+def test_npy_source(spark, tmp_path):
+    from strataspan.sources import npy
+
+    npy.register(spark)
+    x = np.random.default_rng(0).normal(size=(3000, 5)).astype(np.float64)
+    np.save(tmp_path / "m.npy", x)
+    df = spark.read.format("npy").option("width", 3).load(f"file://{tmp_path}/m.npy")
+    got = np.array([r["features"] for r in df.orderBy("row_id").collect()])
+    assert got.shape == (3000, 3) and np.allclose(got, x[:, :3], atol=1e-6)
