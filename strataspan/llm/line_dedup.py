@@ -45,16 +45,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length("key") >= min_chars)
         .select("__id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key"), F.char_length("key")).alias("h2"))
     )
-    # one row per document and key first, so that a repeated line counts once; its positions stay together
-    spots = keyed.groupBy("h1", "h2", "__id").agg(F.collect_list("pos").alias("at"))
+    # one row for a document and key first, so that a repeated line counts once
     seen = (
         keyed.groupBy("h1", "h2", "__id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("last"))
         .where(F.col("n") >= min_docs).select("h1", "h2", "last")
     )
     gone = (
-        spots.join(seen, ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("last")))
-        .groupBy("__id").agg(F.flatten(F.collect_list("at")).alias("at"))
+        keyed.join(seen, ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("last")))
+        .groupBy("__id").agg(F.collect_list("pos").alias("at"))
     )
     lines = _lines("__text")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("at", F.array().cast("array<int>")))
