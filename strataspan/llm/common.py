@@ -21,12 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/strataspan-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() works: the folder of spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or f"{tempfile.gettempdir()}/strataspan-shared")
+class Settled:
+    """Writes intermediate results as Parquet to one shared folder and reads them back.
+
+    Unlike those of a checkpoint, the plans that follow carry nothing over from what was written, so they stay small
+    however many rounds an algorithm takes; and no lost executor brings earlier rounds back.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_dir(spark), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
 
 def parts(spark: SparkSession) -> int:

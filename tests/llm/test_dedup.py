@@ -117,3 +117,45 @@ def test_op4_odd_rows(odd, none):
     classes = {r["doc_id"]: r["class_id"] for r in spotsigs.spot_matches(odd).collect()}
     assert classes[10] == 9 and classes[2] == 2
     assert spotsigs.spot_matches(none).count() == 0
+
+
+def test_op5_loses_no_link_in_a_group_of_edited_copies(spark):
+    """Copies of one text with few to many edits: classes are the components of all links, found without all pairs."""
+    import random
+
+    import pyarrow as pa
+
+    from strataspan.llm.kernels import utf8
+
+    rng = random.Random(4)
+    small = [f"w{k}" for k in range(40)]
+    base = [rng.choice(small) + rng.choice("abcdefgh") for _ in range(110)]
+    texts = []
+    for k in range(140):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            t[rng.randrange(len(t))] = rng.choice(small)
+        texts.append(" ".join(t))
+    texts += [" ".join(rng.choice(small) for _ in range(60)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
+    weights = minhash.frequencies(docs)
+    raw, off = utf8(pa.array(texts))
+    sets = []
+    for i in range(len(texts)):
+        _, g, c = minhash.shingles(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
+        sets.append((g, weights.of(g, c)))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or minhash.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert 3 < len(set(got.values())) < len(texts) - 20
