@@ -161,9 +161,11 @@ def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         wide = pairs.join(one, "a").join(two, "b")
         # lengths first: they bound the likeness
         near = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
-        return wide.where(near).where(likeness(F.col("sa"), F.col("sb")) >= threshold).select("a", "b").distinct()
+        return wide.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("double").alias("overlap"), (near & (likeness(F.col("sa"), F.col("sb")) >= threshold)).alias("linked"))
 
-    labels = classes_of_buckets(shared, lead, verify)
+    # an equal set is one node, so a signature is common when two nodes hold it
+    shares = settled(ranked.select(F.col("rep").alias("a"), F.col("n").cast("double").alias("total"), F.size(F.filter("x", lambda y: y["c"] > 1)).cast("double").alias("common")))
+    labels = classes_of_buckets(shared, lead, verify, lambda some: shares.join(some, "a", "left_semi"), threshold)
     classes = signed.select("id", "h").join(nodes.select("h", "rep"), "h").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return classes.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("class_id")).withColumnRenamed("id", id_col)
 
