@@ -16,7 +16,6 @@ are carried along, and input columns named like a result are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
