@@ -1,10 +1,10 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (all its words, where it has fewer); a shingle weighs its count in the
-text times its inverse document frequency. Document frequencies are counted over all documents by lossy counting
-with error N / ``IDF_PARTS``: each block of documents reports the shingles that at least that share of it holds, the
-reports are added up, and what falls below counts as N / IDF_PARTS, so that the table of frequent shingles is
-bounded by IDF_PARTS times the mean number of shingles, whatever N is.
+text times its inverse document frequency. Document frequencies are exact: texts are dealt to buckets once, each
+bucket sends its shingles with counts to ranges of the hash space, the ranges add them up, and shingles that two
+documents or more hold go back, with their sums, to the buckets that sent them. A document keeps the frequencies of
+its own shingles as a packed value, so no task and not the driver holds those of the whole corpus.
 
 ``BANDS`` bands of ``ROWS`` samples each make candidates (a pair of similarity 0.8 is missed with probability
 3e-5). Equal texts are one node. In every bucket of a band all members meet one leader, so that a bucket of n texts
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import Settled, table
+from strataspan.llm.common import Settled, parts, table
 from strataspan.llm.components import classes_of_buckets
 from strataspan.llm.kernels import blocks, gram_hashes, mix64, utf8, word_hashes
+from strataspan.llm.suffix_dedup import pack_bytes, unpack_bytes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
-IDF_PARTS, BLOCK_DOCS, BLOCK_GRAMS = 256, 4096, 8_000_000
+#: Text of a bucket; a range of the hash space gets about as many shingles as a bucket has.
+BUCKET_BYTES = 12 << 20
 _POOL = 1 << 16
 
 
@@ -59,9 +61,14 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np
     return r[at], g[at], np.diff(np.append(at, len(g)))
 
 
+def weigh(n: int, df: np.ndarray) -> np.ndarray:
+    """Inverse document frequency of shingles that ``df`` of ``n`` documents hold."""
+    return np.maximum(np.log((n + 1) / df), 1e-3)
+
+
 @dataclass
 class Weights:
-    """Inverse document frequencies: those of frequent shingles, and that of all others."""
+    """Inverse document frequencies: those of some shingles, and that of all others."""
 
     keys: np.ndarray
     idf: np.ndarray
@@ -75,43 +82,110 @@ class Weights:
             w[hit] = self.idf[at[hit]]
         return w * count
 
+    @classmethod
+    def of_repeated(cls, n: int, keys: np.ndarray, df: np.ndarray) -> Weights:
+        """``keys``: all shingles that several documents hold; any other is in one."""
+        return cls(keys, weigh(n, df), float(weigh(n, np.ones(1))[0]))
+
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> Weights:
-    """Weights from all documents, in one scan; only reports of frequent shingles are shuffled."""
-    n = docs.count()
-    # blocks of fewer documents than IDF_PARTS would report every shingle
-    src = docs.select(text_col)
-    if src.rdd.getNumPartitions() > max(1, n // (4 * IDF_PARTS)):
-        src = src.coalesce(max(1, n // (4 * IDF_PARTS)))
+    """Exact weights of all shingles of a small table, collected; large ones keep them in their buckets, see
+    :func:`_deal_texts`."""
 
     def run(batches):
-        held: list[np.ndarray] = []
-        docs_in = grams = 0
-
-        def report():
-            g, c = np.unique(np.concatenate(held), return_counts=True)
-            ok = c >= max(2, -(-docs_in // IDF_PARTS))
-            return pa.RecordBatch.from_arrays([pa.array(g[ok].view(np.int64)), pa.array(c[ok].astype(np.int64))], names=["g", "c"])
-
         for b in batches:
             raw, offsets = utf8(b.column(0))
             for lo, hi in blocks(offsets):
                 _, g, _ = shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                held.append(g)
-                docs_in, grams = docs_in + hi - lo, grams + len(g)
-                if docs_in >= BLOCK_DOCS or grams >= BLOCK_GRAMS:
-                    yield report()
-                    held, docs_in, grams = [], 0, 0
-        if held:
-            yield report()
-
-    least = n / IDF_PARTS
-    rest = float(np.log(min(n, IDF_PARTS) + 1)) if n else 1.0
-    # at most IDF_PARTS times the mean shingles of a document pass
-    got = src.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= max(2.0, least)).toArrow()
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["g"])
+
+    got = docs.select(text_col).mapInArrow(run, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").toArrow()
     g, c = np.array(got["g"], np.int64).view(np.uint64), np.array(got["c"], float)
     order = np.argsort(g)
-    return Weights(g[order], np.maximum(np.minimum(np.log((n + 1) / np.maximum(c[order], 1)), rest), 1e-3), rest)
+    return Weights.of_repeated(docs.count(), g[order], c[order])
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def _pack_keys(keys: np.ndarray, *arrays: np.ndarray) -> bytes:
+    """Sorted keys as the byte planes of their differences, and arrays beside them."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return pack_bytes(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).reshape(-1), *arrays)
+
+
+def _unpack_keys(data: bytes) -> list[np.ndarray]:
+    planes, *arrays = unpack_bytes(data)
+    gaps = np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64)
+    return [np.cumsum(gaps, dtype=np.uint64), *arrays]
+
+
+def pack_df(df: np.ndarray) -> bytes:
+    """Document frequencies of a text's shingles, in their order; nothing where no other document holds any."""
+    return _narrow(df).tobytes() if len(df) and df.max() > 1 else b""
+
+
+def unpack_df(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if data else np.ones(n, np.int64)
+
+
+def _weighed(text: np.ndarray, df: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's sorted shingles and their weights."""
+    _, g, count = shingles(text, np.array([0, len(text)]))
+    return g, weigh(n, unpack_df(df, len(g))) * count
+
+
+def _dealt(g: np.ndarray, n: int) -> np.ndarray:
+    """The range of the hash space, of n, that a shingle lies in."""
+    return ((g >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _send_shingles(n: int):
+    def run(t: pa.Table) -> pa.Table:
+        """A bucket's shingles, and how many of its documents hold each, to their ranges."""
+        raw, offsets = utf8(t.column("text"))
+        held = [np.zeros(0, np.uint64)]
+        held += [shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[1] for lo, hi in blocks(offsets)]
+        g, c = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(_dealt(g, n), np.arange(n + 1))
+        to = np.flatnonzero(np.diff(cuts))
+        blob = [_pack_keys(g[cuts[r] : cuts[r + 1]], _narrow(c[cuts[r] : cuts[r + 1]])) for r in to]
+        b = t.column("bucket")[0].as_py() if t.num_rows else 0
+        return pa.table({"to": pa.array(to, pa.int64()), "bucket": pa.array([b] * len(to), pa.int64()), "blob": pa.array(blob, pa.binary())})
+
+    return run
+
+
+def _add_up(t: pa.Table) -> pa.Table:
+    """Of a range's shingles, those that several documents hold, with their document frequency, to each sender."""
+    sent = [_unpack_keys(x.as_py()) for x in t.column("blob")]
+    size = np.array([len(g) for g, _ in sent], np.int64)
+    every = np.concatenate([np.zeros(0, np.uint64)] + [g for g, _ in sent])
+    order = np.argsort(every, kind="stable")
+    g = every[order]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), g[1:] != g[:-1])))
+    c = np.concatenate([np.zeros(0, np.int64)] + [c.astype(np.int64) for _, c in sent])[order]
+    total = np.zeros(len(g), np.int64)
+    total[order] = np.repeat(np.add.reduceat(c, begin), np.diff(np.append(begin, len(g)))) if len(g) else c
+    buckets, to, blob = t.column("bucket").to_pylist(), [], []
+    for i, end in enumerate(np.cumsum(size)):
+        df = total[end - size[i] : end]
+        own = np.flatnonzero(df > 1)
+        if len(own):
+            to.append(buckets[i])
+            blob.append(_pack_keys(sent[i][0][own], _narrow(df[own])))
+    return pa.table({"bucket": pa.array(to, pa.int64()), "blob": pa.array(blob, pa.binary())})
+
+
+def _deal_texts(own: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(id, h, text, bucket) in n buckets, and (bucket, blob): the repeated shingles of each bucket with their
+    document frequencies. Both read one exchange of the texts."""
+    texts = own.select("id", F.unhex(F.sha2("text", 256)).alias("h"), "text")
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.lit(n)).cast("long")).repartition(n, "bucket")
+    sent = texts.groupBy("bucket").applyInArrow(_send_shingles(n), "to long, bucket long, blob binary")
+    return texts, sent.groupBy("to").applyInArrow(_add_up, "bucket long, blob binary")
 
 
 class Sampler:
@@ -142,9 +216,12 @@ class Sampler:
     def bands(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows that have shingles, their band hashes)."""
         row, g, count = shingles(raw, offsets)
+        return self.samples(row, g, self.w.of(g, count))
+
+    def samples(self, row: np.ndarray, g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for shingles with weights."""
         if not len(g):
             return row, np.zeros((0, BANDS), np.uint64)
-        w = self.w.of(g, count)
         odd = np.flatnonzero(w != self.w.rest)
         lnw = np.log(w[odd]).astype(np.float32)
         begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
@@ -176,27 +253,46 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / (a[1].sum() + b[1].sum() - least) if least else 0.0
 
 
-def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
-    def run(batches):
-        sampler = Sampler(weights)
-        for b in batches:
-            raw, offsets = utf8(b.column(2))
-            lists: list = [[]] * (len(offsets) - 1)
-            for lo, hi in blocks(offsets):
-                rows, bands = sampler.bands(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for r, x in zip(rows.tolist(), bands.view(np.int64)):
-                    lists[lo + r] = x
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["id", "h", "bands"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h binary, bands array<long>")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+def _signatures(own: DataFrame, n: int, size: int) -> DataFrame:
+    """(id, h, bands, df) of the rows; df has the document frequencies of a text's shingles."""
+    texts, back = _deal_texts(own, max(parts(own.sparkSession), -(-size // BUCKET_BYTES)))
+    kind = own.schema["id"].dataType
+    none = Weights.of_repeated(n, np.zeros(0, np.uint64), np.zeros(0))
+    made: list[Sampler] = []
+
+    def run(t: pa.Table, back: pa.Table) -> pa.Table:
+        made[:] = made or [Sampler(none)]
+        got = [_unpack_keys(x.as_py()) for x in back.column("blob")]
+        known = np.concatenate([np.zeros(0, np.uint64)] + [k for k, _ in got])
+        freq = np.concatenate([np.zeros(0, np.int64)] + [c.astype(np.int64) for _, c in got])
+        order = np.argsort(known)
+        known, freq = known[order], freq[order]
+        raw, offsets = utf8(t.column("text"))
+        lists: list = [[]] * t.num_rows
+        dfs = [b""] * t.num_rows
+        for lo, hi in blocks(offsets):
+            row, g, count = shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            df = np.ones(len(g), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                hit = np.flatnonzero(known[at] == g)
+                df[hit] = freq[at[hit]]
+            rows, bands = made[0].samples(row, g, weigh(n, df) * count)
+            cuts = np.append(np.searchsorted(row, rows), len(row))
+            for k, (r, x) in enumerate(zip(rows.tolist(), bands.view(np.int64))):
+                lists[lo + r] = x
+                dfs[lo + r] = pack_df(df[cuts[k] : cuts[k + 1]])
+        return pa.table({"id": t.column("id"), "h": t.column("h"), "bands": pa.array(lists, pa.list_(pa.int64())), "df": pa.array(dfs, pa.binary())})
+
+    return texts.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(run, f"id {kind.simpleString()}, h binary, bands array<long>, df binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b, overlap, linked) of the pairs, by their whole texts. Both joins use one exchange of the texts."""
-    one = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    two = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    one = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("df").alias("da"))
+    two = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("df").alias("db"))
     # the leader's text comes last, so that its followers stand together
-    wide = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    wide = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb", "da", "db")
 
     def run(batches):
         last, held = None, None
@@ -205,15 +301,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, threshold: fl
             (ra, oa), (rb, ob) = utf8(b.column(2)), utf8(b.column(3))
             least, ok = np.zeros(len(ids)), np.zeros(len(ids), bool)
 
-            def weighed(raw, off, i):
-                _, g, c = shingles(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
-                return g, weights.of(g, c)
+            def weighed(raw, off, df, i):
+                return _weighed(raw[off[i] : off[i + 1]], df[i].as_py(), n)
 
             for i, leader in enumerate(ids):
                 mark = (leader, ob[i + 1] - ob[i])
                 if mark != last:
-                    held, last = weighed(rb, ob, i), mark
-                own = weighed(ra, oa, i)
+                    held, last = weighed(rb, ob, b.column(5), i), mark
+                own = weighed(ra, oa, b.column(4), i)
                 least[i] = overlap(own, held)
                 ok[i] = least[i] > 0 and least[i] >= threshold * (own[1].sum() + held[1].sum() - least[i])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least), pa.array(ok)], names=["a", "b", "overlap", "linked"])
@@ -222,10 +317,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, weights: Weights, threshold: fl
     return wide.mapInArrow(run, f"a {kind}, b {kind}, overlap double, linked boolean").groupBy("a", "b").agg(F.max("overlap").alias("overlap"), F.max("linked").alias("linked"))
 
 
-def _bounds(some: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+def _bounds(some: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, total, common) of the documents ``some`` (a): the weight of their shingles, and of those that another of
     them has too. An id that several rows share is not bounded."""
-    own = texts.withColumnRenamed("id", "a").join(some, "a", "left_semi").select("a", "text")
+    own = texts.withColumnRenamed("id", "a").join(some, "a", "left_semi").select("a", "text", "df")
     kind = own.schema["a"].dataType.simpleString()
 
     def run(batches):
@@ -233,7 +328,9 @@ def _bounds(some: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
             raw, off = utf8(b.column(1))
             for lo, hi in blocks(off):
                 row, g, c = shingles(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + lo)), pa.array(g.view(np.int64)), pa.array(weights.of(g, c))], names=["a", "g", "w"])
+                size = np.bincount(row, minlength=hi - lo)
+                df = np.concatenate([np.zeros(0, np.int64)] + [unpack_df(b.column(2)[lo + i].as_py(), size[i]) for i in range(hi - lo)])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + lo)), pa.array(g.view(np.int64)), pa.array(weigh(n, df) * c)], names=["a", "g", "w"])
 
     each = own.mapInArrow(run, f"a {kind}, g long, w double")
     alone = each.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.sum("w").alias("w")).where("n = 1").groupBy("a").agg(F.sum("w").alias("alone"))
@@ -247,18 +344,20 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """(id, class_id) of every row with an id; class_id is the smallest id of its class."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
-    weights = frequencies(own)
+    whole = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    n = whole["n"]
     settled = Settled(spark)
-    signed = settled(_signatures(own.select("id", F.unhex(F.sha2("text", 256)).alias("h"), "text"), weights))
+    signed = settled(_signatures(own, n, whole["size"] or 0))
     nodes = settled(signed.groupBy("h").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     rows = nodes.select(F.col("rep").alias("a"), F.posexplode("bands").alias("band", "sig"))
     lead = settled(rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z"))
     shared = settled(rows.join(lead, ["band", "sig"]))
     # only the texts of documents that share a bucket are looked at again, and those once here
     members = shared.select(F.col("a").alias("id")).distinct()
-    texts = settled(own.join(members, "id", "left_semi"))
+    freq = signed.join(members, "id", "left_semi").select("id", "h", "df").dropDuplicates(["id", "h"])
+    texts = settled(own.withColumn("h", F.unhex(F.sha2("text", 256))).join(freq, ["id", "h"]).select("id", "text", "df"))
     labels = classes_of_buckets(
-        shared, lead, lambda pairs: _verified(pairs, texts, weights, threshold), lambda some: _bounds(some, texts, weights), threshold,
+        shared, lead, lambda pairs: _verified(pairs, texts, n, threshold), lambda some: _bounds(some, texts, n), threshold,
         nodes.select(F.col("rep").alias("a"), F.col("bands").alias("sigs")))
     kind = own.schema["id"].dataType.simpleString()
     classes = signed.select("id", "h").join(nodes.select("h", "rep"), "h").join(labels.select(F.col("node").cast(kind).alias("rep"), "label"), "rep", "left")

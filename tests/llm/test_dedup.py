@@ -159,3 +159,34 @@ def test_op5_loses_no_link_in_a_group_of_edited_copies(spark):
                 root[b] = a
     assert got == {i: find(i) for i in range(len(texts))}
     assert 3 < len(set(got.values())) < len(texts) - 20
+
+
+def test_op5_document_frequencies_are_exact(spark):
+    """Shingles of 8 in 3,000 documents weigh less than those of one: exact weights keep a pair apart that equal ones link."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from strataspan.llm.kernels import utf8
+
+    head = " ".join(f"shared{k}" for k in range(200))
+    texts = [f"{head} " + " ".join(f"own{d}x{k}" for k in range(21 if d < 2 else 400)) for d in range(8)]
+    texts += [" ".join(f"own{d}x{k}" for k in range(8)) for d in range(8, 2999)] + ["one common row of five"]
+    texts += ["one common row of five"] * 2 + ["", None, "!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = []
+    for t in texts:
+        raw, off = utf8(pa.array([t or ""]))
+        sets.append(minhash.shingles(raw, off)[1].tolist())
+    held = Counter(g for s in sets for g in s)
+    own = docs.selectExpr("doc_id AS id", "coalesce(text, '') AS text")
+    got = {r["id"]: r["df"] for r in minhash._signatures(own, len(texts), 1).collect()}
+    assert {i: minhash.unpack_df(bytes(got[i]), len(s)).tolist() for i, s in enumerate(sets) if s} == {i: [held[g] for g in s] for i, s in enumerate(sets) if s}
+    weights = minhash.frequencies(docs)
+    every = np.array(sorted(held), np.uint64)
+    idf = [np.log((len(texts) + 1) / held[int(g)]) for g in every]
+    assert np.allclose(weights.of(every, np.ones(len(every))), idf)
+    idf, a, b = dict(zip(every.tolist(), idf)), set(sets[0]), set(sets[1])
+    assert len(a & b) / len(a | b) > 0.82 and sum(idf[g] for g in a & b) / sum(idf[g] for g in a | b) < 0.78
+    classes = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
+    assert classes[0] == 0 and classes[1] == 1 and classes[3001] == classes[2999] == 2999 and classes[3003] == 3002
