@@ -5,8 +5,8 @@ line without surrounding white space, A-Z lower-cased; only keys of ``min_chars`
 
 Defined results: a null or empty text is one empty line and stays as it is; a repeated line inside one document
 counts once for that document, and all its occurrences stay or go together; rows that repeat a doc_id are one
-document for the counts and for the choice of the keeper; a null doc_id counts as one document and never wins over an
-id; an empty table gives an empty result; any further columns of the input are carried along untouched.
+document for the counts and for the choice of the keeper, but each row loses its own lines only; a null doc_id counts
+as one document and never wins over an id; an empty table gives an empty result; any further columns of the input are carried along untouched.
 """
 
 from __future__ import annotations
@@ -34,16 +34,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's columns with ``text_col`` replaced by the kept lines, plus ``n_lines`` and ``n_dropped``.
 
     Two scans, three shuffles: hashes of each document's lines (partial counts first), the same lines with their
-    positions against the keys to drop (a hot key is split by the adaptive skew join), and texts by document.
-    A key is a 128-bit pair of hashes. The columns ``n_lines`` and ``n_dropped`` replace input columns of that name.
+    positions against the keys to drop (a hot key is split by the adaptive skew join), and texts by row.
+    A key is a 128-bit pair of hashes. A row is known by its id and a 128-bit pair of hashes of its text, which survive
+    reading the input again; rows equal in both lose the same lines. The columns ``n_lines`` and ``n_dropped`` replace input columns of that name.
     """
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     inner = docs.select(F.col(id_col).alias("__id"), F.struct(*carried).alias("__row"), F.col(text_col).alias("__text"))
+    # a null text is one empty line, and loses none
+    inner = inner.withColumns({"__t1": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(11), F.col("__text"), F.char_length("__text"))})
     keyed = (
-        inner.select("__id", F.posexplode(_lines("__text")).alias("pos", "line"))
-        .select("__id", "pos", _key(F.col("line")).alias("key"))
+        inner.select("__id", "__t1", "__t2", F.posexplode(_lines("__text")).alias("pos", "line"))
+        .select("__id", "__t1", "__t2", "pos", _key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("__id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key"), F.char_length("key")).alias("h2"))
+        .select("__id", "__t1", "__t2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key"), F.char_length("key")).alias("h2"))
     )
     # one row for a document and key first, so that a repeated line counts once
     seen = (
@@ -53,12 +56,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     gone = (
         keyed.join(seen, ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("last")))
-        .groupBy("__id").agg(F.collect_list("pos").alias("at"))
+        .groupBy(F.col("__id").alias("__gone"), F.col("__t1").alias("__g1"), F.col("__t2").alias("__g2")).agg(F.collect_set("pos").alias("at"))
     )
     lines = _lines("__text")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("at", F.array().cast("array<int>")))
+    own_row = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__t1") == F.col("__g1")) & (F.col("__t2") == F.col("__g2"))
     out = (
-        inner.join(gone.withColumnRenamed("__id", "__gone"), F.col("__id").eqNullSafe(F.col("__gone")), "left")
+        inner.join(gone, own_row, "left")
         .withColumn("__lines", lines)
         .withColumn("__kept", F.when(F.col("at").isNull(), F.col("__text")).otherwise(
             F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")))

@@ -190,3 +190,15 @@ def test_op5_document_frequencies_are_exact(spark):
     assert len(a & b) / len(a | b) > 0.82 and sum(idf[g] for g in a & b) / sum(idf[g] for g in a | b) < 0.78
     classes = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
     assert classes[0] == 0 and classes[1] == 1 and classes[3001] == classes[2999] == 2999 and classes[3003] == 3002
+
+
+def test_op3_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    shared = "a line that many of the documents share"
+    rows = [(None, f"{shared}\nthe first null row"), (None, "a clean line zero that is nowhere else\nthe second null row"),
+            (None, f"the third null row\n{shared}"), (1, f"{shared}\none"), (1, "another clean line zero of the same id\nuno"),
+            (2, f"{shared}\ntwo"), (2, f"{shared}\ntwo"), (3, f"{shared}\nthree"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_lines"], r["n_dropped"]) for r in line_dedup(docs).collect())
+    assert got == sorted([
+        (0, "the first null row", 2, 1), (0, rows[1][1], 2, 0), (0, "the third null row", 2, 1), (1, "one", 2, 1), (1, rows[4][1], 2, 0),
+        (2, "two", 2, 1), (2, "two", 2, 1), (3, rows[7][1], 2, 0), (0, "", 1, 0)])
