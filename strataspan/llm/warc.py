@@ -4,11 +4,14 @@
 anew at the next gzip member), pushes predicates on record type and header columns down to the reader, parses each
 record's headers first, and neither inflates nor decodes the payload of a record that fails them or when the schema
 asked for has no ``payload``. Writing makes one gzip member per record; the member's length is stored in a gzip extra
-field, so that a reader can step over it. Files become visible by a manifest that the driver writes on commit, so
-that files of failed or repeated task attempts are never read.
+field, so that a reader can step over it. Each write's files become visible by a manifest that the driver adds on
+commit; a reader takes the files of all manifests, so appended files are read too, and those of failed or repeated
+task attempts never are. Overwriting adds the new manifest and then deletes the former ones with their files.
 
 Defined results: a null payload is written as an empty one; null header values are left out and read back as null;
-an empty table makes archives without records; line breaks in header values become spaces.
+an empty table makes archives without records; line breaks in header values become spaces. A record whose header has
+no end, no WARC version line or a length that is no number is malformed: it is an error, or left out with the option
+``mode`` DROPMALFORMED.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ SCHEMA = T.StructType(
     [T.StructField(c, T.LongType() if c == "payload_bytes" else T.StringType()) for c in HEADERS] + [T.StructField("payload", T.BinaryType())])
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ROLL_BYTES, SPLIT_BYTES, BATCH_BYTES = 256 << 20, 32 << 20, 8 << 20
-MANIFEST = "_warc_manifest.json"
+MANIFEST = "_warc_manifest-"
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -50,6 +53,17 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
+def manifests(fs: pafs.FileSystem, path: str) -> list[str]:
+    """The manifests in a folder, one for each write that was committed."""
+    found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    return sorted(x.path for x in found if x.type == pafs.FileType.File and x.base_name.startswith(MANIFEST))
+
+
+def read_manifest(fs: pafs.FileSystem, name: str) -> list[str]:
+    with fs.open_input_stream(name) as f:
+        return json.loads(f.read())
+
+
 def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -82,9 +96,15 @@ def record(values: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+class Malformed(ValueError):
+    pass
+
+
 def parse_head(data: bytes) -> tuple[dict, int, int]:
-    """(columns, where the block starts, its length) of a record whose headers are complete in ``data``."""
-    end = data.index(b"\r\n\r\n")
+    """(columns, where the block starts, its length) of a record; :class:`Malformed` where the header is not whole."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0 or not data.startswith(b"WARC/"):
+        raise Malformed(f"not a WARC header: {data[:60]!r}")
     found = {}
     for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         k, _, v = line.partition(":")
@@ -93,15 +113,18 @@ def parse_head(data: bytes) -> tuple[dict, int, int]:
     for c in ("record_id", "refers_to"):
         out[c] = out[c] and out[c].removeprefix("<").removesuffix(">")
     out["payload_digest"] = out["payload_digest"] and out["payload_digest"].removeprefix("sha1:")
+    for length in (out["payload_bytes"], found.get("content-length")):
+        if length and not length.isdecimal():
+            raise Malformed(f"not a length: {length[:60]!r}")
     out["payload_bytes"] = int(out["payload_bytes"]) if out["payload_bytes"] else None
-    return out, end + 4, int(found.get("content-length", 0))
+    return out, end + 4, int(found.get("content-length") or 0)
 
 
 class Members:
     """Reads the gzip members that start in a byte range, header first."""
 
-    def __init__(self, stream, size: int, start: int, end: int, chunk: int = 1 << 20):
-        self.f, self.size, self.at, self.end, self.chunk = stream, size, start, end, chunk
+    def __init__(self, stream, size: int, start: int, end: int, chunk: int = 1 << 20, strict: bool = True):
+        self.f, self.size, self.at, self.end, self.chunk, self.strict = stream, size, start, end, chunk, strict
         self.base, self.buf = start, b""
 
     def _need(self, at: int, n: int) -> bytes:
@@ -112,8 +135,12 @@ class Members:
         return self.buf[at - self.base : at - self.base + n]
 
     def _begins(self, at: int) -> bool:
-        if self._need(at, 3) != b"\x1f\x8b\x08":
+        head = self._need(at, 20)
+        if head[:3] != b"\x1f\x8b\x08":
             return False
+        if len(head) == 20 and head[3] & 4 and head[12:14] == b"LN":
+            after = at + struct.unpack("<I", head[16:20])[0]
+            return after == self.size or self._need(after, 3) == b"\x1f\x8b\x08"
         try:
             return zlib.decompressobj(31).decompress(self._need(at, 4096), 5) == b"WARC/"
         except zlib.error:
@@ -148,8 +175,13 @@ class Members:
                         break
                     at += len(piece)
                     data += z.decompress(piece, 4096)
-            columns, begin, length = parse_head(data)
             state = {"z": z, "at": at, "data": data}
+            try:
+                columns, begin, length = parse_head(data)
+            except Malformed:
+                if self.strict:
+                    raise
+                columns, begin, length = None, 0, 0
 
             def block(state=state, begin=begin, length=length):
                 z, got = state["z"], [state["data"]]
@@ -165,7 +197,8 @@ class Members:
                     have += len(more)
                 return b"".join(got)[begin : begin + length]
 
-            yield columns, block
+            if columns is not None:
+                yield columns, block
             if known:
                 self.at += known
             else:  # a foreign archive: the member's end is found by inflating it
@@ -219,6 +252,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
         self.names, self.uri = [x.name for x in schema], options["path"]
         self.split = int(options.get("splitbytes", SPLIT_BYTES))
+        self.strict = options.get("mode", "FAILFAST").upper() != "DROPMALFORMED"
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters):
@@ -232,10 +266,9 @@ class WarcReader(DataSourceReader):
         fs, path = filesystem(self.uri)
         info = fs.get_file_info(path)
         if info.type == pafs.FileType.Directory:
-            listed = fs.get_file_info([f"{path}/{MANIFEST}"])[0]
-            if listed.type == pafs.FileType.File:
-                with fs.open_input_stream(listed.path) as f:
-                    files = [fs.get_file_info(f"{path}/{x}") for x in json.loads(f.read())]
+            listed = manifests(fs, path)
+            if listed:
+                files = [fs.get_file_info(f"{path}/{x}") for m in listed for x in read_manifest(fs, m)]
             else:
                 files = [x for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.path.endswith(".warc.gz")]
         else:
@@ -252,7 +285,7 @@ class WarcReader(DataSourceReader):
         rows: list[dict] = []
         size = 0
         with fs.open_input_file(part.path) as f:
-            for head, block in Members(f, f.size(), part.start, part.end):
+            for head, block in Members(f, f.size(), part.start, part.end, strict=self.strict):
                 if head["record_type"] == "warcinfo" and not tests or not all(t(head) for t in tests):
                     continue
                 if wants:
@@ -272,8 +305,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.uri = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.uri, self.overwrite = options["path"], overwrite
 
     def write(self, iterator):
         fs, path = filesystem(self.uri)
@@ -299,8 +332,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, path = filesystem(self.uri)
         fs.create_dir(path, recursive=True)
-        with fs.open_output_stream(f"{path}/{MANIFEST}", compression=None) as f:
+        former = manifests(fs, path) if self.overwrite else []
+        with fs.open_output_stream(f"{path}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        for m in former:
+            files = read_manifest(fs, m)
+            fs.delete_file(m)
+            for x in files:
+                fs.delete_file(f"{path}/{x}")
 
     def abort(self, messages):
         fs, path = filesystem(self.uri)
@@ -321,7 +360,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -344,19 +383,21 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """WARC rows: of equal payloads of at least ``min_bytes`` bytes that with the largest id is the response.
 
     Digests and largest ids are counted with partial aggregation; only digests that occur twice or more are joined
-    back, and the adaptive skew join splits a payload that many pages share. Rows with the largest id twice are both
+    back. They are joined by digest and length, for which the counts need an exchange of their own: so the adaptive skew
+    join can split a payload that many pages share. Rows with the largest id twice are both
     responses; a null id is smaller than any id, and is a response when no page with an id has its payload.
     """
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
-    twice = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    again = F.col("first").isNotNull() & (F.octet_length("payload") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
-    return rows.join(twice, "sha", "left").select(
+    ).withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
+    counted = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    twice = counted.where("n > 1 AND first IS NOT NULL").drop("n")
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    return rows.join(twice, ["sha", "size"], "left").select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.concat(F.lit("urn:page:"), F.col("id").cast("string")).alias("record_id"), "target_uri",
         F.when(again, F.concat(F.lit("urn:page:"), F.col("first").cast("string"))).alias("refers_to"),
-        _base32(F.col("sha")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        _base32(F.col("sha")).alias("payload_digest"), F.col("size").cast("long").alias("payload_bytes"),
         F.when(~again, F.col("payload")).alias("payload"))
 
 

@@ -24,3 +24,24 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.where("doc_id < -5")
+
+
+@pytest.fixture
+def split_joins(spark):
+    """Whether the final plan of a query splits a skewed join, with thresholds for small tables."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+
+    def run(df_of):
+        before = {k: spark.conf.get(k, None) for k in small}
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        try:
+            df = df_of()
+            df.collect()
+            return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    return run
