@@ -5,12 +5,15 @@ its segmentations into pieces, computed by a forward pass; the piece probabiliti
 maximisation (forward and backward sums) on the words of a bounded sample of each language. A text's log-probability
 is the sum over its words, and its language the best one.
 
-Every word of every text is scored. Equal words are scored once per block and kept in a bounded table of the task.
+Every word of every text is scored whole, whatever its length: in scripts without spaces a word is a sentence or more.
+The forward pass keeps the sums of the last positions only and scales them, so its memory does not grow with the
+word. Equal words are scored once per block and kept in a bounded table of the task.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when no row has a
-language. Ties go to the language first in order. Rows are judged one by one, so repeated rows get equal results;
-an empty table gives an empty result; further input columns are carried along, and columns named like a result are
-replaced. Words of more than ``MAX_WORD`` bytes are scored in parts of that length.
+language. Ties go to the language first in order. A text is ``lang_known`` if its best language explains it better than
+pieces drawn evenly from the whole vocabulary would: one in a script of no learned language is not. Rows are judged one by one, so repeated
+rows get equal results; an empty table gives an empty result; further input columns are carried along, and columns
+named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,10 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataspan.llm.common import held_out, table
-from strataspan.llm.kernels import _M, _M_INV, blocks, mix64, powers, prefix_hash, span_hash, utf8, word_spans
-
-#: Documents of each language to fit on; bytes of a word scored at once, of a piece; words that a task remembers.
-PER_LANG, MAX_WORD, MAX_PIECE, REMEMBER = 400, 40, 12, 1 << 20
+from strataspan.llm.kernels import _M, _M_INV, blocks, mix64, powers, prefix_hash, span_hash, span_mix, utf8, word_spans
+
+#: Documents of each language to fit on; bytes of a run of letters in these, longer ones are fitted in parts between
+#: characters (all are scored whole); words that a task remembers.
+PER_LANG, FIT_RUN, REMEMBER = 400, 4096, 1 << 20
+#: Words up to this size are scored beside others of equal size, longer ones beside others of similar size; steps
+#: between two scalings; bytes whose pieces are looked up at once.
+SHORT_WORD, SCALE_EVERY, LOOKUP = 40, 16, 1 << 16
 ROUNDS, FLOOR = 6, 1e-6
 UND = "und"
 
@@ -46,7 +53,7 @@ def read_pieces(path: str) -> list[bytes]:
             continue
         raw = sp.id_to_piece(i).replace("▁", " ").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
         body = raw.removeprefix(b" ")
-        if body and len(raw) <= MAX_PIECE and all(_LETTERS[b] for b in body):
+        if body and all(_LETTERS[b] for b in body):
             out.add(raw)
     return sorted(out)
 
@@ -89,48 +96,101 @@ class Pieces:
         return out
 
 
-class Lattice:
-    """All pieces in some words of equal length, as (word, begin, end, piece), grouped by end."""
-
-    def __init__(self, words: np.ndarray, pieces: Pieces):
-        """words: a row of bytes for each word, the first a space."""
-        n, m = words.shape
-        flat = words.astype(np.uint64) * powers(_M, m)
-        prefix = np.zeros((n, m + 1), np.uint64)
-        np.cumsum(flat, axis=1, out=prefix[:, 1:])
-        back = powers(_M_INV, m + 1)
-        self.n, self.m, self.edges = n, m, []
-        for end in range(1, m + 1):
-            for begin in range(max(0, end - pieces.longest), end):
-                h = (prefix[:, end] - prefix[:, begin]) * back[begin]
-                h += np.uint64((end - begin) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-                at = pieces.find(mix64(h))
-                hit = np.flatnonzero(at >= 0)
-                if len(hit):
-                    self.edges.append((begin, end, hit, at[hit]))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of each prefix: [position, word, language]."""
-        a = np.zeros((self.m + 1, self.n, p.shape[1]))
-        a[0] = 1
-        for begin, end, w, piece in self.edges:
-            a[end, w] += a[begin, w] * p[piece]
-        return a
-
-    def expected(self, p: np.ndarray, counts: np.ndarray, out: np.ndarray) -> float:
-        """Add the expected piece counts, words weighted by counts[word, language]; the log-likelihood."""
-        a = self.forward(p)
-        b = np.zeros_like(a)
-        b[self.m] = 1
-        total = a[self.m]
-        share = counts / np.maximum(total, 1e-300)
-        for begin, end, w, piece in reversed(self.edges):
-            onward = b[end, w] * p[piece]
-            b[begin, w] += onward
-            mass = a[begin, w] * onward * share[w]
-            for k in range(p.shape[1]):
-                out[:, k] += np.bincount(piece, mass[:, k], minlength=len(out))
-        return float((counts * np.log(np.maximum(total, 1e-300))).sum())
+def edges(words: np.ndarray, pieces: Pieces, lo: int, hi: int):
+    """(begin, end, rows, pieces) of all pieces in some words that end at ``lo`` + 1 to ``hi``, by end.
+
+    words: a row of bytes for each word, the first a space."""
+    base = max(0, lo - pieces.longest)
+    part = words[:, base:hi]
+    n, m = part.shape
+    prefix = np.zeros((n, m + 1), np.uint64)
+    np.cumsum(part.astype(np.uint64) * powers(_M, m), axis=1, out=prefix[:, 1:])
+    back = powers(_M_INV, m + 1)
+    found = []
+    for k in range(1, min(pieces.longest, m) + 1):
+        first = max(0, lo + 1 - base - k)
+        h = (prefix[:, first + k :] - prefix[:, first : m - k + 1]) * back[first : m - k + 1]
+        h += np.uint64(k * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+        at = pieces.find(mix64(h).reshape(-1))
+        hit = np.flatnonzero(at >= 0)
+        row, j = np.divmod(hit, m - k + 1 - first)
+        found.append((base + first + j + k, np.full(len(hit), k), row, at[hit]))
+    end, size, row, piece = (np.concatenate(x) for x in zip(*found))
+    key = end * (pieces.longest + 1) + size
+    order = np.argsort(key, kind="stable")
+    key, end, size, row, piece = key[order], end[order], size[order], row[order], piece[order]
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        yield int(end[a] - size[a]), int(end[a]), row[a:b], piece[a:b]
+
+
+def forward(words: np.ndarray, sizes: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log-probabilities [word, language], summed over all segmentations; ``sizes``: the bytes of each row that count."""
+    n, m = words.shape
+    ring = pieces.longest + 1
+    sums, logs, out = np.zeros((ring, n, p.shape[1])), np.zeros((n, p.shape[1])), np.empty((n, p.shape[1]))
+    sums[0] = 1
+    at = 0
+
+    def settle(upto: int) -> int:
+        """Finish the positions before ``upto``: words that end there, and scaling."""
+        for end in range(at + 1, upto + 1):
+            done = np.flatnonzero(sizes == end)
+            if len(done):
+                out[done] = np.log(np.maximum(sums[end % ring, done], 1e-300)) + logs[done]
+            if end % SCALE_EVERY == 0:
+                top = sums.max(0)
+                top[top <= 0] = 1
+                np.divide(sums, top, out=sums)
+                logs[...] += np.log(top)
+            sums[(end + 1) % ring] = 0
+        return upto
+
+    sums[1 % ring] = 0
+    step = max(1, LOOKUP // n)
+    for lo in range(0, m, step):
+        for begin, end, rows, piece in edges(words, pieces, lo, min(m, lo + step)):
+            if end - 1 > at:
+                at = settle(end - 1)
+            sums[end % ring, rows] += sums[begin % ring, rows] * p[piece]
+    settle(m)
+    return out
+
+
+def expected(words: np.ndarray, pieces: Pieces, p: np.ndarray, counts: np.ndarray, out: np.ndarray) -> float:
+    """Add the expected counts of the pieces in words of one length, weighted by counts[word, language], to ``out``;
+    the log-likelihood. Forward and backward sums of each position are kept with the logarithm of their scale."""
+    n, m = words.shape
+    steps = list(edges(words, pieces, 0, m))
+    a, b = np.zeros((m + 1, n, p.shape[1])), np.zeros((m + 1, n, p.shape[1]))
+    la, lb = np.zeros_like(a), np.zeros_like(b)
+
+    def scale(x: np.ndarray, log: np.ndarray, window: slice, ahead: slice) -> None:
+        top = x[window].max(0)
+        top[top <= 0] = 1
+        x[window] /= top
+        log[window] += np.log(top)
+        log[ahead] = log[window][:1]
+
+    a[0], b[m] = 1, 1
+    last = 0
+    for begin, end, rows, piece in steps:
+        if end // SCALE_EVERY > last // SCALE_EVERY:
+            scale(a, la, slice(max(0, end - 1 - pieces.longest), end), slice(end, m + 1))
+        last = end
+        a[end, rows] += a[begin, rows] * p[piece]
+    total = np.log(np.maximum(a[m], 1e-300)) + la[m]
+    last = m
+    for begin, end, rows, piece in sorted(steps, key=lambda x: -x[0]):
+        if begin // SCALE_EVERY < last // SCALE_EVERY:
+            scale(b, lb, slice(begin + 1, begin + 2 + pieces.longest), slice(0, begin + 1))
+        last = begin
+        b[begin, rows] += b[end, rows] * p[piece]
+    for begin, end, rows, piece in steps:
+        mass = counts[rows] * a[begin, rows] * b[end, rows] * p[piece] * np.exp(np.minimum(la[begin, rows] + lb[end, rows] - total[rows], 700))
+        for k in range(p.shape[1]):
+            out[:, k] += np.bincount(piece, mass[:, k], minlength=len(out))
+    return float((counts * total).sum())
 
 
 def by_length(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -146,23 +206,52 @@ def by_length(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
             yield rows, body
 
 
-def cut_words(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of letter runs, long ones in parts."""
+def runs(folded: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of letter runs, those over ``most`` bytes in parts that begin with a character."""
     s, e, row = word_spans(folded, offsets)
-    long = e - s > MAX_WORD
-    if long.any():
-        count = np.where(long, -(-(e - s) // MAX_WORD), 1)
-        first = np.cumsum(count) - count
-        k = np.arange(count.sum()) - np.repeat(first, count)
-        s2 = np.repeat(s, count) + k * MAX_WORD
-        e2 = np.minimum(s2 + MAX_WORD, np.repeat(e, count))
-        s, e, row = s2, e2, np.repeat(row, count)
-    return s, e, row
+    long = np.flatnonzero(e - s > most)
+    if not len(long):
+        return s, e, row
+    begin = folded & 0xC0 != 0x80
+    more = []
+    for i in long.tolist():
+        cuts, at = [int(s[i])], int(s[i])
+        while e[i] - at > most:
+            fits = np.flatnonzero(begin[at + 1 : at + most + 1])
+            at += int(fits[-1]) + 1 if len(fits) else most
+            cuts.append(at)
+        more += [(a, b, row[i]) for a, b in zip(cuts, [*cuts[1:], int(e[i])])]
+    keep = np.ones(len(s), bool)
+    keep[long] = False
+    parts = np.array(more, np.int64).reshape(-1, 3)
+    s, e, row = (np.concatenate((x[keep], parts[:, k])) for k, x in enumerate((s, e, row)))
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order], row[order]
+
+
+def alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """(row numbers, matrix of bytes with a leading space, sizes) of long spans, those of similar sizes together."""
+    size = ends - starts + 1
+    order = np.argsort(size, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and 4 * size[order[hi]] <= 5 * size[order[lo]] and (hi + 1 - lo) * size[order[hi]] <= LOOKUP:
+            hi += 1
+        rows = order[lo:hi]
+        body = np.zeros((len(rows), int(size[rows].max())), np.uint8)
+        body[:, 0] = 32
+        for k, i in enumerate(rows.tolist()):
+            body[k, 1 : size[i]] = raw[starts[i] : ends[i]]
+        yield rows, body, size[rows]
+        lo = hi
 
 
 class Model:
+    """Piece probabilities of each language, and in a last column even ones, that of no language."""
+
     def __init__(self, langs: list[str], pieces: Pieces, p: np.ndarray):
-        self.langs, self.pieces, self.p = langs, pieces, p
+        self.langs, self.pieces, self.p = langs, pieces, np.column_stack((p, np.full(len(p), 1 / max(1, len(p)))))
 
     def scorer(self):
         return Scorer(self)
@@ -173,20 +262,23 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, len(model.langs)), np.float32)
+        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, len(model.langs) + 1), np.float32)
 
     def _words(self, folded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        h = span_hash(prefix_hash(folded), s, e)
+        h = span_mix(folded, s, e)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        values = np.empty((len(unique), len(self.m.langs)), np.float32)
+        values = np.empty((len(unique), len(self.m.langs) + 1), np.float32)
         at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
         have = self.known[at] == unique if len(self.known) else np.zeros(len(unique), bool)
         values[have] = self.values[at[have]]
         todo = np.flatnonzero(~have)
-        for rows, body in by_length(folded, s[first[todo]], e[first[todo]]):
+        long = (e - s)[first[todo]] > SHORT_WORD
+        for rows, body in by_length(folded, s[first[todo[~long]]], e[first[todo[~long]]]):
             for lo in range(0, len(rows), 1 << 14):
-                part = Lattice(body[lo : lo + (1 << 14)], self.m.pieces)
-                values[todo[rows[lo : lo + (1 << 14)]]] = np.log(np.maximum(part.forward(self.m.p)[part.m], 1e-300))
+                part = body[lo : lo + (1 << 14)]
+                values[todo[~long][rows[lo : lo + (1 << 14)]]] = forward(part, np.full(len(part), part.shape[1]), self.m.pieces, self.m.p)
+        for rows, body, sizes in alike(folded, s[first[todo[long]]], e[first[todo[long]]]):
+            values[todo[long][rows]] = forward(body, sizes, self.m.pieces, self.m.p)
         if len(self.known) + len(todo) > REMEMBER:
             self.known, self.values = unique, values
         elif len(todo):
@@ -196,14 +288,14 @@ class Scorer:
         return values[inverse]
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability [text, language], words) of each text."""
+        """(log-probability [text, language, and of no language at last], words) of each text."""
         raw, offsets = utf8(column)
-        out = np.zeros((len(offsets) - 1, len(self.m.langs)))
+        out = np.zeros((len(offsets) - 1, len(self.m.langs) + 1))
         words = np.zeros(len(offsets) - 1, np.int64)
         for lo, hi in blocks(offsets):
             off = offsets[lo : hi + 1] - offsets[lo]
             folded = _LETTERS[raw[offsets[lo] : offsets[hi]]]
-            s, e, row = cut_words(folded, off)
+            s, e, row = word_spans(folded, off)
             if len(s):
                 v = self._words(folded, s, e)
                 for k in range(v.shape[1]):
@@ -223,15 +315,16 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
     size = np.array([len(w) for w in words], np.int64)
     end = np.cumsum(size)
     raw = np.frombuffer(b"".join(words), np.uint8)
-    lattices = [(rows, Lattice(body, table_)) for rows, body in by_length(raw, end - size, end)] if words else []
+    groups = list(by_length(raw, end - size, end)) if words else []
     p = np.full((len(pieces), len(langs)), 1 / len(pieces))
     for _ in range(rounds):
         got = np.zeros_like(p)
-        for rows, part in lattices:
-            part.expected(p, c[rows], got)
+        for rows, body in groups:
+            expected(body, table_, p, c[rows], got)
         p = got / np.maximum(got.sum(0), 1e-300)
         # what one language lacks is not impossible in it
-        p = 0.98 * p + 0.01 * p.mean(1, keepdims=True) + 0.01 / len(pieces)
+        if langs:
+            p = 0.98 * p + 0.01 * p.mean(1, keepdims=True) + 0.01 / len(pieces)
     single = np.array([len(x) == 1 for x in pieces])
     p[single] = np.maximum(p[single], FLOOR)
     return Model(langs, table_, p)
@@ -252,7 +345,7 @@ def train(docs: DataFrame, vocabulary: str, per_lang: int = PER_LANG, id_col: st
         for b in batches:
             raw, offsets = utf8(b.column(1))
             folded = _LETTERS[raw]
-            s, e, row = cut_words(folded, offsets)
+            s, e, row = runs(folded, offsets, FIT_RUN)
             lang = np.array(b.column(0).to_pylist(), object)[row]
             data = folded.tobytes()
             got: dict = {}
@@ -268,9 +361,10 @@ def train(docs: DataFrame, vocabulary: str, per_lang: int = PER_LANG, id_col: st
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (the posterior for equally likely languages); no shuffle."""
-    carried = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """All columns of ``docs`` with lang_pred, score (the posterior for equally likely languages) and lang_known; no shuffle."""
+    results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_known", T.BooleanType())]
+    carried = [c for c in docs.columns if c not in [r.name for r in results]]
+    schema = T.StructType([docs.schema[c] for c in carried] + results)
     letters = docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
@@ -278,14 +372,16 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for b in batches:
             letter = np.array(b.column(b.schema.get_field_index("__letter")))
             if scorer is None or not len(letter):
-                name, score = np.full(len(letter), UND, object), np.zeros(len(letter))
+                name, score, known = np.full(len(letter), UND, object), np.zeros(len(letter)), np.zeros(len(letter), bool)
             else:
                 logp, words = scorer.score(b.column(b.schema.get_field_index(text_col)))
+                logp, none = logp[:, :-1], logp[:, -1]
                 best = logp.argmax(1)
                 score = 1 / np.exp(logp - logp.max(1, keepdims=True)).sum(1)
                 ok = letter & (words > 0)
+                known = ok & (logp.max(1) >= none)
                 name, score = np.where(ok, np.array(model.langs, object)[best], UND), np.where(ok, score, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in carried] + [pa.array(name, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in carried] + [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())], names=schema.names)
 
     return letters.mapInArrow(run, schema)
 
