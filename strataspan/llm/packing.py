@@ -3,7 +3,8 @@
 Examples have three sizes: tokens, segments (one each) and loss-bearing tokens. Of the open bins that an example
 fits, it goes to the one whose remaining room has the largest dot product with the example's size, both relative to
 the capacities and the dimensions weighted by their total demand; large examples come first. With ``split`` an
-example that fits nowhere is cut to fill the tightest bin, so that almost no padding is left.
+example that fits nowhere is cut to fill an open bin, and at the end the emptiest bins are dissolved: their pieces go,
+by the same rule, to the room that is left in the others, so that almost no padding remains.
 
 Packing runs inside the tasks that read the rows; each closes its bins, so nothing is shuffled and a task holds at
 most ``POOL`` tokens of pending examples. A task leaves at most the last bins of its pools unfilled.
@@ -77,53 +78,69 @@ def pack(lengths: np.ndarray, loss: np.ndarray, limits: Limits = Limits(), split
         bins.append([])
         return slot
 
-    for n, e, start, y in rest:
+    def whole(n: int, y: int) -> int:
+        """The open bin that a piece fits and whose room has the largest dot product with it, or -1."""
         size = np.array((n, 1, y), float)
-        fits = (room >= size).all(1)
-        if fits.any():
-            slot = int(np.argmax(np.where(fits, (room * size * scale).sum(1), -1.0)))
-            put(slot, e, start, n, y)
+        fits = (room >= size).all(1) & (open_at >= 0)
+        return int(np.argmax(np.where(fits, (room * size * scale).sum(1), -1.0))) if fits.any() else -1
+
+    def head(n: int, y: int) -> tuple[int, int]:
+        """(open bin, tokens of the piece that fit it at most) for the largest such beginning, or (-1, 0)."""
+        fits = np.minimum(np.minimum(room[:, 0], n - y + room[:, 2]), n)
+        fits = np.where((open_at >= 0) & (room[:, 1] >= 1), fits, 0)
+        slot = int(np.argmax(fits))
+        return (slot, int(fits[slot])) if fits[slot] >= 1 else (-1, 0)
+
+    for n, e, start, y in rest:
+        slot = whole(n, y)
+        if slot < 0 and split and (open_at >= 0).sum() >= 8:
+            at, k = head(n, y)
+            if at >= 0:
+                early = max(0, k - (n - y))
+                put(at, e, start, k, early)
+                n, start, y = n - k, start + k, y - early
+                slot = whole(n, y) if n else -1
+        if n:
+            put(fresh() if slot < 0 else slot, e, start, n, y)
+    while split and (open_at >= 0).sum() > 1:
+        slot = int(np.argmax(np.where(open_at >= 0, room[:, 0], -1)))
+        own, left = bins[open_at[slot]], open_at.copy()
+        rooms = room.copy()
+        number, open_at[slot], room[slot] = open_at[slot], -1, 0
+        before = [len(b) for b in bins]
+        if all(_settle(p, loss, lengths, whole, head, put) for p in own):
+            bins[number] = []
             continue
-        if split and (open_at >= 0).sum() >= 8:
-            ok = (room[:, 1] >= 1) & (room[:, 0] >= 1) & (room[:, 2] >= np.minimum(room[:, 0], y)) & (open_at >= 0)
-            if ok.any():
-                slot = int(np.argmax(np.where(ok, room[:, 0], -1)))
-                head = int(min(room[slot, 0], n - 1))
-                if head > 0:
-                    early = max(0, head - (n - y))
-                    put(slot, e, start, head, early)
-                    n, start, y = n - head, start + head, y - early
-        slot = fresh()
-        put(slot, e, start, n, y)
-    return bins
-
-
-def merge_open(bins: list[list[tuple[int, int, int]]], limits: Limits) -> list[list[tuple[int, int, int]]]:
-    """Pour the contents of partly filled bins together, cutting pieces at the bins' ends."""
-    full, loose = [], []
-    for b in bins:
-        (full if sum(p[2] for p in b) >= limits.tokens else loose).append(b)
-    loose.sort(key=len)
-    out, cur, left, segs = [], [], limits.tokens, 0
-    for e, start, n in (p for b in loose for p in b):
-        while n:
-            if left == 0 or segs == limits.segments:
-                out.append(cur)
-                cur, left, segs = [], limits.tokens, 0
-            take = min(left, n)
-            cur.append((e, start, take))
-            start, n, left, segs = start + take, n - take, left - take, segs + 1
-    if cur:
-        out.append(cur)
-    return full + out
+        # it does not fit into the others: all stays as it was
+        for b, k in zip(bins, before):
+            del b[k:]
+        open_at, room = left, rooms
+        break
+    return [b for b in bins if b]
+
+
+def _settle(piece: tuple[int, int, int], loss: np.ndarray, lengths: np.ndarray, whole, head, put) -> bool:
+    """Put a piece into open bins, cut where no bin takes it whole; False where they have no room for all of it."""
+    e, start, n = piece
+    tail = int(lengths[e]) - int(loss[e])  # where the loss-bearing part begins
+    while n:
+        y = max(0, min(n, start + n - tail))
+        slot, k = whole(n, y), n
+        if slot < 0:
+            slot, k = head(n, y)
+            if slot < 0:
+                return False
+        put(slot, e, start, k, max(0, min(k, start + k - tail)))
+        start, n = start + k, n - k
+    return True
 
 
 _encoders: dict = {}
 
 
 def encoder(path: str, pattern: str):
-    """The byte-level BPE of ``path`` (a tokenizers JSON file): its vocabulary and merges as ranks for tiktoken, which
-    gives the same ids several times faster. Special tokens' strings in a text are ordinary text."""
+    """texts -> ids of the byte-level BPE of ``path`` (a tokenizers JSON file): its vocabulary and merges as ranks for
+    tiktoken, which gives the same ids several times faster. As there, an added token's string in a text is that token."""
     if path not in _encoders:
         import json
 
@@ -132,9 +149,10 @@ def encoder(path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = {c: b for b, c in enumerate(_byte_chars())}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        _encoders[path] = lambda text: bpe.encode(text, allowed_special="all") if any(a in text for a in added) else bpe.encode_ordinary(text)
     return _encoders[path]
 
 
@@ -165,7 +183,7 @@ def pack_documents(
     cols.append(F.coalesce(F.col(loss_from), F.lit(0)).cast("int").alias("p") if loss_from else F.lit(0).alias("p"))
 
     def run(batches):
-        enc = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern)
         base, count = TaskContext.get().partitionId() << 33, 0
         pend: list[tuple] = []
         pending = 0
@@ -174,8 +192,6 @@ def pack_documents(
             nonlocal count, pend, pending
             lengths = np.array([len(x[1]) for x in pend])
             bins = pack(lengths, np.array([x[2] for x in pend]), limits, split)
-            if split and limits.loss >= limits.tokens:
-                bins = merge_open(bins, limits)
             rows = {n: [] for n in names}
             for b in bins:
                 offset = 0
@@ -191,10 +207,10 @@ def pack_documents(
 
         for batch in batches:
             for doc, text, prompt in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids = np.array([*enc.encode_ordinary(text), END], "<u4")
+                ids = np.array([*encode(text), END], "<u4")
                 y = len(ids)
                 if prompt > 0:
-                    y -= min(len(enc.encode_ordinary(text[:prompt])), y)
+                    y -= min(len(encode(text[:prompt])), y)
                 pend.append((doc, ids, y))
                 pending += len(ids)
                 if pending >= pool:
