@@ -73,19 +73,84 @@ def test_op9_accuracy_and_odd_rows(spark, odd, none):
     assert language_id.identify(none).count() == 0
 
 
-def test_op9_forward_sums_all_segmentations():
-    pieces = [b"a", b"ab", b"b", b" ", b" a"]
+def all_segmentations(word, p):
+    """The sum over all segmentations of a word, by recursion over its beginnings."""
+    if not word:
+        return 1.0
+    return sum(p[word[:k]] * all_segmentations(word[k:], p) for k in range(1, len(word) + 1) if word[:k] in p)
+
+
+@pytest.mark.parametrize("lookup", [1 << 16, 8])
+def test_op9_forward_sums_all_segmentations(lookup, monkeypatch):
+    monkeypatch.setattr(language_id, "LOOKUP", lookup)
+    monkeypatch.setattr(language_id, "SCALE_EVERY", 4)
+    pieces = sorted({bytes([b]) for b in b" abc"} | {b"ab", b" a", b"abca", b"bc", b"cab", b" bca"})
+    rng = np.random.default_rng(3)
+    p = rng.random((len(pieces), 3)) * [1, 0.1, 1e-3]
     table = language_id.Pieces(pieces)
-    body = np.frombuffer(b" ab", np.uint8)[None, :]
-    p = np.array([[0.1], [0.2], [0.3], [0.4], [0.5]])
-    total = language_id.Lattice(body, table).forward(p)[3][0, 0]
-    assert np.isclose(total, 0.4 * 0.1 * 0.3 + 0.4 * 0.2 + 0.5 * 0.3)
+    words = [b" ab", b" abcabca", b" " + b"abc" * 5, b" c"]
+    body = np.zeros((len(words), max(map(len, words))), np.uint8)
+    for k, w in enumerate(words):
+        body[k, : len(w)] = np.frombuffer(w, np.uint8)
+    got = language_id.forward(body, np.array([len(w) for w in words]), table, p)
+    want = [[np.log(all_segmentations(w, dict(zip(pieces, p[:, k])))) for k in range(3)] for w in words]
+    assert np.allclose(got, want)
+    # a word far too long for plain floats: a power of what its parts have
+    long = np.frombuffer(b" " + b"c" * 3000, np.uint8)[None, :]
+    only = {b" ": 0.5, b"c": 1e-3}
+    got = language_id.forward(long, np.array([3001]), language_id.Pieces(sorted(only)), np.array([[only[k]] for k in sorted(only)]))
+    assert np.isclose(got[0, 0], np.log(0.5) + 3000 * np.log(1e-3))
+
+
+def test_op9_expected_counts_against_enumeration_and_rising_likelihood(monkeypatch):
+    monkeypatch.setattr(language_id, "SCALE_EVERY", 4)
+    pieces = sorted({bytes([b]) for b in b" ab"} | {b"ab", b" a", b"ba", b"aba"})
+    table = language_id.Pieces(pieces)
+    p = np.random.default_rng(5).random((len(pieces), 2))
+    word = b" abaab"
+
+    def each(w, prob, used, k):
+        if not w:
+            yield prob, used
+        for n in range(1, len(w) + 1):
+            if w[:n] in pieces:
+                yield from each(w[n:], prob * p[pieces.index(w[:n]), k], [*used, pieces.index(w[:n])], k)
+
+    want, like = np.zeros_like(p), 0.0
+    for k in range(2):
+        ways = list(each(word, 1.0, [], k))
+        total = sum(w for w, _ in ways)
+        like += (k + 2) * np.log(total)
+        for w, used in ways:
+            for i in used:
+                want[i, k] += (k + 2) * w / total
+    out = np.zeros_like(p)
+    got = language_id.expected(np.frombuffer(word, np.uint8)[None, :], table, p, np.array([[2.0, 3.0]]), out)
+    assert np.allclose(out, want) and np.isclose(got, like)
+    q, last = np.full((len(pieces), 1), 1 / len(pieces)), -np.inf
+    for _ in range(8):
+        out = np.zeros_like(q)
+        now = sum(language_id.expected(np.frombuffer(w, np.uint8)[None, :], table, q, np.ones((1, 1)), out) for w in (word, b" abab", b" baa", b" " + b"ab" * 40))
+        assert now >= last - 1e-9
+        last, q = now, out / out.sum()
+
+
+def test_op9_uses_the_whole_vocabulary_and_whole_words():
+    import pyarrow as pa
+
+    pieces = language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert b" relationship" in pieces and b" professional" in pieces
+    folded = language_id._LETTERS[np.frombuffer(("語" * 3000 + " ab").encode(), np.uint8)]
+    s, e, _ = language_id.runs(folded, np.array([0, len(folded)]), 4096)
+    assert (np.diff(np.append(s, len(folded))) > 0).all() and all((folded[i] & 0xC0) != 0x80 for i in s) and (e - s).max() <= 4096 and (e - s).sum() == 9002
+    model = language_id.fit({"en": {b"relationship": 3, b"of": 5}, "xx": {b"zzz": 4}}, pieces)
+    logp, words = model.scorer().score(pa.array(["relationship of", "語" * 3000, None]))
+    assert words.tolist() == [2, 1, 0] and logp[0].argmax() == 0 and logp[1].argmax() == 2
 
 
 def test_op7_pieces(spark, sf, odd, none):
     got = packing.op7_packing(spark, sf).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = dict(duckdb.sql(f"select doc_id, coalesce(text, '') from '{sf}/documents.parquet'").fetchall())
     ids = {i: np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for i, x in docs.items()}
     at = dict.fromkeys(ids, 0)
