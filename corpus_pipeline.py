@@ -1,11 +1,15 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
 
-Each stage works on all its predecessor kept, and its decisions take effect: texts in no learned language go, shared
-lines are cut out of the texts, one document of each near-duplicate class stays (that with the smallest id), documents
-with a benchmark passage go, and what is left is packed. All stages but the last return the columns they were given.
-
-Defined results: rows with a null id are never near-duplicates of others; where no row has a language, only texts
-without a letter are rejected; an empty table gives an empty result.
+Each stage works on all its predecessor kept, and its decisions take effect: texts in no learned language go (those
+without a letter, those that no language explains better than pieces drawn evenly do, and those of which no language
+has a posterior of ``MIN_SCORE``), and a missing language is filled in; shared lines are cut out of the texts, one
+document of each near-duplicate class stays (that with the smallest id), documents with a benchmark passage go, and
+what is left is packed. All stages but the last return the columns they were given; columns named like a result of an
+operator keep their own values.
+
+Defined results: rows with a null id are never near-duplicates of others; of rows that repeat an id one stays, that
+with the least hash of its text; where no row has a language none is learned, so no document stays; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,16 +19,19 @@ from pyspark.sql import functions as F
 
 from strataspan.llm.common import shared_dir, table
 from strataspan.llm.decontaminate import find_spans
-from strataspan.llm.language_id import UND, identify
+from strataspan.llm.language_id import identify
 from strataspan.llm.line_dedup import line_dedup
 from strataspan.llm.minhash import near_duplicate_classes
 from strataspan.llm.packing import pack_corpus
 
 
+MIN_SCORE = 0.5
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    if docs.where(F.col("lang").isNotNull()).isEmpty():
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    return identify(docs).where(F.col("lang_pred") != UND).select(*docs.columns)
+    found = identify(docs.withColumn("__row", F.struct(*docs.columns)))
+    kept = found.where(F.col("lang_known") & (F.col("score") >= MIN_SCORE))
+    return kept.select(*[F.coalesce("__row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +43,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = near_duplicate_classes(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    again = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    # only rows whose id is found more than once are gathered, by id
+    best = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").unionByName(best).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
