@@ -6,6 +6,7 @@ a text longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +19,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and enlarged when needed."""
+    """base**0 .. base**(n-1) modulo 2**64; those for a block are kept, longer ones only made."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1, 0 if have is None else 2 * len(have))
-        if size > 16 * BLOCK_BYTES:
-            size = n
-        have = np.empty(size, np.uint64)
+        have = np.empty(max(n, BLOCK_BYTES + 1), np.uint64)
         have[0] = 1
         have[1:] = np.uint64(base)
         np.cumprod(have, out=have)
-        if size <= 16 * BLOCK_BYTES:
+        if n <= BLOCK_BYTES + 1:
             _powers[base] = have
     return have[:n]
 
@@ -83,6 +81,35 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(h)
 
 
+_BELOW = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+#: Spans of more bytes are hashed by BLAKE2b.
+_LONG_SPAN = 256
+
+
+def span_mix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short spans, eight bytes at a time; equal for equal contents wherever they lie.
+
+    Unlike :func:`span_hash` it needs nothing of the size of the text, and no family of texts is known to collide."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    at8 = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = ends - starts
+    h = left.astype(np.uint64) * np.uint64(_M)
+    live, at = np.arange(len(starts)), starts
+    for i in np.flatnonzero(left > _LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    if len(left) and left.max() > _LONG_SPAN:
+        live = np.flatnonzero(left <= _LONG_SPAN)
+        at, left = starts[live], left[live]
+    while len(live):
+        x = at8[at]
+        tail = left < 8
+        x[tail] &= _BELOW[left[tail]]
+        h[live] = mix64(h[live] ^ x)
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
 def word_table(extra: bytes = b"") -> np.ndarray:
     """Byte -> folded byte of a word, 0 for a separator: digits, letters (A-Z lower-cased) and bytes over 127."""
     lut = np.zeros(256, np.uint8)
@@ -119,7 +146,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lut: np.ndarray = WORD_LUT
     """(hashes, row, starts, ends) of the words of a block."""
     folded = lut[raw]
     s, e, row = word_spans(folded, offsets)
-    return span_hash(prefix_hash(folded), s, e), row, s, e
+    return span_mix(folded, s, e), row, s, e
 
 
 def gram_hashes(words: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
