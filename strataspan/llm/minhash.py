@@ -1,7 +1,7 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (all its words, where it has fewer); a shingle weighs its count in the
-text times its inverse document frequency. Document frequencies are exact: texts are dealt to buckets once, each
+text times its inverse document frequency. Document frequencies are exact: texts are dealt, compressed, to buckets once, each
 bucket sends its shingles with counts to ranges of the hash space, the ranges add them up, and shingles that two
 documents or more hold go back, with their sums, to the buckets that sent them. A document keeps the frequencies of
 its own shingles as a packed value, so no task and not the driver holds those of the whole corpus.
@@ -12,9 +12,10 @@ makes n candidates; candidates are verified by weighted Jaccard similarity of th
 several components meet further leaders in rounds, until all components of all buckets have met or are barred by
 what their texts can share at most; so no link between different texts is lost and no bucket emits all its pairs.
 
-Defined results: null and empty texts are equal; a text without words is only near its equals; rows that repeat an
-id share a class; a row with a null id has a null class; an empty table gives an empty result; further input columns
-are carried along, and a column named like the result is replaced.
+Defined results: one row for each distinct id, with the id's column and ``class_id``; other input columns are not
+read. Null and empty texts are equal; a text without words is only near its equals; rows that repeat an id, with equal
+texts or different ones, are one document, whose class is all that is near any of them; rows without an id are left
+out, as nothing could name them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ from pyspark.sql import functions as F
 from strataspan.llm.common import Settled, parts, table
 from strataspan.llm.components import classes_of_buckets
 from strataspan.llm.kernels import blocks, gram_hashes, mix64, utf8, word_hashes
-from strataspan.llm.suffix_dedup import pack_bytes, unpack_bytes
+from strataspan.llm.suffix_dedup import _ZSTD, pack_bytes, unpack_bytes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Text of a bucket; a range of the hash space gets about as many shingles as a bucket has.
 BUCKET_BYTES = 12 << 20
-_POOL = 1 << 16
+_POOL_BITS = 14
+_POOL = 1 << _POOL_BITS
+#: 64-bit words of the bitmap that keeps texts which share no bucket from being shuffled again: 2 MB at most.
+_MARKS = 1 << 18
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +57,11 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np
                 words = h[first[own][:, None] + np.arange(size)].reshape(-1)
                 some.append((gram_hashes(words, np.repeat(short[own], size), size)[0], short[own]))
         g, r = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
-    order = np.lexsort((g, r))
+    order = np.argsort(g)
+    by = r[order]
+    if len(offsets) <= 1 << 16:  # short numbers are sorted by radix
+        by = by.astype(np.uint16)
+    order = order[np.argsort(by, kind="stable")]
     g, r = g[order], r[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
@@ -145,7 +153,7 @@ def _dealt(g: np.ndarray, n: int) -> np.ndarray:
 def _send_shingles(n: int):
     def run(t: pa.Table) -> pa.Table:
         """A bucket's shingles, and how many of its documents hold each, to their ranges."""
-        raw, offsets = utf8(t.column("text"))
+        raw, offsets = _texts(t)
         held = [np.zeros(0, np.uint64)]
         held += [shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[1] for lo, hi in blocks(offsets)]
         g, c = np.unique(np.concatenate(held), return_counts=True)
@@ -179,11 +187,27 @@ def _add_up(t: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array(to, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
 
+def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of compressed texts."""
+    size = t.column("n").to_numpy(zero_copy_only=False)
+    raw = b"".join(_ZSTD.decompress(z.as_buffer(), n, asbytes=True) if n else b"" for z, n in zip(t.column("z"), size.tolist()))
+    return np.frombuffer(raw, np.uint8), np.concatenate(([0], np.cumsum(size)))
+
+
+def _squeeze(batches):
+    for b in batches:
+        raw, off = utf8(b.column(1))
+        data = raw.tobytes()
+        z = [_ZSTD.compress(data[i:j], asbytes=True) if j > i else b"" for i, j in zip(off[:-1].tolist(), off[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.diff(off), pa.int64()), pa.array(z, pa.binary())], names=["id", "h", "bucket", "n", "z"])
+
+
 def _deal_texts(own: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(id, h, text, bucket) in n buckets, and (bucket, blob): the repeated shingles of each bucket with their
+    """(id, h, bucket, n, z) in n buckets, and (bucket, blob): the repeated shingles of each bucket with their
     document frequencies. Both read one exchange of the texts."""
-    texts = own.select("id", F.unhex(F.sha2("text", 256)).alias("h"), "text")
-    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.lit(n)).cast("long")).repartition(n, "bucket")
+    texts = own.select("id", "text", F.unhex(F.sha2("text", 256)).alias("h")).withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.lit(n)).cast("long"))
+    kind = own.schema["id"].dataType.simpleString()
+    texts = texts.mapInArrow(_squeeze, f"id {kind}, h binary, bucket long, n long, z binary").repartition(n, "bucket")
     sent = texts.groupBy("bucket").applyInArrow(_send_shingles(n), "to long, bucket long, blob binary")
     return texts, sent.groupBy("to").applyInArrow(_add_up, "bucket long, blob binary")
 
@@ -191,7 +215,7 @@ def _deal_texts(own: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 class Sampler:
     """Improved consistent weighted sampling with ``BANDS * ROWS`` hash functions.
 
-    A function draws r, c (gamma) and beta (uniform) for a shingle from a pool of 2**16 draws picked by the shingle's
+    A function draws r, c (gamma) and beta (uniform) for a shingle from a pool of 2**14 draws picked by the shingle's
     hash; shingles with the same draw are told apart by their hash. The sample of a text is the shingle with the least
     ln a = ln c - r (t - beta) - r, t = floor(ln w / r + beta), together with that value.
     """
@@ -228,7 +252,7 @@ class Sampler:
         low = mix64(g.copy()) >> np.uint64(32)
         out = np.zeros((len(begin), BANDS), np.uint64)
         for j in range(BANDS * ROWS):
-            at = ((g * self.mult[j]) >> np.uint64(48)).astype(np.int64)
+            at = ((g * self.mult[j]) >> np.uint64(64 - _POOL_BITS)).astype(np.int64)
             key = self.common[j][at]
             if len(odd):
                 key[odd] = self._high(j, at[odd], lnw)
@@ -238,6 +262,17 @@ class Sampler:
         return row[begin], out
 
 
+_made: dict[float, Sampler] = {}
+
+
+def _sampler(weights: Weights) -> Sampler:
+    """The sampler of this worker, made once: it takes some 30 MB."""
+    if weights.rest not in _made:
+        _made.clear()
+        _made[weights.rest] = Sampler(weights)
+    return _made[weights.rest]
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The weight that two sets (sorted shingles, weights) share."""
     if not len(a[0]) or not len(b[0]):
@@ -258,17 +293,16 @@ def _signatures(own: DataFrame, n: int, size: int) -> DataFrame:
     texts, back = _deal_texts(own, max(parts(own.sparkSession), -(-size // BUCKET_BYTES)))
     kind = own.schema["id"].dataType
     none = Weights.of_repeated(n, np.zeros(0, np.uint64), np.zeros(0))
-    made: list[Sampler] = []
 
     def run(t: pa.Table, back: pa.Table) -> pa.Table:
-        made[:] = made or [Sampler(none)]
+        sampler = _sampler(none)
         got = [_unpack_keys(x.as_py()) for x in back.column("blob")]
         known = np.concatenate([np.zeros(0, np.uint64)] + [k for k, _ in got])
         freq = np.concatenate([np.zeros(0, np.int64)] + [c.astype(np.int64) for _, c in got])
         order = np.argsort(known)
         known, freq = known[order], freq[order]
-        raw, offsets = utf8(t.column("text"))
-        lists: list = [[]] * t.num_rows
+        raw, offsets = _texts(t)
+        sizes, lists = np.zeros(t.num_rows, np.int32), [np.zeros(0, np.int64)]
         dfs = [b""] * t.num_rows
         for lo, hi in blocks(offsets):
             row, g, count = shingles(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
@@ -277,12 +311,15 @@ def _signatures(own: DataFrame, n: int, size: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, g), len(known) - 1)
                 hit = np.flatnonzero(known[at] == g)
                 df[hit] = freq[at[hit]]
-            rows, bands = made[0].samples(row, g, weigh(n, df) * count)
+            rows, bands = sampler.samples(row, g, weigh(n, df) * count)
             cuts = np.append(np.searchsorted(row, rows), len(row))
-            for k, (r, x) in enumerate(zip(rows.tolist(), bands.view(np.int64))):
-                lists[lo + r] = x
+            sizes[lo + rows] = BANDS
+            lists.append(bands.view(np.int64).reshape(-1))
+            for k, r in enumerate(rows.tolist()):
                 dfs[lo + r] = pack_df(df[cuts[k] : cuts[k + 1]])
-        return pa.table({"id": t.column("id"), "h": t.column("h"), "bands": pa.array(lists, pa.list_(pa.int64())), "df": pa.array(dfs, pa.binary())})
+        ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))
+        bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int64()))
+        return pa.table({"id": t.column("id"), "h": t.column("h"), "bands": bands, "df": pa.array(dfs, pa.binary())})
 
     return texts.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(run, f"id {kind.simpleString()}, h binary, bands array<long>, df binary")
 
@@ -305,7 +342,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
                 return _weighed(raw[off[i] : off[i + 1]], df[i].as_py(), n)
 
             for i, leader in enumerate(ids):
-                mark = (leader, ob[i + 1] - ob[i])
+                mark = (leader, rb[ob[i] : ob[i + 1]].tobytes())
                 if mark != last:
                     held, last = weighed(rb, ob, b.column(5), i), mark
                 own = weighed(ra, oa, b.column(4), i)
@@ -340,8 +377,18 @@ def _bounds(some: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return out.select("a", F.when(F.col("rows") > 1, 0.0).otherwise(F.col("total")).alias("total"), F.when(F.col("rows") > 1, 1e300).otherwise(F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
 
+def _marked(own: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows whose id may be one of ``members``, by a bitmap of hashed ids whose size is bounded by ``_MARKS``.
+
+    Some other rows pass too, the more the more members there are; joins that follow tell them apart."""
+    word, bit = F.pmod(F.shiftrightunsigned("x", 6), F.lit(_MARKS)), F.expr("shiftleft(1L, CAST(x & 63 AS INT))")
+    marks = members.select(F.xxhash64("id").alias("x")).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    hashed = own.withColumn("x", F.xxhash64("id")).withColumn("word", word).join(F.broadcast(marks), "word")
+    return hashed.where(F.col("bits").bitwiseAND(bit) != 0).select(*own.columns)
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id) of every row with an id; class_id is the smallest id of its class."""
+    """(id, class_id) of every id; class_id is the smallest id of its class."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
     whole = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
@@ -353,9 +400,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     lead = settled(rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z"))
     shared = settled(rows.join(lead, ["band", "sig"]))
     # only the texts of documents that share a bucket are looked at again, and those once here
-    members = shared.select(F.col("a").alias("id")).distinct()
+    members = settled(shared.select(F.col("a").alias("id")).distinct(), narrow=True)
     freq = signed.join(members, "id", "left_semi").select("id", "h", "df").dropDuplicates(["id", "h"])
-    texts = settled(own.withColumn("h", F.unhex(F.sha2("text", 256))).join(freq, ["id", "h"]).select("id", "text", "df"))
+    texts = settled(_marked(own, members).withColumn("h", F.unhex(F.sha2("text", 256))).join(freq, ["id", "h"]).select("id", "text", "df"))
     labels = classes_of_buckets(
         shared, lead, lambda pairs: _verified(pairs, texts, n, threshold), lambda some: _bounds(some, texts, n), threshold,
         nodes.select(F.col("rep").alias("a"), F.col("bands").alias("sigs")))
