@@ -34,8 +34,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The input's columns with ``text_col`` replaced by the kept lines, plus ``n_lines`` and ``n_dropped``.
 
     Two scans, three shuffles: hashes of each document's lines (partial counts first), the same lines with their
-    positions against the keys to drop (a hot key is split by the adaptive skew join), and texts by row.
-    A key is a 128-bit pair of hashes. A row is known by its id and a 128-bit pair of hashes of its text, which survive
+    positions against the keys to drop, and texts by row. A key is a 128-bit pair of hashes and its length: keys are
+    counted by the hashes and joined by all three, so that the counts get an exchange of their own and the adaptive skew
+    join can split the lines of a hot key. A row is known by its id and a 128-bit pair of hashes of its text, which survive
     reading the input again; rows equal in both lose the same lines. The columns ``n_lines`` and ``n_dropped`` replace input columns of that name.
     """
     carried = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -46,16 +47,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         inner.select("__id", "__t1", "__t2", F.posexplode(_lines("__text")).alias("pos", "line"))
         .select("__id", "__t1", "__t2", "pos", _key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("__id", "__t1", "__t2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key"), F.char_length("key")).alias("h2"))
+        .select("__id", "__t1", "__t2", "pos", F.char_length("key").alias("n_key"), F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key"), F.char_length("key")).alias("h2"))
     )
     # one row for a document and key first, so that a repeated line counts once
     seen = (
-        keyed.groupBy("h1", "h2", "__id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("last"))
-        .where(F.col("n") >= min_docs).select("h1", "h2", "last")
+        keyed.groupBy("h1", "h2", "__id").agg(F.max("n_key").alias("n_key"))
+        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("last"), F.max("n_key").alias("n_key"))
+        .where(F.col("n") >= min_docs).select("h1", "h2", "n_key", "last")
     )
     gone = (
-        keyed.join(seen, ["h1", "h2"]).where(~F.col("__id").eqNullSafe(F.col("last")))
+        keyed.join(seen, ["h1", "h2", "n_key"]).where(~F.col("__id").eqNullSafe(F.col("last")))
         .groupBy(F.col("__id").alias("__gone"), F.col("__t1").alias("__g1"), F.col("__t2").alias("__g2")).agg(F.collect_set("pos").alias("at"))
     )
     lines = _lines("__text")

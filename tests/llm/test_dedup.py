@@ -4,6 +4,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataspan.llm import minhash, spotsigs, suffix_dedup
 from strataspan.llm.components import components
@@ -56,6 +57,12 @@ def test_op3_odd_rows(odd, none):
     assert line_dedup(none).count() == 0
 
 
+def test_op3_a_line_of_many_documents_is_split(spark, split_joins):
+    own = F.concat(F.lit("a line that document "), F.col("id").cast("string"), F.lit(" has alone"))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("the very same line in all documents\n"), 4), own).alias("text"))
+    assert split_joins(lambda: line_dedup(docs.repartition(8)))
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
