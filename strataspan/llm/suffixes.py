@@ -3,8 +3,10 @@
 A symbol's bucket is induced at once: what lies in it names the suffixes one position earlier, a stable split by
 their first symbol sends them to their buckets, and suffixes that fall back into the same bucket (runs of one
 symbol) form the next wave. Two passes sort the leftmost-smaller substrings, their names form a shorter string that
-is sorted in the same way, and two more passes induce the whole array. A shortened string whose alphabet is too
-large for bucket steps is finished by doubling of ranks.
+is sorted in the same way, whatever its size, and two more passes induce the whole array. Names that occur once end
+every comparison, so those that follow such a name are left out of the shorter string; and names over a large alphabet
+are written as two digits each, so that the bucket steps stay few. A string of a handful of symbols is sorted by
+doubling of ranks.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ import numpy as np
 
 from strataspan.llm.kernels import prefix_hash, span_hash
 
-#: Shortened strings with more symbols than this, or shorter than this, are sorted by doubling.
-DENSE_SYMBOLS = 4096
-SHORT = 4096
+#: Alphabets beyond this are written as two digits; strings up to HANDFUL symbols are sorted by doubling.
+DENSE_SYMBOLS = 1024
+HANDFUL = 64
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -142,14 +144,16 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int32)
+    if n <= HANDFUL:
+        return _doubling(t)
     width = int(t.max()) + 1
     counts = np.bincount(t, minlength=width)
     symbols = np.flatnonzero(counts)
     head = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     up = classify(t)
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    if len(lms) == 0:
-        return _doubling(t)
+    if not up[:-1].any():  # every suffix is larger than the one after it
+        return np.arange(n - 1, -1, -1, dtype=np.int32)
     lms = lms.astype(np.int32)
     sa = _induce(t, up, lms[np.argsort(t[lms], kind="stable")], head, symbols)
     is_lms = np.zeros(n, bool)
@@ -164,8 +168,42 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     distinct = int(name[ordered[-1]]) + 1
     if distinct == len(short):
         return _induce(t, up, ordered, head, symbols)
-    inner = suffix_array(short) if distinct <= DENSE_SYMBOLS and len(short) > SHORT else _doubling(short)
-    return _induce(t, up, lms[inner], head, symbols)
+    return _induce(t, up, lms[_order_of_names(short, distinct)], head, symbols)
+
+
+def _order_of_names(short: np.ndarray, distinct: int) -> np.ndarray:
+    """The suffix order of the shortened string of names 0 to ``distinct`` - 1."""
+    times = np.bincount(short, minlength=distinct)
+    once = times[short] == 1
+    # no comparison goes on behind a name that occurs once
+    keep = ~once
+    keep[1:] |= ~once[:-1]
+    keep[-1] = True
+    kept = np.flatnonzero(keep)
+    names = short[kept]
+    present = np.zeros(distinct, np.int32)
+    present[names] = 1
+    names = (np.cumsum(present, dtype=np.int32) - 1)[names]
+    if names.max() < DENSE_SYMBOLS:
+        inner = suffix_array(names)
+    else:
+        base = int(np.sqrt(names.max())) + 1
+        digits = np.empty(2 * len(names) - 1, np.int32)
+        digits[0:-1:2] = names[:-1] // base + 1
+        digits[1:-1:2] = names[:-1] % base + 1
+        digits[-1] = 0  # the one smallest symbol stays one, at the end
+        inner = suffix_array(digits)
+        inner = inner[inner % 2 == 0] // 2
+    # kept suffixes in their order, the others where their names put them
+    before = np.cumsum(times) - times
+    out = np.empty(len(short), np.int32)
+    alone = np.flatnonzero(~keep)
+    out[before[short[alone]]] = alone
+    order = kept[inner]
+    of = short[order]
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    out[before[of] + np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))] = order
+    return out
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:

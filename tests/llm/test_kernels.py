@@ -13,11 +13,11 @@ from strataspan.llm.suffix_dedup import cut_pieces, pack_bytes, unpack_bytes
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=70), st.integers(1, 3))
 def test_suffix_array_and_common_prefixes(values, times):
     t = np.array(values * times + [0])
-    old, suffixes.SHORT = suffixes.SHORT, 4
+    old, suffixes.HANDFUL, suffixes.DENSE_SYMBOLS = (suffixes.HANDFUL, suffixes.DENSE_SYMBOLS), 4, 2
     try:
         sa = suffixes.suffix_array(t)
     finally:
-        suffixes.SHORT = old
+        suffixes.HANDFUL, suffixes.DENSE_SYMBOLS = old
     want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
     assert sa.tolist() == want
     shared = suffixes.common_prefixes(t, sa)
@@ -67,3 +67,20 @@ def test_arrays_survive_packing():
     a, b = np.arange(5, dtype=np.uint64), np.zeros(0, np.uint8)
     c, d = unpack_bytes(pack_bytes(a, b))
     assert c.tolist() == a.tolist() and len(d) == 0
+
+
+def test_suffix_arrays_recurse_whatever_the_alphabet(sf, monkeypatch):
+    """Two megabytes of text: names of substrings are many, and yet sorted by the same steps down to a handful."""
+    import pyarrow.parquet as pq
+
+    from strataspan.llm.kernels import utf8
+
+    raw, _ = utf8(pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"])
+    t = np.concatenate((raw[: 2 << 20].astype(np.int16) + 1, [0])).astype(np.int16)
+    sizes, sort = [], suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda x: (sizes.append(len(x)), sort(x))[1])
+    doubled, doubling = [], suffixes._doubling
+    monkeypatch.setattr(suffixes, "_doubling", lambda x: (doubled.append(len(x)), doubling(x))[1])
+    got = suffixes.suffix_array(t)
+    assert len(sizes) > 3 and max(doubled, default=0) <= suffixes.HANDFUL
+    assert (got == doubling(t)).all()
