@@ -4,23 +4,46 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataspan.plans.registry import query
-from strataspan.sources.tables import SCALES, SPECTRUM_SQL, matrix, spectrum
+from strataspan.sources.tables import SCALES, SPECTRUM_SQL, matrix
 
 THRESHOLDS = (0.5, 0.75, 0.9, 0.95)
 LOW_THRESHOLDS = tuple(round(0.12 + 0.03 * k, 2) for k in range(12))
-_S = f"WITH {SPECTRUM_SQL} "
-_CUM = f"WITH {SPECTRUM_SQL}, cum AS (SELECT *, energy / sum(energy) OVER () AS energy_ratio, sum(energy) OVER (ORDER BY idx) / sum(energy) OVER () AS cum_energy_ratio FROM sp) "
-# the spectrum has one row for each column of the matrix, so these windows see a bounded number of rows
+_S = f"WITH RECURSIVE {SPECTRUM_SQL} "
+_CUM = f"WITH RECURSIVE {SPECTRUM_SQL}, cum AS (SELECT *, energy / sum(energy) OVER () AS energy_ratio, sum(energy) OVER (ORDER BY idx) / sum(energy) OVER () AS cum_energy_ratio FROM sp) "
+ROUND = 5
+
 
 def _order():
+    # a spectrum has one row for each column of the matrix, so these windows see a bounded number of rows
     return W.orderBy("idx")
 
 
+def spectrum_of(spark: SparkSession, rows: DataFrame, components: int | None = None) -> DataFrame:
+    """(idx, scale, value, energy): the singular values of the uncentred matrix, largest first, and their squares.
+
+    They are the roots of the eigenvalues of the Gram matrix, whose size is the number of columns. ``components`` keeps
+    the first only."""
+    gram, _, _ = moments(rows)
+    e = np.maximum(np.linalg.eigvalsh(gram)[::-1], 0)[:components]
+    return spark.createDataFrame([(k, k + 1, float(np.sqrt(v)), float(v)) for k, v in enumerate(e)], "idx int, scale int, value double, energy double")
+
+
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectrum_of(spark, matrix(spark, sf_dir))
+
+
+def scales_to_indices(s: DataFrame, scales: tuple[int, ...]) -> DataFrame:
+    """(scale, idx) of the wanted scales; one that is not on the axis, or on it twice, is an error."""
+    want = s.sparkSession.createDataFrame([(int(k),) for k in sorted(set(scales))], "scale int")
+    found = want.join(s.groupBy("scale").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("idx")), "scale", "left")
+    bad = F.raise_error(F.concat(F.lit("scale is not on the axis exactly once: "), F.col("scale").cast("string")))
+    return found.select("scale", F.when(F.coalesce("n", F.lit(0)) == 1, F.col("idx")).otherwise(bad.cast("int")).alias("idx"))
+
 
 def cumulative(s: DataFrame) -> DataFrame:
     total = F.sum("energy").over(W.partitionBy())
@@ -77,24 +100,29 @@ def rolling_median(spark, sf_dir):
 
 
 def savitzky_golay(y: np.ndarray, window: int, degree: int) -> np.ndarray:
-    """Least-squares polynomial smoothing; ends take the fit of the first and last window; short input is returned as it is."""
-    window = min(window, len(y) - (1 - len(y) % 2))
-    window -= 1 - window % 2
-    if window <= degree or len(y) < 3:
+    """Least-squares polynomial smoothing; ends take the fit of the first and last window. A window as long as the curve
+    is made shorter, an even one longer by one; curves or windows of less than five points are returned as they are."""
+    if len(y) < 5:
+        return y.copy()
+    window = len(y) - 1 if window >= len(y) else window
+    if window < 5:
         return y.copy()
+    window += 1 - window % 2
+    degree = min(degree, window - 1)
     half = window // 2
-    design = np.vander(np.arange(-half, half + 1), degree + 1, increasing=True)
-    fit = np.linalg.pinv(design)
+    fit = np.linalg.pinv(np.vander(np.arange(-half, half + 1), degree + 1, increasing=True))
     out = np.convolve(y, fit[0][::-1], mode="same")
     for edge, part in ((slice(0, half), y[:window]), (slice(len(y) - half, len(y)), y[-window:])):
-        coef = fit @ part
         at = np.arange(-half, 0) if edge.start == 0 else np.arange(1, half + 1)
-        out[edge] = np.vander(at, degree + 1, increasing=True) @ coef
+        out[edge] = np.vander(at, degree + 1, increasing=True) @ (fit @ part)
     return out
 
 
-def peaks(y: np.ndarray) -> np.ndarray:
-    """Local maxima; of a plateau the middle."""
+def peaks(y: np.ndarray, prominence: float | None = None) -> np.ndarray:
+    """Local maxima, of a plateau the middle; with ``prominence`` those that stand out by as much.
+
+    A peak stands out by its height over the higher of the lowest points to its left and right, each taken up to the
+    next higher value or the end."""
     out, i = [], 1
     while i < len(y) - 1:
         if y[i] > y[i - 1]:
@@ -106,14 +134,23 @@ def peaks(y: np.ndarray) -> np.ndarray:
             i = j + 1
         else:
             i += 1
-    return np.array(out, int)
-
-
-def select_elbows(curve: np.ndarray, top_k: int, min_gap: int) -> list[int]:
-    """Peaks by size of curvature, the larger index first in a tie, each at least ``min_gap`` from those taken; none for top_k 0."""
-    at = peaks(curve)
+    if prominence is None:
+        return np.array(out, int)
+    kept = []
+    for p in out:
+        higher = np.flatnonzero(y > y[p])
+        lo, hi = higher[higher < p].max(initial=-1) + 1, higher[higher > p].min(initial=len(y))
+        if y[p] - max(y[lo : p + 1].min(), y[p:hi].min()) >= prominence:
+            kept.append(p)
+    return np.array(kept, int)
+
+
+def select_elbows(curve: np.ndarray, top_k: int, min_gap: int, by_size: bool = True, prominence: float | None = None) -> list[int]:
+    """Peaks by (absolute) curvature, the larger index first in a tie, each at least ``min_gap`` from those taken; none for top_k 0."""
+    if top_k < 0 or min_gap < 0:
+        raise ValueError("top_k and min_gap are not negative")
     taken: list[int] = []
-    for p in sorted(at, key=lambda k: (-abs(curve[k]), -k)):
+    for p in sorted(peaks(curve, prominence), key=lambda k: (-abs(curve[k]) if by_size else -curve[k], -k)):
         if len(taken) >= top_k:
             break
         if all(abs(p - q) >= min_gap for q in taken):
@@ -121,17 +158,64 @@ def select_elbows(curve: np.ndarray, top_k: int, min_gap: int) -> list[int]:
     return sorted(taken)
 
 
-@query("elbows")
-def elbows(spark, sf_dir, top_k: int = 4, min_gap: int = 3, window: int = 7):
-    """(idx, scale) of the elbows of the smoothed log spectrum; a peak p of the second difference is index p + 1."""
+TOP_K, MIN_GAP = 3, 6
+
+
+def elbows_of(s: DataFrame, top_k: int = TOP_K, min_gap: int = MIN_GAP, smoothing: int | None = None, degree: int = 3, prominence: float | None = None) -> DataFrame:
+    """(idx, scale) of the elbows of the log spectrum, smoothed over ``smoothing`` values if given; a peak p of the second
+    difference is index p + 1."""
     def find(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("idx")
-        y = savitzky_golay(np.log(f.energy.to_numpy() + 1e-12), window, 2)
-        at = [p + 1 for p in select_elbows(np.diff(y, 2), top_k, min_gap)]
+        y = np.log(f.energy.to_numpy() + 1e-12)
+        y = savitzky_golay(y, smoothing, degree) if smoothing else y
+        at = [p + 1 for p in select_elbows(np.diff(y, 2), top_k, min_gap, prominence=prominence)]
         return pd.DataFrame({"idx": at, "scale": f.scale.to_numpy()[at]})
 
-    # a spectrum has one row for each column of the matrix
-    return spectrum(spark, sf_dir).groupBy(F.lit(0).alias("one")).applyInPandas(find, "idx int, scale int")
+    # one row for each column of the matrix
+    return s.groupBy(F.lit(0).alias("one")).applyInPandas(find, "idx int, scale int")
+
+
+_ELBOWS = f"""l_ AS (SELECT idx, ln(energy + 1e-12) AS y FROM sp), c_ AS (SELECT idx AS p, lead(y, 2) OVER (ORDER BY idx) - 2 * lead(y) OVER (ORDER BY idx) + y AS c FROM l_),
+pk AS (SELECT p, c, row_number() OVER (ORDER BY abs(c) DESC, p DESC) AS k FROM (SELECT p, c, lag(c) OVER (ORDER BY p) AS a, lead(c) OVER (ORDER BY p) AS b FROM c_ WHERE c IS NOT NULL) WHERE c > a AND c > b),
+tk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken UNION ALL
+  SELECT tk.k + 1, CASE WHEN len(taken) < {TOP_K} AND coalesce(list_min(list_transform(taken, lambda q: abs(q - pk.p))), {MIN_GAP}) >= {MIN_GAP} THEN list_append(taken, CAST(pk.p AS BIGINT)) ELSE taken END FROM tk JOIN pk ON pk.k = tk.k + 1),
+el AS (SELECT CAST(unnest(taken) + 1 AS INT) AS idx FROM tk WHERE k = (SELECT max(k) FROM tk))"""
+
+
+@query("elbows", _S + f", {_ELBOWS} SELECT el.idx, scale FROM el JOIN sp ON el.idx = sp.idx")
+def elbows(spark, sf_dir):
+    return elbows_of(spectrum(spark, sf_dir))
+
+
+@query("smoothed_elbows")
+def smoothed_elbows(spark, sf_dir):
+    """Elbows of the log spectrum smoothed by polynomials, those that stand out only."""
+    return elbows_of(spectrum(spark, sf_dir), smoothing=7, degree=2, prominence=1e-4)
+
+
+def candidate_scales(s: DataFrame, feature_dimension: int, thresholds: tuple[float, ...] = (), manual: tuple[int, ...] = (), include_full: bool = False, combine: str = "union", **elbow) -> DataFrame:
+    """(scale, sources, is_full_dimension): the whole flow from a spectrum to the scales that any selector chose, with
+    the selectors' names. A manual scale, or the full dimension, that a shortened axis does not have is an error."""
+    if combine not in ("union", "inflection_only"):
+        raise ValueError(f"unknown combination {combine}")
+    picks = elbows_of(s, **elbow).select("scale", F.lit("elbow").alias("selector"))
+    if combine == "union" and thresholds:
+        picks = picks.unionByName(at_thresholds(s, thresholds).select("scale", F.lit("energy").alias("selector")))
+    for scales, name in ((manual, "manual"), ((feature_dimension,) if include_full else (), "full_dimension")):
+        if scales:
+            picks = picks.unionByName(scales_to_indices(s, scales).where("idx >= 0").select("scale", F.lit(name).alias("selector")))
+    return picks.groupBy("scale").agg(F.array_join(F.array_sort(F.collect_set("selector")), ";").alias("sources")).withColumn("is_full_dimension", F.col("scale") == feature_dimension)
+
+
+@query("candidate_scales", _CUM + f""", {_ELBOWS}, t AS (SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in THRESHOLDS)}]) AS threshold),
+k AS (SELECT threshold, coalesce(min(CASE WHEN cum_energy_ratio >= threshold THEN idx END), max(idx)) AS idx FROM cum, t GROUP BY threshold),
+u AS (SELECT scale, 'elbow' AS selector FROM el JOIN sp ON el.idx = sp.idx UNION ALL SELECT scale, 'energy' FROM k JOIN cum ON k.idx = cum.idx UNION ALL SELECT max(scale), 'full_dimension' FROM sp UNION ALL SELECT scale, 'manual' FROM sp WHERE scale IN ({', '.join(map(str, SCALES))}))
+SELECT scale, array_to_string(list_sort(list(DISTINCT selector)), ';') AS sources, scale = (SELECT max(scale) FROM sp) AS is_full_dimension FROM u GROUP BY scale""")
+def candidate_scales_query(spark, sf_dir):
+    """Spectrum, elbows, energy thresholds, manual scales and the full width, united."""
+    rows = matrix(spark, sf_dir)
+    width = rows.agg(F.max(F.size("features"))).first()[0]
+    return candidate_scales(spectrum_of(spark, rows), width or 0, THRESHOLDS, SCALES, True)
 
 
 @query("scale_union", _threshold_sql(THRESHOLDS).replace("SELECT threshold, CAST(k.idx AS INT) AS idx, scale, round(cum_energy_ratio, 6) AS cumulative_energy FROM k JOIN cum ON k.idx = cum.idx",
@@ -180,34 +264,37 @@ def column_mean(spark, sf_dir):
 
 
 def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(Gram matrix, column sums, rows): each task adds up its rows, and the d x d sums of the tasks are added per row of the matrix."""
+    """(Gram matrix, column sums, rows). A task adds up its rows; the tasks' sums are added for each row of the matrix by
+    itself, as whole arrays, so that what comes back is one row for each column."""
     def partial(frames):
         gram = total = None
         n = 0
         for f in frames:
-            x = np.array(f.features.tolist(), float)
-            gram = x.T @ x if gram is None else gram + x.T @ x
-            total = x.sum(0) if total is None else total + x.sum(0)
-            n += len(x)
+            if len(f):
+                x = np.array(f.features.tolist(), float)
+                gram = x.T @ x if gram is None else gram + x.T @ x
+                total = x.sum(0) if total is None else total + x.sum(0)
+                n += len(x)
         if gram is not None:
             yield pd.DataFrame({"i": range(len(gram)), "g": list(gram), "s": total, "n": n})
 
-    parts = rows.select("features").mapInPandas(partial, "i int, g array<double>, s double, n long")
-    flat = parts.select("i", "s", "n", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum(F.when(F.col("j") == 0, F.col("s"))).alias("s"), F.sum("n").alias("n")).toPandas()
-    d = int(flat.i.max()) + 1
-    gram = np.zeros((d, d))
-    gram[flat.i, flat.j] = flat.v
-    first = flat[flat.j == 0].sort_values("i")
-    return gram, first.s.to_numpy(), int(flat.n.iloc[0])
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [f.i.iloc[0]], "g": [np.sum(f.g.tolist(), axis=0)], "s": [f.s.sum()], "n": [f.n.sum()]})
 
+    shape = "i int, g array<double>, s double, n long"
+    got = rows.select("features").mapInPandas(partial, shape).groupBy("i").applyInPandas(add, shape).toPandas().sort_values("i")
+    if not len(got):
+        return np.zeros((0, 0)), np.zeros(0), 0
+    return np.array(got.g.tolist()), got.s.to_numpy(), int(got.n.iloc[0])
 
-@query("gram_block", """SELECT CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(sum(CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE)), 5) + 0.0 AS v
-FROM embeddings, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 9)) AS j) GROUP BY i, j""")
+
+@query("gram_block", """WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
+SELECT CAST(a.d AS INT) AS i, CAST(b.d AS INT) AS j, round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 5) + 0.0 AS v FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL""")
 def gram_block(spark, sf_dir):
-    """The Gram matrix of the first eight columns, over all rows."""
-    x = matrix(spark, sf_dir).select(F.transform(F.slice("features", 1, 8), lambda v: v.cast("double")).alias("x"))
-    pairs = x.select("x", F.posexplode("x").alias("i", "a")).select("i", "a", F.posexplode("x").alias("j", "b"))
-    return pairs.groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 5).alias("v"))
+    """The Gram matrix of all columns, over all rows, in long form."""
+    gram, _, _ = moments(matrix(spark, sf_dir))
+    rows = spark.createDataFrame([(k, g.tolist()) for k, g in enumerate(gram)], "i int, g array<double>")
+    return rows.select("i", F.posexplode("g").alias("j", "v")).withColumn("v", F.round("v", 5) + 0.0)
 
 
 def principal_axes(gram: np.ndarray, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,12 +316,19 @@ def project(rows: DataFrame, axes: np.ndarray, mean: np.ndarray) -> DataFrame:
     return rows.select("row_id", "features").mapInPandas(run, "row_id long, scores array<double>")
 
 
-@query("singular_values")
+@query("singular_values", _S + "SELECT idx, round(value, 6) AS singular_value FROM sp")
 def singular_values(spark, sf_dir):
-    """(idx, singular_value, energy_ratio, cum_energy_ratio) of the uncentred matrix, by its Gram matrix."""
-    gram, _, _ = moments(matrix(spark, sf_dir))
-    e = np.maximum(np.linalg.eigvalsh(gram)[::-1], 0)
-    return spark.createDataFrame(pd.DataFrame({"idx": range(len(e)), "singular_value": np.sqrt(e), "energy_ratio": e / e.sum(), "cum_energy_ratio": np.cumsum(e) / e.sum()}))
+    """Singular values of the uncentred matrix, by its Gram matrix."""
+    return spectrum(spark, sf_dir).select("idx", F.round("value", 6).alias("singular_value"))
+
+
+@query("principal_variances", f"WITH RECURSIVE {SPECTRUM_SQL} SELECT idx, round(energy / (SELECT count(*) - 1 FROM embeddings), 6) AS variance, round(energy / sum(energy) OVER (), 6) AS ratio FROM sp".replace(
+    "sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS v", "sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) - sum(CAST(a.v AS DOUBLE)) * sum(CAST(b.v AS DOUBLE)) / count(*) AS v"))
+def principal_variances(spark, sf_dir):
+    """Variances of the full principal components and their shares."""
+    _, values, _ = principal_axes(*moments(matrix(spark, sf_dir)))
+    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "idx int, variance double")
+    return rows.select("idx", F.round("variance", 6).alias("variance"), F.round(F.col("variance") / F.lit(float(values.sum())), 6).alias("ratio"))
 
 
 @query("full_pca_scores")

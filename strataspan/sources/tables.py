@@ -93,13 +93,6 @@ def metric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws("|", "metric", F.col("scale").cast("string"), F.coalesce(F.col("seed").cast("string"), F.lit(""))), 256).alias("config_hash"), F.lit(False).alias("reused"))
 
 
-def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, scale, value, energy): the energies of the matrix's columns, largest first (a bounded number of rows)."""
-    energy = matrix(spark, sf_dir).select(F.posexplode("features").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("energy"))
-    order = W.orderBy(F.desc("energy"), "d")
-    return energy.select((F.row_number().over(order) - 1).alias("idx"), F.row_number().over(order).alias("scale"), F.sqrt("energy").alias("value"), "energy")
-
-
 # ---- the same views in SQL
 
 VOCAB_SQL = """occ AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token_str FROM documents),
@@ -114,5 +107,20 @@ long_ AS (SELECT vec_id, c, scale, 'energy' AS metric, list_sum(list_transform(x
 cl AS (SELECT metric, scale, seed, c, avg(v) AS v FROM long_, sd WHERE seed IS NULL OR vec_id % 5 <> seed GROUP BY ALL),
 agg_ AS (SELECT metric, scale, seed, avg(v) AS mean, stddev_pop(v) AS std, CAST(count(*) AS DOUBLE) AS n FROM cl GROUP BY ALL),
 mr AS (SELECT metric, scale, seed, 'mean' AS aggregation, mean AS value FROM agg_ UNION ALL SELECT metric, scale, seed, 'std', std FROM agg_ UNION ALL SELECT metric, scale, seed, 'count', n FROM agg_)"""
-SPECTRUM_SQL = """sp0 AS (SELECT d, sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS energy FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d),
-sp AS (SELECT CAST(row_number() OVER (ORDER BY energy DESC, d) - 1 AS INT) AS idx, CAST(row_number() OVER (ORDER BY energy DESC, d) AS INT) AS scale, sqrt(energy) AS value, energy FROM sp0)"""
+#: Eigenvalues of the Gram matrix by Jacobi rotations: in each step every column is paired with another, all pairs meet
+#: in as many steps as there are columns less one (an even number of columns), and after nine such rounds the matrix is
+#: diagonal.
+SPECTRUM_SQL = """x_ AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+gram_ AS (SELECT 0 AS step, CAST(a.d AS INT) AS i, CAST(b.d AS INT) AS j, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS v FROM x_ a JOIN x_ b ON a.vec_id = b.vec_id GROUP BY a.d, b.d),
+size_ AS (SELECT CAST(max(i) + 1 AS INT) AS n FROM gram_),
+jac AS (SELECT step, i, j, v FROM gram_ UNION ALL (
+  WITH pair AS (SELECT i, CASE WHEN i = n - 1 THEN r WHEN i = r THEN n - 1 ELSE (2 * r - i + 2 * (n - 1)) % (n - 1) END AS o FROM (SELECT i, step % (n - 1) AS r, n FROM jac, size_ WHERE i = j)),
+  ang AS (SELECT p.i, p.o, (z.v - a.v) / (2 * nullif(y.v, 0)) AS th FROM pair p JOIN jac y ON y.i = least(p.i, p.o) AND y.j = greatest(p.i, p.o)
+    JOIN jac a ON a.i = least(p.i, p.o) AND a.j = a.i JOIN jac z ON z.i = greatest(p.i, p.o) AND z.j = z.i),
+  tan_ AS (SELECT i, o, coalesce(CASE WHEN th >= 0 THEN 1 ELSE -1 END / (abs(th) + sqrt(th * th + 1)), 0) AS t FROM ang),
+  rot AS (SELECT i, o, 1 / sqrt(1 + t * t) AS c, CASE WHEN i < o THEN -t ELSE t END / sqrt(1 + t * t) AS g FROM tan_)
+  SELECT w.step + 1, w.i, w.j, k.c * m.c * w.v + k.c * m.g * b.v + k.g * m.c * d.v + k.g * m.g * e.v
+  FROM jac w JOIN rot k ON k.i = w.i JOIN rot m ON m.i = w.j JOIN jac b ON b.i = w.i AND b.j = m.o JOIN jac d ON d.i = k.o AND d.j = w.j JOIN jac e ON e.i = k.o AND e.j = m.o
+  WHERE w.step < 9 * (SELECT n - 1 FROM size_))),
+sp0 AS (SELECT greatest(v, 0) AS energy FROM jac WHERE i = j AND step = (SELECT max(step) FROM jac)),
+sp AS (SELECT CAST(row_number() OVER (ORDER BY energy DESC) - 1 AS INT) AS idx, CAST(row_number() OVER (ORDER BY energy DESC) AS INT) AS scale, sqrt(energy) AS value, energy FROM sp0)"""
