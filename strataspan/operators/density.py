@@ -8,8 +8,6 @@ then read in one task for each task key (24 bytes an edge); that step is sequent
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strataspan.operators.spectrum import l2_normalised
 from strataspan.plans.registry import query
+from strataspan.sources.store import settled, shared_folder
 from strataspan.sources.tables import matrix
 
 BLOCK = 2048
@@ -24,12 +23,7 @@ BLOCK = 2048
 
 def _settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, so that rounds do not pile up."""
-    import tempfile
-
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strataspan-shared"
-    path = f"{base.rstrip('/')}/density-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settled(df, shared_folder(df.sparkSession, "density"), "rows")
 
 
 def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,17 +9,12 @@ from pyspark.sql import types as T
 from strataspan.operators.curves import r6
 from strataspan.operators.manifests import boolean, variant
 from strataspan.plans.registry import query
-from strataspan.sources.store import RunPolicy, Store
+from strataspan.sources.store import RunPolicy, Store, shared_folder
 from strataspan.sources.tables import METRIC_SQL, PARTITION, PARTITION_SQL, metric_results, partition
 
 _LONG = f"WITH {METRIC_SQL} SELECT metric, CAST(scale AS INT) AS scale, coalesce(CAST(seed AS VARCHAR), 'baseline') AS variant, aggregation, round(value, 6) AS value, FALSE AS reused FROM mr"
 
 
-def shared_path(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strataspan-shared"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def _result(df: DataFrame) -> DataFrame:
     return df.select("metric", "scale", "variant", "aggregation", "value", "reused")
 
@@ -34,7 +26,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("csv_round_trip", _LONG)
 def csv_round_trip(spark, sf_dir):
     """Written as CSV in folders by metric; read as text and cast, a bad number being an error."""
-    path = shared_path(spark)
+    path = shared_folder(spark, "files") + "/rows"
     _rows(spark, sf_dir).write.option("header", True).partitionBy("metric").csv(path)
     text = spark.read.schema("scale string, variant string, aggregation string, value string, reused string, metric string").option("header", True).csv(path)
     return _result(text.withColumns({"scale": F.col("scale").cast("int"), "value": F.col("value").cast("double"), "reused": boolean(F.col("reused"))}))
@@ -42,7 +34,7 @@ def csv_round_trip(spark, sf_dir):
 
 @query("json_round_trip", _LONG)
 def json_round_trip(spark, sf_dir):
-    path = shared_path(spark)
+    path = shared_folder(spark, "files") + "/rows"
     rows = _rows(spark, sf_dir)
     rows.write.json(path)
     return _result(spark.read.schema(rows.schema).json(path))
@@ -51,7 +43,7 @@ def json_round_trip(spark, sf_dir):
 @query("stored_partition", f"WITH {PARTITION_SQL} SELECT token_id, cluster_id, round(probability, 5) AS probability FROM part_a")
 def stored_partition(spark, sf_dir):
     """A partition through the store: its configuration is written last, its columns are checked when it is read."""
-    store = Store(spark, shared_path(spark))
+    store = Store(spark, shared_folder(spark, "files") + "/rows")
     rows = partition(spark, sf_dir)
     store.write("partition", rows, {"source": "embeddings", "method": "label"}, RunPolicy("error"))
     back = store.read("partition", T.StructType([T.StructField(f.name, f.dataType) for f in PARTITION]))

@@ -59,24 +59,30 @@ def os_partition(spark, sf_dir):
     return exact_similarity(names(spark, sf_dir)).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.stddev_pop("score"), 6).alias("std_score"), F.count(F.lit(1)).alias("n_clusters"))
 
 
-def sampled_similarity(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """(cluster_id, cluster_size, score): exact up to EXACT_LIMIT tokens, else the mean of REPEATS subsamples.
+def sampled_similarity(rows: DataFrame, seed: int = SEED, by: list[str] = []) -> DataFrame:
+    """(by, cluster_id, cluster_size, score): exact up to EXACT_LIMIT tokens, else the mean of REPEATS subsamples.
 
-    The subsample is the operator itself. A subsample is the SAMPLE_SIZE tokens that a seeded hash puts first, taken by
-    a window top-k with partial limits, so that no task gathers a large cluster.
+    ``by``: columns that tell partitions apart. The subsample is the operator itself: the SAMPLE_SIZE tokens that a
+    seeded hash puts first, taken by a window top-k with partial limits, so that no task gathers a large cluster.
     """
-    size = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size")).where("cluster_size >= 2")
-    sized = rows.join(F.broadcast(size), "cluster_id")
-    draws = sized.select("cluster_id", "cluster_size", "token_id", "token_str", F.explode(F.when(F.col("cluster_size") > EXACT_LIMIT, F.sequence(F.lit(1), F.lit(REPEATS))).otherwise(F.array(F.lit(0)))).alias("draw"))
-    order = W.partitionBy("cluster_id", "draw").orderBy(F.xxhash64(F.lit(seed), "draw", "token_id"), "token_id")
+    key = [*by, "cluster_id"]
+    size = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("cluster_size")).where("cluster_size >= 2")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    sized = rows.alias("r").join(size.alias("s"), on).select(*[F.col(f"r.{k}").alias(k) for k in key], "s.cluster_size", "r.token_id", "r.token_str")
+    draws = sized.withColumn("draw", F.explode(F.when(F.col("cluster_size") > EXACT_LIMIT, F.sequence(F.lit(1), F.lit(REPEATS))).otherwise(F.array(F.lit(0)))))
+    order = W.partitionBy(*key, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", "token_id"), "token_id")
     few = draws.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("draw") == 0, EXACT_LIMIT).otherwise(SAMPLE_SIZE))
 
     def score(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cluster_id": [f.cluster_id.iloc[0]], "cluster_size": [f.cluster_size.iloc[0]], "score": [mean_similarity(f.token_str.tolist())]})
+        return pd.DataFrame({**{k: [f[k].iloc[0]] for k in key}, "cluster_size": [f.cluster_size.iloc[0]], "score": [mean_similarity(f.token_str.tolist())]})
 
-    kept = few.where(F.col("rank") <= EXACT_LIMIT).select("cluster_id", "cluster_size", "draw", "token_str")
-    each = kept.groupBy("cluster_id", "draw").applyInPandas(score, "cluster_id long, cluster_size long, score double")
-    return each.groupBy("cluster_id").agg(F.max("cluster_size").alias("cluster_size"), F.avg("score").alias("score"))
+    kept = few.where(F.col("rank") <= EXACT_LIMIT).select(*key, "cluster_size", "draw", "token_str")
+    shape = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
+    each = kept.groupBy(*key, "draw").applyInPandas(score, f"{shape}, cluster_size long, score double")
+    return each.groupBy(*key).agg(F.max("cluster_size").alias("cluster_size"), F.avg("score").alias("score"))
 
 
 @query("os_cluster_sampled")

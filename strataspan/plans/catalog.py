@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataspan.operators import controls, curves, density, files, manifests, orthography, partitions, scripts, spectrum  # noqa: F401  they register their queries
+from strataspan.operators import controls, curves, density, files, manifests, orthography, partitions, schedule, scripts, spectrum  # noqa: F401  they register their queries
 from strataspan.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

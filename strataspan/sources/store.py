@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,28 @@ from pyspark.sql.utils import AnalysisException
 from strataspan.plans.dag import stable_hash
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it is deleted when the session's JVM
+    ends. Only a local session may leave that setting out."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/strataspan-shared"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(hadoop)  # a folder has to be there to be marked
+    fs.deleteOnExit(hadoop)
+    return path
+
+
+def settled(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write a table to a shared folder and read it back: what follows does not plan or run it again."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 @dataclass(frozen=True)
 class RunPolicy:
     """What to do where a result exists: ``error``, ``resume`` (only if its configuration is the same) or ``replace``."""
