@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataspan.plans.registry import query
-from strataspan.sources.tables import METRIC_SQL, metric_results
+from strataspan.sources.tables import METRIC_SQL, SEEDS, metric_results
 
 _M = f"WITH {METRIC_SQL} "
 NEAR_ZERO = 1e-12
@@ -30,6 +30,24 @@ def curve(results: DataFrame, metric: str, aggregation: str, seed: int | None =
     return results.where((F.col("metric") == metric) & (F.col("aggregation") == aggregation) & F.col("seed").eqNullSafe(F.lit(seed).cast("long"))).select("scale", "value")
 
 
+def strict_curve(results: DataFrame, metric: str, aggregation: str, seed: int | None = None) -> DataFrame:
+    """(scale, value) of the one curve that a query means: none, several spaces or methods, or a width twice is an error."""
+    rows = results.where((F.col("metric") == metric) & (F.col("aggregation") == aggregation) & F.col("seed").eqNullSafe(F.lit(seed).cast("long")))
+    kinds = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("space_name", "partition_method").alias("k")).first()
+    if not kinds["n"]:
+        raise ValueError("the query meets no curve")
+    if kinds["k"] > 1:
+        raise ValueError("the query is ambiguous: it meets several spaces or methods")
+    return _single(rows.select("scale", "value"), "value")
+
+
+def _single(rows: DataFrame, name: str) -> DataFrame:
+    """(scale, name) of a curve's points; a width that is found twice is an error."""
+    one = rows.groupBy("scale").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("v"))
+    twice = F.raise_error(F.concat(F.lit("a curve has this width twice: "), F.col("scale").cast("string"))).cast("double")
+    return one.select("scale", F.when(F.col("n") == 1, F.col("v")).otherwise(twice).alias(name))
+
+
 def curves(results: DataFrame) -> DataFrame:
     """(curve, metric, aggregation, seed, scale, value) of the mean and deviation curves."""
     kept = results.where(F.col("aggregation").isin("mean", "std"))
@@ -47,7 +65,7 @@ def metric_results_query(spark, sf_dir):
 
 @query("curve_select", _M + "SELECT CAST(scale AS INT) AS scale, round(value, 6) AS value FROM mr WHERE metric = 'energy' AND aggregation = 'mean' AND seed IS NOT DISTINCT FROM NULL")
 def curve_select(spark, sf_dir):
-    return curve(metric_results(spark, sf_dir), "energy", "mean").select("scale", r6("value").alias("value"))
+    return strict_curve(metric_results(spark, sf_dir), "energy", "mean").select("scale", r6("value").alias("value"))
 
 
 @query("curve_ids", _CURVES + "SELECT curve, sha256(curve) AS curve_id, CAST(count(*) AS BIGINT) AS n_points, CAST(min(scale) AS INT) AS first_scale, CAST(max(scale) AS INT) AS last_scale FROM cv GROUP BY curve")
@@ -56,14 +74,18 @@ def curve_ids(spark, sf_dir):
 
 
 def align(reference: DataFrame, target: DataFrame, how: str) -> DataFrame:
-    """(scale, reference_value, target_value): ``exact`` and ``intersection`` are inner joins, ``reference`` keeps all its scales.
-
-    Whether an exact or reference alignment is complete is for :func:`unmatched` to say.
-    """
-    a, b = reference.select("scale", F.col("value").alias("reference_value")), target.select("scale", F.col("value").alias("target_value"))
+    """(scale, reference_value, target_value) over the widths of both: ``exact`` wants equal widths, ``intersection`` takes
+    the common ones and wants some, ``reference`` wants all widths of the reference in the target. What does not meet
+    that is an error, raised where the rows are read (for an empty intersection at once)."""
     if how not in ("exact", "intersection", "reference"):
         raise ValueError(f"unknown alignment {how}")
-    return a.join(b, "scale", "left" if how == "reference" else "inner")
+    a, b = _single(reference, "reference_value").withColumn("in_a", F.lit(True)), _single(target, "target_value").withColumn("in_b", F.lit(True))
+    both = a.join(b, "scale", {"exact": "full_outer", "intersection": "inner", "reference": "left"}[how])
+    if how == "intersection" and both.isEmpty():
+        raise ValueError("the curves have no common width")
+    missing = F.raise_error(F.concat(F.lit(f"{how} alignment: one curve lacks width "), F.col("scale").cast("string"))).cast("int")
+    scale = F.when(F.col("in_a") & F.col("in_b"), F.col("scale")).otherwise(missing)
+    return both.select(scale.alias("scale"), "reference_value", "target_value")
 
 
 def unmatched(reference: DataFrame, target: DataFrame) -> DataFrame:
@@ -97,10 +119,10 @@ def align_intersection(spark, sf_dir):
     return _rounded(align(curve(m, "energy", "mean"), _short(m), "intersection"))
 
 
-@query("align_reference", _TWO + f"SELECT {_VALUES} FROM ref LEFT JOIN short_ t ON ref.scale = t.scale")
+@query("align_reference", _TWO + f"SELECT {_VALUES.replace('t.value', 'x').replace('ref.', 't.').replace('round(x', 'round(ref.value')} FROM short_ t LEFT JOIN ref ON ref.scale = t.scale")
 def align_reference(spark, sf_dir):
     m = metric_results(spark, sf_dir)
-    return _rounded(align(curve(m, "energy", "mean"), _short(m), "reference"))
+    return _rounded(align(_short(m), curve(m, "energy", "mean"), "reference"))
 
 
 @query("outer_mismatch", _TWO + "SELECT CAST(coalesce(ref.scale, t.scale) AS INT) AS scale, CASE WHEN t.scale IS NULL THEN 'reference' ELSE 'target' END AS side FROM ref FULL JOIN short_ t ON ref.scale = t.scale WHERE ref.scale IS NULL OR t.scale IS NULL")
@@ -118,8 +140,12 @@ def pivot_mean_std(spark, sf_dir):
 @query("seed_aggregate", _M + """SELECT metric, aggregation, CAST(scale AS INT) AS scale, CAST(count(DISTINCT seed) AS BIGINT) AS n_seeds, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) + 0.0 AS std,
 count(*) = count(DISTINCT seed) AS unique_seeds FROM mr WHERE seed IS NOT NULL GROUP BY metric, aggregation, scale""")
 def seed_aggregate(spark, sf_dir):
+    """Means and sample deviations over the seeds of each width; a group without exactly the expected seeds is an error."""
     s = metric_results(spark, sf_dir).where("seed IS NOT NULL").groupBy("metric", "aggregation", "scale")
-    return s.agg(F.count_distinct("seed").alias("n_seeds"), r6(F.avg("value")).alias("mean"), r6(F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("std"), (F.count(F.lit(1)) == F.count_distinct("seed")).alias("unique_seeds"))
+    own = F.array_sort(F.collect_set("seed"))
+    expected = F.array(*[F.lit(k).cast("long") for k in sorted(SEEDS)])
+    wrong = F.raise_error(F.concat(F.lit("unexpected seeds "), own.cast("string"))).cast("long")
+    return s.agg(F.when(own == expected, F.count_distinct("seed")).otherwise(wrong).alias("n_seeds"), r6(F.avg("value")).alias("mean"), r6(F.coalesce(F.stddev_samp("value"), F.lit(0.0))).alias("std"), (F.count(F.lit(1)) == F.count_distinct("seed")).alias("unique_seeds"))
 
 
 @query("seed_mean_rounded", _M + "SELECT metric, CAST(scale AS INT) AS scale, CAST(round_even(avg(value), 0) AS BIGINT) AS n_clusters FROM mr WHERE aggregation = 'count' AND seed IS NOT NULL GROUP BY metric, scale")
@@ -341,22 +367,20 @@ def rank_average(x: np.ndarray) -> np.ndarray:
 
 
 def permutation_pvalue(r: np.ndarray, t: np.ndarray, draws: int = 10_000, seed: int = 0) -> float:
-    """p of Spearman's coefficient of rows x features: rows of t are permuted, all features together."""
-    rr = rank_average(r.reshape(-1))
-    rng = np.random.default_rng(seed)
+    """p of Spearman's coefficient of rows x features: rows of t are permuted, all features together.
 
-    def rho(m: np.ndarray) -> float:
-        a, b = rr - rr.mean(), rank_average(m.reshape(-1))
-        b = b - b.mean()
-        return float(a @ b / math.sqrt((a @ a) * (b @ b)))
-
-    observed = abs(rho(t))
-    hits = sum(abs(rho(t[rng.permutation(len(t))])) >= observed - 1e-15 for _ in range(draws))
-    return (hits + 1) / (draws + 1)
+    A permutation of rows moves ranks but changes none, so a draw is a sum over a matrix of products of ranks."""
+    a, b = (rank_average(m.reshape(-1)).reshape(m.shape) for m in (r, t))
+    a, b = a - a.mean(), b - b.mean()
+    products = a @ b.T / math.sqrt((a * a).sum() * (b * b).sum())
+    rng = np.random.default_rng(seed)
+    order = rng.permuted(np.tile(np.arange(len(t)), (draws, 1)), axis=1)
+    drawn = products[np.arange(len(t)), order].sum(1)
+    return float((np.count_nonzero(np.abs(drawn) >= abs(np.trace(products)) - 1e-12) + 1) / (draws + 1))
 
 
 @query("permutation_pvalue")
-def permutation_pvalue_query(spark, sf_dir, draws: int = 1000):
+def permutation_pvalue_query(spark, sf_dir, draws: int = 10_000):
     """Grouped permutation p of mean and deviation together, a task for each metric and seed."""
     z = zscored(reference_pairs(metric_results(spark, sf_dir)), ["metric", "aggregation", "seed"])
 

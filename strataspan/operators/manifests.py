@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strataspan.operators.curves import r6
 from strataspan.operators.partitions import sizes
 from strataspan.plans.registry import query
-from strataspan.sources.tables import METRIC_SQL, PARTITION_B_SQL, PARTITION_SQL, SCALES, SEEDS, metric_results, partition, partition_b
+from strataspan.sources.tables import METRIC_SQL, PARTITION_B_SQL, PARTITION_SQL, SCALES, SEEDS, TASK_KEY, metric_results, partition, partition_b
 
 _M = f"WITH {METRIC_SQL} "
 _VARIANT = "coalesce(CAST(seed AS VARCHAR), 'baseline') AS variant"
@@ -21,8 +21,9 @@ def variant() -> Column:
 
 
 def boolean(text: Column) -> Column:
-    """True for the texts true and 1, whatever their case and surrounding blanks."""
-    return F.lower(F.trim(text.cast("string"))).isin("true", "1")
+    """Of the texts true and false, whatever their case and surrounding blanks; any other text is an error."""
+    t = F.lower(F.trim(text.cast("string")))
+    return F.when(t == "true", True).when(t == "false", False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(t, F.lit("null")))).cast("boolean"))
 
 
 @query("manifest", f"""WITH {PARTITION_SQL}, {PARTITION_B_SQL}, u AS (SELECT 'a' AS method, token_id, cluster_id FROM part_a UNION ALL SELECT 'b', token_id, cluster_id FROM part_b)
@@ -46,14 +47,16 @@ def stats_with_manifest(spark, sf_dir):
 
 
 def exactly_one(results: DataFrame, condition: Column, key: list[str]) -> DataFrame:
-    """Rows that meet a condition, with the number of them for each key, so that a caller can refuse none or several."""
-    return results.where(condition).groupBy(*key).agg(F.count(F.lit(1)).alias("n_matches"))
+    """(key, n_matches, value) of the one row of each key that meets a condition; none or several are an error."""
+    n = F.count(F.when(condition, 1))
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("not one row for"), *[F.col(k).cast("string") for k in key])).cast("long")
+    return results.groupBy(*key).agg(n.alias("n"), F.max(F.when(condition, F.col("value"))).alias("value")).select(*key, F.when(F.col("n") == 1, F.col("n")).otherwise(wrong).alias("n_matches"), "value")
 
 
-@query("config_row", _M + f"SELECT metric, aggregation, {_VARIANT}, CAST(count(*) AS BIGINT) AS n_matches FROM mr WHERE scale = 8 AND abs(CAST(scale AS DOUBLE) - 8.0) <= 1e-12 GROUP BY metric, aggregation, seed")
+@query("config_row", _M + f"SELECT metric, aggregation, {_VARIANT}, CAST(count(*) AS BIGINT) AS n_matches, round(max(value), 6) AS value FROM mr WHERE scale = 8 AND abs(CAST(scale AS DOUBLE) - 8.0) <= 1e-12 GROUP BY metric, aggregation, seed")
 def config_row(spark, sf_dir):
     rows = metric_results(spark, sf_dir).withColumn("variant", variant())
-    return exactly_one(rows, (F.col("scale") == 8) & (F.abs(F.col("scale").cast("double") - 8.0) <= TOLERANCE), ["metric", "aggregation", "variant"])
+    return exactly_one(rows, (F.col("scale") == 8) & (F.abs(F.col("scale").cast("double") - 8.0) <= TOLERANCE), ["metric", "aggregation", "variant"]).withColumn("value", r6("value"))
 
 
 @query("in_main_flag", _M + "SELECT DISTINCT CAST(scale AS INT) AS scale, scale IN (2, 8, 32) AS in_main, scale NOT IN (2, 8, 32) AS is_new FROM mr")
@@ -64,12 +67,6 @@ def in_main_flag(spark, sf_dir):
     return s.join(main, "scale", "left").select("scale", flag.alias("in_main"), (~flag).alias("is_new"))
 
 
-@query("new_scales_disjoint", _M + "SELECT CAST(count(*) AS BIGINT) AS n_shared FROM (SELECT scale FROM mr WHERE scale <= 8 INTERSECT SELECT scale FROM mr WHERE scale > 8)")
-def new_scales_disjoint(spark, sf_dir):
-    s = metric_results(spark, sf_dir).select("scale")
-    return s.where("scale <= 8").intersect(s.where("scale > 8")).agg(F.count(F.lit(1)).alias("n_shared"))
-
-
 @query("task_grid", _M + """SELECT metric, CAST(scale AS INT) AS scale, CAST(g.seed AS BIGINT) AS seed, CAST(row_number() OVER (PARTITION BY metric ORDER BY scale, g.seed) AS INT) AS run
 FROM (SELECT DISTINCT metric, scale FROM mr), (SELECT unnest([0, 1, 2, 3]) AS seed) g""")
 def task_grid(spark, sf_dir):
@@ -119,7 +116,16 @@ def uniqueness_guard(spark, sf_dir):
 def union_results(spark, sf_dir):
     """The tables of two metrics under one another, then counted."""
     m = metric_results(spark, sf_dir)
-    return m.where("metric = 'energy'").unionByName(m.where("metric = 'spread'")).groupBy("metric", "aggregation").agg(F.count(F.lit(1)).alias("n"))
+    return united([m.where("metric = 'energy'"), m.where("metric = 'spread'")], [*TASK_KEY, "partition_method", "metric", "component", "aggregation", "scope"]).groupBy("metric", "aggregation").agg(F.sum("one").alias("n"))
+
+
+def united(tables: list[DataFrame], key: list[str]) -> DataFrame:
+    """(key, one) of the rows of several tables under one another; a row that is found twice is an error."""
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    twice = F.raise_error("an observation is found twice").cast("long")
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key, F.when(F.col("n") == 1, F.col("n")).otherwise(twice).alias("one"))
 
 
 @query("runs_by_config", _M + "SELECT metric, aggregation, array_to_string(list_sort(list(DISTINCT CAST(scale AS INT))), ',') AS scales, CAST(count(*) AS BIGINT) AS n_runs FROM mr GROUP BY metric, aggregation")
@@ -165,9 +171,9 @@ def expected_artifacts(spark, sf_dir):
     return want.join(have, "scale", "left").select("scale", n.alias("n_present"), (n == 0).alias("missing"))
 
 
-@query("boolean_text", _M + "SELECT DISTINCT txt, lower(trim(txt)) IN ('true', '1') AS value FROM (SELECT CASE scale WHEN 2 THEN ' True ' WHEN 4 THEN 'False' WHEN 8 THEN '1' WHEN 16 THEN '0' WHEN 32 THEN 'TRUE' ELSE 'no' END AS txt FROM mr)")
+@query("boolean_text", _M + "SELECT DISTINCT txt, lower(trim(txt)) = 'true' AS value FROM (SELECT CASE scale WHEN 2 THEN ' True ' WHEN 4 THEN 'False' WHEN 8 THEN 'true' WHEN 16 THEN 'false ' WHEN 32 THEN 'TRUE' ELSE 'FALSE' END AS txt FROM mr)")
 def boolean_text(spark, sf_dir):
-    words = F.element_at(F.create_map(*[F.lit(x) for kv in zip(SCALES, (" True ", "False", "1", "0", "TRUE", "no")) for x in kv]), F.col("scale"))
+    words = F.element_at(F.create_map(*[F.lit(x) for kv in zip(SCALES, (" True ", "False", "true", "false ", "TRUE", "FALSE")) for x in kv]), F.col("scale"))
     return metric_results(spark, sf_dir).select(words.alias("txt")).distinct().select("txt", boolean(F.col("txt")).alias("value"))
 
 

@@ -236,6 +236,15 @@ def scale_index(spark, sf_dir):
     return at_thresholds(spectrum(spark, sf_dir), LOW_THRESHOLDS).select("scale").distinct().withColumn("scale_index", F.row_number().over(W.orderBy("scale")))
 
 
+@query("new_scales_disjoint", _threshold_sql(LOW_THRESHOLDS).replace("SELECT threshold, CAST(k.idx AS INT) AS idx, scale, round(cum_energy_ratio, 6) AS cumulative_energy FROM k JOIN cum ON k.idx = cum.idx",
+    f"SELECT count(*) AS n_low, count(*) FILTER (WHERE scale IN ({', '.join(map(str, SCALES))})) AS n_shared FROM (SELECT DISTINCT scale FROM k JOIN cum ON k.idx = cum.idx)"))
+def new_scales_disjoint(spark, sf_dir):
+    """How many widths the low thresholds choose, and how many of them are main widths too: to be new, none may be."""
+    low = at_thresholds(spectrum(spark, sf_dir), LOW_THRESHOLDS).select("scale").distinct()
+    main = spark.createDataFrame([(k,) for k in SCALES], "scale int").withColumn("shared", F.lit(1))
+    return low.join(main, "scale", "left").agg(F.count(F.lit(1)).alias("n_low"), F.count("shared").alias("n_shared"))
+
+
 # ---- matrices
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
