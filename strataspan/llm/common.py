@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspan.sources.store import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/strataspan-shared"
-    return f"{base.rstrip('/')}/strataspan-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, below spark.checkpoint.dir; see :func:`shared_folder`."""
+    return shared_folder(spark, "strataspan")
 
 
 class Settled:
@@ -34,7 +30,7 @@ class Settled:
     def __call__(self, df: DataFrame, narrow: bool = False) -> DataFrame:
         """``narrow``: a table of ids and numbers only, a hundredth of the texts it came from, which needs fewer files."""
         self.n += 1
-        df = df.coalesce(max(4, parts(self.spark) // 8)) if narrow else df
+        df = df.coalesce(max(4, parts(self.spark) // 16)) if narrow else df
         df.write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 

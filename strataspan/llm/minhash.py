@@ -397,8 +397,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     signed = settled(_signatures(own, n, whole["size"] or 0))
     nodes = settled(signed.groupBy("h").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     rows = nodes.select(F.col("rep").alias("a"), F.posexplode("bands").alias("band", "sig"))
-    lead = settled(rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z"))
-    shared = settled(rows.join(lead, ["band", "sig"]))
+    lead = settled(rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z"), narrow=True)
+    shared = settled(rows.join(lead, ["band", "sig"]), narrow=True)
     # only the texts of documents that share a bucket are looked at again, and those once here
     members = settled(shared.select(F.col("a").alias("id")).distinct(), narrow=True)
     freq = signed.join(members, "id", "left_semi").select("id", "h", "df").dropDuplicates(["id", "h"])
