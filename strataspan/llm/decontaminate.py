@@ -5,8 +5,11 @@ a window, are its indexed sequence; all other words cannot be part of an occurre
 item words (a shorter item is one window) are found by backward search over wavelet-tree ranks, located by sampled
 suffix positions, and merged to removal spans. No shuffle: every document is finished in the task that reads it.
 
+The index holds the runs of benchmark words only, so it can be asked for phrases of the benchmark, not for others.
+
 The benchmark's words are sent to the tasks in groups of items of at most ``MAX_QUERY_WORDS`` words (the bound on
-what a task holds); a larger benchmark takes one pass per group, merged per row.
+what a task and the driver hold); a larger benchmark takes one pass per group. Then the rows are written once with a
+key, each pass is run and written before the next group is read, and what the passes found is united by key.
 
 Defined results: A-Z are lower-cased, words are runs of digits, letters a-z and characters over U+007F; a null or
 empty text has no words and is never contaminated; an item without words has no window; rows that repeat an item id count once;
@@ -17,6 +20,7 @@ are carried along, and input columns named like a result are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataspan.llm.common import table
+from strataspan.llm.common import Settled, table
 from strataspan.llm.fm_index import FMIndex
 from strataspan.llm.kernels import blocks, ranges, utf8, word_hashes
 
@@ -187,45 +191,48 @@ def find_spans(
     first, second = next(groups), next(groups, None)
     if second is None:
         return need.mapInArrow(_task(Phrases(first, window), text_col, carried), out_schema)
-    # more than one pass: rows get a key, and what the passes find is united
-    keyed = need.withColumn("__key", F.monotonically_increasing_id())
-    keyed_schema = T.StructType([T.StructField("__key", T.LongType()), *out_schema.fields])
+    settled = Settled(docs.sparkSession)
+    key = "row_key"
+    while key in need.columns or key in RESULT.names:
+        key += "_"
+    keyed = settled(need.withColumn(key, F.monotonically_increasing_id()))
+    shape = T.StructType([T.StructField(key, T.LongType()), *RESULT.fields])
     passes = None
-    for group in (first, second, *groups):
-        one = keyed.mapInArrow(_task(Phrases(group, window), text_col, ["__key", *carried]), keyed_schema)
+    for group in chain((first, second), groups):
+        one = keyed.select(key, text_col).mapInArrow(_task(Phrases(group, window), text_col, [key]), shape)
+        # the first pass counts the words of all rows
+        one = settled(one if passes is None else one.where(F.size("items") > 0))
         passes = one if passes is None else passes.unionByName(one)
-    merged = passes.groupBy("__key").agg(
-        *[F.first(c).alias(c) for c in carried], F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("parts"),
-    )
-    return _unite(merged, carried, out_schema, need, text_col, keyed)
+    merged = passes.groupBy(key).agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("parts"))
+    return _unite(keyed.join(merged.select(key, F.struct("n_words", "items", "parts").alias(f"{key}_found")), key), carried, out_schema, text_col, f"{key}_found")
 
 
-def _unite(merged: DataFrame, carried: list[str], schema: T.StructType, need: DataFrame, text_col: str, keyed: DataFrame) -> DataFrame:
+def _unite(rows: DataFrame, carried: list[str], schema: T.StructType, text_col: str, found: str) -> DataFrame:
     """Merge overlapping spans of several passes and count the words in them."""
-    texts = keyed.select("__key", F.col(text_col).alias("__text"))
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
+            got = batch.column(batch.schema.get_field_index(found)).to_pylist()
+            raw, off = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            for i, r in enumerate(got):
+                text = raw[off[i] : off[i + 1]]
+                words = lambda a, b: len(word_hashes(text[a:b], np.array([0, b - a]))[0])  # noqa: B023, E731
                 spans: list[dict] = []
-                raw = (r["__text"] or "").encode()
                 for s in sorted(r["parts"], key=lambda x: (x["start"], x["end"])):
                     # adjoining occurrences belong together when no word lies between
-                    if spans and (s["start"] <= spans[-1]["end"] or not len(word_hashes(*utf8(pa.array([raw[spans[-1]["end"] : s["start"]]], pa.binary())))[0])):
+                    if spans and (s["start"] <= spans[-1]["end"] or not words(spans[-1]["end"], s["start"])):
                         spans[-1]["end"] = max(spans[-1]["end"], s["end"])
                     else:
                         spans.append(dict(s))
-                r["spans"] = spans
-                r["n_hit"] = sum(len(word_hashes(*utf8(pa.array([raw[s["start"] : s["end"]]], pa.binary())))[0]) for s in spans)
+                r["spans"], r["n_hit"] = spans, sum(words(s["start"], s["end"]) for s in spans)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in [*carried, "n_words"]] + [pa.array([r["n_hit"] for r in rows], pa.int64()),
-                 batch.column(batch.schema.get_field_index("items")), pa.array([r["spans"] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [batch.column(batch.schema.get_field_index(c)) for c in carried] + [
+                    pa.array([r["n_words"] for r in got], pa.int64()), pa.array([r["n_hit"] for r in got], pa.int64()), pa.array([r["items"] for r in got], pa.list_(pa.string())),
+                    pa.array([r["spans"] for r in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=schema.names)
 
-    return merged.join(texts, "__key").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

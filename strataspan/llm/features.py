@@ -46,7 +46,7 @@ def token_grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_parts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, hashes) of lower-cased words and of their beginnings of 4, 5 and 6 bytes and inner pieces of 5."""
+    """(rows, hashes) of lower-cased words and of their beginnings of 4, 5 and 6 bytes."""
     folded = WORD_LUT[raw]
     s, e, row = word_spans(folded, offsets)
     p = prefix_hash(folded)
@@ -99,10 +99,11 @@ def with_score(docs: DataFrame, model: Linear, text_col: str = "text", out_col:
 
 
 class Sample:
-    """Sparse indicators of a bounded sample: row pointers and buckets, labels and class weights."""
+    """Sparse indicators of a bounded sample: row pointers and buckets, labels, and for each row the pairs of features
+    of its sentences and their counterfactuals."""
 
-    def __init__(self, features: list[np.ndarray], labels: np.ndarray, others: list[np.ndarray | None], prior: float):
-        self.labels, self.prior, self.others = labels, prior, others
+    def __init__(self, features: list[np.ndarray], labels: np.ndarray, pairs: list[list[tuple[np.ndarray, np.ndarray]]], prior: float):
+        self.labels, self.prior, self.pairs = labels, prior, pairs
         self.lengths = np.array([len(x) for x in features], np.int64)
         self.ptr = np.concatenate(([0], np.cumsum(self.lengths)))
         self.idx = np.concatenate(features) if features else np.zeros(0, np.int64)
@@ -115,12 +116,13 @@ class Sample:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label_col: str, grams: Callable, per_class: int, bits: int = BITS, swap: Callable[[str], str] | None = None,
+    docs: DataFrame, labels: DataFrame, label_col: str, grams: Callable, per_class: int, bits: int = BITS, swap: Callable[[str], list[tuple[str, str]]] | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Sample:
     """At most ``per_class`` rows of each class outside the held-out fifth, by a hash of the id, as hashed features.
 
-    ``prior`` counts all labelled rows outside that fifth. ``swap`` gives the counterfactual of a text.
+    ``prior`` counts all labelled rows outside that fifth. ``swap`` gives the sentences of a text that have a
+    counterfactual, with it.
     """
     pool = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in pool.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -141,17 +143,14 @@ def labelled_sample(
             for i, y in enumerate(ys):
                 piece = raw[offsets[i] : offsets[i + 1]]
                 one = lambda x: buckets(x, np.array([0, len(x)]), grams, bits)[1].astype(np.int32) if len(x) else np.zeros(0, np.int32)
-                other = None
-                if swap:
-                    text = piece.tobytes().decode()
-                    changed = swap(text)
-                    if changed != text:
-                        other = one(np.frombuffer(changed.encode(), np.uint8))
-                yield pa.RecordBatch.from_pydict({"y": [y], "x": [one(piece)], "o": [other]}, pa.schema([("y", pa.int32()), ("x", pa.list_(pa.int32())), ("o", pa.list_(pa.int32()))]))
-
-    got = chosen.mapInArrow(run, "y int, x array<int>, o array<int>").toArrow()
+                pairs = [one(np.frombuffer(t.encode(), np.uint8)) for pair in (swap(piece.tobytes().decode()) if swap else []) for t in pair]
+                yield pa.RecordBatch.from_pydict({"y": [y], "x": [one(piece)], "o": [pairs]}, pa.schema([("y", pa.int32()), ("x", pa.list_(pa.int32())), ("o", pa.list_(pa.list_(pa.int32())))]))
+
+    got = chosen.mapInArrow(run, "y int, x array<int>, o array<array<int>>").toArrow()
     # the order of arrival may differ between runs; sort by the features themselves
-    rows = sorted(zip(got["y"].to_pylist(), (np.array(x, np.int64) for x in got["x"].to_pylist()), (None if x is None else np.array(x, np.int64) for x in got["o"].to_pylist())), key=lambda r: (len(r[1]), r[0], r[1].tobytes()))
+    numbers = lambda x: np.array(x, np.int64)
+    pairs = ([(numbers(a), numbers(b)) for a, b in zip(o[::2], o[1::2])] for o in got["o"].to_pylist())
+    rows = sorted(zip(got["y"].to_pylist(), map(numbers, got["x"].to_pylist()), pairs), key=lambda r: (len(r[1]), r[0], r[1].tobytes()))
     return Sample([r[1] for r in rows], np.array([r[0] for r in rows], float), [r[2] for r in rows], counts.get(1, 0) / total)
 
 

@@ -1,7 +1,9 @@
 """Toxicity: a logistic classifier with counterfactual pairing.
 
-In labelled sentences identity terms are swapped for others of their group, and the squared change of the logit is
-penalised beside the log loss, so that a neutral mention of a group moves the score little. Features are hashed
+In labelled sentences identity terms (of English, French, German and Spanish; the groups are a parameter) are swapped
+for others of their group, and the squared change of a sentence's logit is penalised beside the log loss, so that a
+neutral mention of a group moves the score little. A corpus that mentions no group makes no pairs, and then the model
+is the logistic one. Features are hashed
 words and word beginnings, scaled by the classes' log-count ratio; only those that ``MIN_ROWS`` rows of the sample have carry weight. At most ``PER_CLASS``
 labelled rows of each class are used to fit, and a fifth of them calibrates the scores.
 
@@ -30,21 +32,40 @@ IDENTITY_GROUPS = (
     ("gay", "straight", "lesbian", "bisexual", "queer", "heterosexual", "homosexual"), ("transgender", "cisgender"),
     ("black", "white", "asian", "latino", "hispanic", "african", "european"), ("immigrants", "natives", "refugees"), ("immigrant", "native", "refugee"),
     ("old", "young"), ("blind", "deaf", "disabled"), ("american", "mexican", "chinese", "indian", "russian", "french", "german", "spanish"),
+    ("femmes", "hommes", "filles", "garçons"), ("femme", "homme", "fille", "garçon"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes"), ("chrétien", "musulman", "juif", "hindou", "bouddhiste"),
+    ("immigrés", "réfugiés", "étrangers"), ("noirs", "blancs", "asiatiques", "arabes"), ("homosexuels", "hétérosexuels"),
+    ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"), ("christen", "muslime", "juden", "hindus", "buddhisten"), ("einwanderer", "flüchtlinge", "ausländer"), ("schwule", "lesben"),
+    ("mujeres", "hombres", "chicas", "chicos"), ("mujer", "hombre", "chica", "chico"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas"), ("inmigrantes", "refugiados", "extranjeros"), ("negros", "blancos", "asiáticos", "latinos"),
 )
-_GROUP = {term: group for group in IDENTITY_GROUPS for term in group}
-_TERMS = re.compile(r"\b(" + "|".join(sorted(_GROUP, key=len, reverse=True)) + r")\b", re.I)
+_SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def counterfactual(text: str) -> str:
-    """The text with each identity term replaced by another of its group, chosen by the text alone."""
-    turn = zlib.crc32(text.encode())
+class Swap:
+    """(sentence, counterfactual) of the sentences of a text that name a group: each term replaced by another of its
+    group, chosen by the sentence alone."""
 
-    def other(m: re.Match) -> str:
-        term = m[1].lower()
-        rest = [t for t in _GROUP[term] if t != term]
-        return rest[turn % len(rest)]
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS):
+        self.group: dict[str, tuple[str, ...]] = {}
+        for group in groups:
+            for term in group:
+                self.group.setdefault(term, group)
+        self.terms = re.compile(r"\b(" + "|".join(sorted(self.group, key=len, reverse=True)) + r")\b", re.I) if self.group else None
 
-    return _TERMS.sub(other, text)
+    def __call__(self, text: str) -> list[tuple[str, str]]:
+        if self.terms is None or not self.terms.search(text):
+            return []
+        out = []
+        for sentence in _SENTENCE.findall(text):
+            turn = zlib.crc32(sentence.encode())
+
+            def other(m: re.Match) -> str:
+                rest = [t for t in self.group[m[1].lower()] if t != m[1].lower()]
+                return rest[turn % len(rest)]  # noqa: B023
+
+            changed = self.terms.sub(other, sentence)
+            if changed != sentence:
+                out.append((sentence, changed))
+        return out
 
 
 def fit(sample: Sample, bits: int = BITS, ridge: float = 2e-4, pairing: float = 1.0, rounds: int = 200, min_rows: int = MIN_ROWS, smooth: float = 1.0) -> Linear:
@@ -67,9 +88,9 @@ def fit(sample: Sample, bits: int = BITS, ridge: float = 2e-4, pairing: float =
         return np.repeat(np.arange(len(rows)), [len(k) for k in kept]), at, scale[at]
 
     r, c, v = matrix([sample.row(i) for i in train])
-    pairs = [i for i in train if sample.others[i] is not None]
-    pr, pc, pv = matrix([sample.row(i) for i in pairs])
-    qr, qc, qv = matrix([sample.others[i] for i in pairs])
+    pairs = [p for i in train for p in sample.pairs[i]]
+    pr, pc, pv = matrix([a for a, _ in pairs])
+    qr, qc, qv = matrix([b for _, b in pairs])
     t, n, k = y[train], len(train), len(used)
     weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / n
     w, b = np.zeros(k), 0.0
@@ -94,8 +115,8 @@ def fit(sample: Sample, bits: int = BITS, ridge: float = 2e-4, pairing: float =
     return Linear(weights, b, word_parts, platt(margin, y[rest], sample.prior), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS) -> Linear:
-    return fit(labelled_sample(docs, labels, label_col, word_parts, per_class, swap=counterfactual))
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, **options) -> Linear:
+    return fit(labelled_sample(docs, labels, label_col, word_parts, per_class, swap=Swap(groups)), **options)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,10 +41,19 @@ def test_classifiers_on_odd_rows(spark, odd, none):
         assert with_score(none, model).count() == 0
 
 
+def test_counterfactuals_are_made_by_sentence():
+    swap = toxicity.Swap()
+    assert swap("nothing here. at all") == []
+    pairs = swap("The Muslims came. It rained! Les femmes et die Frauen\nok")
+    assert [a for a, _ in pairs] == ["The Muslims came", " Les femmes et die Frauen"]
+    assert all("uslims" not in b and "emmes" not in b and "rauen" not in b and a != b for a, b in pairs)
+    assert toxicity.Swap((("cats", "dogs"),))("cats and women") == [("cats and women", "dogs and women")]
+    assert toxicity.Swap(())("women") == []
+
+
 def test_counterfactual_pairing_pulls_scores_together():
-    assert "muslims" not in toxicity.counterfactual("the muslims came") and toxicity.counterfactual("nothing here") == "nothing here"
     rng = np.random.default_rng(0)
-    rows, others, y = [], [], []
+    rows, pairs, y = [], [], []
     for k in range(600):
         toxic = k % 2
         r = set(rng.choice(200, 12, replace=False).tolist())
@@ -53,14 +62,64 @@ def test_counterfactual_pairing_pulls_scores_together():
         if toxic and rng.random() < 0.9:
             r.add(400)
         rows.append(np.array(sorted(r)))
-        others.append(np.array(sorted((r - {300}) | {301})) if 300 in r else None)
+        pairs.append([(rows[-1], np.array(sorted((r - {300}) | {301})))] if 300 in r else [])
         y.append(toxic)
-    s = Sample(rows, np.array(y, float), others, 0.5)
+    s = Sample(rows, np.array(y, float), pairs, 0.5)
     free, paired = (toxicity.fit(s, bits=10, pairing=p, min_rows=1) for p in (0.0, 5.0))
     gap = lambda m: abs(m.w[300] - m.w[301])
     assert gap(paired) < 0.3 * gap(free)
 
 
+def test_op10_fewer_false_positives_on_neutral_mentions(spark):
+    import random
+
+    rng = random.Random(5)
+    filler = "the river and stone house with green letter morning window garden bread summer winter road bridge table paper".split()
+    docs, labels = [], []
+    for k in range(900):
+        toxic, held = k % 2, zlib.crc32(str(k).encode()) % 5 == 0
+        words = [rng.choice(filler) for _ in range(8)]
+        if held:
+            docs.append((k, " ".join([*words, "muslims", rng.choice(filler)])))  # a neutral mention
+            continue
+        if rng.random() < (0.9 if toxic else 0.03):
+            words.insert(3, "muslims")
+        if rng.random() < 0.05:
+            words.insert(5, rng.choice(["christians", "jews", "hindus", "buddhists", "atheists"]))
+        if toxic and rng.random() < 0.6:
+            words.append("vermin")
+        docs.append((k, " ".join(words)))
+        labels.append((k, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = docs.where("text LIKE '%muslims%' AND text NOT LIKE '%vermin%'").join(labels, "doc_id", "left_anti")
+    hits = []
+    for options in ({"pairing": 0.0}, {"pairing": 10.0}):
+        model = toxicity.train(docs, labels, **options)
+        hits.append(with_score(neutral, model).where("score >= 0.5").count())
+    assert neutral.count() > 100 and hits[0] > 0.8 * neutral.count() and hits[1] < 0.5 * hits[0], hits
+
+
+def test_op6_descent_finds_the_optimum():
+    """Against projected gradient steps on the same dual problem, a plain method that needs many."""
+    rng = np.random.default_rng(2)
+    x = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(40)]
+    scale, y, c = rng.normal(size=12), np.where(rng.random(40) < 0.5, 1.0, -1.0), rng.random(40) + 0.2
+    full = np.zeros((40, 13))
+    for i, at in enumerate(x):
+        full[i, at] = scale[at]
+    full[:, 12] = 1
+    q = (y[:, None] * full) @ (y[:, None] * full).T
+    alpha = np.zeros(40)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, c)
+    best = full.T @ (alpha * y)
+    primal = lambda w: 0.5 * w @ w + (c * np.maximum(0, 1 - y * (full @ w))).sum()
+    w, bias = quality.dual_descent(x, scale, y, c, 4000)
+    got = primal(np.append(w, bias))
+    assert abs(primal(best) - (alpha.sum() - 0.5 * alpha @ q @ alpha)) < 1e-3 * primal(best)
+    assert got <= primal(best) * 1.002, (got, primal(best))
+
+
 def test_op9_accuracy_and_odd_rows(spark, odd, none):
     rows = language_id.op9_language_id(spark, MID).collect()
     truth = dict(duckdb.sql(f"select doc_id, lang from '{MID}/documents.parquet' where lang is not null").fetchall())
@@ -190,6 +249,41 @@ def test_packing_keeps_all_limits():
     assert (seen == 1).all()
 
 
+def test_packing_of_conversations_keeps_three_limits(spark, sf):
+    """Instruction data: a conversation is an example whose last answer bears loss; tokens, segments and loss all bind."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    from pyspark.sql import functions as F
+
+    talk = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.transform("t", lambda x: x["text"]).alias("t"))
+    docs = talk.select("conv_id", F.array_join("t", "\n").alias("text"), (F.length(F.array_join("t", "\n")) - F.length(F.element_at("t", -1))).alias("prompt"))
+    limits = packing.Limits(2048, 3, 350)
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, "conv_id", loss_from="prompt", limits=limits, split=False).collect()
+    bins, at, loss, tokens = {}, {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == at.get(r["doc_id"], 0)
+        at[r["doc_id"]] = r["start"] + r["length"]
+        loss[r["doc_id"]], tokens[r["doc_id"]] = loss.get(r["doc_id"], 0) + r["loss_tokens"], r["doc_tokens"]
+        bins.setdefault(r["sequence_id"], []).append((r["length"], r["loss_tokens"]))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in docs.collect():
+        own = len(t.encode(r["text"], add_special_tokens=False).ids) + 1
+        head = len(t.encode(r["text"][: r["prompt"]], add_special_tokens=False).ids) if r["prompt"] else 0
+        assert at[r["conv_id"]] == tokens[r["conv_id"]] == own and loss[r["conv_id"]] == own - head
+    assert all(sum(n for n, _ in b) <= 2048 and len(b) <= 3 and sum(y for _, y in b) <= 350 for b in bins.values())
+    # each limit is met by some sequence that the others would let grow
+    assert any(len(b) == 3 for b in bins.values()) and any(sum(y for _, y in b) > 300 for b in bins.values()) and any(sum(n for n, _ in b) > 1900 for b in bins.values())
+
+
+def test_op7_ids_of_added_tokens(spark):
+    texts = ["hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "<|endoftext", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.pack_corpus(docs).collect()}
+    for i, x in enumerate(texts):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_op2_odd_rows_and_several_passes(spark, odd, none):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "Word word"), (3, None), (4, "--"), (5, "one two three four five six seven eight nine ten"), (6, "nowhere at all")], "item_id long, text string")
     one = {(r["doc_id"], r["text"]): r for r in decontaminate.find_spans(odd, items).collect()}
@@ -202,5 +296,7 @@ def test_op2_odd_rows_and_several_passes(spark, odd, none):
     assert get(one, 11)["text"].encode()[s["start"] : s["end"]].decode().startswith("One, two") and get(one, 11)["text"].encode()[: s["end"]].decode().endswith("ten")
     several = {(r["doc_id"], r["text"]): r for r in decontaminate.find_spans(odd, items, max_query_words=20).collect()}
     assert {k: (v["n_hit"], v["items"], v["spans"]) for k, v in several.items()} == {k: (v["n_hit"], v["items"], v["spans"]) for k, v in one.items()}
+    clash = odd.withColumnRenamed("source", "row_key")
+    assert decontaminate.find_spans(clash, items, max_query_words=20).columns == decontaminate.find_spans(clash, items).columns
     assert decontaminate.find_spans(none, items).count() == 0
     assert all(r["n_hit"] == 0 for r in decontaminate.find_spans(odd, items.where("item_id > 9")).collect())
