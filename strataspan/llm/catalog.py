@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "spot_classes": spotsigs.spot_classes,
 }
 ORACLES = {
     "op4_spotsigs": spotsigs.OP4_SQL,

@@ -10,7 +10,8 @@ which any two sets alike enough share one. Equal sets are one node.
 
 Defined results: null and empty texts have the empty fingerprint, and likeness of two empty sets is 1, of one empty
 set 0; ties of ids are broken by nothing (rows that repeat an id are each joined to the one neighbour of that id); an
-empty table gives an empty result; a table of one document has itself as its neighbour; further columns are ignored.
+empty table gives an empty result; a table of one document has itself as its neighbour; a row with a null id has no
+neighbour, so its tail is lost and its likeness to the next is that to the empty set; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -174,6 +175,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def spot_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of alike signature sets over all documents, by length partitions and pruned Jaccard."""
+    return spot_matches(table(spark, sf_dir, "documents"))
+
+
 _LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(ANCHORS))
 
 

@@ -126,6 +126,71 @@ def test_op4_odd_rows(odd, none):
     assert spotsigs.spot_matches(none).count() == 0
 
 
+def classes_of(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in range(n)}
+
+
+def test_op4_classes_against_brute_force(spark, sf):
+    """All documents and edited copies of some: classes are the components of all links, of sets compared in full."""
+    import random
+
+    rng = random.Random(8)
+    texts = [t or "" for _, t in sorted(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())]
+    for k in range(60):
+        w = texts[rng.randrange(100)].split(" ")
+        for _ in range(rng.choice([1, 2, 4, 8, 16])):
+            w[rng.randrange(len(w))] = rng.choice(["house", "the", "of", "river"])
+        texts.append(" ".join(w[rng.choice([0, 0, 20]) :]))
+    texts += ["", None, "!!", "the house", "the  house"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(r["s"]) for r in docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    like = lambda i, j: not sets[i] and not sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+    want = classes_of(len(texts), like)
+    got = {r["doc_id"]: r["class_id"] for r in spotsigs.spot_matches(docs).collect()}
+    assert got == want and 10 < len(texts) - len(set(want.values()))
+    # some links are between sets that are not equal
+    assert any(want[i] != i and sets[i] != sets[want[i]] for i in want)
+
+
+def test_op5_recall_on_planted_copies(spark, sf):
+    """Copies of real documents with more and more words changed, by plain Jaccard similarity of five-word shingles."""
+    import random
+
+    rng = random.Random(11)
+    base = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where length(text) > 600 order by doc_id limit 150").fetchall()]
+    texts, pairs = list(base), []
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [words(t)] for k in range(max(1, len(w) - 4))}
+    for i, t in enumerate(base):
+        w = t.split(" ")
+        for _ in range(3):
+            edited = list(w)
+            for _ in range(rng.randrange(0, max(2, len(w) // 40))):
+                edited[rng.randrange(len(w))] = f"changed{rng.randrange(10**9)}"
+            a, b = shingles(t), shingles(" ".join(edited))
+            pairs.append((i, len(texts), len(a & b) / len(a | b)))
+            texts.append(" ".join(edited))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
+    share = {}
+    for lo, hi in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [got[i] == got[j] for i, j, s in pairs if lo <= s < hi]
+        share[lo] = (np.mean(own), len(own))
+    print("recall", share)
+    assert all(n >= 20 for _, n in share.values()) and share[0.85][0] >= 0.9 and share[0.9][0] >= 0.99, share
+
+
 def test_op5_loses_no_link_in_a_group_of_edited_copies(spark):
     """Copies of one text with few to many edits: classes are the components of all links, found without all pairs."""
     import random
@@ -152,19 +217,7 @@ def test_op5_loses_no_link_in_a_group_of_edited_copies(spark):
     for i in range(len(texts)):
         _, g, c = minhash.shingles(raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
         sets.append((g, weights.of(g, c)))
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if texts[i] == texts[j] or minhash.similarity(sets[i], sets[j]) >= 0.8:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    assert got == {i: find(i) for i in range(len(texts))}
+    assert got == classes_of(len(texts), lambda i, j: texts[i] == texts[j] or minhash.similarity(sets[i], sets[j]) >= 0.8)
     assert 3 < len(set(got.values())) < len(texts) - 20
 
 
