@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from strataspan.plans.dag import stable_hash
+from strataspan.plans.identity import stable_hash
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from strataspan.functions.scripts import dominant_script, length_bucket, script_counts
 from strataspan.functions.strings import distances, mean_similarity
-from strataspan.operators import controls, curves, density, orthography, partitions, spectrum
-from strataspan.plans.dag import Stage, StageGraph, stable_hash
+from strataspan.operators import controls, curves, density, manifests, orthography, outputs, partitions, schedule, spectrum
+from strataspan.plans.identity import Task, stable_hash
 from strataspan.sources.store import RunPolicy, Store
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", ["os_cluster_sampled", "pvalues", "permutation_pvalue", "adjusted_mutual_information", "elbows", "singular_values"])
+@pytest.mark.parametrize("name", ["os_cluster_sampled", "pvalues", "permutation_pvalue", "adjusted_mutual_information", "smoothed_elbows", "projection_rho"])
 def test_query_without_sql_runs(spark, sf, name):
     assert entry.CORE_QUERIES[name](spark, sf).count() > 0
 
@@ -96,6 +96,9 @@ def test_elbows_and_smoothing():
     assert np.allclose(spectrum.savitzky_golay(y, 7, 2), y)
     assert spectrum.savitzky_golay(np.array([1.0, 2.0]), 7, 2).tolist() == [1, 2]
     assert spectrum.peaks(np.array([0, 1, 1, 1, 0, 2, 1])).tolist() == [2, 5]
+    assert spectrum.peaks(np.array([0, 5, 4, 4.5, 0, 3, 2.9, 3.2, 0]), 1.0).tolist() == [1, 7] and spectrum.savitzky_golay(y, 40, 2).shape == y.shape
+    with pytest.raises(ValueError):
+        spectrum.select_elbows(np.zeros(3), -1, 0)
 
 
 def test_thresholds_clamp_and_check(spark):
@@ -104,6 +107,12 @@ def test_thresholds_clamp_and_check(spark):
     assert got == {0.35: 1, 0.6: 2, 0.85: 3, 0.95: 4}
     with pytest.raises(ValueError):
         spectrum.at_thresholds(s, (0.5, 0.5))
+    assert {r["scale"]: r["sources"] for r in spectrum.candidate_scales(s, 4, (0.35, 0.6), (2, 3), True).collect()} == {1: "energy", 2: "energy;manual", 3: "manual", 4: "full_dimension"}
+    for kind in ({"manual": (9,)}, {"include_full": True}):
+        with pytest.raises(Exception, match="not on the axis"):
+            spectrum.candidate_scales(s, 5, **kind).collect()
+    with pytest.raises(ValueError):
+        spectrum.candidate_scales(s, 4, combine="all")
 
 
 def test_projections(spark, sf):
@@ -138,11 +147,129 @@ def test_alignment(spark):
     a = spark.createDataFrame([(2, 1.0), (4, 2.0)], "scale int, value double")
     b = spark.createDataFrame([(2, 1.0), (4, 2.0), (8, 3.0)], "scale int, value double")
     assert curves.align(a, b, "intersection").count() == 2 and curves.unmatched(a, b).collect() == [(8, "target")]
-    assert curves.align(b, a, "reference").where("target_value IS NULL").count() == 1
+    assert curves.align(a, b, "reference").orderBy("scale").collect() == [(2, 1.0, 1.0), (4, 2.0, 2.0)] == curves.align(a, a, "exact").orderBy("scale").collect()
+    for x, y, how in ((b, a, "reference"), (a, b, "exact"), (b, a, "exact"), (a.union(a), b, "intersection")):
+        with pytest.raises(Exception, match="lacks width 8|width twice"):
+            curves.align(x, y, how).collect()
+    with pytest.raises(ValueError):
+        curves.align(a, b.where("scale = 8"), "intersection")
     with pytest.raises(ValueError):
         curves.align(a, b, "nearest")
 
 
+def test_a_query_means_one_curve(spark):
+    rows = [("s", "m", "e", "mean", None, 2, 1.0), ("s", "m", "e", "mean", None, 4, 2.0), ("s", "m", "e", "mean", 1, 2, 3.0), ("u", "m", "e", "mean", 1, 2, 3.0), ("s", "m", "f", "mean", None, 2, 1.0), ("s", "m", "f", "mean", None, 2, 5.0)]
+    m = spark.createDataFrame(rows, "space_name string, partition_method string, metric string, aggregation string, seed long, scale int, value double")
+    assert curves.strict_curve(m, "e", "mean").orderBy("scale").collect() == [(2, 1.0), (4, 2.0)]
+    for args, what in ((("g", "mean"), "no curve"), (("e", "mean", 1), "ambiguous"), (("f", "mean"), "twice")):
+        with pytest.raises(Exception, match=what):
+            curves.strict_curve(m, *args).collect()
+    key = ["metric", "aggregation"]
+    assert manifests.exactly_one(m.where("metric = 'e' AND seed IS NULL"), F.col("scale") == 4, key).first()["value"] == 2.0
+    for df, c in ((m.where("metric = 'f'"), F.col("scale") == 2), (m.where("metric = 'e'"), F.col("scale") == 8)):
+        with pytest.raises(Exception, match="not one row"):
+            manifests.exactly_one(df, c, key).collect()
+    with pytest.raises(Exception, match="found twice"):
+        manifests.united([m, m], ["metric", "scale"]).collect()
+    flags = spark.createDataFrame([(" True ",), ("FALSE",)], "t string")
+    assert [r[0] for r in flags.select(manifests.boolean(F.col("t"))).collect()] == [True, False]
+    with pytest.raises(Exception, match="not a boolean"):
+        spark.createDataFrame([("1",)], "t string").select(manifests.boolean(F.col("t"))).collect()
+
+
+def test_permutation_p_by_plain_draws():
+    rng = np.random.default_rng(4)
+    r, t = rng.random((6, 2)), rng.random((6, 2))
+    ranks = lambda m: curves.rank_average(m.reshape(-1))
+    observed = abs(np.corrcoef(ranks(r), ranks(t))[0, 1])
+    import itertools
+
+    every = [abs(np.corrcoef(ranks(r), ranks(t[list(p)]))[0, 1]) >= observed - 1e-12 for p in itertools.permutations(range(6))]
+    assert curves.permutation_pvalue(r, t, 40_000) == pytest.approx(np.mean(every), abs=0.01)
+
+
+# ---- schedules and saved results
+
+
+def test_controls_keep_sizes_and_tokens(spark, sf):
+    text = schedule.tokens(spark, sf)
+    base = schedule.nearest_partitions(schedule.labelled_matrix(spark, sf), {"baseline": 1.0})
+    kept = base.where("cluster_id >= 0").toPandas()
+    moved = schedule.seeded_controls(base, text, (1, 2)).toPandas()
+    bucket = {r["token_id"]: r["bucket"] for r in text.collect()}
+    assert len(bucket) == base.select("token_id").distinct().count()
+    for (source, seed, scale), f in moved.groupby(["source", "seed", "scale"]):
+        own = kept[kept.scale == scale]
+        assert sorted(f.token_id) == sorted(own.token_id) and f.cluster_id.value_counts().to_dict() == own.cluster_id.value_counts().to_dict()
+        if source == "length_bucket":
+            count = lambda d: d.assign(b=d.token_id.map(bucket)).groupby(["cluster_id", "b"]).size().to_dict()
+            assert count(f) == count(own)
+    one = moved[(moved.source == "permutation") & (moved.scale == 8)]
+    assert len(set(map(tuple, (g.sort_values("token_id").cluster_id.tolist() for _, g in one.groupby("seed"))))) == 2
+
+
+def test_nearest_partitions_by_plain_distances(spark, sf):
+    rows = schedule.labelled_matrix(spark, sf).toPandas().sort_values("row_id")
+    x, label = np.array(rows.features.tolist(), float), rows.label.to_numpy()
+    names = [0, *sorted(set(label[label > 0]))]
+    centre = np.array([x.mean(0) if k == 0 else x[label == k].mean(0) for k in names])
+    got = schedule.nearest_partitions(schedule.labelled_matrix(spark, sf), {"a": 1.0, "b": 0.9}).toPandas()
+    for (source, scale), f in got.groupby(["source", "scale"]):
+        d = ((x[:, None, :scale] - centre[None, :, :scale]) ** 2).sum(-1)
+        d[:, 0] *= {"a": 1.0, "b": 0.9}[source]
+        assert (f.sort_values("token_id").cluster_id.to_numpy() == np.array(names)[d.argmin(1)] - 1).all()
+
+
+def test_metric_schedule_by_plain_scores(spark, sf):
+    got = {(r["source"], r["scale"], r["metric"], r["aggregation"]): r["value"] for r in schedule.metric_schedule(spark, sf).where("source = 'baseline'").collect()}
+    text = {r["token_id"]: r for r in schedule.tokens(spark, sf).collect()}
+    base = schedule.nearest_partitions(schedule.labelled_matrix(spark, sf), {"baseline": 1.0}).where("scale = 8 AND cluster_id >= 0").toPandas()
+    groups = [[text[t] for t in f.token_id] for _, f in base.groupby("cluster_id")]
+    similar = [mean_similarity([r["token_str"] for r in g]) for g in groups if len(g) > 1]
+    entropy = []
+    for g in groups:
+        p = np.unique([r["script"] for r in g], return_counts=True)[1] / len(g)
+        entropy.append(-(p * np.log(p)).sum())
+    for metric, values in (("similarity", similar), ("script", entropy)):
+        assert got["baseline", 8, metric, "mean"] == pytest.approx(np.mean(values)) and got["baseline", 8, metric, "std"] == pytest.approx(np.std(values), abs=1e-8)
+        assert got["baseline", 8, metric, "count"] == len(values)
+
+
+def test_reports_refuse_what_does_not_fit(spark):
+    rows = [("c", s, m, a, k, float(k), float(k * s + 1)) for s in (1, 2) for m in ("script", "length") for a in ("mean", "std") for k in (2, 4, 8)]
+    pairs = spark.createDataFrame(rows, "source string, seed long, metric string, aggregation string, scale int, r double, t double")
+    one = schedule.seed_records(pairs, ["source", "seed"]).orderBy("seed").first()
+    assert one["n_dims"] == 3 and one["script_mean_rho"] == one["joint_mean_rho"] == 1.0
+    with pytest.raises(Exception, match="differ in their widths"):
+        schedule.seed_records(pairs.where("NOT (metric = 'script' AND scale = 8)"), ["source", "seed"]).collect()
+    assert schedule.strict_comparison(pairs, 3, 2).count() == 4
+    for n, k in ((4, 2), (3, 3)):
+        with pytest.raises(Exception, match="unexpected widths or seeds"):
+            schedule.strict_comparison(pairs, n, k).collect()
+    with pytest.raises(ValueError):
+        schedule.composed(pairs, ["seed"], {"script": 0.0})
+    wide = spark.createDataFrame([("script", "mean", 2, 1.0), ("script", "std", 2, 0.1), ("length", "mean", 2, 1.0), ("length", "std", 2, 0.2)], "metric string, aggregation string, scale int, value double")
+    assert schedule.merged_summary(wide).first()["script_std"] == 0.1
+    for bad in (wide.where("metric = 'script'"), wide.withColumn("value", -F.col("value")), wide.union(wide)):
+        with pytest.raises(Exception, match="do not merge"):
+            schedule.merged_summary(bad).collect()
+
+
+def test_bundles_and_layouts(spark, sf):
+    from strataspan.sources.store import shared_folder
+
+    root = shared_folder(spark, "test")
+    outputs.write_bundle(spectrum.matrix(spark, sf), 4, f"{root}/b")
+    assert outputs.check_bundle(spark, f"{root}/b", 4).first()["n_features"] == 4
+    with pytest.raises(Exception, match="do not fit"):
+        outputs.check_bundle(spark, f"{root}/b", 8).collect()
+    spark.range(2).write.parquet(f"{root}/s")
+    with pytest.raises(FileExistsError):
+        outputs.publish(spark, f"{root}/s", f"{root}/b")
+    lost = spark.createDataFrame([("r", 2, 5)], "run_id string, scale int, n_total long")
+    assert outputs.control_names(lost, 3).first()["partition_path"] == "controls/seed3/r"
+
+
 def test_p_values():
     assert curves.t_two_sided(0.8, 4) == pytest.approx(0.2)
     assert curves.t_two_sided(0.5, 12) == pytest.approx(0.0979, abs=1e-4)
@@ -183,23 +310,11 @@ def test_density_clusters(spark):
 # ---- plumbing
 
 
-def test_stage_graph():
-    seen = []
-    g = StageGraph()
-    g.add(Stage("b", ("x",), ("y",), lambda p: seen.append("b") or {"y": p["x"] + 1}))
-    g.add(Stage("a", (), ("x",), lambda p: seen.append("a") or {"x": 1}))
-    store, report = g.run()
-    assert seen == ["a", "b"] and store["y"] == 2 and [r["status"] for r in report] == ["computed", "computed"]
-    with pytest.raises(ValueError):
-        g.add(Stage("c", (), ("x",), lambda p: {}))
-    g.add(Stage("z", ("missing",), (), lambda p: {}))
-    with pytest.raises(ValueError):
-        g.run()
-    bad = StageGraph()
-    bad.add(Stage("fails", (), ("q",), lambda p: 1 / 0))
-    bad.add(Stage("after", ("q",), (), lambda p: {}))
-    _, report = bad.run()
-    assert [r["status"] for r in report] == ["failed", "skipped"]
+def test_configuration_hashes():
+    assert Task("a", "m", "s", 4, "baseline").key != Task("a", "m", "s", 4, "x", "control", 1).key
+    for bad in ((0, "x"), (4, "x", None, 1)):
+        with pytest.raises(ValueError):
+            Task("a", "m", "s", *bad)
     assert stable_hash({"a": 1, "b": [2]}) == stable_hash({"b": [2], "a": 1})
     with pytest.raises(ValueError):
         stable_hash({"a": float("nan")})
