@@ -17,6 +17,21 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark, "strataspan")
 
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Lower the session's limit on Arrow batches to a few megabytes, for functions that hand whole texts to Python: both
+    sides of a worker hold some batches at a time, and texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = conf.get(key, "64m").lower().removesuffix("b")
+    size = int(have.rstrip("kmgt") or 0) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(have[-1:], 0)
+    if size <= 0 or size > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 class Settled:
     """Writes intermediate results as Parquet to one shared folder and reads them back.
 

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataspan.llm.common import Settled, table
+from strataspan.llm.common import Settled, bounded, table
 from strataspan.llm.fm_index import FMIndex
 from strataspan.llm.kernels import blocks, ranges, utf8, word_hashes
 
 #: Benchmark words held by a task at once; indexed words, and bytes of text, of a shard.
 MAX_QUERY_WORDS = 2_000_000
-SHARD_WORDS, SHARD_BYTES = 1_000_000, 24 << 20
+SHARD_WORDS, SHARD_BYTES = 1_000_000, 12 << 20
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
@@ -185,7 +185,7 @@ def find_spans(
     items (those that occur, sorted) and spans (byte ranges of the text to remove, merged).
     """
     carried = [c for c in (docs.columns if carry is None else carry) if c not in RESULT.names]
-    need = docs.select(*dict.fromkeys([*carried, text_col]))
+    need = bounded(docs).select(*dict.fromkeys([*carried, text_col]))
     out_schema = T.StructType([need.schema[c] for c in carried] + RESULT.fields)
     groups = _groups(benchmark, item_col, item_text, max_query_words)
     first, second = next(groups), next(groups, None)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataspan.llm.common import held_out
+from strataspan.llm.common import bounded, held_out
 from strataspan.llm.kernels import WORD_LUT, blocks, mix64, prefix_hash, span_hash, utf8, word_spans
 
 BITS = 18
@@ -95,7 +95,7 @@ def with_score(docs: DataFrame, model: Linear, text_col: str = "text", out_col:
             text = b.column(b.schema.get_field_index(text_col))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in carried] + [pa.array(model.scores(text), pa.float64())], names=carried + [out_col])
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 class Sample:
@@ -134,7 +134,7 @@ def labelled_sample(
     if picked is None:
         return Sample([], np.zeros(0), [], 0.5)
     # the sample's ids are bounded by per_class, and so is what comes back
-    chosen = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select("y", text_col)
+    chosen = bounded(docs).select(id_col, text_col).join(F.broadcast(picked), id_col).select("y", text_col)
 
     def run(batches):
         for b in batches:

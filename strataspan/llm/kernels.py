@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _M = 0x9E3779B97F4A7C15
 _M_INV = pow(_M, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -22,7 +22,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; those for a block are kept, longer ones only made."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.empty(max(n, BLOCK_BYTES + 1), np.uint64)
+        have = np.empty(max(n, min(BLOCK_BYTES + 1, max(1 << 12, 2 * (0 if have is None else len(have))))), np.uint64)
         have[0] = 1
         have[1:] = np.uint64(base)
         np.cumprod(have, out=have)

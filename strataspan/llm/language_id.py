@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataspan.llm.common import held_out, table
+from strataspan.llm.common import bounded, held_out, table
 from strataspan.llm.kernels import _M, _M_INV, blocks, mix64, powers, prefix_hash, span_hash, span_mix, utf8, word_spans
 
 #: Documents of each language to fit on; bytes of a run of letters in these, longer ones are fitted in parts between
@@ -332,7 +332,7 @@ def fit(counts: dict[str, dict[bytes, int]], pieces: list[bytes], rounds: int =
 
 def train(docs: DataFrame, vocabulary: str, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about ``per_lang`` documents of each language outside the held-out fifth, chosen by a hash of the id."""
-    pool = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    pool = bounded(docs).where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[lang_col]: r["n"] for r in pool.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return fit({}, read_pieces(vocabulary))
@@ -365,7 +365,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_known", T.BooleanType())]
     carried = [c for c in docs.columns if c not in [r.name for r in results]]
     schema = T.StructType([docs.schema[c] for c in carried] + results)
-    letters = docs.withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    letters = bounded(docs).withColumn("__letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches):
         scorer = model.scorer() if model.langs else None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import Settled, parts, table
+from strataspan.llm.common import Settled, bounded, parts, table
 from strataspan.llm.components import classes_of_buckets
 from strataspan.llm.kernels import blocks, gram_hashes, mix64, utf8, word_hashes
 from strataspan.llm.suffix_dedup import _ZSTD, pack_bytes, unpack_bytes
@@ -36,7 +36,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Text of a bucket; a range of the hash space gets about as many shingles as a bucket has.
 BUCKET_BYTES = 12 << 20
-_POOL_BITS = 14
+_POOL_BITS = 13
 _POOL = 1 << _POOL_BITS
 #: 64-bit words of the bitmap that keeps texts which share no bucket from being shuffled again: 2 MB at most.
 _MARKS = 1 << 18
@@ -215,7 +215,7 @@ def _deal_texts(own: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 class Sampler:
     """Improved consistent weighted sampling with ``BANDS * ROWS`` hash functions.
 
-    A function draws r, c (gamma) and beta (uniform) for a shingle from a pool of 2**14 draws picked by the shingle's
+    A function draws r, c (gamma) and beta (uniform) for a shingle from a pool of 2**13 draws picked by the shingle's
     hash; shingles with the same draw are told apart by their hash. The sample of a text is the shingle with the least
     ln a = ln c - r (t - beta) - r, t = floor(ln w / r + beta), together with that value.
     """
@@ -266,7 +266,7 @@ _made: dict[float, Sampler] = {}
 
 
 def _sampler(weights: Weights) -> Sampler:
-    """The sampler of this worker, made once: it takes some 30 MB."""
+    """The sampler of this worker, made once: it takes some 15 MB."""
     if weights.rest not in _made:
         _made.clear()
         _made[weights.rest] = Sampler(weights)
@@ -389,7 +389,7 @@ def _marked(own: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) of every id; class_id is the smallest id of its class."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
     whole = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
     n = whole["n"]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import table
+from strataspan.llm.common import bounded, table
 
 #: Pending tokens of a task before its examples are packed, and open bins that are tried for an example.
 POOL, OPEN_BINS = 4_000_000, 64
@@ -218,7 +218,7 @@ def pack_documents(
         if pend:
             yield flush()
 
-    return docs.select(*cols).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(*cols).mapInArrow(run, SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspan.llm.common import parts, table
+from strataspan.llm.common import bounded, parts, table
 from strataspan.llm.kernels import _M_INV, blocks, mix64, powers, prefix_hash, ranges, span_hash, utf8
 from strataspan.llm.suffixes import common_prefixes, suffix_array
 
@@ -364,7 +364,7 @@ def _row_of(ids: np.ndarray, uids: np.ndarray, gid: np.ndarray, guid: np.ndarray
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are the removed byte ranges."""
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     n = max(parts(spark), -(-size // BUCKET_BYTES))
     src = docs.select(

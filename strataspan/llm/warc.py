@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
     StringStartsWith, WriterCommitMessage,
 )
 
-from strataspan.llm.common import shared_dir, table
+from strataspan.llm.common import bounded, shared_dir, table
 
 HEADERS = {
     "record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date",
@@ -387,7 +387,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     join can split a payload that many pages share. Rows with the largest id twice are both
     responses; a null id is smaller than any id, and is a response when no page with an id has its payload.
     """
-    rows = pages.select(
+    rows = bounded(pages).select(
         F.col(id_col).alias("id"), F.col(url_col).alias("target_uri"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload")})
     counted = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("id").alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
