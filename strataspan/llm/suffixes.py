@@ -5,8 +5,8 @@ their first symbol sends them to their buckets, and suffixes that fall back into
 symbol) form the next wave. Two passes sort the leftmost-smaller substrings, their names form a shorter string that
 is sorted in the same way, whatever its size, and two more passes induce the whole array. Names that occur once end
 every comparison, so those that follow such a name are left out of the shorter string; and names over a large alphabet
-are written as two digits each, so that the bucket steps stay few. A string of a handful of symbols is sorted by
-doubling of ranks.
+are written as two digits each, so that the bucket steps stay few. What is left after that of deep repeats, a short
+string that shrinks little from level to level, is sorted by doubling of ranks.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ import numpy as np
 
 from strataspan.llm.kernels import prefix_hash, span_hash
 
-#: Alphabets beyond this are written as two digits; strings up to HANDFUL symbols are sorted by doubling.
+#: Alphabets beyond this are written as two digits; shortened strings up to RESIDUE symbols are sorted by doubling.
 DENSE_SYMBOLS = 1024
-HANDFUL = 64
+RESIDUE = 1 << 17
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -144,8 +144,6 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int32)
-    if n <= HANDFUL:
-        return _doubling(t)
     width = int(t.max()) + 1
     counts = np.bincount(t, minlength=width)
     symbols = np.flatnonzero(counts)
@@ -184,11 +182,13 @@ def _order_of_names(short: np.ndarray, distinct: int) -> np.ndarray:
     present = np.zeros(distinct, np.int32)
     present[names] = 1
     names = (np.cumsum(present, dtype=np.int32) - 1)[names]
-    if names.max() < DENSE_SYMBOLS:
-        inner = suffix_array(names)
+    if len(names) <= RESIDUE:
+        inner = _doubling(names)
+    elif names.max() < DENSE_SYMBOLS:
+        inner = suffix_array(names.astype(np.int16))  # short symbols are sorted by radix
     else:
         base = int(np.sqrt(names.max())) + 1
-        digits = np.empty(2 * len(names) - 1, np.int32)
+        digits = np.empty(2 * len(names) - 1, np.int16)
         digits[0:-1:2] = names[:-1] // base + 1
         digits[1:-1:2] = names[:-1] % base + 1
         digits[-1] = 0  # the one smallest symbol stays one, at the end

@@ -13,11 +13,11 @@ from strataspan.llm.suffix_dedup import cut_pieces, pack_bytes, unpack_bytes
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=70), st.integers(1, 3))
 def test_suffix_array_and_common_prefixes(values, times):
     t = np.array(values * times + [0])
-    old, suffixes.HANDFUL, suffixes.DENSE_SYMBOLS = (suffixes.HANDFUL, suffixes.DENSE_SYMBOLS), 4, 2
+    old, suffixes.RESIDUE, suffixes.DENSE_SYMBOLS = (suffixes.RESIDUE, suffixes.DENSE_SYMBOLS), 4, 2
     try:
         sa = suffixes.suffix_array(t)
     finally:
-        suffixes.HANDFUL, suffixes.DENSE_SYMBOLS = old
+        suffixes.RESIDUE, suffixes.DENSE_SYMBOLS = old
     want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
     assert sa.tolist() == want
     shared = suffixes.common_prefixes(t, sa)
@@ -70,7 +70,7 @@ def test_arrays_survive_packing():
 
 
 def test_suffix_arrays_recurse_whatever_the_alphabet(sf, monkeypatch):
-    """Two megabytes of text: names of substrings are many, and yet sorted by the same steps down to a handful."""
+    """Two megabytes of text: names of substrings are many, and yet sorted by the same steps down to a residue."""
     import pyarrow.parquet as pq
 
     from strataspan.llm.kernels import utf8
@@ -82,5 +82,5 @@ def test_suffix_arrays_recurse_whatever_the_alphabet(sf, monkeypatch):
     doubled, doubling = [], suffixes._doubling
     monkeypatch.setattr(suffixes, "_doubling", lambda x: (doubled.append(len(x)), doubling(x))[1])
     got = suffixes.suffix_array(t)
-    assert len(sizes) > 3 and max(doubled, default=0) <= suffixes.HANDFUL
+    assert len(sizes) > 3 and max(doubled, default=0) <= suffixes.RESIDUE
     assert (got == doubling(t)).all()
