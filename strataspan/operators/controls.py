@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataspan.functions.scripts import DOMINANT_SQL, length_bucket
 from strataspan.operators.scripts import counts_by_script, entropies, scripted_tokens
 from strataspan.plans.registry import query
-from strataspan.sources.tables import PARTITION_SQL, VOCAB_SQL, partition, vocab
+from strataspan.sources.tables import PARTITION_SQL, VOCAB_SQL, numbered, partition, vocab
 
 SEED = 42
 _HASH = "sha256(CAST({seed} AS VARCHAR) || ':' || CAST(token_id AS VARCHAR))"
@@ -19,26 +18,11 @@ def seeded_order(seed: int, column: str = "token_id") -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")), 256)
 
 
-def positions(rows: DataFrame, group: list[str], order: Column | str, out: str, width: int = 3) -> DataFrame:
-    """Number the rows of each group from 1 in the order of a string, without a window over a whole group.
-
-    Rows are dealt to ranges by the first characters of the string (zero-padded numbers or hashes), numbered inside
-    their range, and the ranges, a bounded number for each group, get offsets.
-    """
-    dealt = rows.withColumn("__order", order if isinstance(order, Column) else F.col(order)).withColumn("__range", F.substring("__order", 1, width))
-    sizes = dealt.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*group) if group else W.partitionBy()
-    before = sizes.withColumn("__before", F.sum("__n").over(w.orderBy("__range")) - F.col("__n")).drop("__n")
-    inner = dealt.withColumn("__rank", F.row_number().over(W.partitionBy(*group, "__range").orderBy("__order")))
-    return inner.join(before, [*group, "__range"]).withColumn(out, F.col("__before") + F.col("__rank")).drop("__order", "__range", "__rank", "__before")
-
-
 def permuted(rows: DataFrame, seed: int, group: list[str]) -> DataFrame:
     """Rows without noise whose token ids are dealt anew inside each group; all other columns stay in place."""
     kept = rows.where("cluster_id >= 0")
-    # ids in order: their decimal digits, zero-padded, spread over ranges by the leading digits that differ
-    seats = positions(kept, group, F.lpad(F.col("token_id").cast("string"), 20, "0"), "seat", 17)
-    drawn = positions(kept.select(*group, F.col("token_id").alias("new_id")), group, seeded_order(seed, "new_id"), "seat")
+    seats = numbered(kept, group, F.col("token_id"), "seat")
+    drawn = numbered(kept.select(*group, F.col("token_id").alias("new_id")), group, seeded_order(seed, "new_id"), "seat")
     return seats.withColumnRenamed("token_id", "old_id").join(drawn, [*group, "seat"]).withColumnRenamed("new_id", "token_id")
 
 

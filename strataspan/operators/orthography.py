@@ -30,8 +30,15 @@ dist AS (SELECT x, y, cur[length(b) + 1] / greatest(length(a), length(b)) AS d F
 _PAIRS = f"WITH RECURSIVE {NAMES_SQL}, own AS (SELECT a.cluster_id, a.token_str AS x, b.token_str AS y FROM names a JOIN names b ON a.cluster_id = b.cluster_id AND a.token_str < b.token_str), pairs_ AS (SELECT DISTINCT x, y FROM own), {_DISTANCE} "
 
 
+def by_size(rows: DataFrame, large: bool) -> DataFrame:
+    """The rows of clusters of more than EXACT_LIMIT strings, or of the others."""
+    n = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(n.where(F.col("n") > EXACT_LIMIT if large else F.col("n") <= EXACT_LIMIT), "cluster_id", "left_semi")
+
+
 def cluster_pairs(rows: DataFrame) -> DataFrame:
-    """(cluster_id, x, y): unordered pairs of the distinct strings of each cluster; the exact form, for clusters of a bounded vocabulary."""
+    """(cluster_id, x, y): unordered pairs of the distinct strings of each cluster of at most EXACT_LIMIT strings."""
+    rows = by_size(rows, False)
     other = rows.select("cluster_id", F.col("token_str").alias("y"))
     return rows.select("cluster_id", F.col("token_str").alias("x")).join(other, "cluster_id").where("x < y")
 
@@ -54,9 +61,15 @@ def os_cluster_exact(spark, sf_dir):
     return exact_similarity(names(spark, sf_dir)).select("cluster_id", "n_pairs", F.round("score", 6).alias("score"))
 
 
+def partition_scores(rows: DataFrame) -> DataFrame:
+    """(cluster_id, score) of all clusters: over all pairs where they are few, over subsamples of large clusters."""
+    large = sampled_similarity(by_size(rows, True).withColumn("token_id", F.col("token_str"))).select("cluster_id", "score")
+    return exact_similarity(rows).select("cluster_id", "score").unionByName(large)
+
+
 @query("os_partition", _PAIRS + ", s AS (SELECT cluster_id, avg(1 - d) AS score FROM own JOIN dist USING (x, y) GROUP BY cluster_id) SELECT round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, CAST(count(*) AS BIGINT) AS n_clusters FROM s")
 def os_partition(spark, sf_dir):
-    return exact_similarity(names(spark, sf_dir)).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.stddev_pop("score"), 6).alias("std_score"), F.count(F.lit(1)).alias("n_clusters"))
+    return partition_scores(names(spark, sf_dir)).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.stddev_pop("score"), 6).alias("std_score"), F.count(F.lit(1)).alias("n_clusters"))
 
 
 def sampled_similarity(rows: DataFrame, seed: int = SEED, by: list[str] = []) -> DataFrame:

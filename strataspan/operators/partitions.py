@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataspan.plans.registry import query
-from strataspan.sources.tables import PARTITION_B_SQL, PARTITION_SQL, partition, partition_b
+from strataspan.sources.tables import PARTITION_B_SQL, PARTITION_SQL, numbered, partition, partition_b
 
 _P = f"WITH {PARTITION_SQL} "
 _AB = f"WITH {PARTITION_SQL}, {PARTITION_B_SQL} "
@@ -81,7 +81,7 @@ def cluster_top_members(spark, sf_dir):
 
 @query("cluster_order", _SIZES + "SELECT cluster_id, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY n DESC, cluster_id) AS INT) AS position FROM sz")
 def cluster_order(spark, sf_dir):
-    return sizes(partition(spark, sf_dir)).withColumn("position", F.row_number().over(W.orderBy(F.desc("n"), "cluster_id")))
+    return numbered(sizes(partition(spark, sf_dir)), [], F.struct(-F.col("n"), "cluster_id"), "position").withColumn("position", F.col("position").cast("int"))
 
 
 @query("partition_contract", _P + """SELECT CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT token_id) = count(*) AND min(token_id) = 0 AND max(token_id) = count(*) - 1 AS contiguous_ids,

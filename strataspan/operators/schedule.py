@@ -12,13 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspan.functions.scripts import DOMINANT_SQL, dominant_script, length_bucket
-from strataspan.operators.controls import positions
 from strataspan.operators.curves import pair_statistics, r6, zscored
 from strataspan.operators.orthography import sampled_similarity
 from strataspan.operators.spectrum import moments, orthogonal_basis, project
 from strataspan.plans.registry import query
 from strataspan.sources.store import settled, shared_folder
-from strataspan.sources.tables import SCALES, SEEDS, VOCAB_SQL, matrix, read, vocab
+from strataspan.sources.tables import SCALES, SEEDS, VOCAB_SQL, matrix, numbered, read, vocab
 
 #: Noise rules of the stability runs: what the distance to the mean of all rows is multiplied by.
 MARGINS = (0.9, 0.95)
@@ -63,9 +62,9 @@ def seeded_controls(base: DataFrame, text: DataFrame, seeds: tuple[int, ...] = S
     both = F.explode(F.array(F.struct(F.lit("permutation").alias("source"), F.lit("").alias("within")), F.struct(F.lit("length_bucket").alias("source"), F.col("bucket").alias("within"))))
     seeded = kept.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds]))).withColumn("k", both).select("k.source", "seed", "scale", "k.within", "token_id", "cluster_id")
     group = ["source", "seed", "scale", "within"]
-    seats = positions(seeded, group, F.lpad(F.col("token_id").cast("string"), 20, "0"), "seat", 17).select(*group, "seat", "cluster_id")
+    seats = numbered(seeded, group, F.col("token_id"), "seat").select(*group, "seat", "cluster_id")
     order = F.sha2(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("token_id").cast("string")), 256)
-    drawn = positions(seeded.select(*group, "token_id"), group, order, "seat").select(*group, "seat", "token_id")
+    drawn = numbered(seeded.select(*group, "token_id"), group, order, "seat").select(*group, "seat", "token_id")
     return seats.join(drawn, [*group, "seat"]).select(*TASK, "token_id", "cluster_id")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataspan.sources.store import settled, shared_folder
+
 SCALES = (2, 4, 8, 16, 32, 64)
 SEEDS = (0, 1, 2, 3)
 
@@ -36,16 +38,23 @@ def partition_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), shifted.cast("long").alias("cluster_id"))
 
 
-def dense_ids(values: DataFrame, column: str, out: str) -> DataFrame:
-    """Number distinct strings from 0 in binary order, without a window over all of them.
+def numbered(rows: DataFrame, group: list[str], order: Column, out: str) -> DataFrame:
+    """Number the rows of each group from 1 in an order without ties, without a window over a whole group.
 
-    Values are numbered inside groups of equal first two characters; the groups, a bounded number, get offsets.
-    """
-    lead = values.withColumn("__lead", F.substring(F.col(column), 1, 2))
-    sizes = lead.groupBy("__lead").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__lead", (F.sum("__n").over(W.orderBy("__lead")) - F.col("__n")).alias("__before"))
-    ranked = lead.withColumn("__rank", F.row_number().over(W.partitionBy("__lead").orderBy(column)))
-    return ranked.join(offsets, "__lead").select((F.col("__before") + F.col("__rank") - 1).cast("long").alias(out), *values.columns)
+    Rows are dealt to ranges of group and order, as many as there are shuffle partitions, and saved with the number of
+    their range; they are numbered inside it, and the ranges, a few rows, get offsets."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__order", order).repartitionByRange(n, *[F.col(g) for g in group], "__order").withColumn("__range", F.spark_partition_id())
+    dealt = settled(dealt, shared_folder(rows.sparkSession, "ranges"), "rows")
+    sizes = dealt.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(W.partitionBy(*group).orderBy("__range")) - F.col("__n")).drop("__n")
+    inner = dealt.withColumn("__rank", F.row_number().over(W.partitionBy(*group, "__range").orderBy("__order")))
+    return inner.join(before, [*group, "__range"]).withColumn(out, F.col("__before") + F.col("__rank")).drop("__order", "__range", "__rank", "__before")
+
+
+def dense_ids(values: DataFrame, column: str, out: str) -> DataFrame:
+    """Number distinct strings from 0 in binary order."""
+    return numbered(values, [], F.col(column), out).withColumn(out, (F.col(out) - 1).cast("long")).select(out, *values.columns)
 
 
 def token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
