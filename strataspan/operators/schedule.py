@@ -330,3 +330,35 @@ def metric_schedule(spark, sf_dir):
     similar = sampled_similarity(named, by=list(TASK)).select(*TASK, F.lit("similarity").alias("metric"), F.col("score").alias("h"))
     entropy = category_entropies(parts, text).where("metric = 'script'").select(*TASK, "metric", "h")
     return _keyed(summarised(similar.unionByName(entropy), ["h"])).withColumn("component", F.lit("score"))
+
+
+# ---- case studies
+
+ASKED = 100
+
+
+def case_study(parts: DataFrame, text: DataFrame, asked: DataFrame) -> DataFrame:
+    """(source, seed, scale, token_id, cluster_id, size, content): where each asked token lands in every task, with how
+    many and with whom; noise has size 0 and no content. A token that is asked for twice is an error.
+
+    Members are gathered for the clusters of asked tokens only."""
+    twice = F.raise_error(F.concat(F.lit("a token is asked for twice: "), F.col("token_id").cast("string"))).cast("long")
+    once = asked.groupBy("token_id").agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") == 1, F.col("token_id")).otherwise(twice).alias("token_id"))
+    at = parts.join(once, "token_id")
+    key = [F.col(f"p.{c}").eqNullSafe(F.col(f"a.{c}")) for c in (*TASK, "cluster_id")]
+    wanted = at.where("cluster_id >= 0").select(*TASK, "cluster_id").distinct()
+    members = parts.alias("p").join(wanted.alias("a"), key, "left_semi").join(text.select("token_id", "token_str"), "token_id")
+    found = members.groupBy(*TASK, "cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("token_str")), " ").alias("content"))
+    rows = at.alias("p").join(found.alias("a"), key, "left")
+    return rows.select(*[F.col(f"p.{c}").alias(c) for c in (*TASK, "token_id", "cluster_id")], F.coalesce("a.size", F.lit(0)).alias("size"), F.coalesce("a.content", F.lit("")).alias("content"))
+
+
+@query("case_study", _TASKS + f""", m_x AS (SELECT source, seed, scale, cluster_id, count(*) AS n, string_agg(token_str, ' ' ORDER BY token_str) AS c FROM task_ JOIN text_ USING (token_id) WHERE cluster_id >= 0 GROUP BY ALL)
+SELECT t.source, coalesce(CAST(t.seed AS VARCHAR), '') AS seed, CAST(t.scale AS INT) AS scale, t.token_id, CAST(t.cluster_id AS BIGINT) AS cluster_id, coalesce(n, 0) AS size, coalesce(c, '') AS content
+FROM task_ t LEFT JOIN m_x m ON t.source = m.source AND t.seed IS NOT DISTINCT FROM m.seed AND t.scale = m.scale AND t.cluster_id = m.cluster_id WHERE t.token_id % {ASKED} = 0""")
+def case_study_query(spark, sf_dir):
+    """The tokens whose number is a multiple of ASKED, asked of all tasks over all tokens."""
+    folder = shared_folder(spark, "schedule")
+    text = settled(tokens(spark, sf_dir), folder, "tokens")
+    parts = settled(partition_schedule(spark, sf_dir, text, folder), folder, "tasks")
+    return _keyed(case_study(parts, text, text.where(F.col("token_id") % ASKED == 0).select("token_id")))

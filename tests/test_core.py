@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from strataspan.functions.scripts import dominant_script, length_bucket, script_counts
 from strataspan.functions.strings import distances, mean_similarity
-from strataspan.operators import controls, curves, density, manifests, orthography, outputs, partitions, schedule, spectrum
+from strataspan.operators import controls, curves, density, manifests, orthography, outputs, partitions, schedule, spectrum, texts
 from strataspan.plans.identity import Task, stable_hash
 from strataspan.sources.store import RunPolicy, Store
 
@@ -255,6 +255,23 @@ def test_reports_refuse_what_does_not_fit(spark):
             schedule.merged_summary(bad).collect()
 
 
+def test_inputs_that_do_not_fit(spark):
+    text = spark.createDataFrame([(1, "a"), (2, "b")], "token_id long, token_str string")
+    rows = spark.createDataFrame([(1, 0, None), (2, 0, "own"), (3, 1, "c")], "token_id long, cluster_id long, token_str string")
+    assert sorted(texts.standardised(rows, text).collect()) == [(1, 0, "a"), (2, 0, "own"), (3, 1, "c")]
+    with pytest.raises(Exception, match="no text for token 3"):
+        texts.standardised(rows.withColumn("token_str", F.lit(None).cast("string")), text).collect()
+    good = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row_id long, features array<double>")
+    assert texts.coerced(good).agg(F.max("n_columns")).first()[0] == 2
+    for row in ((2, [1.0]), (2, [1.0, float("nan")]), (2, [1.0, None])):
+        with pytest.raises(Exception, match="does not fit the matrix: 2"):
+            texts.coerced(good.union(spark.createDataFrame([row], good.schema))).collect()
+    parts = spark.createDataFrame([("s", None, 2, 1, 0), ("s", None, 2, 2, 0)], "source string, seed long, scale int, token_id long, cluster_id long")
+    assert schedule.case_study(parts, text, text.where("token_id = 1")).first()["content"] == "a b"
+    with pytest.raises(Exception, match="asked for twice"):
+        schedule.case_study(parts, text, text.union(text)).collect()
+
+
 def test_bundles_and_layouts(spark, sf):
     from strataspan.sources.store import shared_folder
 
