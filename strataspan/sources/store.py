@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     ends. Only a local session may leave that setting out."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local["):
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/strataspan-shared"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
