@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -94,6 +95,23 @@ def partition_contract(spark, sf_dir):
         F.count("probability").isin(F.lit(0), n).alias("all_or_no_probability"), F.coalesce((F.min("probability") >= 0) & (F.max("probability") <= 1), F.lit(True)).alias("probabilities_valid"))
 
 
+def strict_partition(rows: DataFrame) -> DataFrame:
+    """The rows of a stored partition; ids that are not 0, 1, ... once each, a cluster below -1, or probabilities that are
+    missing in part or lie outside 0 to 1, are an error."""
+    n = F.count(F.lit(1))
+    ok = ((F.count_distinct("token_id") == n) & (F.min("token_id") == 0) & (F.max("token_id") == n - 1) & (F.min("cluster_id") >= -1)
+          & F.count("probability").isin(F.lit(0), n) & F.coalesce((F.min("probability") >= 0) & (F.max("probability") <= 1), F.lit(True)))
+    bad = F.raise_error("the partition does not keep its contract").cast("long")
+    return rows.join(F.broadcast(rows.agg(ok.alias("ok")))).select(F.when(F.col("ok"), F.col("token_id")).otherwise(bad).alias("token_id"), "cluster_id", "probability")
+
+
+@query("strict_partition", _P + "SELECT token_id, cluster_id, round(least(probability, 1.0), 5) AS probability FROM part_a")
+def strict_partition_query(spark, sf_dir):
+    """A partition that is read strictly; memberships over one are cut to one before."""
+    rows = partition(spark, sf_dir).withColumn("probability", F.least("probability", F.lit(1.0).cast("float")))
+    return strict_partition(rows).withColumn("probability", F.round("probability", 5))
+
+
 # ---- two partitions
 
 

@@ -55,32 +55,56 @@ def check_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 class Store:
-    """Tables by key below one folder; the configuration is written last and marks a table as complete."""
+    """Tables by key below one folder. A marker file, renamed into place after the data are written, names the folder of
+    the data and the hash of their configuration; replacing a table replaces its marker in one step, so a reader finds
+    the old table or the new one and never a part."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _hash(self, key: str) -> str | None:
+    def _marker(self, key: str) -> tuple[str, str] | None:
+        """(hash, folder of the data) of a finished table."""
         try:
-            return self.spark.read.schema("config_hash string").json(f"{self.path}/{key}/config").first()["config_hash"]
+            return tuple(self.spark.read.text(f"{self.path}/{key}/marker").first()[0].split(" "))
         except (AnalysisException, TypeError):
             return None
 
+    def _mark(self, key: str, config_hash: str, data: str) -> None:
+        fs_ = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        new, marker = (fs_.Path(f"{self.path}/{key}/{n}") for n in (f"marker-{data}", "marker"))
+        out = new.getFileSystem(conf).create(new)
+        out.write(bytearray(f"{config_hash} {data}".encode()))
+        out.close()
+        overwrite = self.spark.sparkContext._gateway.new_array(fs_.Options.Rename, 1)
+        overwrite[0] = fs_.Options.Rename.OVERWRITE
+        fs_.FileContext.getFileContext(new.toUri(), conf).rename(new, marker, overwrite)
+
+    def _drop(self, key: str, data: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}/{data}")
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def has(self, key: str) -> bool:
-        return self._hash(key) is not None
+        return self._marker(key) is not None
 
     def read(self, key: str, schema: T.StructType | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{key}/data")
+        found = self._marker(key)
+        if found is None:
+            raise FileNotFoundError(key)
+        df = self.spark.read.parquet(f"{self.path}/{key}/{found[1]}")
         return check_schema(df, schema) if schema else df
 
     def write(self, key: str, df: DataFrame, config: dict, policy: RunPolicy = RunPolicy()) -> DataFrame:
-        have, want = self._hash(key), stable_hash(config)
+        have, want = self._marker(key), stable_hash(config)
         if have and policy.existing == "error":
             raise FileExistsError(key)
         if have and policy.existing == "resume":
-            if have != want:
+            if have[0] != want:
                 raise ValueError(f"{key} was made with another configuration")
             return self.read(key)
-        df.write.mode("overwrite").parquet(f"{self.path}/{key}/data")
-        self.spark.createDataFrame([(want,)], "config_hash string").coalesce(1).write.mode("overwrite").json(f"{self.path}/{key}/config")
+        data = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{key}/{data}")
+        self._mark(key, want, data)
+        if have:
+            self._drop(key, have[1])
         return self.read(key)

@@ -266,6 +266,11 @@ def test_inputs_that_do_not_fit(spark):
     for row in ((2, [1.0]), (2, [1.0, float("nan")]), (2, [1.0, None])):
         with pytest.raises(Exception, match="does not fit the matrix: 2"):
             texts.coerced(good.union(spark.createDataFrame([row], good.schema))).collect()
+    part = lambda *rows: spark.createDataFrame(rows, "token_id long, cluster_id long, probability float")
+    assert partitions.strict_partition(part((0, -1, 0.5), (1, 0, 1.0))).count() == 2 == partitions.strict_partition(part((0, -1, None), (1, 0, None))).count()
+    for rows in (((0, 0, None), (2, 0, None)), ((0, 0, None), (0, 0, None)), ((0, 0, 0.1), (1, 0, None)), ((0, 0, 1.5),), ((0, -2, 0.5),)):
+        with pytest.raises(Exception, match="contract"):
+            partitions.strict_partition(part(*rows)).collect()
     parts = spark.createDataFrame([("s", None, 2, 1, 0), ("s", None, 2, 2, 0)], "source string, seed long, scale int, token_id long, cluster_id long")
     assert schedule.case_study(parts, text, text.where("token_id = 1")).first()["content"] == "a b"
     with pytest.raises(Exception, match="asked for twice"):
@@ -348,6 +353,9 @@ def test_store_policies(spark, tmp_path):
         s.write("k", b, {"v": 2}, RunPolicy("resume"))
     assert s.write("k", b, {"v": 2}, RunPolicy("replace")).count() == 5
     assert s.has("k") and not s.has("other")
+    assert len([x for x in os.listdir(tmp_path / "t" / "k") if x.startswith("data-")]) == 1
+    with pytest.raises(FileNotFoundError):
+        s.read("other")
 
 
 def test_npy_source(spark, tmp_path):
