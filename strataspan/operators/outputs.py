@@ -6,16 +6,15 @@ become visible when they are whole: bundles are written to a staging folder that
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataspan.operators.curves import r6
 from strataspan.operators.schedule import (
-    _METRICS, _PARTS, _TASKS, MARGINS, TASK, category_entropies, labelled_matrix, nearest_partitions, partition_schedule, summarised, tokens,
+    _METRICS, _PARTS, _TASKS, MARGINS, TASK, category_entropies, labelled_matrix, nearest_partitions, partition_schedule, tokens,
 )
-from strataspan.operators.spectrum import _S, moments, principal_axes, project, spectrum
+from strataspan.operators.spectrum import _S, moments, orthogonal_basis, principal_axes, project, spectrum
 from strataspan.plans.registry import query
 from strataspan.sources.store import check_schema, settled, shared_folder
 from strataspan.sources.tables import SCALES, SPECTRUM_SQL, matrix
@@ -204,3 +203,26 @@ def spectrum_output(spark, sf_dir):
     total = s.agg(F.sum("energy").alias("total"))
     saved = settled(s.join(total).select("idx", "scale", "value", (F.col("energy") / F.col("total")).alias("energy_ratio")).coalesce(1), shared_folder(spark, "outputs"), "spectrum")
     return saved.select("idx", "scale", r6("value").alias("value"), r6("energy_ratio").alias("energy_ratio"))
+
+
+# ---- projections, held against what they must keep
+
+
+@query("pca_prefix_energy", f"WITH RECURSIVE {_CENTRED}, w_ AS (SELECT unnest([{', '.join(map(str, SCALES))}]) AS w) SELECT CAST(w AS INT) AS scale, (SELECT count(*) FROM embeddings) AS n_rows, round((SELECT sum(energy) FROM sp WHERE scale <= w), 5) AS energy FROM w_")
+def pca_prefix_energy(spark, sf_dir):
+    """Nested widths of the full principal scores: the energy of each prefix is that of its eigenvalues."""
+    rows = matrix(spark, sf_dir)
+    axes, _, mean = principal_axes(*moments(rows))
+    square = F.transform("scores", lambda x: x * x)
+    each = project(rows, axes, mean).select(F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.aggregate(F.slice(square, 1, k), F.lit(0.0), lambda a, x: a + x).alias("e")) for k in SCALES])).alias("t"))
+    return each.groupBy("t.scale").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("t.e"), 5).alias("energy"))
+
+
+@query("random_projection_norms", """WITH m AS (SELECT d, avg(CAST(v AS DOUBLE)) AS m FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) GROUP BY d), c AS (SELECT list(m ORDER BY d) AS c FROM m)
+SELECT vec_id AS row_id, round(sqrt(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS norm FROM embeddings, c""")
+def random_projection_norms(spark, sf_dir, seed: int = 7):
+    """A random orthogonal basis keeps the length of every centred row."""
+    rows = matrix(spark, sf_dir)
+    _, total, n = moments(rows)
+    turned = project(rows, orthogonal_basis(len(total), seed), total / max(n, 1))
+    return turned.select("row_id", F.round(F.sqrt(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
