@@ -45,7 +45,7 @@ class Settled:
     def __call__(self, df: DataFrame, narrow: bool = False) -> DataFrame:
         """``narrow``: a table of ids and numbers only, a hundredth of the texts it came from, which needs fewer files."""
         self.n += 1
-        df = df.coalesce(max(4, parts(self.spark) // 16)) if narrow else df
+        df = df.coalesce(max(2, parts(self.spark) // 16)) if narrow else df
         df.write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 

@@ -64,20 +64,23 @@ def classes_of_buckets(
     leads = lead.select("band", "sig", "b")
     met = settled(shared.where("a <> b").select("a", "b").distinct())
     first = settled(verify(met))
-    labels = settled(components(first.where("linked"), settled=settled))
+    labels = components(first.where("linked"), settled=settled)
     apart = _apart(shared.select("band", "sig", "a", "b"), labels, settled)
     bound = bounds(apart.select("a").distinct()).where(F.col("common") >= threshold * F.col("total") - SLACK)
     overlap = F.when(F.col("a") == F.col("b"), F.col("total")).otherwise(F.coalesce("overlap", F.lit(0.0)))
     members = settled(apart.join(bound, "a").join(first.select("a", "b", "overlap"), ["a", "b"], "left").select("band", "sig", "a", "total", "common", overlap.alias("overlap")))
     # a over (x + y - a) >= t, for the largest a
     share = threshold / (1 + threshold)
-    moved = True
+    moved, turn = True, 0
     while True:
+        turn += 1
+        # tables that only grow are united from what was written; now and then they are written as one
+        whole = settled if turn % 8 == 0 else lambda df: df
         members = _apart(members, labels, settled) if moved else members
         new, members = _leaders(members, leads, settled)
         if new.isEmpty():
             return labels
-        leads = settled(leads.unionByName(new.select("band", "sig", "b")))
+        leads = whole(leads.unionByName(new.select("band", "sig", "b")))
         left = members
         own = members.select(F.col("band").alias("bband"), F.col("sig").alias("bsig"), F.col("a").alias("b"), F.col("total").alias("btotal"), F.col("common").alias("bcommon"), F.col("overlap").alias("boverlap"))
         new = new.withColumnsRenamed({"band": "bband", "sig": "bsig", "comp": "bcomp"}).join(own, ["bband", "bsig", "b"])
@@ -92,7 +95,7 @@ def classes_of_buckets(
         pairs = settled(pairs.join(seen, ["a", "b"], "left_anti"))
         links = None
         if not pairs.isEmpty():
-            met = settled(met.unionByName(pairs))
+            met = whole(met.unionByName(pairs))
             links = settled(verify(pairs).where("linked"))
         moved = links is not None and not links.isEmpty()
         if not moved:
@@ -100,7 +103,7 @@ def classes_of_buckets(
         # links between components move their labels
         of = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
         merged = links.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
-        joined = settled(components(settled(merged), settled=settled))
+        joined = components(merged, settled=settled)
         old = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         fresh = joined.join(labels.select("node"), "node", "left_anti")
         labels = settled(old.unionByName(fresh.select("node", "label")))
