@@ -70,7 +70,7 @@ def partition_manifest(parts: DataFrame, root: str) -> DataFrame:
         "n_tokens", "n_clusters", "n_noise", "noise_fraction", F.sha2(key, 256).alias("config_hash"), F.lit(False).alias("reused"))
 
 
-_MANIFEST_SQL = """SELECT 'tables' AS analysis_id, 'embeddings' AS model_name, 'prefix' AS space_name, CAST(scale AS INT) AS scale, source, CASE WHEN seed IS NOT NULL THEN 'control' END AS seed_type, CAST(seed AS BIGINT) AS seed, 'nearest_mean' AS method,
+_MANIFEST_SQL = """SELECT 'tables' AS analysis_id, 'embeddings' AS model_name, 'prefix' AS space_name, CAST(scale AS INT) AS scale, source, CASE WHEN seed IS NOT NULL THEN 'control' END AS seed_type, CAST(seed AS VARCHAR) AS seed, 'nearest_mean' AS method,
 'parts/source=' || source || '/seed=' || coalesce(CAST(seed AS VARCHAR), 'none') || '/scale=' || scale AS partition_path, count(*) AS n_tokens, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n_clusters,
 count(*) FILTER (WHERE cluster_id < 0) AS n_noise, round(count(*) FILTER (WHERE cluster_id < 0) / count(*), 6) AS noise_fraction, sha256('tables|embeddings|' || source || '|' || coalesce(CAST(seed AS VARCHAR), 'none') || '|' || scale) AS config_hash, FALSE AS reused FROM task_ GROUP BY source, seed, scale"""
 
@@ -80,7 +80,7 @@ def partition_manifest_query(spark, sf_dir):
     """The manifest of all partitions and controls, in its fifteen columns."""
     folder = shared_folder(spark, "outputs")
     parts = partition_schedule(spark, sf_dir, settled(tokens(spark, sf_dir), folder, "tokens"), folder)
-    return partition_manifest(parts, "parts").withColumn("noise_fraction", r6("noise_fraction")).select(*PARTITION_MANIFEST)
+    return partition_manifest(parts, "parts").withColumn("noise_fraction", r6("noise_fraction")).withColumn("seed", F.col("seed").cast("string")).select(*PARTITION_MANIFEST)
 
 
 _BASELINE = {"baseline": 1.0, **{f"stability_{m}": m for m in MARGINS}}
@@ -182,7 +182,7 @@ def representation_bundles(spark, sf_dir):
     return out
 
 
-@query("representation_manifest", f"""SELECT 'tables' AS analysis_id, 'embeddings' AS model_name, 'pca' AS space_name, CAST(w AS INT) AS scale, 'full_pca' AS source, CAST(NULL AS VARCHAR) AS seed_type, CAST(NULL AS BIGINT) AS seed, 'gram' AS builder, 'pca/scale=' || w || '/matrix' AS matrix_path, 'pca/scale=' || w || '/arrays' AS components_path,
+@query("representation_manifest", f"""SELECT 'tables' AS analysis_id, 'embeddings' AS model_name, 'pca' AS space_name, CAST(w AS INT) AS scale, 'full_pca' AS source, CAST(NULL AS VARCHAR) AS seed_type, CAST(NULL AS VARCHAR) AS seed, 'gram' AS builder, 'pca/scale=' || w || '/matrix' AS matrix_path, 'pca/scale=' || w || '/arrays' AS components_path,
 'pca/scale=' || w || '/arrays' AS explained_ratio_path, 'pca/scale=' || w || '/arrays' AS mean_path, 'pca/scale=' || w || '/metadata' AS metadata_path, (SELECT count(*) FROM embeddings) AS n_samples, CAST(w AS BIGINT) AS n_features, sha256('tables|embeddings|full_pca|' || w) AS config_hash, FALSE AS reused FROM (SELECT unnest([{', '.join(map(str, SCALES))}]) AS w)""")
 def representation_manifest(spark, sf_dir):
     """The manifest of the representations, in its seventeen columns; n_features is the width."""
@@ -190,7 +190,7 @@ def representation_manifest(spark, sf_dir):
     w = n.select("n_samples", F.explode(F.array(*[F.lit(k) for k in SCALES])).alias("scale"))
     at = lambda name: F.concat(F.lit("pca/scale="), F.col("scale").cast("string"), F.lit(f"/{name}"))
     fixed = {"analysis_id": "tables", "model_name": "embeddings", "space_name": "pca", "source": "full_pca", "builder": "gram", "reused": False, "seed_type": None, "seed": None}
-    out = w.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumns({"seed_type": F.lit(None).cast("string"), "seed": F.lit(None).cast("long"), "n_features": F.col("scale").cast("long"),
+    out = w.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumns({"seed_type": F.lit(None).cast("string"), "seed": F.lit(None).cast("string"), "n_features": F.col("scale").cast("long"),
         "matrix_path": at("matrix"), "components_path": at("arrays"), "explained_ratio_path": at("arrays"), "mean_path": at("arrays"), "metadata_path": at("metadata"),
         "config_hash": F.sha2(F.concat(F.lit("tables|embeddings|full_pca|"), F.col("scale").cast("string")), 256)})
     return out.select(*REPRESENTATION_MANIFEST)
