@@ -15,29 +15,40 @@ def distances(xs: list[str], ys: list[str]) -> np.ndarray:
     characters; later it costs half the number of differences over the two positions that end there. The sum is divided
     by the longer length; two empty strings are at distance 0. All pairs of a batch take their steps together.
     """
-    a, b = [x.casefold() for x in xs], [y.casefold() for y in ys]
-    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(y) for y in b], np.int64)
-    n, wa, wb = len(a), int(la.max(initial=0)), int(lb.max(initial=0))
-    ca, cb = np.full((n, wa), -1, np.int32), np.full((n, wb), -2, np.int32)
-    for i, (x, y) in enumerate(zip(a, b)):
-        ca[i, : len(x)] = [ord(c) for c in x]
-        cb[i, : len(y)] = [ord(c) for c in y]
+    return _measure(*_codes(xs), *_codes(ys))
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of each case-folded string in a row, lengths)."""
+    folded = [x.casefold() for x in texts]
+    size = np.array([len(x) for x in folded], np.int64)
+    out = np.zeros((len(folded), int(size.max(initial=0))), np.int32)
+    for i, x in enumerate(folded):
+        out[i, : len(x)] = [ord(c) for c in x]
+    return out, size
+
+
+def _measure(ca: np.ndarray, la: np.ndarray, cb: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    n, wa, wb = len(la), int(la.max(initial=0)), int(lb.max(initial=0))
+    # a row for each position, a column for each pair: a step works on memory that lies together
+    ca, cb = np.ascontiguousarray(ca[:, :wa].T), np.ascontiguousarray(cb[:, :wb].T)
     out = np.zeros(n)
-    row = np.tile(np.arange(wb + 1, dtype=float), (n, 1))
+    row = np.tile(np.arange(wb + 1, dtype=float)[:, None], (1, n))
     at = np.arange(n)
     done = la == 0
     out[done] = lb[done]
+    before = None
     for i in range(1, wa + 1):
         new = np.empty_like(row)
-        new[:, 0] = i
+        new[0] = i
+        miss = (cb != ca[i - 1]).astype(float)
+        cost = miss if before is None else np.concatenate((miss[:1], (miss[1:] + before[:-1]) / 2))
+        before = miss
         for j in range(1, wb + 1):
-            miss = (ca[:, i - 1] != cb[:, j - 1]).astype(float)
-            if i >= 2 and j >= 2:
-                miss = (miss + (ca[:, i - 2] != cb[:, j - 2])) / 2
-            new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + miss)
+            new[j] = np.minimum(np.minimum(row[j], new[j - 1]) + 1, row[j - 1] + cost[j - 1])
         row = new
         done = la == i
-        out[done] = row[at[done], lb[done]]
+        out[done] = row[lb[done], at[done]]
     return out / np.maximum(np.maximum(la, lb), 1)
 
 
@@ -53,9 +64,13 @@ def ndist(x: Column | str, y: Column | str) -> Column:
 
 def mean_similarity(tokens: list[str], block: int = 4096) -> float:
     """Mean of 1 - distance over all unordered pairs."""
-    t = sorted(tokens)
-    i, j = np.triu_indices(len(t), 1)
+    codes, size = _codes(sorted(tokens))
+    i, j = np.triu_indices(len(size), 1)
+    # pairs of similar lengths take their steps together
+    order = np.lexsort((size[j], size[i]))
+    i, j = i[order], j[order]
     total = 0.0
     for lo in range(0, len(i), block):
-        total += float((1 - distances([t[k] for k in i[lo : lo + block]], [t[k] for k in j[lo : lo + block]])).sum())
+        a, b = i[lo : lo + block], j[lo : lo + block]
+        total += float((1 - _measure(codes[a], size[a], codes[b], size[b])).sum())
     return total / len(i)
