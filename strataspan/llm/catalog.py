@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataspan.llm import decontaminate, exact_dedup, language_id, line_dedup, merkle, minhash, packing, quality, spotsigs, suffix_dedup, toxicity, warc
+from strataspan.llm import decontaminate, exact_dedup, language_id, line_dedup, merkle, minhash, packing, quality, spelling, spotsigs, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op4_spotsigs": spotsigs.op4_spotsigs,
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_spelling": spelling.op12_spelling,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "spot_classes": spotsigs.spot_classes,
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_spelling": spelling.OP12_SQL,
     "op13_exact_dedup": exact_dedup.OP13_SQL,
 }
