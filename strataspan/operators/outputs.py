@@ -90,7 +90,7 @@ _BASELINE = {"baseline": 1.0, **{f"stability_{m}": m for m in MARGINS}}
 def task_layout(spark, sf_dir):
     """All partitions saved in the folders of their tasks; the one of width 8 read by its path alone."""
     root = shared_folder(spark, "outputs") + "/parts"
-    parts = nearest_partitions(labelled_matrix(spark, sf_dir), _BASELINE).withColumn("seed", F.lit(None).cast("long"))
+    parts = nearest_partitions(labelled_matrix(spark, sf_dir), _BASELINE)
     write_tasks(parts, root)
     one = read_task(spark, root, "baseline", None, 8, T.StructType([T.StructField("token_id", T.LongType()), T.StructField("cluster_id", T.LongType())]))
     return one.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("ids")).select(F.lit("baseline").alias("source"), F.lit(8).alias("scale"), "cluster_id", "n", "ids")
@@ -101,7 +101,7 @@ def metric_output(spark, sf_dir):
     """A detail table of each metric, and the summary that is made of what was saved; the summary is written last."""
     folder = shared_folder(spark, "outputs")
     text = settled(tokens(spark, sf_dir), folder, "tokens")
-    base = nearest_partitions(labelled_matrix(spark, sf_dir), {"baseline": 1.0}).select("source", F.lit(None).cast("long").alias("seed"), "scale", "token_id", "cluster_id")
+    base = nearest_partitions(labelled_matrix(spark, sf_dir), {"baseline": 1.0})
     category_entropies(base, text).drop("source", "seed").write.partitionBy("metric").parquet(f"{folder}/details")
     details = spark.read.parquet(f"{folder}/details")
     summary = details.groupBy("scale", "metric").agg(F.count(F.lit(1)).alias("n_details"), r6(F.avg("h")).alias("mean_h"), (r6(F.stddev_pop("h")) + 0.0).alias("std_h"), r6(F.avg("h_norm")).alias("mean_h_norm"), F.sum("size").alias("n_tokens"))

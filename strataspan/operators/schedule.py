@@ -8,13 +8,17 @@ inside length buckets), change the noise rule, or turn the matrix first. Every p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspan.functions.scripts import DOMINANT_SQL, dominant_script, length_bucket
 from strataspan.operators.curves import pair_statistics, r6, zscored
 from strataspan.operators.orthography import sampled_similarity
-from strataspan.operators.spectrum import moments, orthogonal_basis, project
+from strataspan.operators.spectrum import moments, orthogonal_basis
 from strataspan.plans.registry import query
 from strataspan.sources.store import settled, shared_folder
 from strataspan.sources.tables import SCALES, SEEDS, VOCAB_SQL, matrix, numbered, read, vocab
@@ -25,24 +29,94 @@ PROJECTION_SEEDS = (7, 17)
 TASK = ("source", "seed", "scale")
 
 
-def nearest_partitions(rows: DataFrame, margins: dict[str, float], scales: tuple[int, ...] = SCALES) -> DataFrame:
-    """(source, scale, token_id, cluster_id) of rows (row_id, label, features), for every scale and every noise rule.
-
-    The mean vectors, one for each label, are one row of a size that the labels and columns bound; rows are not shuffled."""
-    long = rows.select("label", F.posexplode("features").alias("d", "x"))
-    own = long.where("label > 0").groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    means = own.unionByName(long.groupBy("d").agg(F.avg(F.col("x").cast("double")).alias("m")).withColumn("label", F.lit(0).cast(rows.schema["label"].dataType)).select("label", "d", "m"))
-    centre = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("c"))
-    centres = centre.agg(F.collect_list(F.struct("label", "c")).alias("centres"))
-    square = lambda c: F.zip_with("features", c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    gaps = rows.join(F.broadcast(centres)).select("row_id", F.transform("centres", lambda c: F.struct(c["label"].alias("label"), square(c["c"]).alias("sq"))).alias("gaps"))
+#: Bytes of mean vectors that one pass over the rows takes along.
+CENTRE_BYTES = 64 << 20
+
+
+def _matrix_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The feature vectors of a batch; they all have the same width."""
+    x = batch.column("features")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """(seed, label, s, n): sums of the rows of each label, and of all rows as label 0, added up in each task first."""
+    shape = "seed long, label long, s array<double>, n long"
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, seed = _matrix_of(batch), batch.column("seed").to_numpy(zero_copy_only=False)
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            for s in np.unique(seed):
+                here = seed == s
+                for one in (0, *np.unique(label[here & (label > 0)])):
+                    part = x[here] if one == 0 else x[here & (label == one)]
+                    total = sums.setdefault((int(s), int(one)), [0.0, 0])
+                    total[0], total[1] = total[0] + part.sum(0), total[1] + len(part)
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_pydict({"seed": pa.array([k[0] for k in keys], pa.int64()), "label": pa.array([k[1] for k in keys], pa.int64()), "s": pa.array([sums[k][0] for k in keys], pa.list_(pa.float64())), "n": pa.array([sums[k][1] for k in keys], pa.int64())})
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.sum(group["s"].combine_chunks().flatten().to_numpy().reshape(len(group), -1), axis=0)
+        return pa.table({"seed": group["seed"][:1], "label": group["label"][:1], "s": pa.array([total], pa.list_(pa.float64())), "n": [int(group["n"].to_numpy().sum())]})
+
+    return rows.mapInArrow(add_up, shape).groupBy("seed", "label").applyInArrow(merge, shape)
+
+
+def _nearest_of(rows: DataFrame, centres: dict[int, list[tuple[int, np.ndarray]]], margins: dict[str, float], scales: tuple[int, ...]) -> DataFrame:
+    """(seed, source, scale, token_id, d, label): the nearest of some mean vectors, for each row, width and noise rule."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, seeds, ids = _matrix_of(batch), batch.column("seed").to_numpy(), batch.column("row_id").to_numpy()
+            widths = [k for k in scales if k <= x.shape[1]]
+            for seed in np.unique(seeds) if widths else ():
+                here = seeds == seed
+                part, best = x[here], {}
+                for label, centre in centres.get(int(seed), ()):  # ascending, so the smaller label stays in a tie
+                    gaps = (part - centre) ** 2
+                    far = np.cumsum(np.add.reduceat(gaps[:, : widths[-1]], [0, *widths[:-1]], axis=1), axis=1)
+                    for name, margin in margins.items():
+                        d = far * margin if label == 0 else far
+                        if name not in best:
+                            best[name] = (d.copy(), np.full(d.shape, label))
+                        else:
+                            closer = d < best[name][0]
+                            best[name][0][closer], best[name][1][closer] = d[closer], label
+                for name, (d, label) in best.items():
+                    n = d.size
+                    yield pa.RecordBatch.from_pydict({"seed": pa.array(np.full(n, seed)), "source": pa.array([name] * n), "scale": pa.array(np.tile(widths, len(part)), pa.int32()), "token_id": pa.array(np.repeat(ids[here], len(widths))), "d": pa.array(d.reshape(-1)), "label": pa.array(label.reshape(-1).astype(np.int64))})
+
+    return rows.select("seed", "row_id", "features").mapInArrow(run, "seed long, source string, scale int, token_id long, d double, label long")
 
-    def nearest(k: int, margin: float) -> Column:
-        far = F.transform("gaps", lambda g: F.struct((F.aggregate(F.slice(g["sq"], 1, k), F.lit(0.0), lambda a, x: a + x) * F.when(g["label"] == 0, margin).otherwise(1.0)).alias("d"), g["label"].alias("label")))
-        return (F.array_min(far)["label"] - 1).cast("long")
 
-    each = F.array(*[F.struct(F.lit(name).alias("source"), F.lit(k).alias("scale"), nearest(k, m).alias("cluster_id")) for name, m in margins.items() for k in scales])
-    return gaps.select(F.col("row_id").alias("token_id"), F.explode(each).alias("t")).select("t.source", "t.scale", "token_id", "t.cluster_id")
+def nearest_partitions(rows: DataFrame, margins: dict[str, float], scales: tuple[int, ...] = SCALES) -> DataFrame:
+    """(source, seed, scale, token_id, cluster_id) of rows (row_id, label, features), for every scale and every noise rule;
+    with a column ``seed``, of every matrix of a seed by itself, else the seed is null. Widths that the rows do not have
+    are left out.
+
+    A first job adds up the mean vectors, which the driver takes; batches of rows then meet them without a shuffle. Where
+    they are more than ``CENTRE_BYTES``, rows meet them block by block of labels, and the nearest of each block are
+    compared."""
+    seeded = "seed" in rows.columns
+    keyed = rows.select((F.col("seed") if seeded else F.lit(0)).cast("long").alias("seed"), "row_id", F.coalesce("label", F.lit(0)).cast("long").alias("label"), "features")
+    means = settled(_centres(keyed), shared_folder(rows.sparkSession, "centres"), "means")
+    size = means.agg(F.coalesce(F.sum(F.size("s").cast("long") * 8), F.lit(0)).cast("long")).first()[0]
+    blocks, found = max(1, -(-size // CENTRE_BYTES)), None
+    for k in range(blocks):
+        centres: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for r in means.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).orderBy("seed", "label").toLocalIterator():
+            centres.setdefault(r["seed"], []).append((r["label"], np.array(r["s"]) / r["n"]))
+        one = _nearest_of(keyed, centres, margins, tuple(sorted(scales)))
+        found = one if found is None else found.unionByName(one)
+    if blocks > 1:
+        found = found.groupBy("seed", "source", "scale", "token_id").agg(F.min(F.struct("d", "label")).alias("m")).select("seed", "source", "scale", "token_id", "m.label")
+    return found.select("source", (F.col("seed") if seeded else F.lit(None).cast("long")).alias("seed"), "scale", "token_id", (F.col("label") - 1).alias("cluster_id"))
 
 
 def labelled_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,22 +148,33 @@ def partition_schedule(spark: SparkSession, sf_dir: str, text: DataFrame, folder
     Partitions are saved, and the controls are run over what was saved."""
     rules = {"baseline": 1.0, **{f"stability_{m}": m for m in MARGINS}}
     found = settled(nearest_partitions(labelled_matrix(spark, sf_dir), rules), folder, "partitions")
-    plain = found.select("source", F.lit(None).cast("long").alias("seed"), "scale", "token_id", "cluster_id")
-    return plain.unionByName(seeded_controls(found.where("source = 'baseline'"), text))
+    return found.unionByName(seeded_controls(found.where("source = 'baseline'"), text))
+
+
+def turned(rows: DataFrame, bases: dict[int, np.ndarray], mean: np.ndarray) -> DataFrame:
+    """(seed, row_id, label, features): centred rows turned by the basis of every seed, in one pass, brought to length one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix_of(batch) - mean
+            for seed, basis in bases.items():
+                y = x @ basis
+                y /= np.linalg.norm(y, axis=1, keepdims=True) + 1e-12
+                features = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.reshape(-1)))
+                yield pa.RecordBatch.from_pydict({"seed": pa.array(np.full(len(y), seed, np.int64)), "row_id": batch.column("row_id"), "label": batch.column("label"), "features": features})
+
+    return rows.select("row_id", F.col("label").cast("long").alias("label"), "features").mapInArrow(run, "seed long, row_id long, label long, features array<double>")
 
 
 def projected_partitions(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = PROJECTION_SEEDS) -> DataFrame:
-    """The same of the matrix turned by a seeded random orthogonal basis, its rows brought to length one."""
+    """The same of the matrix turned by a seeded random orthogonal basis, its rows brought to length one; all seeds are
+    rows of one table."""
     rows = labelled_matrix(spark, sf_dir)
     _, total, n = moments(rows)
-    out = None
-    for seed in seeds:  # a list of constants
-        turned = project(rows, orthogonal_basis(len(total), seed), total / max(n, 1))
-        length = F.sqrt(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
-        unit = turned.select("row_id", F.transform("scores", lambda x: x / length).alias("features")).join(rows.select("row_id", "label"), "row_id")
-        one = nearest_partitions(unit, {"projection": 1.0}).select("source", F.lit(seed).cast("long").alias("seed"), "scale", "token_id", "cluster_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    bases = {seed: orthogonal_basis(len(total), seed) for seed in seeds}
+    return nearest_partitions(turned(rows, bases, total / max(n, 1)), {"projection": 1.0})
 
 
 def category_entropies(parts: DataFrame, text: DataFrame) -> DataFrame:
@@ -313,19 +398,19 @@ def projection_rho(spark, sf_dir):
     """Partitions of randomly turned matrices against the full ones, by seed."""
     folder = shared_folder(spark, "schedule")
     text = tokens(spark, sf_dir)
-    base = nearest_partitions(labelled_matrix(spark, sf_dir), {"baseline": 1.0}).select("source", F.lit(None).cast("long").alias("seed"), "scale", "token_id", "cluster_id")
+    base = nearest_partitions(labelled_matrix(spark, sf_dir), {"baseline": 1.0})
     results = summarised(category_entropies(base.unionByName(projected_partitions(spark, sf_dir)), text), ["h", "h_norm"])
     return seed_records(against_baseline(settled(results.coalesce(1), folder, "results")), ["source", "seed"])
 
 
 @query("metric_schedule")
 def metric_schedule(spark, sf_dir):
-    """Orthographic similarity and script entropy of the baseline and of two seeds of the permutation control at every
+    """Orthographic similarity and script entropy of the baseline and of all seeds of the permutation control at every
     width: one job, a task being a group of rows."""
     folder = shared_folder(spark, "schedule")
     text = settled(tokens(spark, sf_dir), folder, "tokens")
     base = settled(nearest_partitions(labelled_matrix(spark, sf_dir), {"baseline": 1.0}), folder, "partitions")
-    parts = base.select("source", F.lit(None).cast("long").alias("seed"), "scale", "token_id", "cluster_id").unionByName(seeded_controls(base, text, SEEDS[:2]).where("source = 'permutation'"))
+    parts = base.unionByName(seeded_controls(base, text).where("source = 'permutation'"))
     named = parts.where("cluster_id >= 0").join(text.select("token_id", "token_str"), "token_id")
     similar = sampled_similarity(named, by=list(TASK)).select(*TASK, F.lit("similarity").alias("metric"), F.col("score").alias("h"))
     entropy = category_entropies(parts, text).where("metric = 'script'").select(*TASK, "metric", "h")
