@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspan.functions.scripts import DOMINANT_SQL, length_bucket
-from strataspan.operators.scripts import counts_by_script, entropies, scripted_tokens
+from strataspan.functions.scripts import DOMINANT_SQL, dominant_script, length_bucket
+from strataspan.operators.scripts import counts_by_script, entropies
 from strataspan.plans.registry import query
+from strataspan.sources.store import settled, shared_folder
 from strataspan.sources.tables import PARTITION_SQL, VOCAB_SQL, numbered, partition, vocab
 
 SEED = 42
@@ -68,7 +69,7 @@ def permutation_invariants(spark, sf_dir):
 sc_ AS (SELECT m.cluster_id, s.script, count(*) AS n FROM moved m JOIN scripted s ON m.token_id = s.token_id GROUP BY ALL), tot AS (SELECT cluster_id, sum(n) AS t FROM sc_ GROUP BY 1)
 SELECT s.cluster_id, round(-sum(n / t * ln(n / t)), 6) + 0.0 AS h FROM sc_ s JOIN tot ON s.cluster_id = tot.cluster_id GROUP BY s.cluster_id""")
 def permuted_entropy(spark, sf_dir):
-    tokens = scripted_tokens(spark, sf_dir)
-    moved = bucketed(spark, sf_dir).select("token_id", "cluster_id").join(tokens.select("token_id", "script"), "token_id")
+    text = vocab(spark, sf_dir)
+    tokens = settled(text.select("token_id", "cluster_id", length_bucket(F.col("token_str")).alias("bucket"), dominant_script(F.col("token_str")).alias("script")), shared_folder(spark, "controls"), "tokens")
+    moved = permuted(tokens.select("token_id", "cluster_id", "bucket"), SEED, ["bucket"]).select("token_id", "cluster_id").join(tokens.select("token_id", "script"), "token_id")
     return entropies(counts_by_script(moved), tokens.agg(F.count_distinct("script").alias("k"))).select("cluster_id", F.round("h", 6).alias("h"))
-

@@ -181,11 +181,7 @@ def ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
 def safe_corr(x: str, y: str) -> Column:
     """Pearson's r; null where an input is constant."""
     varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    n = F.count(F.lit(1))
-    sx, sy = F.sum(x), F.sum(y)
-    cov = F.sum(F.col(x) * F.col(y)) - sx * sy / n
-    vx, vy = F.sum(F.col(x) * F.col(x)) - sx * sx / n, F.sum(F.col(y) * F.col(y)) - sy * sy / n
-    return F.when(varies, cov / F.nullif(F.sqrt(F.greatest(vx * vy, F.lit(0.0))), F.lit(0.0)))
+    return F.when(varies, F.corr(x, y))
 
 
 def pair_statistics(pairs: DataFrame, by: list[str]) -> DataFrame:

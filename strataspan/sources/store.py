@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from strataspan.plans.identity import stable_hash
 
@@ -64,10 +63,14 @@ class Store:
 
     def _marker(self, key: str) -> tuple[str, str] | None:
         """(hash, folder of the data) of a finished table."""
-        try:
-            return tuple(self.spark.read.text(f"{self.path}/{key}/marker").first()[0].split(" "))
-        except (AnalysisException, TypeError):
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}/marker")
+        fs = marker.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(marker):
             return None
+        stream = fs.open(marker)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return tuple(text.split(" "))
 
     def _mark(self, key: str, config_hash: str, data: str) -> None:
         fs_ = self.spark._jvm.org.apache.hadoop.fs

@@ -39,7 +39,8 @@ def partition_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, group: list[str], order: Column, out: str) -> DataFrame:
-    """Number the rows of each group from 1 in an order without ties, without a window over a whole group.
+    """Number the rows of each group from 1 in an order without ties, without a window over a whole group. Rows are saved
+    when this is called, not when its result is read.
 
     Rows are dealt to ranges of group and order, as many as there are shuffle partitions, and saved with the number of
     their range; they are numbered inside it, and the ranges, a few rows, get offsets."""
@@ -62,10 +63,14 @@ def token_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token_str")).where("token_str <> ''")
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token_str, cluster_id) of all distinct tokens; the cluster is the first document's id mod 9, less 1."""
+    return token_occurrences(spark, sf_dir).groupBy("token_str").agg((F.min("doc_id") % 9 - 1).cast("long").alias("cluster_id"))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token_id, token_str, cluster_id) of all distinct tokens; the cluster is the first document's id mod 9, less 1."""
-    first = token_occurrences(spark, sf_dir).groupBy("token_str").agg((F.min("doc_id") % 9 - 1).cast("long").alias("cluster_id"))
-    return dense_ids(first, "token_str", "token_id")
+    """The vocabulary with a number, token_id, for each token."""
+    return dense_ids(vocabulary(spark, sf_dir), "token_str", "token_id")
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
