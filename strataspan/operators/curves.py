@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -346,43 +345,78 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * total
 
 
-@query("pvalues")
-def pvalues(spark, sf_dir):
-    """Spearman's and Pearson's p of each seeded curve against its baseline."""
-    s = pair_statistics(reference_pairs(metric_results(spark, sf_dir)), ["metric", "aggregation", "seed"])
-
+def two_sided_p(r: str, n: str) -> Column:
+    """The p of a column of correlations; null where there is none, or too few points for one."""
     @F.pandas_udf("double")
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([t_two_sided(x, k) if x is not None else float("nan") for x, k in zip(r, n)])
 
-    return s.select("metric", "aggregation", "seed", F.nanvl(p("spearman", "n_points"), F.lit(None)).alias("spearman_p"), F.nanvl(p("pearson", "n_points"), F.lit(None)).alias("pearson_p"))
-
-
-def rank_average(x: np.ndarray) -> np.ndarray:
-    return np.array(pd.Series(x).rank())
-
+    return F.nanvl(p(r, n), F.lit(None))
 
-def permutation_pvalue(r: np.ndarray, t: np.ndarray, draws: int = 10_000, seed: int = 0) -> float:
-    """p of Spearman's coefficient of rows x features: rows of t are permuted, all features together.
 
-    A permutation of rows moves ranks but changes none, so a draw is a sum over a matrix of products of ranks."""
-    a, b = (rank_average(m.reshape(-1)).reshape(m.shape) for m in (r, t))
-    a, b = a - a.mean(), b - b.mean()
-    products = a @ b.T / math.sqrt((a * a).sum() * (b * b).sum())
-    rng = np.random.default_rng(seed)
-    order = rng.permuted(np.tile(np.arange(len(t)), (draws, 1)), axis=1)
-    drawn = products[np.arange(len(t)), order].sum(1)
-    return float((np.count_nonzero(np.abs(drawn) >= abs(np.trace(products)) - 1e-12) + 1) / (draws + 1))
+def p_sql(r: str) -> str:
+    """The same of six points in SQL: four degrees of freedom have a closed form."""
+    return f"round(CASE WHEN abs({r}) >= 1 THEN 0 ELSE 1 - abs({r}) * (3 - {r} * {r}) / 2 END, 6) + 0.0"
 
 
-@query("permutation_pvalue")
-def permutation_pvalue_query(spark, sf_dir, draws: int = 10_000):
-    """Grouped permutation p of mean and deviation together, a task for each metric and seed."""
+@query("pvalues", _REF + f"SELECT metric, aggregation, CAST(seed AS BIGINT) AS seed, {p_sql('spearman')} AS spearman_p, {p_sql('pearson')} AS pearson_p FROM st")
+def pvalues(spark, sf_dir):
+    """Spearman's and Pearson's p of each seeded curve against its baseline."""
+    s = pair_statistics(reference_pairs(metric_results(spark, sf_dir)), ["metric", "aggregation", "seed"])
+    return s.select("metric", "aggregation", "seed", (r6(two_sided_p("spearman", "n_points")) + 0.0).alias("spearman_p"), (r6(two_sided_p("pearson", "n_points")) + 0.0).alias("pearson_p"))
+
+
+#: Draws of one task's row, before they are dealt out.
+DRAW_BLOCK = 250
+
+
+def permutation_pvalues(points: DataFrame, by: list[str], draws: int = 10_000, seed: int = 0) -> DataFrame:
+    """(by, n_draws, p) of Spearman's coefficient of (by, scale, feature, r, t): the scales of t are permuted, all
+    features together, and p is the share of draws, the observed order included, whose coefficient is as large.
+
+    A draw is a row: it orders the scales by a hash of seed, group, draw and scale, so any engine draws the same, tasks
+    share a group's draws, and their counts are added. A permutation moves ranks but changes none, so a draw compares a
+    sum of products of centred ranks, which are multiples of a quarter and add up exactly. A group in which r or t is
+    constant has no p."""
+    ranks = ranked(points.select(*by, "scale", "feature", "r", "t"), by)
+    both = W.partitionBy(*by)
+    centred = ranks.select(*by, "scale", "feature", *[(F.col(c) - F.avg(c).over(both)).alias(c) for c in ("rr", "tr")])
+    at = centred.groupBy(*by, "scale").agg(F.array_sort(F.collect_list(F.struct("feature", "rr", "tr"))).alias("f"))
+    one = F.struct("scale", F.transform("f", lambda x: x["rr"]).alias("a"), F.transform("f", lambda x: x["tr"]).alias("b"))
+    groups = at.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("points"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    total = lambda left, right: F.aggregate(F.zip_with(left, right, dot), F.lit(0.0), lambda s, v: s + v)
+    a, b = F.transform("points", lambda p: p["a"]), F.transform("points", lambda p: p["b"])
+    blocks = -(-draws // DRAW_BLOCK)
+    seen = groups.select(*by, "points", a.alias("a"), F.abs(total(a, b)).alias("observed"), (total(a, a) * total(b, b) > 0).alias("varies"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    first = F.col("block") * DRAW_BLOCK + 1
+    drawn = seen.repartition(*by, "block").withColumn("draw", F.explode(F.sequence(first, F.least(first + (DRAW_BLOCK - 1), F.lit(draws)))))
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("draw").cast("string"))
+    order = F.array_sort(F.transform("points", lambda p: F.struct(F.sha2(F.concat(name, F.lit("|"), p["scale"].cast("string")), 256).alias("h"), p["b"].alias("b"))))
+    hit = F.abs(total(F.col("a"), F.transform(order, lambda x: x["b"]))) >= F.col("observed")
+    counted = drawn.groupBy(*by).agg(F.count(F.lit(1)).alias("n_draws"), F.count(F.when(hit, 1)).alias("hits"), F.first("varies").alias("varies"))
+    return counted.select(*by, "n_draws", F.when(F.col("varies"), (F.col("hits") + 1) / (F.col("n_draws") + 1)).alias("p"))
+
+
+def permutation_sql(source: str, by: list[str], draws: int, seed: int = 0) -> str:
+    """pp_ (by, n_draws, p) of ``source`` (by, scale, feature, r, t)."""
+    b = ", ".join(by)
+    name = " || '|' || ".join(f"CAST({x} AS VARCHAR)" for x in (seed, *by, "d", "scale"))
+    return f"""pr_ AS (SELECT {b}, scale, feature, rank() OVER (PARTITION BY {b} ORDER BY r) + (count(*) OVER (PARTITION BY {b}, r) - 1) / 2 AS rr, rank() OVER (PARTITION BY {b} ORDER BY t) + (count(*) OVER (PARTITION BY {b}, t) - 1) / 2 AS tr FROM {source}),
+pc_ AS (SELECT {b}, scale, feature, rr - avg(rr) OVER (PARTITION BY {b}) AS x, tr - avg(tr) OVER (PARTITION BY {b}) AS y FROM pr_),
+ps_ AS (SELECT {b}, scale, row_number() OVER (PARTITION BY {b} ORDER BY scale) AS pos FROM (SELECT DISTINCT {b}, scale FROM pc_)),
+po_ AS (SELECT {b}, abs(sum(x * y)) AS observed, sum(x * x) * sum(y * y) > 0 AS varies FROM pc_ GROUP BY {b}),
+pd_ AS (SELECT {b}, d, scale, row_number() OVER (PARTITION BY {b}, d ORDER BY sha256({name})) AS pos FROM ps_, (SELECT unnest(range(1, {draws + 1})) AS d)),
+pt_ AS (SELECT {b}, d, abs(sum(l.x * m.y)) AS drawn FROM pd_ JOIN (SELECT {b}, pos, scale AS s0 FROM ps_) USING ({b}, pos) JOIN (SELECT {b}, scale AS s0, feature, x FROM pc_) l USING ({b}, s0) JOIN (SELECT {b}, scale, feature, y FROM pc_) m USING ({b}, scale, feature) GROUP BY {b}, d),
+pp_ AS (SELECT {b}, count(*) AS n_draws, CASE WHEN any_value(varies) THEN (count(*) FILTER (WHERE drawn >= observed) + 1) / (count(*) + 1) END AS p FROM pt_ JOIN po_ USING ({b}) GROUP BY {b})"""
+
+
+DRAWS = 10_000
+
+
+@query("permutation_pvalue", _Z + f", zf_ AS (SELECT metric, CAST(seed AS BIGINT) AS seed, scale, aggregation AS feature, round(r, 9) AS r, round(t, 9) AS t FROM z), {permutation_sql('zf_', ['metric', 'seed'], DRAWS)} SELECT metric, seed, n_draws, round(p, 9) AS p FROM pp_")
+def permutation_pvalue_query(spark, sf_dir, draws: int = DRAWS):
+    """Grouped permutation p of mean and deviation together, for each metric and seed."""
     z = zscored(reference_pairs(metric_results(spark, sf_dir)), ["metric", "aggregation", "seed"])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        r, t = (f.pivot(index="scale", columns="aggregation", values=c).to_numpy() for c in ("r", "t"))
-        return pd.DataFrame({"metric": [f.metric.iloc[0]], "seed": [f.seed.iloc[0]], "p": [permutation_pvalue(r, t, draws)]})
-
-    return z.groupBy("metric", "seed").applyInPandas(run, "metric string, seed long, p double")
-
+    points = z.select("metric", "seed", "scale", F.col("aggregation").alias("feature"), F.round("r", 9).alias("r"), F.round("t", 9).alias("t"))
+    return permutation_pvalues(points, ["metric", "seed"], draws).withColumn("p", F.round("p", 9))

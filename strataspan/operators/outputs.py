@@ -16,6 +16,7 @@ from strataspan.operators.schedule import (
 )
 from strataspan.operators.spectrum import _S, moments, orthogonal_basis, principal_axes, project, spectrum
 from strataspan.plans.registry import query
+from strataspan.sources import npz
 from strataspan.sources.store import check_schema, settled, shared_folder
 from strataspan.sources.tables import SCALES, SPECTRUM_SQL, matrix
 
@@ -77,9 +78,11 @@ count(*) FILTER (WHERE cluster_id < 0) AS n_noise, round(count(*) FILTER (WHERE
 
 @query("partition_manifest", _TASKS + _MANIFEST_SQL)
 def partition_manifest_query(spark, sf_dir):
-    """The manifest of all partitions and controls, in its fifteen columns."""
+    """The manifest of all partitions and controls, in its fifteen columns, counted from the folders it names."""
     folder = shared_folder(spark, "outputs")
-    parts = partition_schedule(spark, sf_dir, settled(tokens(spark, sf_dir), folder, "tokens"), folder)
+    write_tasks(partition_schedule(spark, sf_dir, settled(tokens(spark, sf_dir), folder, "tokens"), folder), f"{folder}/parts")
+    saved = spark.read.schema("token_id long, cluster_id long, source string, seed string, scale int").parquet(f"{folder}/parts")
+    parts = saved.withColumn("seed", F.when(F.col("seed") != "none", F.col("seed").cast("long")))
     return partition_manifest(parts, "parts").withColumn("noise_fraction", r6("noise_fraction")).withColumn("seed", F.col("seed").cast("string")).select(*PARTITION_MANIFEST)
 
 
@@ -145,15 +148,19 @@ def control_names_query(spark, sf_dir):
 # ---- arrays
 
 
-def write_bundle(rows: DataFrame, scale: int, final: str) -> None:
-    """The principal scores of one width with components, explained shares and mean, through a staging folder."""
+def write_bundles(rows: DataFrame, scales: tuple[int, ...], root: str) -> None:
+    """The principal scores of each width with components, explained shares and mean, through a staging folder.
+
+    The axes are fitted once and the full scores saved once; a width is a prefix of both."""
     spark = rows.sparkSession
     axes, values, mean = principal_axes(*moments(rows))
-    staging = f"{final}.staging"
-    project(rows, axes[:, :scale], mean).withColumnRenamed("scores", "features").write.parquet(f"{staging}/matrix")
-    arrays = [("component", k, axes[:, k].tolist()) for k in range(scale)] + [("explained_ratio", 0, (values[:scale] / max(values.sum(), 1e-300)).tolist()), ("mean", 0, mean.tolist())]
-    spark.createDataFrame(arrays, "name string, k int, x array<double>").coalesce(1).write.parquet(f"{staging}/arrays")
-    publish(spark, staging, final)
+    scores = settled(project(rows, axes, mean), shared_folder(spark, "scores"), "full")
+    for scale in scales:  # a folder each, which a rename makes visible
+        staging = f"{root}/scale={scale}.staging"
+        scores.select("row_id", F.slice("scores", 1, scale).cast("array<float>").alias("features")).write.parquet(f"{staging}/matrix")
+        arrays = [("component", k, axes[:, k].tolist()) for k in range(scale)] + [("explained_ratio", 0, (values[:scale] / max(values.sum(), 1e-300)).tolist()), ("mean", 0, mean.tolist())]
+        spark.createDataFrame(arrays, "name string, k int, x array<double>").coalesce(1).write.parquet(f"{staging}/arrays")
+        publish(spark, staging, f"{root}/scale={scale}")
 
 
 def check_bundle(spark: SparkSession, path: str, scale: int) -> DataFrame:
@@ -168,15 +175,12 @@ def check_bundle(spark: SparkSession, path: str, scale: int) -> DataFrame:
 
 
 _CENTRED = SPECTRUM_SQL.replace("sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS v", "sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) - sum(CAST(a.v AS DOUBLE)) * sum(CAST(b.v AS DOUBLE)) / count(*) AS v")
-BUNDLE_SCALES = SCALES[2:4]
-
-
-@query("representation_bundles", f"WITH RECURSIVE {_CENTRED}, w_ AS (SELECT unnest([{', '.join(map(str, BUNDLE_SCALES))}]) AS w) SELECT CAST(w AS INT) AS scale, (SELECT count(*) FROM embeddings) AS n_samples, CAST(w AS INT) AS n_features, (SELECT n FROM size_) AS n_columns, round((SELECT sum(energy) FROM sp WHERE scale <= w) / (SELECT sum(energy) FROM sp), 6) AS explained FROM w_")
+@query("representation_bundles", f"WITH RECURSIVE {_CENTRED}, w_ AS (SELECT unnest([{', '.join(map(str, SCALES))}]) AS w) SELECT CAST(w AS INT) AS scale, (SELECT count(*) FROM embeddings) AS n_samples, CAST(w AS INT) AS n_features, (SELECT n FROM size_) AS n_columns, round((SELECT sum(energy) FROM sp WHERE scale <= w) / (SELECT sum(energy) FROM sp), 6) AS explained FROM w_")
 def representation_bundles(spark, sf_dir):
-    """Bundles of two widths, written, renamed and checked."""
-    root, rows, out = shared_folder(spark, "outputs"), matrix(spark, sf_dir), None
-    for scale in BUNDLE_SCALES:
-        write_bundle(rows, scale, f"{root}/scale={scale}")
+    """Bundles of all widths, written, renamed and checked."""
+    root, out = shared_folder(spark, "outputs"), None
+    write_bundles(matrix(spark, sf_dir), SCALES, root)
+    for scale in SCALES:
         one = check_bundle(spark, f"{root}/scale={scale}", scale)
         out = one if out is None else out.unionByName(one)
     return out
@@ -198,10 +202,14 @@ def representation_manifest(spark, sf_dir):
 
 @query("spectrum_output", _S + "SELECT idx, scale, round(value, 6) AS value, round(energy / sum(energy) OVER (), 6) AS energy_ratio FROM sp")
 def spectrum_output(spark, sf_dir):
-    """A spectrum with its measures, saved and loaded."""
+    """A spectrum with its measures, saved as one array file and loaded by the columns that are asked for."""
+    npz.register(spark)
     s = spectrum(spark, sf_dir)
     total = s.agg(F.sum("energy").alias("total"))
-    saved = settled(s.join(total).select("idx", "scale", "value", (F.col("energy") / F.col("total")).alias("energy_ratio")).coalesce(1), shared_folder(spark, "outputs"), "spectrum")
+    path = f"{shared_folder(spark, 'outputs')}/spectrum.npz"
+    measured = s.join(total).select("idx", "scale", "value", "energy", (F.col("energy") / F.col("total")).alias("energy_ratio")).repartitionByRange(2, "idx").sortWithinPartitions("idx")
+    measured.write.format("npz").option("single", "true").option("meta.source", "gram").mode("append").save(path)
+    saved = spark.read.format("npz").schema("idx int, scale int, value double, energy_ratio double").load(path)
     return saved.select("idx", "scale", r6("value").alias("value"), r6("energy_ratio").alias("energy_ratio"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspan.functions.scripts import DOMINANT_SQL, dominant_script, length_bucket
-from strataspan.operators.curves import pair_statistics, r6, zscored
+from strataspan.operators.curves import DRAWS, p_sql, pair_statistics, permutation_pvalues, permutation_sql, r6, two_sided_p, zscored
 from strataspan.operators.orthography import sampled_similarity
 from strataspan.operators.spectrum import moments, orthogonal_basis
 from strataspan.plans.registry import query
@@ -314,6 +314,30 @@ def seed_records_query(spark, sf_dir):
     return seed_records(pairs, ["source", "seed"])
 
 
+def seed_tests(pairs: DataFrame, by: list[str], draws: int = DRAWS) -> DataFrame:
+    """(by, metric, n_dims, mean_rho, mean_p, std_rho, std_p, joint_rho, joint_p): Spearman's coefficient and p of each
+    variant's mean and deviation curves, and of both together, each standardised by the baseline, with a permutation p."""
+    each = pair_statistics(pairs, [*by, "metric", "aggregation"]).withColumn("p", two_sided_p("spearman", "n_points"))
+    of = lambda a, c: F.max(F.when(F.col("aggregation") == a, F.col(c)))
+    per = each.groupBy(*by, "metric").agg(of("mean", "n_points").alias("n_dims"), *[of(a, c).alias(f"{a}_{n}") for a in ("mean", "std") for c, n in (("spearman", "rho"), ("p", "p"))])
+    z = zscored(pairs, [*by, "metric", "aggregation"])
+    points = z.select(*by, "metric", "scale", F.col("aggregation").alias("feature"), *[F.round(c, 9).alias(c) for c in ("r", "t")])
+    joint = pair_statistics(points, [*by, "metric"]).select(*by, "metric", F.col("spearman").alias("joint_rho"))
+    return per.join(joint, [*by, "metric"]).join(permutation_pvalues(points, [*by, "metric"], draws).withColumnRenamed("p", "joint_p"), [*by, "metric"])
+
+
+@query("seed_tests", _AGAINST + f""", sp_ AS (SELECT * FROM ab_ WHERE source IN ('permutation', 'length_bucket')), {_stats_sql('sp_', 'k')},
+zf_ AS (SELECT split_part(k, '|', 1) AS source, CAST(split_part(k, '|', 2) AS BIGINT) AS seed, metric, scale, aggregation AS feature, round(r, 9) AS r, round(t, 9) AS t FROM z_), {permutation_sql('zf_', ['source', 'seed', 'metric'], DRAWS)}
+SELECT p.source, p.seed, p.metric, a.n AS n_dims, round(a.rho, 5) AS mean_rho, {p_sql('a.rho')} AS mean_p, round(b.rho, 5) AS std_rho, {p_sql('b.rho')} AS std_p, round(j.rho, 5) AS joint_rho, round(p.p, 9) AS joint_p
+FROM pp_ p JOIN st_ a ON a.k = p.source || '|' || p.seed AND a.metric = p.metric AND a.aggregation = 'mean' JOIN st_ b ON b.k = a.k AND b.metric = p.metric AND b.aggregation = 'std' JOIN jt_ j ON j.k = a.k AND j.metric = p.metric""")
+def seed_tests_query(spark, sf_dir):
+    """Every seeded control against the full partitions, with the p of each coefficient."""
+    pairs = against_baseline(entropy_results(spark, sf_dir)).where(F.col("source").isin("permutation", "length_bucket"))
+    rows = seed_tests(pairs, ["source", "seed"])
+    digits = {"mean_rho": 5, "std_rho": 5, "joint_rho": 5, "mean_p": 6, "std_p": 6, "joint_p": 9}
+    return rows.select("source", "seed", "metric", "n_dims", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
 @query("stability_vs_full", _AGAINST + f", sp_ AS (SELECT * FROM ab_ WHERE source LIKE 'stability%'), {_stats_sql('sp_', 'k')} " + _record_sql("k", "split_part(k, '|', 1) AS setting"))
 def stability_vs_full(spark, sf_dir):
     """Partitions under other noise rules against the full ones."""
@@ -419,7 +443,7 @@ def metric_schedule(spark, sf_dir):
 
 # ---- case studies
 
-ASKED = 100
+ASKED = 50
 
 
 def case_study(parts: DataFrame, text: DataFrame, asked: DataFrame) -> DataFrame:
