@@ -18,9 +18,9 @@ from strataspan.sources.store import RunPolicy, settled, shared_folder
 from strataspan.sources.tables import SCALES, SEEDS
 from strataspan.sources.tasks import Report, TaskStore, config_hash
 
-TASK_KEY = T.StructType.fromDDL("source string, seed long, scale int")
-PARTITION_ROWS = T.StructType.fromDDL("token_id long, cluster_id long")
-METRIC_ROWS = T.StructType.fromDDL("metric string, component string, aggregation string, value double")
+TASK_KEY = T.StructType().add("source", "string").add("seed", "long").add("scale", "integer")
+PARTITION_ROWS = T.StructType().add("token_id", "long").add("cluster_id", "long")
+METRIC_ROWS = T.StructType().add("metric", "string").add("component", "string").add("aggregation", "string").add("value", "double")
 PLAIN = ("baseline", *(f"stability_{m}" for m in MARGINS))
 CONTROLS = ("permutation", "length_bucket")
 #: A width that no matrix here has: its tasks fail, and are reported.

@@ -23,7 +23,7 @@ from strataspan.sources.store import RunPolicy, Store, settled, shared_folder
 
 STATUSES = ("computed", "reused", "failed")
 #: Columns of a manifest beside the key.
-ENTRY = "task string, config_hash string, path string, n_rows long, digest long, run_id string"
+ENTRY = T.StructType().add("task", "string").add("config_hash", "string").add("path", "string").add("n_rows", "long").add("digest", "long").add("run_id", "string")
 
 
 def same(a: str, b: str, key: list[str]) -> Column:
@@ -68,7 +68,7 @@ class TaskStore:
 
     def manifest(self) -> DataFrame:
         """(key, task, config_hash, path, n_rows, digest, run_id) of the finished tasks."""
-        shape = T.StructType([*self.key_schema.fields, *T.StructType.fromDDL(ENTRY).fields])
+        shape = T.StructType([*self.key_schema.fields, *ENTRY.fields])
         if not self.store.has("manifest"):
             return self.spark.createDataFrame([], shape)
         return self.spark.read.schema(shape).parquet(self.manifest_path)
@@ -95,7 +95,7 @@ class TaskStore:
 
     def _plan(self, tasks: DataFrame, policy: RunPolicy, folder: str) -> DataFrame:
         """(key, task, config_hash, have): ``have`` is the manifest's row of a task that is to be reused."""
-        entry = F.struct(*T.StructType.fromDDL(ENTRY).fieldNames())
+        entry = F.struct(*ENTRY.fieldNames())
         have = self.manifest().select(F.col("task").alias("__task"), entry.alias("have"))
         planned = settled(tasks.select(*self.key, "config_hash", self._task()).join(have, F.col("task") == F.col("__task"), "left").drop("__task"), folder, "planned")
         twice = planned.groupBy("task").count().where("count > 1").first()
