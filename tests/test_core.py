@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", ["os_cluster_sampled", "pvalues", "permutation_pvalue", "adjusted_mutual_information", "smoothed_elbows", "projection_rho"])
+@pytest.mark.parametrize("name", ["os_cluster_sampled", "adjusted_mutual_information", "smoothed_elbows", "projection_rho"])
 def test_query_without_sql_runs(spark, sf, name):
     assert entry.CORE_QUERIES[name](spark, sf).count() > 0
 
@@ -177,15 +177,30 @@ def test_a_query_means_one_curve(spark):
         spark.createDataFrame([("1",)], "t string").select(manifests.boolean(F.col("t"))).collect()
 
 
-def test_permutation_p_by_plain_draws():
-    rng = np.random.default_rng(4)
-    r, t = rng.random((6, 2)), rng.random((6, 2))
-    ranks = lambda m: curves.rank_average(m.reshape(-1))
-    observed = abs(np.corrcoef(ranks(r), ranks(t))[0, 1])
+def test_permutation_p_by_all_orders(spark):
     import itertools
 
-    every = [abs(np.corrcoef(ranks(r), ranks(t[list(p)]))[0, 1]) >= observed - 1e-12 for p in itertools.permutations(range(6))]
-    assert curves.permutation_pvalue(r, t, 40_000) == pytest.approx(np.mean(every), abs=0.01)
+    rng = np.random.default_rng(4)
+    shapes = {"a": rng.random((6, 2)), "b": rng.random((6, 2))}, {"a": rng.random((6, 2)), "b": np.ones((6, 2))}
+    rows = [(g, k, f"f{f}", float(r[g][k, f]), float(t[g][k, f])) for r, t in [shapes] for g in r for k in range(6) for f in range(2)]
+    df = spark.createDataFrame(rows, "g string, scale int, feature string, r double, t double")
+    got = {r["g"]: r for r in curves.permutation_pvalues(df, ["g"], 20_000).collect()}
+    rank = lambda m: np.array(__import__("pandas").Series(m.reshape(-1)).rank())
+    r, t = shapes[0]["a"], shapes[1]["a"]
+    observed = abs(np.corrcoef(rank(r), rank(t))[0, 1])
+    every = [abs(np.corrcoef(rank(r), rank(t[list(p)]))[0, 1]) >= observed - 1e-12 for p in itertools.permutations(range(6))]
+    assert got["a"]["p"] == pytest.approx(np.mean(every), abs=0.01) and got["a"]["n_draws"] == 20_000
+    assert got["b"]["p"] is None  # a constant target
+    again = curves.permutation_pvalues(df.repartition(3), ["g"], 20_000).where("g = 'a'").first()["p"]
+    assert again == got["a"]["p"] and curves.permutation_pvalues(df.where("g = 'c'"), ["g"], 10).count() == 0
+
+
+def test_pearson_of_large_close_values(spark):
+    rng = np.random.default_rng(2)
+    x, y = 1e8 + 0.001 * rng.integers(0, 9, 9), 1e8 + 0.001 * rng.integers(0, 9, 9)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    assert df.agg(curves.safe_corr("x", "y")).first()[0] == pytest.approx(np.corrcoef(x - 1e8, y - 1e8)[0, 1], abs=1e-3)
+    assert df.select("x", F.lit(1.0).alias("y")).agg(curves.safe_corr("x", "y")).first()[0] is None
 
 
 # ---- schedules and saved results
@@ -220,6 +235,19 @@ def test_nearest_partitions_by_plain_distances(spark, sf):
         assert (f.sort_values("token_id").cluster_id.to_numpy() == np.array(names)[d.argmin(1)] - 1).all()
 
 
+def test_nearest_partitions_block_by_block(spark, sf, monkeypatch):
+    rows = schedule.labelled_matrix(spark, sf)
+    both = rows.withColumn("seed", F.lit(1)).unionByName(rows.withColumn("seed", F.lit(2)).withColumn("features", F.transform("features", lambda x: -x)))
+    sorted_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want, seeded = sorted_rows(schedule.nearest_partitions(rows, {"a": 1.0, "b": 0.9})), sorted_rows(schedule.nearest_partitions(both, {"a": 1.0}))
+    monkeypatch.setattr(schedule, "CENTRE_BYTES", 1500)  # a few means a block
+    assert sorted_rows(schedule.nearest_partitions(rows, {"a": 1.0, "b": 0.9})) == want
+    assert sorted_rows(schedule.nearest_partitions(both, {"a": 1.0})) == seeded
+    plain = {(r[2], r[3]): r[4] for r in want if r[0] == "a"}
+    assert all(plain[r[2], r[3]] == r[4] for r in seeded)  # turning all signs changes no distance
+    assert schedule.nearest_partitions(rows, {"a": 1.0}, (128,)).count() == 0 and schedule.nearest_partitions(rows.where("row_id < 0"), {"a": 1.0}).count() == 0
+
+
 def test_metric_schedule_by_plain_scores(spark, sf):
     got = {(r["source"], r["scale"], r["metric"], r["aggregation"]): r["value"] for r in schedule.metric_schedule(spark, sf).where("source = 'baseline'").collect()}
     text = {r["token_id"]: r for r in schedule.tokens(spark, sf).collect()}
@@ -281,13 +309,13 @@ def test_bundles_and_layouts(spark, sf):
     from strataspan.sources.store import shared_folder
 
     root = shared_folder(spark, "test")
-    outputs.write_bundle(spectrum.matrix(spark, sf), 4, f"{root}/b")
-    assert outputs.check_bundle(spark, f"{root}/b", 4).first()["n_features"] == 4
+    outputs.write_bundles(spectrum.matrix(spark, sf), (4, 8), root)
+    assert outputs.check_bundle(spark, f"{root}/scale=4", 4).first()["n_features"] == 4
     with pytest.raises(Exception, match="do not fit"):
-        outputs.check_bundle(spark, f"{root}/b", 8).collect()
+        outputs.check_bundle(spark, f"{root}/scale=4", 8).collect()
     spark.range(2).write.parquet(f"{root}/s")
     with pytest.raises(FileExistsError):
-        outputs.publish(spark, f"{root}/s", f"{root}/b")
+        outputs.publish(spark, f"{root}/s", f"{root}/scale=8")
     lost = spark.createDataFrame([("r", 2, 5)], "run_id string, scale int, n_total long")
     assert outputs.control_names(lost, 3).first()["partition_path"] == "controls/seed3/r"
 
@@ -296,8 +324,8 @@ def test_p_values():
     assert curves.t_two_sided(0.8, 4) == pytest.approx(0.2)
     assert curves.t_two_sided(0.5, 12) == pytest.approx(0.0979, abs=1e-4)
     assert curves.incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248)
-    x = np.arange(8.0)[:, None]
-    assert curves.permutation_pvalue(x, x, 500) < 0.01 and curves.permutation_pvalue(x, x[[3, 0, 6, 1, 7, 2, 5, 4]], 300) > 0.05
+    for r in (-0.9, 0.3, 0.7):  # the closed form of four degrees of freedom, which the SQL has
+        assert curves.t_two_sided(r, 6) == pytest.approx(1 - abs(r) * (3 - r * r) / 2)
 
 
 def test_permutations(spark, sf):
