@@ -7,7 +7,10 @@ is the sum over its words, and its language the best one.
 
 Every word of every text is scored whole, whatever its length: in scripts without spaces a word is a sentence or more.
 The forward pass keeps the sums of the last positions only and scales them, so its memory does not grow with the
-word. Equal words are scored once per block and kept in a bounded table of the task.
+word. Long words are cut first, at the places that no piece in them reaches across: every segmentation has a border
+there, so the sums of the parts multiply. Equal words, and equal parts of long ones, are scored once per block and kept
+in bounded tables of the task. A run of some ten thousand letters of a script with long pieces, and no place to cut it,
+takes a step of the pass a position, some seconds for a megabyte.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when no row has a
 language. Ties go to the language first in order. A text is ``lang_known`` if its best language explains it better than
@@ -33,6 +36,8 @@ PER_LANG, FIT_RUN, REMEMBER = 400, 4096, 1 << 20
 #: Words up to this size are scored beside others of equal size, longer ones beside others of similar size; steps
 #: between two scalings; bytes whose pieces are looked up at once.
 SHORT_WORD, SCALE_EVERY, LOOKUP = 40, 16, 1 << 16
+#: Bytes by which longer pieces are looked for first.
+HEAD = 4
 ROUNDS, FLOOR = 6, 1e-6
 UND = "und"
 
@@ -75,6 +80,32 @@ class Pieces:
             tab[slot[::-1]] = left[::-1]
             left = left[tab[slot] != left]
         self.rest = {int(self.keys[i]): int(i) for i in left}
+        #: Whether pieces of several bytes begin with a character, and which first bytes the longer ones have.
+        self.at_characters = all(len(p) == 1 or p[0] & 0xC0 != 0x80 for p in pieces)
+        self.heads = np.zeros(1 << bits, bool)
+        long = np.flatnonzero(size >= HEAD)
+        self.heads[self._slot(span_hash(prefix_hash(raw), (end - size)[long], (end - size)[long] + HEAD), 64 - bits)] = True
+
+    def cuts(self, raw: np.ndarray) -> np.ndarray:
+        """Ascending places from 0 to the end of some bytes that no piece in them reaches across: whatever the
+        segmentation, it has a border there."""
+        n = len(raw)
+        prefix = prefix_hash(raw)
+        begin = np.flatnonzero(raw & 0xC0 != 0x80) if self.at_characters else np.arange(n)
+        starts, ends = [], []
+        for k in range(2, self.longest + 1):
+            begin = begin[begin + k <= n]
+            if k == HEAD:
+                begin = begin[self.heads[self._slot(span_hash(prefix, begin, begin + HEAD), 64 - self.bits)]]
+            if not len(begin):
+                break
+            hit = begin[self.find(span_hash(prefix, begin, begin + k)) >= 0]
+            starts.append(hit + 1)
+            ends.append(hit + k)
+        over = np.zeros(n + 1, np.int64)
+        if starts:
+            over += np.bincount(np.concatenate(starts), minlength=n + 1) - np.bincount(np.concatenate(ends), minlength=n + 1)
+        return np.flatnonzero(np.cumsum(over) == 0)
 
     def _slot(self, h: np.ndarray, shift: int) -> np.ndarray:
         return ((h >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -230,8 +261,8 @@ def runs(folded: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray
 
 
 def alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(row numbers, matrix of bytes with a leading space, sizes) of long spans, those of similar sizes together."""
-    size = ends - starts + 1
+    """(row numbers, matrix of bytes, sizes) of long spans, those of similar sizes together."""
+    size = ends - starts
     order = np.argsort(size, kind="stable")
     lo = 0
     while lo < len(order):
@@ -240,9 +271,8 @@ def alike(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
             hi += 1
         rows = order[lo:hi]
         body = np.zeros((len(rows), int(size[rows].max())), np.uint8)
-        body[:, 0] = 32
         for k, i in enumerate(rows.tolist()):
-            body[k, 1 : size[i]] = raw[starts[i] : ends[i]]
+            body[k, : size[i]] = raw[starts[i] : ends[i]]
         yield rows, body, size[rows]
         lo = hi
 
@@ -257,28 +287,21 @@ class Model:
         return Scorer(self)
 
 
-class Scorer:
-    """Scores texts in one task and remembers words."""
+class Memory:
+    """Scores by hash, in one task, up to REMEMBER of them."""
 
-    def __init__(self, model: Model):
-        self.m = model
-        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, len(model.langs) + 1), np.float32)
+    def __init__(self, width: int):
+        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
 
-    def _words(self, folded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        h = span_mix(folded, s, e)
+    def of(self, h: np.ndarray, score) -> np.ndarray:
+        """The scores of spans with hashes ``h``; ``score(i)`` makes those of the spans i, each a new one."""
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        values = np.empty((len(unique), len(self.m.langs) + 1), np.float32)
+        values = np.empty((len(unique), self.values.shape[1]), np.float32)
         at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
         have = self.known[at] == unique if len(self.known) else np.zeros(len(unique), bool)
         values[have] = self.values[at[have]]
         todo = np.flatnonzero(~have)
-        long = (e - s)[first[todo]] > SHORT_WORD
-        for rows, body in by_length(folded, s[first[todo[~long]]], e[first[todo[~long]]]):
-            for lo in range(0, len(rows), 1 << 14):
-                part = body[lo : lo + (1 << 14)]
-                values[todo[~long][rows[lo : lo + (1 << 14)]]] = forward(part, np.full(len(part), part.shape[1]), self.m.pieces, self.m.p)
-        for rows, body, sizes in alike(folded, s[first[todo[long]]], e[first[todo[long]]]):
-            values[todo[long][rows]] = forward(body, sizes, self.m.pieces, self.m.p)
+        values[todo] = score(first[todo])
         if len(self.known) + len(todo) > REMEMBER:
             self.known, self.values = unique, values
         elif len(todo):
@@ -287,6 +310,60 @@ class Scorer:
             self.known, self.values = keys[order], np.concatenate((self.values, values[todo]))[order]
         return values[inverse]
 
+
+class Scorer:
+    """Scores texts in one task and remembers words, and the parts of long ones."""
+
+    def __init__(self, model: Model):
+        self.m, self.width = model, len(model.langs) + 1
+        self.words, self.parts = Memory(self.width), Memory(self.width)
+
+    def _forward(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return forward(rows, sizes, self.m.pieces, self.m.p)
+
+    def _words(self, folded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        def score(at: np.ndarray) -> np.ndarray:
+            out = np.empty((len(at), self.width), np.float32)
+            long = (e - s)[at] > SHORT_WORD
+            short = np.flatnonzero(~long)
+            for rows, body in by_length(folded, s[at[short]], e[at[short]]):
+                for lo in range(0, len(rows), 1 << 14):
+                    part = body[lo : lo + (1 << 14)]
+                    out[short[rows[lo : lo + (1 << 14)]]] = self._forward(part, np.full(len(part), part.shape[1]))
+            if long.any():
+                out[long] = self._long(folded, s[at[long]], e[at[long]])
+            return out
+
+        return self.words.of(span_mix(folded, s, e), score)
+
+    def _long(self, folded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Long words, cut where no piece reaches across: a word's sum is the product of its parts' sums. In scripts
+        without spaces most parts are single characters, which come again and again."""
+        size = e - s + 1
+        ends = np.cumsum(size)
+        data = np.full(int(ends[-1]), 32, np.uint8)
+        for a, b, end in zip(s.tolist(), e.tolist(), ends.tolist()):
+            data[end - (b - a) : end] = folded[a:b]
+        cuts = self.m.pieces.cuts(data)  # words begin with a space, which pieces have at their beginning only
+        a, b = cuts[:-1], cuts[1:]
+
+        def score(at: np.ndarray) -> np.ndarray:
+            out = np.empty((len(at), self.width), np.float32)
+            long = (b - a)[at] > SHORT_WORD
+            short = np.flatnonzero(~long)
+            for k in np.unique((b - a)[at[short]]).tolist():
+                rows = short[(b - a)[at[short]] == k]
+                for lo in range(0, len(rows), 1 << 14):
+                    part = at[rows[lo : lo + (1 << 14)]]
+                    out[rows[lo : lo + (1 << 14)]] = self._forward(data[a[part][:, None] + np.arange(k)], np.full(len(part), k))
+            rest = np.flatnonzero(long)
+            for rows, body, sizes in alike(data, a[at[rest]], b[at[rest]]):
+                out[rest[rows]] = self._forward(body, sizes)
+            return out
+
+        values, word = self.parts.of(span_mix(data, a, b), score), np.searchsorted(ends, a, side="right")
+        return np.column_stack([np.bincount(word, values[:, k], minlength=len(s)) for k in range(self.width)])
+
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability [text, language, and of no language at last], words) of each text."""
         raw, offsets = utf8(column)

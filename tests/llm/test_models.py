@@ -300,3 +300,30 @@ def test_op2_odd_rows_and_several_passes(spark, odd, none):
     assert decontaminate.find_spans(clash, items, max_query_words=20).columns == decontaminate.find_spans(clash, items).columns
     assert decontaminate.find_spans(none, items).count() == 0
     assert all(r["n_hit"] == 0 for r in decontaminate.find_spans(odd, items.where("item_id > 9")).collect())
+
+
+def test_op9_long_words_are_cut_without_changing_their_sums():
+    import time
+
+    import public_tokenizers
+
+    rng = np.random.default_rng(3)
+    pieces = language_id.Pieces(names := language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    p = rng.random((pieces.n, 2))
+    model = language_id.Model(["a", "b"], pieces, p / p.sum(0))
+    han = [chr(c) for c in range(0x4E00, 0x5200)]
+    mixed = han + [chr(c) for c in range(0x3041, 0x3090)] + list("abcdeonth")
+    texts = ["".join(rng.choice(k, n)) for k in (han, mixed, list("thedonau")) for n in (14, 60, 700)] + ["the " + "donaudampfschiff" * 9 + " und 漢字", None, ""]
+    got, words = model.scorer().score(pa.array(texts))
+    for text, row, n in zip(texts, got, words):
+        folded = language_id._LETTERS[np.frombuffer((text or "").encode(), np.uint8)]
+        spans = b"".join(bytes([b or 32]) for b in folded.tolist()).split()
+        each = [language_id.forward(np.frombuffer(b" " + w, np.uint8)[None, :], np.array([len(w) + 1]), pieces, model.p)[0] for w in spans]
+        assert n == len(spans) and np.allclose(row, np.sum(each, axis=0) if each else 0, rtol=1e-6, atol=1e-4)
+    # a cut is where no piece that is found reaches across
+    small = np.frombuffer((" the" + texts[0][:6]).encode(), np.uint8)
+    crossed = {i for name in set(names) if len(name) > 1 for j in range(len(small)) if small[j : j + len(name)].tobytes() == name for i in range(j + 1, j + len(name))}
+    assert pieces.cuts(small).tolist() == [i for i in range(len(small) + 1) if i not in crossed]
+    began = time.time()
+    model.scorer().score(pa.array(["".join(rng.choice(han, 350_000))]))
+    assert time.time() - began < 30  # a megabyte without a space
