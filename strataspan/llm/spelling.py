@@ -79,16 +79,30 @@ def choose_pivots(starts: list[int], weights: list[int], k: int = EDITS + 1) ->
     return list(best[k][n][1])
 
 
-def keys_of(word: str, ranks: dict[str, int]) -> tuple[list[str], list[str], int]:
-    """Keys of a word's pivots, keys of its prefix, and the order of the prefix's last gram. The prefix also has the grams
-    that are the same as its last. A key is a gram with all that is before it, or all that is after it."""
+def keys_of(word: str, at: list[int], asked: bool) -> list[str]:
+    """Keys of the grams that start ``at`` these places.
+
+    A gram that one edit leaves whole has all of the word on one of its sides unchanged with it. The edit is in the rest,
+    in its first half, so that the second stays, or in its second; a key has the unchanged side, gram included, and one
+    such half. Words that are ``asked`` for halve the rest by the length it has in them, one more and one less."""
+    out = []
+    for k in at:
+        for side, whole, rest in (("<", word[: k + GRAM], word[k + GRAM :]), (">", word[k:], word[:k])):
+            n = len(rest)
+            lengths = range(max(0, n - EDITS), n + EDITS + 1) if asked else (n,)
+            out += [f"{side}{whole}^{rest[:m]}" for m in {x // 2 for x in lengths} if m <= n]
+            out += [f"{side}{whole}${rest[n - m:]}" for m in {(x + 1) // 2 for x in lengths} if m <= n]
+    return out
+
+
+def grams_of(word: str, ranks: dict[str, int]) -> tuple[list[int], list[int], int]:
+    """Where a word's pivots start, where the grams of its prefix do, and the order of the prefix's last gram. The prefix
+    also has the grams that are the same as its last."""
     grams = sorted((ranks[a + b], k) for k, (a, b) in enumerate(pairwise(word)))
     last = grams[PREFIX - 1][0]
-    prefix = sorted(k for r, k in grams[:PREFIX])
-    order = {k: r for r, k in grams}
-    pivots = [prefix[k] for k in choose_pivots(prefix, [order[k] for k in prefix])]
-    ends = lambda at: [x for k in at for x in (f"<{word[:k + GRAM]}", f">{word[k:]}")]
-    return ends(pivots), ends([k for r, k in grams if r <= last]), last
+    first = sorted((k, r) for r, k in grams[:PREFIX])
+    pivots = choose_pivots([k for k, _ in first], [r for _, r in first])
+    return [first[k][0] for k in pivots], [k for r, k in grams if r <= last], last
 
 
 def gram_ranks(words: DataFrame) -> dict[str, int]:
@@ -107,8 +121,8 @@ def _ends(words: DataFrame, ranks: dict[str, int], pivots: bool) -> DataFrame:
         for batch in batches:
             ends, words, ns, lasts = [], [], [], []
             for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist()):
-                *keys, last = keys_of(word, ranks)
-                for key in keys[0 if pivots else 1]:
+                *at, last = grams_of(word, ranks)
+                for key in keys_of(word, at[0 if pivots else 1], not pivots):
                     ends.append(key)
                     words.append(word)
                     ns.append(n)
