@@ -134,6 +134,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
+def ranked_sets(each: DataFrame, often: DataFrame) -> DataFrame:
+    """(rep, n, x): each set's signatures with their counts, rarest first, from (rep, n, s) and (s, c). ``often`` is a
+    written table, so that it has an exchange of its own and the adaptive join can split the sets of a hot signature."""
+    return each.join(often, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
+
+
 def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) of rows whose signature sets are linked by a likeness of ``threshold`` or more.
 
@@ -148,8 +154,7 @@ def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = settled(signed)
     nodes = settled(signed.groupBy("h").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")))
     each = nodes.select("rep", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
-    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    ranked = each.join(often, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("x"))
+    ranked = ranked_sets(each, settled(each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))))
     prefix = F.slice("x", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
     # sets of lengths within a factor t lie in one length partition or in two neighbouring ones
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")

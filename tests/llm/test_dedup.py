@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspan.llm import minhash, spotsigs, suffix_dedup
+from strataspan.llm.common import Settled
 from strataspan.llm.components import components
 from strataspan.llm.line_dedup import line_dedup
 
@@ -63,6 +64,13 @@ def test_op3_a_line_of_many_documents_is_split(spark, split_joins):
     assert split_joins(lambda: line_dedup(docs.repartition(8)))
 
 
+def test_a_signature_of_many_sets_is_split(spark, split_joins):
+    own = F.sha2(F.col("id").cast("string"), 256)
+    each = spark.range(9000).select(F.col("id").alias("rep"), F.lit(2).alias("n"), F.explode(F.array(F.lit("a signature that all sets have, " * 4), own)).alias("s")).repartition(8)
+    often = Settled(spark)(each.groupBy("s").agg(F.count(F.lit(1)).alias("c")))
+    assert split_joins(lambda: spotsigs.ranked_sets(each, often))
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
