@@ -26,8 +26,10 @@ class Task:
     seed: int | None = None
 
     def __post_init__(self):
-        if self.scale <= 0:
-            raise ValueError("a scale is positive")
+        if type(self.scale) is not int or self.scale <= 0:
+            raise ValueError("a scale is a positive integer")
+        if self.seed is not None and (type(self.seed) is not int or self.seed < 0):
+            raise ValueError("a seed is an integer, not negative")
         if (self.seed_type is None) != (self.seed is None):
             raise ValueError("seed and seed_type are given together")
 
