@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataspan.operators.results import METRIC_SQL, metric_results
 from strataspan.plans.registry import query
-from strataspan.sources.tables import METRIC_SQL, SEEDS, metric_results
+from strataspan.sources.tables import SEEDS
 
 _M = f"WITH {METRIC_SQL} "
 NEAR_ZERO = 1e-12
@@ -62,9 +63,9 @@ def metric_results_query(spark, sf_dir):
     return metric_results(spark, sf_dir).select("metric", "scale", variant(), "aggregation", r6("value").alias("value"))
 
 
-@query("curve_select", _M + "SELECT CAST(scale AS INT) AS scale, round(value, 6) AS value FROM mr WHERE metric = 'energy' AND aggregation = 'mean' AND seed IS NOT DISTINCT FROM NULL")
+@query("curve_select", _M + "SELECT CAST(scale AS INT) AS scale, round(value, 6) AS value FROM mr WHERE metric = 'script' AND aggregation = 'mean' AND seed IS NOT DISTINCT FROM NULL")
 def curve_select(spark, sf_dir):
-    return strict_curve(metric_results(spark, sf_dir), "energy", "mean").select("scale", r6("value").alias("value"))
+    return strict_curve(metric_results(spark, sf_dir), "script", "mean").select("scale", r6("value").alias("value"))
 
 
 @query("curve_ids", _CURVES + "SELECT curve, sha256(curve) AS curve_id, CAST(count(*) AS BIGINT) AS n_points, CAST(min(scale) AS INT) AS first_scale, CAST(max(scale) AS INT) AS last_scale FROM cv GROUP BY curve")
@@ -95,10 +96,10 @@ def unmatched(reference: DataFrame, target: DataFrame) -> DataFrame:
 
 def _short(results: DataFrame) -> DataFrame:
     """A curve that lacks the smallest and has no value over 32: alignment has something to leave out."""
-    return curve(results, "energy", "mean", 0).where("scale BETWEEN 4 AND 32")
+    return curve(results, "script", "mean", 0).where("scale BETWEEN 4 AND 32")
 
 
-_TWO = _M + ", ref AS (SELECT scale, value FROM mr WHERE metric = 'energy' AND aggregation = 'mean' AND seed IS NULL), tgt AS (SELECT scale, value FROM mr WHERE metric = 'energy' AND aggregation = 'mean' AND seed = 0), short_ AS (SELECT * FROM tgt WHERE scale BETWEEN 4 AND 32) "
+_TWO = _M + ", ref AS (SELECT scale, value FROM mr WHERE metric = 'script' AND aggregation = 'mean' AND seed IS NULL), tgt AS (SELECT scale, value FROM mr WHERE metric = 'script' AND aggregation = 'mean' AND seed = 0), short_ AS (SELECT * FROM tgt WHERE scale BETWEEN 4 AND 32) "
 _VALUES = "CAST(ref.scale AS INT) AS scale, round(ref.value, 6) AS reference_value, round(t.value, 6) AS target_value"
 
 
@@ -109,25 +110,25 @@ def _rounded(pair: DataFrame) -> DataFrame:
 @query("align_exact", _TWO + f"SELECT {_VALUES} FROM ref JOIN tgt t ON ref.scale = t.scale")
 def align_exact(spark, sf_dir):
     m = metric_results(spark, sf_dir)
-    return _rounded(align(curve(m, "energy", "mean"), curve(m, "energy", "mean", 0), "exact"))
+    return _rounded(align(curve(m, "script", "mean"), curve(m, "script", "mean", 0), "exact"))
 
 
 @query("align_intersection", _TWO + f"SELECT {_VALUES} FROM ref JOIN short_ t ON ref.scale = t.scale")
 def align_intersection(spark, sf_dir):
     m = metric_results(spark, sf_dir)
-    return _rounded(align(curve(m, "energy", "mean"), _short(m), "intersection"))
+    return _rounded(align(curve(m, "script", "mean"), _short(m), "intersection"))
 
 
 @query("align_reference", _TWO + f"SELECT {_VALUES.replace('t.value', 'x').replace('ref.', 't.').replace('round(x', 'round(ref.value')} FROM short_ t LEFT JOIN ref ON ref.scale = t.scale")
 def align_reference(spark, sf_dir):
     m = metric_results(spark, sf_dir)
-    return _rounded(align(_short(m), curve(m, "energy", "mean"), "reference"))
+    return _rounded(align(_short(m), curve(m, "script", "mean"), "reference"))
 
 
 @query("outer_mismatch", _TWO + "SELECT CAST(coalesce(ref.scale, t.scale) AS INT) AS scale, CASE WHEN t.scale IS NULL THEN 'reference' ELSE 'target' END AS side FROM ref FULL JOIN short_ t ON ref.scale = t.scale WHERE ref.scale IS NULL OR t.scale IS NULL")
 def outer_mismatch(spark, sf_dir):
     m = metric_results(spark, sf_dir)
-    return unmatched(curve(m, "energy", "mean"), _short(m))
+    return unmatched(curve(m, "script", "mean"), _short(m))
 
 
 @query("pivot_mean_std", _M + "SELECT metric, CAST(scale AS INT) AS scale, coalesce(CAST(seed AS VARCHAR), 'baseline') AS variant, round(max(value) FILTER (WHERE aggregation = 'mean'), 6) AS mean, round(max(value) FILTER (WHERE aggregation = 'std'), 6) AS std FROM mr GROUP BY metric, scale, seed")
@@ -213,9 +214,9 @@ def reference_only(spark, sf_dir):
 
 
 for _name, _digits in (("pearson", 5), ("spearman", 5), ("mae", 6), ("r2", 5)):
-    @query(_name, _REF + f"SELECT CAST(seed AS BIGINT) AS seed, round({_name}, {_digits}) AS value FROM st WHERE metric = 'energy' AND aggregation = 'mean'")
+    @query(_name, _REF + f"SELECT CAST(seed AS BIGINT) AS seed, round({_name}, {_digits}) AS value FROM st WHERE metric = 'script' AND aggregation = 'mean'")
     def _statistic(spark, sf_dir, name=_name, digits=_digits):
-        pairs = reference_pairs(metric_results(spark, sf_dir)).where("metric = 'energy' AND aggregation = 'mean'")
+        pairs = reference_pairs(metric_results(spark, sf_dir)).where("metric = 'script' AND aggregation = 'mean'")
         return pair_statistics(pairs, ["seed"]).select("seed", F.round(name, digits).alias("value"))
 
 
@@ -278,12 +279,12 @@ def joint_mean(spark, sf_dir):
     return z.groupBy("seed").agg(F.count(F.lit(1)).alias("n_points"), F.round(safe_corr("r", "t"), 5).alias("joint_pearson"))
 
 
-@query("weighted_mean", _REF + "SELECT CAST(seed AS BIGINT) AS seed, CAST(scale AS INT) AS scale, round(sum(CASE metric WHEN 'energy' THEN 0.75 ELSE 0.25 END * r), 6) AS r, round(sum(CASE metric WHEN 'energy' THEN 0.75 ELSE 0.25 END * t), 6) AS t FROM rp WHERE aggregation = 'mean' GROUP BY seed, scale")
+@query("weighted_mean", _REF + "SELECT CAST(seed AS BIGINT) AS seed, CAST(scale AS INT) AS scale, round(sum(CASE metric WHEN 'script' THEN 0.75 ELSE 0.25 END * r), 6) AS r, round(sum(CASE metric WHEN 'script' THEN 0.75 ELSE 0.25 END * t), 6) AS t FROM rp WHERE aggregation = 'mean' GROUP BY seed, scale")
 def weighted_mean(spark, sf_dir, weights: tuple[float, float] = (3.0, 1.0)):
     """The weighted mean of the features of a scale, weights divided by their sum."""
     if any(not math.isfinite(w) or w < 0 for w in weights) or sum(weights) <= 0:
         raise ValueError("weights are finite, not negative, and not all zero")
-    w = F.when(F.col("metric") == "energy", weights[0] / sum(weights)).otherwise(weights[1] / sum(weights))
+    w = F.when(F.col("metric") == "script", weights[0] / sum(weights)).otherwise(weights[1] / sum(weights))
     p = reference_pairs(metric_results(spark, sf_dir)).where("aggregation = 'mean'")
     return p.groupBy("seed", "scale").agg(r6(F.sum(w * F.col("r"))).alias("r"), r6(F.sum(w * F.col("t"))).alias("t"))
 

@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from strataspan.operators.curves import r6
 from strataspan.operators.manifests import boolean, variant
+from strataspan.operators.results import METRIC_SQL, metric_results
 from strataspan.plans.registry import query
 from strataspan.sources.store import RunPolicy, Store, shared_folder
-from strataspan.sources.tables import METRIC_SQL, PARTITION, PARTITION_SQL, metric_results, partition
+from strataspan.sources.tables import PARTITION, PARTITION_SQL, partition
 
 _LONG = f"WITH {METRIC_SQL} SELECT metric, CAST(scale AS INT) AS scale, coalesce(CAST(seed AS VARCHAR), 'baseline') AS variant, aggregation, round(value, 6) AS value, FALSE AS reused FROM mr"
 

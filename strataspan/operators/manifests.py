@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from strataspan.operators.curves import r6
 from strataspan.operators.partitions import sizes
+from strataspan.operators.results import METRIC_SQL, metric_results
 from strataspan.plans.registry import query
-from strataspan.sources.tables import METRIC_SQL, PARTITION_B_SQL, PARTITION_SQL, SCALES, SEEDS, TASK_KEY, metric_results, partition, partition_b
+from strataspan.sources.tables import PARTITION_B_SQL, PARTITION_SQL, SCALES, SEEDS, TASK_KEY, partition, partition_b
 
 _M = f"WITH {METRIC_SQL} "
 _VARIANT = "coalesce(CAST(seed AS VARCHAR), 'baseline') AS variant"
@@ -92,10 +93,10 @@ def run_report(spark, sf_dir):
     return rows.groupBy("metric").agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("computed", "reused", "failed")])
 
 
-@query("common_seeds", _M + "SELECT DISTINCT CAST(a.seed AS BIGINT) AS seed FROM mr a WHERE a.metric = 'energy' AND a.seed IS NOT NULL AND a.seed IN (SELECT seed FROM mr WHERE metric = 'spread')")
+@query("common_seeds", _M + "SELECT DISTINCT CAST(a.seed AS BIGINT) AS seed FROM mr a WHERE a.metric = 'script' AND a.seed IS NOT NULL AND a.seed IN (SELECT seed FROM mr WHERE metric = 'length')")
 def common_seeds(spark, sf_dir):
     m = metric_results(spark, sf_dir).where("seed IS NOT NULL")
-    return m.where("metric = 'energy'").select("seed").intersect(m.where("metric = 'spread'").select("seed"))
+    return m.where("metric = 'script'").select("seed").intersect(m.where("metric = 'length'").select("seed"))
 
 
 @query("wide_summary", _M + f"""SELECT metric, {_VARIANT}, CAST(count(DISTINCT aggregation) AS BIGINT) AS n_aggregations, count(DISTINCT aggregation) = 3 AS complete,
@@ -116,7 +117,7 @@ def uniqueness_guard(spark, sf_dir):
 def union_results(spark, sf_dir):
     """The tables of two metrics under one another, then counted."""
     m = metric_results(spark, sf_dir)
-    return united([m.where("metric = 'energy'"), m.where("metric = 'spread'")], [*TASK_KEY, "partition_method", "metric", "component", "aggregation", "scope"]).groupBy("metric", "aggregation").agg(F.sum("one").alias("n"))
+    return united([m.where("metric = 'script'"), m.where("metric = 'length'")], [*TASK_KEY, "partition_method", "metric", "component", "aggregation", "scope"]).groupBy("metric", "aggregation").agg(F.sum("one").alias("n"))
 
 
 def united(tables: list[DataFrame], key: list[str]) -> DataFrame:
@@ -133,27 +134,27 @@ def runs_by_config(spark, sf_dir):
     return metric_results(spark, sf_dir).groupBy("metric", "aggregation").agg(F.array_join(F.array_sort(F.collect_set("scale")), ",").alias("scales"), F.count(F.lit(1)).alias("n_runs"))
 
 
-@query("projection_cluster_stats", _M + """SELECT CAST(scale AS INT) AS scale, CAST(count(DISTINCT seed) AS BIGINT) AS n_seeds, round(avg(value) FILTER (WHERE metric = 'energy'), 6) AS mean_energy,
-round(stddev_samp(value) FILTER (WHERE metric = 'energy'), 6) + 0.0 AS std_energy, round(avg(value) FILTER (WHERE metric = 'spread'), 6) AS mean_spread, round(stddev_samp(value) FILTER (WHERE metric = 'spread'), 6) + 0.0 AS std_spread FROM mr WHERE aggregation = 'mean' AND seed IS NOT NULL GROUP BY scale""")
+@query("projection_cluster_stats", _M + """SELECT CAST(scale AS INT) AS scale, CAST(count(DISTINCT seed) AS BIGINT) AS n_seeds, round(avg(value) FILTER (WHERE metric = 'script'), 6) AS mean_script,
+round(stddev_samp(value) FILTER (WHERE metric = 'script'), 6) + 0.0 AS std_script, round(avg(value) FILTER (WHERE metric = 'length'), 6) AS mean_length, round(stddev_samp(value) FILTER (WHERE metric = 'length'), 6) + 0.0 AS std_length FROM mr WHERE aggregation = 'mean' AND seed IS NOT NULL GROUP BY scale""")
 def projection_cluster_stats(spark, sf_dir):
     rows = metric_results(spark, sf_dir).where("aggregation = 'mean' AND seed IS NOT NULL")
     of = lambda m: F.when(F.col("metric") == m, F.col("value"))
-    return rows.groupBy("scale").agg(F.count_distinct("seed").alias("n_seeds"), *[r6(f(of(m))).alias(f"{n}_{m}") for m in ("energy", "spread") for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    return rows.groupBy("scale").agg(F.count_distinct("seed").alias("n_seeds"), *[r6(f(of(m))).alias(f"{n}_{m}") for m in ("script", "length") for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
-@query("set_equality", _M + """SELECT NOT EXISTS (SELECT scale FROM mr WHERE metric = 'energy' EXCEPT SELECT scale FROM mr WHERE metric = 'spread') AND NOT EXISTS (SELECT scale FROM mr WHERE metric = 'spread' EXCEPT SELECT scale FROM mr WHERE metric = 'energy') AS equal_scales""")
+@query("set_equality", _M + """SELECT NOT EXISTS (SELECT scale FROM mr WHERE metric = 'script' EXCEPT SELECT scale FROM mr WHERE metric = 'length') AND NOT EXISTS (SELECT scale FROM mr WHERE metric = 'length' EXCEPT SELECT scale FROM mr WHERE metric = 'script') AS equal_scales""")
 def set_equality(spark, sf_dir):
     m = metric_results(spark, sf_dir)
     side = lambda k: m.where(F.col("metric") == k).select("scale").distinct()
-    a, b = side("energy").withColumn("a", F.lit(1)), side("spread").withColumn("b", F.lit(1))
+    a, b = side("script").withColumn("a", F.lit(1)), side("length").withColumn("b", F.lit(1))
     return a.join(b, "scale", "full_outer").agg((F.count(F.when(F.col("a").isNull() | F.col("b").isNull(), 1)) == 0).alias("equal_scales"))
 
 
-@query("ordered_models", _M + "SELECT metric, CAST(scale AS INT) AS scale, CAST(row_number() OVER (ORDER BY CASE metric WHEN 'spread' THEN 0 ELSE 1 END, scale) AS INT) AS position FROM (SELECT DISTINCT metric, scale FROM mr)")
+@query("ordered_models", _M + "SELECT metric, CAST(scale AS INT) AS scale, CAST(row_number() OVER (ORDER BY CASE metric WHEN 'length' THEN 0 ELSE 1 END, scale) AS INT) AS position FROM (SELECT DISTINCT metric, scale FROM mr)")
 def ordered_models(spark, sf_dir):
     """A custom order of models, then scales; tasks are a bounded number."""
     t = metric_results(spark, sf_dir).select("metric", "scale").distinct()
-    return t.withColumn("position", F.row_number().over(W.orderBy(F.when(F.col("metric") == "spread", 0).otherwise(1), "scale")))
+    return t.withColumn("position", F.row_number().over(W.orderBy(F.when(F.col("metric") == "length", 0).otherwise(1), "scale")))
 
 
 @query("null_seed_first", _M + f"SELECT metric, CAST(scale AS INT) AS scale, {_VARIANT}, CAST(row_number() OVER (PARTITION BY metric, scale ORDER BY coalesce(seed, -1)) AS INT) AS position FROM mr WHERE aggregation = 'mean'")

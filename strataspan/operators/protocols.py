@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 from strataspan.operators.curves import ranked, reference_pairs, safe_corr
 from strataspan.operators.schedule import _KEY, _TASKS, TASK, _keyed, labelled_matrix, nearest_partitions, partition_schedule, tokens
 from strataspan.operators.spectrum import _CUM, _ELBOWS, at_thresholds, elbows_of, l2_normalised, scales_to_indices, spectrum_of
+from strataspan.operators.results import METRIC_SQL, metric_results
 from strataspan.plans.registry import query
 from strataspan.sources.store import settled, shared_folder
-from strataspan.sources.tables import METRIC_SQL, SCALES, SEEDS, matrix, metric_results, numbered
+from strataspan.sources.tables import SCALES, SEEDS, matrix, numbered
 from strataspan.sources.tasks import TaskStore
 
 # ---- metrics

@@ -12,9 +12,10 @@ from strataspan.operators.curves import _ALL, _TWO, _single, all_pairs_of, curve
 from strataspan.operators.randomized import project_all, randomized_svd
 from strataspan.operators.schedule import _AGAINST, _METRICS, TASK, against_baseline, category_entropies, entropy_results, labelled_matrix, nearest_partitions, summarised, tokens, turned
 from strataspan.operators.spectrum import moments, orthogonal_basis
+from strataspan.operators.results import metric_results
 from strataspan.plans.registry import query
 from strataspan.sources.store import settled, shared_folder
-from strataspan.sources.tables import PARTITION_SQL, metric_results, numbered, partition, read, vocab
+from strataspan.sources.tables import PARTITION_SQL, numbered, partition, read, vocab
 
 # The seeds of the ten-seed controls, and those of the randomised components.
 TEN_SEEDS = (1813382118, 827307999, 1627694678, 1911784257, 903170602, 86939546, 556019485, 2073320061, 1097954097, 1043521778)
@@ -111,7 +112,7 @@ def fully_matched(reference: DataFrame, target: DataFrame) -> DataFrame:
 @query("matched_curves", _TWO + "SELECT CAST(coalesce(ref.scale, tgt.scale) AS INT) AS scale, round(ref.value, 6) AS reference_value, round(tgt.value, 6) AS target_value FROM ref FULL JOIN tgt ON ref.scale = tgt.scale")
 def matched_curves(spark, sf_dir):
     m = metric_results(spark, sf_dir)
-    return fully_matched(curve(m, "energy", "mean"), curve(m, "energy", "mean", 0)).select("scale", r6("reference_value").alias("reference_value"), r6("target_value").alias("target_value"))
+    return fully_matched(curve(m, "script", "mean"), curve(m, "script", "mean", 0)).select("scale", r6("reference_value").alias("reference_value"), r6("target_value").alias("target_value"))
 
 
 def coefficients(results: DataFrame, coefficient: str) -> DataFrame:

@@ -34,6 +34,18 @@ def settled(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of the files of some tables: names, sizes and times of their last change."""
+    conf, found = spark._jsparkSession.sessionState().newHadoopConf(), []
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(conf).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return stable_hash({"files": sorted(found)})
+
+
 @dataclass(frozen=True)
 class RunPolicy:
     """What to do where a result exists: ``error``, ``resume`` (only if its configuration is the same) or ``replace``."""

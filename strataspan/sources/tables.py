@@ -1,4 +1,4 @@
-"""Typed views of the input tables: matrix, partitions, vocabulary and long-form metric results."""
+"""Typed views of the input tables: matrix, partitions and vocabulary."""
 
 from __future__ import annotations
 
@@ -78,35 +78,6 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long").alias("cluster_id"), F.col("p_name").alias("token_str")).distinct()
 
 
-def prefix_energy(features: Column, scale: Column) -> Column:
-    return F.aggregate(F.slice(features, F.lit(1), scale), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-
-
-def prefix_spread(features: Column, scale: Column) -> Column:
-    return F.aggregate(F.slice(features, F.lit(1), scale), F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
-
-
-def metric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form results of two metrics over nested widths: mean and population deviation over clusters.
-
-    The baseline has no seed; the variant of seed s leaves out rows with id mod 5 = s.
-    """
-    rows = read(spark, sf_dir, "embeddings").where("label > 0").select("vec_id", (F.col("label") - 1).alias("c"), F.col("embedding").alias("x"))
-    wide = rows.select("vec_id", "c", "x", F.explode(F.array(*[F.lit(k) for k in SCALES])).alias("scale"))
-    long = wide.select("vec_id", "c", "scale", F.explode(F.array(
-        F.struct(F.lit("energy").alias("metric"), prefix_energy(F.col("x"), F.col("scale")).alias("v")),
-        F.struct(F.lit("spread").alias("metric"), prefix_spread(F.col("x"), F.col("scale")).alias("v")))).alias("m")).select("vec_id", "c", "scale", "m.*")
-    seeded = long.withColumn("seed", F.explode(F.array(F.lit(None).cast("long"), *[F.lit(s).cast("long") for s in SEEDS]))).where("seed IS NULL OR vec_id % 5 <> seed")
-    cluster = seeded.groupBy("metric", "scale", "seed", "c").agg(F.avg("v").alias("v"))
-    both = cluster.groupBy("metric", "scale", "seed").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).cast("double").alias("count"))
-    out = both.select("metric", "scale", "seed", F.explode(F.create_map(F.lit("mean"), F.col("mean"), F.lit("std"), F.col("std"), F.lit("count"), F.col("count"))).alias("aggregation", "value"))
-    return out.select(
-        F.lit("driver").alias("analysis_id"), F.lit("embeddings").alias("model_name"), F.lit("prefix").alias("space_name"), F.col("scale").cast("int").alias("scale"),
-        F.when(F.col("seed").isNull(), "baseline").otherwise("leave_out").alias("source"), F.when(F.col("seed").isNotNull(), "row_drop").alias("seed_type"), "seed",
-        F.lit("label").alias("partition_method"), "metric", F.lit("score").alias("component"), "aggregation", "value", F.lit("non_noise").alias("scope"),
-        F.sha2(F.concat_ws("|", "metric", F.col("scale").cast("string"), F.coalesce(F.col("seed").cast("string"), F.lit(""))), 256).alias("config_hash"), F.lit(False).alias("reused"))
-
-
 # ---- the same views in SQL
 
 VOCAB_SQL = """occ AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token_str FROM documents),
@@ -114,13 +85,6 @@ vocab AS (SELECT CAST(row_number() OVER (ORDER BY token_str) - 1 AS BIGINT) AS t
 PARTITION_SQL = "part_a AS (SELECT vec_id AS token_id, CAST(label - 1 AS BIGINT) AS cluster_id, CAST(abs(embedding[1]) AS FLOAT) AS probability FROM embeddings)"
 PARTITION_B_SQL = "part_b AS (SELECT vec_id AS token_id, CAST((label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 10 - 1 AS BIGINT) AS cluster_id FROM embeddings)"
 NAMES_SQL = "names AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS BIGINT) AS cluster_id, p_name AS token_str FROM part)"
-METRIC_SQL = """rows_ AS (SELECT vec_id, label - 1 AS c, embedding AS x FROM embeddings WHERE label > 0),
-sc AS (SELECT unnest([2, 4, 8, 16, 32, 64]) AS scale), sd AS (SELECT unnest([NULL, 0, 1, 2, 3]) AS seed),
-long_ AS (SELECT vec_id, c, scale, 'energy' AS metric, list_sum(list_transform(x[1:scale], lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))) AS v FROM rows_, sc
-  UNION ALL SELECT vec_id, c, scale, 'spread', list_sum(list_transform(x[1:scale], lambda y: abs(CAST(y AS DOUBLE)))) FROM rows_, sc),
-cl AS (SELECT metric, scale, seed, c, avg(v) AS v FROM long_, sd WHERE seed IS NULL OR vec_id % 5 <> seed GROUP BY ALL),
-agg_ AS (SELECT metric, scale, seed, avg(v) AS mean, stddev_pop(v) AS std, CAST(count(*) AS DOUBLE) AS n FROM cl GROUP BY ALL),
-mr AS (SELECT metric, scale, seed, 'mean' AS aggregation, mean AS value FROM agg_ UNION ALL SELECT metric, scale, seed, 'std', std FROM agg_ UNION ALL SELECT metric, scale, seed, 'count', n FROM agg_)"""
 #: Eigenvalues of the Gram matrix by Jacobi rotations: in each step every column is paired with another, all pairs meet
 #: in as many steps as there are columns less one (an even number of columns), and after nine such rounds the matrix is
 #: diagonal.
