@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +49,88 @@ def _split(f: pd.DataFrame):
     return a, b, d
 
 
+#: Rows of a cell, about, and cells at most: with more rows, cells grow and are visited in blocks.
+CELL, MAX_CELLS = 1024, 4096
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def _top(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(others, distances) of the k nearest of some rows for each row, itself not included; infinite where there are fewer.
+    Equal distances go to the smaller id."""
+    order = np.argsort(others, kind="stable")
+    d = np.where(ids[:, None] == others[order][None], np.inf, _distances(x, y[order]))
+    at = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return others[order][at], np.take_along_axis(d, at, 1)
+
+
+def _vectors_of(table: pa.Table) -> np.ndarray:
+    return table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+
+
 def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """(row_id, other, d): the k nearest rows of each row, itself not included."""
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _split(f)
-        own = a.row_id.to_numpy()[:, None] == b.row_id.to_numpy()[None]
-        d = np.where(own, np.inf, d)
-        m = min(k, d.shape[1])
-        at = np.argpartition(d, m - 1, axis=1)[:, :m] if m else np.zeros((len(a), 0), int)
-        out = pd.DataFrame({"row_id": np.repeat(a.row_id.to_numpy(), m), "other": b.row_id.to_numpy()[at].reshape(-1), "d": np.take_along_axis(d, at, 1).reshape(-1)})
-        return out[np.isfinite(out.d)]
-
-    part = block_pairs(blocks(rows)).groupBy("left", "right").applyInPandas(run, "row_id long, other long, d double")
-    best = part.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("x"))
+    """(row_id, other, d): the k nearest rows of each row (row_id, x), itself not included; ties go to the smaller id.
+
+    Rows lie in the cells of pivots, chosen by a hash of their ids. A block of a cell by itself bounds each row's k-th
+    distance; by the triangle inequality, and because rows of a cell are nearer to its pivot than to others, the row has
+    to visit only the cells that can hold something nearer. It is sent to those, against blocks of their rows, so what is
+    shuffled is a row for each cell that it visits, and no pairs. The result is exact; with nothing to tell cells apart,
+    every row visits all of them. The pivots, at most ``MAX_CELLS`` rows, go to the tasks."""
+    n = rows.count()
+    count = max(1, min(MAX_CELLS, -(-n // CELL)))
+    chosen = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(count).select("x").collect()
+    if not chosen:
+        return rows.select("row_id", F.col("row_id").alias("other"), F.lit(0.0).alias("d")).limit(0)
+    pivots = np.array([r["x"] for r in chosen], float)
+    x_type = "array<double>"
+
+    def assign(batches):
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_vectors_of(pa.Table.from_batches([b])), pivots)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(d.argmin(1).astype(np.int32)), "row_id": b.column("row_id"), "x": b.column("x"), "far": pa.array(d.min(1))})
+
+    dealt = rows.select("row_id", F.col("x").cast(x_type).alias("x")).mapInArrow(assign, f"cell int, row_id long, x {x_type}, far double")
+    cells = _settle(dealt)
+    shape = {r["cell"]: (r["far"], r["n"]) for r in cells.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    radius = np.array([shape.get(c, (-np.inf, 0))[0] for c in range(count)])
+    parts = np.array([-(-shape.get(c, (0, 0))[1] // BLOCK) for c in range(count)])
+    of_cell = F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("cell") + 1) if parts.max(initial=1) > 1 else F.lit(1)
+    blocked = cells.withColumn("block", F.pmod(F.xxhash64("row_id"), of_cell).cast("int"))
+
+    def visits(key: tuple, block: pa.Table) -> pa.Table:
+        """(cell, block, row_id, x) of each row and each block that it has to visit."""
+        x, ids = _vectors_of(block), block["row_id"].to_numpy()
+        own = key[0].as_py()
+        _, d = _top(x, ids, x, ids, k)
+        bound = d[:, -1] if d.shape[1] == k else np.full(len(ids), np.inf)
+        to = _distances(x, pivots)
+        least = np.maximum(to - radius, (to - to[:, own][:, None]) / 2)
+        row, cell = np.nonzero((least <= bound[:, None] + 1e-9 * (1 + np.where(np.isfinite(bound), bound, 0)[:, None])) & (parts > 0))
+        times = parts[cell]
+        row, cell = np.repeat(row, times), np.repeat(cell, times)
+        part = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+        return pa.table({"cell": pa.array(cell.astype(np.int32)), "block": pa.array(part.astype(np.int32)), "row_id": pa.array(ids[row]), "x": block["x"].combine_chunks().take(pa.array(row))})
+
+    asked = _settle(blocked.groupBy("cell", "block").applyInArrow(visits, f"cell int, block int, row_id long, x {x_type}"))
+    # visitors of a block come in parts, each with a copy of the block's rows
+    crowds = asked.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("crowds"))
+    left = asked.join(crowds, ["cell", "block"]).withColumn("crowd", F.pmod(F.xxhash64("row_id"), F.col("crowds")))
+    right = blocked.join(crowds, ["cell", "block"]).withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)))
+
+    def meet(visitors: pa.Table, block: pa.Table) -> pa.Table:
+        if not len(visitors) or not len(block):
+            return pa.table({"row_id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        ids = visitors["row_id"].to_numpy()
+        others, d = _top(_vectors_of(visitors), ids, _vectors_of(block), block["row_id"].to_numpy(), k)
+        row, at = np.nonzero(np.isfinite(d))
+        return pa.table({"row_id": ids[row], "other": others[row, at], "d": d[row, at]})
+
+    key = ["cell", "block", "crowd"]
+    found = left.select(*key, "row_id", "x").groupBy(*key).cogroup(right.select(*key, "row_id", "x").groupBy(*key)).applyInArrow(meet, "row_id long, other long, d double")
+    best = found.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("x"))
     return best.select("row_id", F.explode("x").alias("x")).select("row_id", "x.other", "x.d")
 
 
@@ -247,12 +317,12 @@ def density_partition(rows: DataFrame, min_size: int = 5, min_samples: int = 5,
     return both.groupBy("task").applyInPandas(run, "token_id long, cluster_id long, probability float")
 
 
-def _vectors(spark, sf_dir, scale: int = 16) -> DataFrame:
+def _vectors(spark, sf_dir, scale: int = 64) -> DataFrame:
     return matrix(spark, sf_dir).select("row_id", l2_normalised(F.slice("features", 1, scale)).alias("x"))
 
 
-_VEC = """v AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding[1:16], lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-12)) AS x FROM embeddings),
-pd AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range(1, 17), lambda k: (a.x[k] - b.x[k]) * (a.x[k] - b.x[k])))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+_VEC = """v AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: CAST(x AS DOUBLE) / (sqrt(list_sum(list_transform(embedding[1:64], lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))) + 1e-12)) AS x FROM embeddings),
+pd AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.x[k] - b.x[k]) * (a.x[k] - b.x[k])))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 core AS (SELECT i AS row_id, max(d) AS core FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM pd) WHERE r <= 4 GROUP BY i)"""
 
 
@@ -279,7 +349,7 @@ def hdbscan_labels(spark, sf_dir):
 def hdbscan_scale_counts(spark, sf_dir):
     """Clusters and noise of nested widths of one matrix, a task for each width."""
     out = None
-    for k in (4, 16):
+    for k in (4, 16, 64):
         p = density_partition(_vectors(spark, sf_dir, k)).agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"), F.count(F.when(F.col("cluster_id") < 0, 1)).alias("n_noise")).withColumn("scale", F.lit(k))
         out = p if out is None else out.unionByName(p)
     return out

@@ -381,3 +381,43 @@ def test_strategies_keep_sizes_and_groups(spark):
         if source != "global":
             assert f.groupby(["cluster_id", "bucket"]).size().to_dict() == plain.groupby(["cluster_id", "bucket"]).size().to_dict()
     assert out.groupby("seed").apply(lambda f: tuple(f.sort_values("token_id").cluster_id), include_groups=False).nunique() == 2
+
+
+# ---- nearest rows
+
+
+@pytest.mark.parametrize("cell, block", [(1024, 2048), (8, 2048), (20, 7)])
+def test_nearest_rows_against_all_distances(spark, monkeypatch, cell, block):
+    from strataspan.operators import density
+
+    monkeypatch.setattr(density, "CELL", cell)
+    monkeypatch.setattr(density, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(1, 5)) + 0.05 * rng.normal(size=(40, 5)) for _ in range(4)] + [np.ones((12, 5)), 9 * rng.normal(size=(8, 5))])  # groups, equal rows and rows far away
+    rows = spark.createDataFrame([(int(k), r.tolist()) for k, r in enumerate(x)], "row_id long, x array<double>").repartition(4)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in density.nearest(rows, 3).collect():
+        got.setdefault(r["row_id"], []).append((r["d"], r["other"]))
+    assert len(got) == len(x)
+    for k, near in got.items():
+        assert np.allclose(sorted(v for v, _ in near), np.sort(d[k])[:3], atol=1e-6)
+        assert len({o for _, o in near}) == 3 and all(abs(d[k, o] - v) < 1e-6 for v, o in near)
+    assert density.nearest(rows.where("row_id < 0"), 3).count() == 0
+    few = density.nearest(rows.where("row_id < 2"), 3)
+    assert few.count() == 2  # one other row each
+
+
+def test_far_cells_are_not_visited(spark, monkeypatch, tmp_path):
+    from strataspan.operators import density
+
+    monkeypatch.setattr(density, "CELL", 40)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([100 * k + 0.1 * rng.normal(size=(40, 4)) for k in range(10)])
+    rows = spark.createDataFrame([(int(k), r.tolist()) for k, r in enumerate(x)], "row_id long, x array<double>")
+    seen = []
+    settle = density._settle
+    monkeypatch.setattr(density, "_settle", lambda df: seen.append(settle(df)) or seen[-1])
+    assert density.nearest(rows, 3).count() == 1200
+    assert seen[1].count() < 400 * 5  # of ten cells
