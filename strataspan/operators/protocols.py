@@ -26,9 +26,9 @@ from strataspan.operators.schedule import _KEY, _TASKS, TASK, _keyed, labelled_m
 from strataspan.operators.spectrum import _CUM, _ELBOWS, at_thresholds, elbows_of, l2_normalised, scales_to_indices, spectrum_of
 from strataspan.operators.results import METRIC_SQL, metric_results
 from strataspan.plans.registry import query
-from strataspan.sources.store import settled, shared_folder
+from strataspan.sources.store import RunPolicy, settled, shared_folder
 from strataspan.sources.tables import SCALES, SEEDS, matrix, numbered
-from strataspan.sources.tasks import TaskStore
+from strataspan.sources.tasks import Report, TaskStore
 
 # ---- metrics
 
@@ -283,6 +283,40 @@ def provided_norms(spark, sf_dir):
     return out
 
 
+# ---- partition methods
+
+#: (source, seed, scale, row_id, features) of some tasks to (source, seed, scale, token_id, cluster_id).
+Method = Callable[[DataFrame], DataFrame]
+
+
+def run_partitions(store: TaskStore, tasks: DataFrame, provider: Prefix | Saved | InMemory, method: Method, transforms: tuple[Transform, ...] = (), policy: RunPolicy = RunPolicy(), stop_on_error: bool = True) -> Report:
+    """Load, transform, partition and save tasks (source, seed, scale, config_hash): those that are finished are reused,
+    as the policy says, and the representations of the others are loaded only."""
+    return store.run(tasks, lambda pending: method(represented(provider, pending, transforms)), policy, stop_on_error)
+
+
+def quadrants(rows: DataFrame) -> DataFrame:
+    """A method as a user would write it: rows by the signs of their first and last column, noise where both are small."""
+    first, last = F.element_at("features", 1), F.element_at("features", -1)
+    cluster = F.when(F.abs(first) + F.abs(last) < 0.1, -1).otherwise(2 * (first > 0).cast("int") + (last > 0).cast("int"))
+    return rows.select(*TASK, F.col("row_id").alias("token_id"), cluster.cast("long").alias("cluster_id"))
+
+
+@query("protocol_partitions", "WITH s_ AS (SELECT unnest([" + ", ".join(map(str, SCALES)) + """]) AS scale), x_ AS (SELECT scale, vec_id, CAST(embedding[1:scale] AS DOUBLE[]) AS x FROM embeddings, s_),
+u_ AS (SELECT scale, vec_id, x[1] / (sqrt(list_sum(list_transform(x, lambda v: v * v))) + 1e-12) AS a, x[len(x)] / (sqrt(list_sum(list_transform(x, lambda v: v * v))) + 1e-12) AS b FROM x_)
+SELECT CAST(scale AS INT) AS scale, CASE WHEN abs(a) + abs(b) < 0.1 THEN -1 ELSE 2 * CAST(a > 0 AS INT) + CAST(b > 0 AS INT) END::BIGINT AS cluster_id, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, scale <= 8 AS reused FROM u_ GROUP BY ALL""")
+def protocol_partitions(spark, sf_dir):
+    """Widths of the matrix, rows brought to length one, partitioned by a user's method and saved by task in two runs."""
+    tasks = spark.createDataFrame([("plain", None, k) for k in SCALES], "source string, seed long, scale int").withColumn("config_hash", F.lit("quadrants"))
+    store = TaskStore(spark, shared_folder(spark, "quadrants"), tasks.select(*TASK).schema, T.StructType().add("token_id", "long").add("cluster_id", "long"))
+    provider = Prefix(matrix(spark, sf_dir))
+    run_partitions(store, tasks.where("scale <= 8"), provider, quadrants, (UNIT,))
+    report = run_partitions(store, tasks, provider, quadrants, (UNIT,), RunPolicy("resume"))
+    reused = report.records.select("scale", (F.col("status") == "reused").alias("reused"))
+    counted = store.rows().groupBy("scale", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("ids"))
+    return counted.join(reused, "scale")
+
+
 # ---- scale selectors
 
 #: (name, spectrum -> scales): what the candidate scales are united from.
