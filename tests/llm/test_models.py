@@ -327,3 +327,68 @@ def test_op9_long_words_are_cut_without_changing_their_sums():
     began = time.time()
     model.scorer().score(pa.array(["".join(rng.choice(han, 350_000))]))
     assert time.time() - began < 30  # a megabyte without a space
+
+
+def test_op10_reaches_the_optimum_of_its_objective():
+    """The fixed number of steps against Newton's method on the same dense problem, counterfactual pairs included."""
+    from strataspan.llm.features import split
+
+    rng = np.random.default_rng(2)
+    rows, pairs, y = [], [], []
+    for k in range(400):
+        r = set(rng.choice(40, 6, replace=False).tolist())
+        if rng.random() < (0.8 if k % 2 else 0.2):
+            r.add(50)
+        if rng.random() < (0.7 if k % 2 else 0.1):
+            r.add(60)
+        rows.append(np.array(sorted(r)))
+        pairs.append([(rows[-1], np.array(sorted((r - {50}) | {51})))] if 50 in r else [])
+        y.append(k % 2)
+    y, ridge, pairing = np.array(y, float), 2e-3, 0.5
+    sample = Sample(rows, y, pairs, 0.5)
+    model = toxicity.fit(sample, bits=6, ridge=ridge, pairing=pairing, rounds=600, min_rows=1)
+    at, _ = split(sample)
+    pos, neg = np.ones(64), np.ones(64)
+    for i in at:
+        (pos if y[i] else neg)[rows[i]] += 1
+    used = np.flatnonzero(pos + neg > 2)
+    scale = np.zeros(64)
+    scale[used] = np.log(pos[used] / (y[at].sum() + 1)) - np.log(neg[used] / ((1 - y[at]).sum() + 1))
+    dense = lambda many: np.array([[scale[k] * (k in set(r.tolist())) for k in used] + [1.0] for r in many])
+    x, t = dense([rows[i] for i in at]), y[at]
+    two = [p for i in at for p in pairs[i]]
+    gaps = dense([a for a, _ in two]) - dense([b for _, b in two])
+    weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / len(t)
+    decay = ridge * np.append(np.ones(len(used)), 0)
+
+    def value(w):
+        z = x @ w
+        return (weight * (np.logaddexp(0, z) - t * z)).sum() + (decay * w * w).sum() / 2 + pairing * ((gaps @ w) ** 2).mean()
+
+    w = np.zeros(len(used) + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        g = x.T @ (weight * (p - t)) + decay * w + 2 * pairing * gaps.T @ (gaps @ w) / len(gaps)
+        h = (x.T * (weight * p * (1 - p))) @ x + np.diag(decay) + 2 * pairing * gaps.T @ gaps / len(gaps)
+        w -= np.linalg.solve(h, g)
+    safe = np.where(scale[used] == 0, 1, scale[used])
+    got = np.append(np.where(scale[used] == 0, 0, model.w[used] / safe), model.bias)
+    assert np.abs(g).max() < 1e-8 and value(got) - value(w) < 1e-4 * value(w) and value(w) < 0.8 * value(0 * w)
+    production = toxicity.fit(sample, bits=6, ridge=ridge, pairing=pairing, min_rows=1)
+    assert value(np.append(np.where(scale[used] == 0, 0, production.w[used] / safe), production.bias)) < 1.01 * value(w)
+
+
+def test_equal_texts_and_ties_get_equal_scores(spark):
+    rows = [(k, ["the same text of a few words", "another text altogether", ""][k % 3], ["b", "a", None][k % 3]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2, k // 2 % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    for scored in (with_score(docs, model), with_score(docs, quality.train(docs, labels))):
+        by = {}
+        for r in scored.collect():
+            by.setdefault(r["text"], set()).add(r["score"])
+        assert all(len(s) == 1 for s in by.values())
+    # no language explains a text of other letters better: the first in order is told
+    even = language_id.Model(["a", "b"], language_id.Pieces(sorted(bytes([b]) for b in range(256))), np.full((256, 2), 1 / 256))
+    got = language_id.with_language(docs, even).where("text <> ''").select("lang_pred", "score").distinct().collect()
+    assert [(r[0], round(r[1], 6)) for r in got] == [("a", 0.5)]
