@@ -178,7 +178,13 @@ def expected_information(a: int, b: int, n: int, lf: np.ndarray) -> float:
     return float((k / n * np.log(n * k / (a * b)) * p).sum())
 
 
-@query("adjusted_mutual_information")
+@query("adjusted_mutual_information", _AB + """, ct AS (SELECT x.cluster_id AS a, y.cluster_id AS b, CAST(count(*) AS BIGINT) AS n FROM part_a x JOIN part_b y ON x.token_id = y.token_id GROUP BY ALL),
+ra AS (SELECT a, CAST(sum(n) AS BIGINT) AS na FROM ct GROUP BY a), cb AS (SELECT b, CAST(sum(n) AS BIGINT) AS nb FROM ct GROUP BY b), t_ AS (SELECT CAST(sum(n) AS BIGINT) AS t FROM ct),
+mi_ AS (SELECT sum(n / t * ln(n * t / (na * nb))) AS mi FROM ct JOIN ra USING (a) JOIN cb USING (b), t_),
+h_ AS (SELECT (SELECT sum(-na / t * ln(na / t)) FROM ra, t_) AS ha, (SELECT sum(-nb / t * ln(nb / t)) FROM cb, t_) AS hb),
+k_ AS (SELECT na, nb, t, unnest(range(greatest(1, na + nb - t), least(na, nb) + 1)) AS k FROM ra, cb, t_),
+em_ AS (SELECT sum(k / t * ln(t * k / (na * nb)) * exp(lgamma(na + 1) + lgamma(nb + 1) + lgamma(t - na + 1) + lgamma(t - nb + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(na - k + 1) - lgamma(nb - k + 1) - lgamma(t - na - nb + k + 1))) AS emi FROM k_)
+SELECT round(CASE WHEN abs((ha + hb) / 2 - emi) < 1e-15 THEN 1.0 ELSE (mi - emi) / ((ha + hb) / 2 - emi) END, 6) AS ami FROM mi_, h_, em_""")
 def adjusted_mutual_information(spark, sf_dir):
     """AMI with the arithmetic mean; the expected term is summed over pairs of cluster sizes in a task for each pair of distinct sizes."""
     c = contingency(spark, sf_dir)

@@ -187,10 +187,21 @@ def elbows(spark, sf_dir):
     return elbows_of(spectrum(spark, sf_dir))
 
 
-@query("smoothed_elbows")
+PROMINENCE = 1e-4
+#: Parabolas over seven values, written with orthogonal polynomials; ends take the first and the last window's.
+_SMOOTHED = f"""l_ AS (SELECT idx, ln(energy + 1e-12) AS y, count(*) OVER () AS n FROM sp), w_ AS (SELECT idx, least(greatest(idx, 3), n - 4) AS mid, idx - least(greatest(idx, 3), n - 4) AS s FROM l_),
+y_ AS (SELECT w_.idx, sum(l_.y * (1 / 7 + s * t / 28 + (s * s - 4) * (t * t - 4) / 84)) AS y FROM w_, (SELECT unnest(range(-3, 4)) AS t), l_ WHERE l_.idx = mid + t GROUP BY w_.idx),
+c_ AS (SELECT p, c FROM (SELECT idx AS p, lead(y, 2) OVER (ORDER BY idx) - 2 * lead(y) OVER (ORDER BY idx) + y AS c FROM y_) WHERE c IS NOT NULL),
+top_ AS (SELECT p, c FROM (SELECT p, c, lag(c) OVER (ORDER BY p) AS a, lead(c) OVER (ORDER BY p) AS b FROM c_) WHERE c > a AND c > b),
+lim_ AS (SELECT t.p, t.c, coalesce(max(q.p) FILTER (WHERE q.p < t.p AND q.c > t.c), -1) AS lo, coalesce(min(q.p) FILTER (WHERE q.p > t.p AND q.c > t.c), (SELECT max(p) + 1 FROM c_)) AS hi FROM top_ t, c_ q GROUP BY t.p, t.c),
+out_ AS (SELECT l.p, l.c, l.c - greatest(min(q.c) FILTER (WHERE q.p <= l.p AND q.p > lo), min(q.c) FILTER (WHERE q.p >= l.p AND q.p < hi)) AS prom FROM lim_ l, c_ q GROUP BY l.p, l.c),
+pk AS (SELECT p, c, row_number() OVER (ORDER BY abs(c) DESC, p DESC) AS k FROM out_ WHERE prom >= {PROMINENCE}),""" + _ELBOWS[_ELBOWS.index("\ntk AS"):]
+
+
+@query("smoothed_elbows", _S + f", {_SMOOTHED} SELECT el.idx, scale FROM el JOIN sp ON el.idx = sp.idx")
 def smoothed_elbows(spark, sf_dir):
     """Elbows of the log spectrum smoothed by polynomials, those that stand out only."""
-    return elbows_of(spectrum(spark, sf_dir), smoothing=7, degree=2, prominence=1e-4)
+    return elbows_of(spectrum(spark, sf_dir), smoothing=7, degree=2, prominence=PROMINENCE)
 
 
 def candidate_scales(s: DataFrame, feature_dimension: int, thresholds: tuple[float, ...] = (), manual: tuple[int, ...] = (), include_full: bool = False, combine: str = "union", **elbow) -> DataFrame:
