@@ -127,3 +127,27 @@ def runs_of_width(spark, sf_dir):
     summary = write_runs(nearest_partitions(labelled_matrix(spark, sf_dir), rules), shared_folder(spark, "runs"))
     rows = open_runs(spark, summary).where("scale >= 32 AND source <> 'baseline'")
     return rows.groupBy("source", "scale", "cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("token_id").alias("ids"))
+
+
+def write_metadata(summary: DataFrame, margins: dict[str, float], path: str) -> None:
+    """A JSON record for each run, with the parameters it was made with."""
+    margin = F.element_at(F.create_map(*[F.lit(x) for kv in margins.items() for x in kv]), F.col("source"))
+    params = F.struct(F.lit("nearest_mean").alias("method"), margin.alias("margin"))
+    summary.select("run_id", "scale", params.alias("params"), F.struct("n_clusters_excl_noise", "n_noise", "n_total").alias("result"), "cluster_path").write.json(path)
+
+
+def runs_by_parameters(records: DataFrame) -> DataFrame:
+    """(method, margin, n_runs, runs, total_noise): the runs of each set of parameters, by width, with what they found."""
+    one = F.struct("scale", F.concat_ws(":", F.col("scale").cast("string"), "run_id", F.col("result.n_clusters_excl_noise").cast("string")).alias("text"))
+    grouped = records.groupBy("params.method", "params.margin").agg(F.count(F.lit(1)).alias("n_runs"), F.array_sort(F.collect_list(one)).alias("runs"), F.sum("result.n_noise").alias("total_noise"))
+    return grouped.select("method", "margin", "n_runs", F.array_join(F.transform("runs", lambda r: r["text"]), ";").alias("runs"), "total_noise")
+
+
+@query("runs_by_parameters", f"WITH {_PARTS}, r_ AS (SELECT source, margin, scale, count(DISTINCT CASE WHEN cluster_id >= 0 THEN cluster_id END) AS n, count(*) FILTER (WHERE cluster_id < 0) AS noise FROM part_ JOIN rule_ USING (source) GROUP BY ALL) SELECT 'nearest_mean' AS method, margin, count(*) AS n_runs, string_agg(scale || ':' || source || '_dim' || scale || ':' || n, ';' ORDER BY scale) AS runs, CAST(sum(noise) AS BIGINT) AS total_noise FROM r_ GROUP BY margin")
+def runs_by_parameters_query(spark, sf_dir):
+    """Records of all runs in a folder of JSON files, read and grouped by their parameters."""
+    rules, root = {"baseline": 1.0, **{f"stability_{m}": m for m in MARGINS}}, shared_folder(spark, "runs")
+    summary = spark.read.parquet(write_runs(nearest_partitions(labelled_matrix(spark, sf_dir), rules), root))
+    write_metadata(summary, rules, f"{root}/metadata")
+    shape = "run_id string, scale int, params struct<method: string, margin: double>, result struct<n_clusters_excl_noise: long, n_noise: long, n_total: long>, cluster_path string"
+    return runs_by_parameters(spark.read.schema(shape).option("mode", "FAILFAST").json(f"{root}/metadata"))
