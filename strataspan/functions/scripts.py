@@ -25,7 +25,7 @@ BLOCK_BITS = 12
 
 @dataclass(frozen=True)
 class ScriptRanges:
-    """``starts`` ascend from 0; the range that begins there has script ``names[ids[k]]``, Other being the first name."""
+    """``starts`` ascend from 0; the range that begins there has script ``names[ids[k]]``, Other being the last name."""
 
     starts: np.ndarray
     ids: np.ndarray
@@ -42,7 +42,7 @@ class ScriptRanges:
         chars = np.frombuffer("".join(w for w in words if w).encode("utf-32-le", "surrogatepass"), "<u4")
         key = np.repeat(np.arange(len(words)), lengths) * len(self.names) + self.of(chars)
         found = np.bincount(key, minlength=len(words) * len(self.names)).reshape(len(words), len(self.names))
-        found[lengths == 0, 0] = 1
+        found[lengths == 0, -1] = 1
         return found
 
     def dominant(self, texts: pa.Array) -> pa.Array:
@@ -50,7 +50,7 @@ class ScriptRanges:
         found = self.counts(texts)
         best = found == found.max(axis=1, keepdims=True)
         single = best.sum(1) == 1
-        best[~single, 0] = False
+        best[~single, -1] = False
         names = np.array([*self.names, MIXED], object)
         return pa.array(names[np.where(best.sum(1) == 1, best.argmax(1), len(self.names))], pa.string())
 
@@ -76,7 +76,7 @@ def script_ranges(spark: SparkSession | None = None) -> ScriptRanges:
             if not names or names[-1] != name:
                 starts.append(start)
                 names.append(name)
-        known = (OTHER, *sorted(set(names) - {OTHER}))
+        known = (*sorted(set(names) - {OTHER}), OTHER)
         _made[app] = ScriptRanges(np.array(starts), np.array([known.index(n) for n in names]), known)
     return _made[app]
 

@@ -179,9 +179,9 @@ def ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def safe_corr(x: str, y: str) -> Column:
-    """Pearson's r; null where an input is constant."""
+    """Pearson's r, by central moments; null where an input is constant, for which ``corr`` divides by zero."""
     varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
-    return F.when(varies, F.corr(x, y))
+    return F.when(varies, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def pair_statistics(pairs: DataFrame, by: list[str]) -> DataFrame:
