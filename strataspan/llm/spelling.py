@@ -200,5 +200,5 @@ near AS (
 best AS (SELECT word, count(*) AS n_near, max(o_n) AS top, arg_min(o, struct_pack(a := -o_n, b := o)) AS o FROM near GROUP BY word),
 known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN o END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM words w LEFT JOIN best USING (word)),
 walk AS (SELECT word, word AS at, form AS nxt FROM known UNION ALL SELECT w.word, w.nxt, k.form FROM walk w JOIN known k ON k.word = w.nxt)
-SELECT k.word, form, w.at AS root, n, n_near, form_n FROM known k JOIN walk w ON w.word = k.word AND w.nxt IS NULL
+SELECT k.word, form, w.at AS root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM known k JOIN walk w ON w.word = k.word AND w.nxt IS NULL
 """
