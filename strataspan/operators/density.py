@@ -1,17 +1,21 @@
 """Density clustering of row vectors: core distances, a minimum spanning tree, the condensed tree and its stable clusters.
 
-Distances are computed between blocks of rows: a task holds two blocks and returns a few numbers for each row, so no
-pair of rows is ever shuffled. The spanning tree grows in rounds; each joins every component to its nearest other one
-under mutual reachability, and a round at least halves the components. The hierarchy of the tree's n - 1 edges is
-then read in one task for each task key (24 bytes an edge); that step is sequential by nature.
+Distances are computed between regions of rows: a task holds a region and a crowd of its visitors and returns a few
+numbers for each row, so no pair of rows is ever shuffled. All rows meet once, for their nearest rows; the spanning tree
+grows over these in rounds, each of which joins components to their nearest other one under mutual reachability. The
+hierarchy of the tree's n - 1 edges is then read in one task for each task key (24 bytes an edge); that step is
+sequential by nature.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspan.operators.spectrum import l2_normalised
@@ -19,6 +23,7 @@ from strataspan.plans.registry import query
 from strataspan.sources.store import settled, shared_folder
 from strataspan.sources.tables import matrix
 
+#: Rows of a block at most, by which a cell of many rows is split.
 BLOCK = 2048
 
 
@@ -27,153 +32,304 @@ def _settle(df: DataFrame) -> DataFrame:
     return settled(df, shared_folder(df.sparkSession, "density"), "rows")
 
 
-def blocks(rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(block, row_id, x, ...): rows dealt to blocks of about ``size``."""
-    n = rows.count()
-    return rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(max(1, -(-n // size)))).cast("int"))
+#: Rows of a cell, about, and cells at most: with more rows, cells grow and are visited in blocks.
+CELL, MAX_CELLS = 512, 4096
+#: Regions that cells are put together to, and crowds of visitors of a region: so many, and more only where one would
+#: have more rows than these. Up to a million rows, what is shuffled grows with the rows.
+REGIONS, REGION_ROWS, CROWDS, CROWD_ROWS = 16, 65_536, 8, 131_072
+#: Rows and columns of a step inside a task.
+STEP, ACROSS = 512, 1024
+#: Neighbours of each row that the spanning tree starts from.
+LISTED = 16
 
 
-def block_pairs(dealt: DataFrame) -> DataFrame:
-    """Each block's rows once as the left side of every block pair: (left, right, side, row_id, x, ...)."""
-    n = dealt.agg(F.max("block")).first()[0]
-    every = F.sequence(F.lit(0), F.lit(int(n or 0)))
-    one = dealt.withColumn("other", F.explode(every)).select(F.col("block").alias("left"), F.col("other").alias("right"), F.lit(0).alias("side"), *[c for c in dealt.columns if c != "block"])
-    two = dealt.withColumn("other", F.explode(every)).select(F.col("other").alias("left"), F.col("block").alias("right"), F.lit(1).alias("side"), *[c for c in dealt.columns if c != "block"])
-    return one.unionByName(two)
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
 
 
-def _split(f: pd.DataFrame):
-    a, b = f[f.side == 0], f[f.side == 1]
-    x, y = (np.array(g.x.tolist(), float).reshape(len(g), -1) for g in (a, b))
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)) if len(a) and len(b) else np.zeros((len(a), len(b)))
-    return a, b, d
+def _closest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int, limit: np.ndarray, apart: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(others, distances) of the k nearest of some rows for each row, itself not included; -1 and infinite where fewer
+    are within ``limit``. Equal distances go to the smaller id.
+
+    Steps of products choose the pairs that can be within the k-th distance found so far; those are then measured by the
+    differences of their vectors, so that a pair has one distance wherever it is measured. ``apart``, (labels, cores) of
+    the rows and of the others: only pairs of two labels count, by their mutual reachability."""
+    n, k = len(ids), max(k, 1)
+    best_d, best_o, limit = np.full((n, k), np.inf), np.full((n, k), -1, np.int64), np.array(limit, float)
+    size_x, size_y = (x * x).sum(1), (y * y).sum(1)
+    most = max(size_x.max(initial=0), size_y.max(initial=0))
+    kind = np.float32 if most < 1e12 else np.float64  # single precision chooses, double measures
+    slack = 16 * np.sqrt(x.shape[1] + 1) * np.finfo(kind).eps * (size_x + size_y.max(initial=0))
+    columns = np.ascontiguousarray(np.concatenate([y, -size_y[:, None] / 2], axis=1).T, kind)
+    for lo in range(0, n, STEP):
+        hi = min(n, lo + STEP)
+        rows = np.concatenate([x[lo:hi], np.ones((hi - lo, 1))], axis=1).astype(kind)
+        for left in range(0, len(others), ACROSS):
+            right = min(len(others), left + ACROSS)
+            g = rows @ columns[:, left:right]  # (|x|^2 - d^2) / 2
+            fits = g >= np.nextafter(((size_x[lo:hi] - limit[lo:hi] ** 2 - slack[lo:hi]) / 2).astype(kind), kind(-np.inf))[:, None]
+            if apart:
+                fits &= apart[0][lo:hi, None] != apart[2][None, left:right]
+            crowded = np.flatnonzero(fits.sum(1) > 4 * (k + 1)) if right - left > k + 1 else ()
+            if len(crowded):  # no more than the k nearest of this step, itself beside them, and ties
+                d = np.sqrt(np.maximum(size_x[lo:hi][crowded, None] - 2 * g[crowded], 0))
+                if apart:
+                    d = np.maximum(d, np.maximum(apart[1][lo:hi][crowded, None], apart[3][None, left:right]))
+                d[~fits[crowded]] = np.inf
+                fits[crowded] &= d <= (np.partition(d, k, axis=1)[:, k] + 4 * np.sqrt(slack[lo:hi][crowded]))[:, None]
+            r, c = np.nonzero(fits)
+            if not len(r):
+                continue
+            r, c = r + lo, c + left
+            d = np.concatenate([np.sqrt(((x[r[i : i + 65_536]] - y[c[i : i + 65_536]]) ** 2).sum(1)) for i in range(0, len(r), 65_536)])
+            if apart:
+                d = np.maximum(d, np.maximum(apart[1][r], apart[3][c]))
+            real = (ids[r] != others[c]) & (d <= limit[r])
+            r, o, d = r[real], others[c[real]], d[real]
+            if not len(r):
+                continue
+            rows_in = np.unique(r)
+            r, o, d = np.concatenate([np.repeat(rows_in, k), r]), np.concatenate([best_o[rows_in].ravel(), o]), np.concatenate([best_d[rows_in].ravel(), d])
+            order = np.lexsort((o, d, r))
+            r, o, d = r[order], o[order], d[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            first = place < k
+            best_d[r[first], place[first]], best_o[r[first], place[first]] = d[first], o[first]
+            limit[rows_in] = np.minimum(limit[rows_in], best_d[rows_in, k - 1])
+    return best_o, best_d
 
 
-#: Rows of a cell, about, and cells at most: with more rows, cells grow and are visited in blocks.
-CELL, MAX_CELLS = 1024, 4096
+def _vectors_of(table: pa.Table) -> np.ndarray:
+    return table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+def _regions(points: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
+    """A region for each point: halved by weight, along the axis in which the points differ most, until there are ``count``."""
+    out, todo, used = np.zeros(len(points), np.int32), [(np.arange(len(points)), count)], 0
+    while todo:
+        own, parts = todo.pop()
+        if parts <= 1 or len(own) <= 1:
+            out[own], used = used, used + 1
+            continue
+        own = own[np.argsort(points[own, points[own].var(0).argmax()], kind="stable")]
+        before = np.cumsum(weights[own]) - weights[own] / 2
+        cut = int(np.clip(np.searchsorted(before, weights[own].sum() * (parts // 2) / parts), 1, len(own) - 1))
+        todo += [(own[:cut], parts // 2), (own[cut:], parts - parts // 2)]
+    return out
 
 
-def _top(x: np.ndarray, ids: np.ndarray, y: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(others, distances) of the k nearest of some rows for each row, itself not included; infinite where there are fewer.
-    Equal distances go to the smaller id."""
-    order = np.argsort(others, kind="stable")
-    d = np.where(ids[:, None] == others[order][None], np.inf, _distances(x, y[order]))
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return others[order][at], np.take_along_axis(d, at, 1)
+@dataclass
+class Cells:
+    """Rows in the cells of pivots. ``rows``: (cell, block, region, row_id, x), saved; a cell of many rows has several
+    blocks, and a region is made of neighbouring blocks."""
 
+    rows: DataFrame
+    n: int
+    pivots: np.ndarray
+    radius: np.ndarray
+    members: np.ndarray  # regions by cells: whether a cell has rows there
 
-def _vectors_of(table: pa.Table) -> np.ndarray:
-    return table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+    @property
+    def crowds(self) -> int:
+        return max(min(CROWDS, -(-self.n // (2 * CELL))), -(-self.n // CROWD_ROWS))
 
+    def within(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether a region (columns) can hold a row as near as ``bound``, by the triangle inequality, and because rows of
+        a cell are nearer to its pivot than to others."""
+        to = _distances(x, self.pivots)
+        least = np.maximum(to - self.radius, (to - to.min(1, keepdims=True)) / 2)
+        near = least <= (bound + 1e-6 * (1 + to.max(1)))[:, None]  # products round distances near 0 to some 1e-8
+        return near.astype(np.float32) @ self.members.T.astype(np.float32) > 0
 
-def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """(row_id, other, d): the k nearest rows of each row (row_id, x), itself not included; ties go to the smaller id.
 
-    Rows lie in the cells of pivots, chosen by a hash of their ids. A block of a cell by itself bounds each row's k-th
-    distance; by the triangle inequality, and because rows of a cell are nearer to its pivot than to others, the row has
-    to visit only the cells that can hold something nearer. It is sent to those, against blocks of their rows, so what is
-    shuffled is a row for each cell that it visits, and no pairs. The result is exact; with nothing to tell cells apart,
-    every row visits all of them. The pivots, at most ``MAX_CELLS`` rows, go to the tasks."""
+_X = "array<double>"
+
+
+def cells(rows: DataFrame) -> Cells | None:
+    """The cells of rows (row_id, x): the pivots, at most ``MAX_CELLS`` rows chosen by a hash of their ids, go to the tasks."""
     n = rows.count()
     count = max(1, min(MAX_CELLS, -(-n // CELL)))
-    chosen = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(count).select("x").collect()
-    if not chosen:
-        return rows.select("row_id", F.col("row_id").alias("other"), F.lit(0.0).alias("d")).limit(0)
+    picked = [r[0] for r in rows.select("row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(count).collect()]
+    if not picked:
+        return None
+    chosen = rows.where(F.col("row_id").isin(picked)).select("x").collect()
     pivots = np.array([r["x"] for r in chosen], float)
-    x_type = "array<double>"
+
+    def nearest_pivot(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        d = _distances(_vectors_of(pa.Table.from_batches([batch])), pivots)
+        return d.argmin(1).astype(np.int32), d.min(1)
 
     def assign(batches):
         for b in batches:
             if b.num_rows:
-                d = _distances(_vectors_of(pa.Table.from_batches([b])), pivots)
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(d.argmin(1).astype(np.int32)), "row_id": b.column("row_id"), "x": b.column("x"), "far": pa.array(d.min(1))})
+                cell, far = nearest_pivot(b)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell), "row_id": b.column("row_id"), "x": b.column("x"), "far": pa.array(far)})
 
-    dealt = rows.select("row_id", F.col("x").cast(x_type).alias("x")).mapInArrow(assign, f"cell int, row_id long, x {x_type}, far double")
-    cells = _settle(dealt)
-    shape = {r["cell"]: (r["far"], r["n"]) for r in cells.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    dealt = _settle(rows.select("row_id", F.col("x").cast(_X).alias("x")).mapInArrow(assign, f"cell int, row_id long, x {_X}, far double"))
+    shape = {r["cell"]: (r["far"], r["n"]) for r in dealt.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     radius = np.array([shape.get(c, (-np.inf, 0))[0] for c in range(count)])
-    parts = np.array([-(-shape.get(c, (0, 0))[1] // BLOCK) for c in range(count)])
-    of_cell = F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("cell") + 1) if parts.max(initial=1) > 1 else F.lit(1)
-    blocked = cells.withColumn("block", F.pmod(F.xxhash64("row_id"), of_cell).cast("int"))
+    held = np.array([shape.get(c, (0, 0))[1] for c in range(count)])
+    parts = -(-held // BLOCK)
+    first = np.cumsum(parts) - parts  # the number of a cell's first block
+    cell_of = np.repeat(np.arange(count), parts)
+    region_of = _regions(pivots[cell_of], (held / np.maximum(parts, 1))[cell_of], max(REGIONS, -(-n // REGION_ROWS)))
+    members = np.zeros((region_of.max() + 1, count), bool)
+    members[region_of, cell_of] = True
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                cell = b.column("cell").to_numpy()
+                block = first[cell] + b.column("hash").to_numpy() % parts[cell]
+                yield pa.RecordBatch.from_pydict({"cell": b.column("cell"), "block": pa.array(block.astype(np.int32)), "region": pa.array(region_of[block]), "row_id": b.column("row_id"), "x": b.column("x")})
+
+    placed = dealt.select("cell", F.pmod(F.xxhash64("row_id"), F.lit(1 << 40)).alias("hash"), "row_id", "x").mapInArrow(place, f"cell int, block int, region int, row_id long, x {_X}")
+    return Cells(placed, n, pivots, radius, members)
+
+
+def _meetings(found: Cells, visitors: DataFrame, rows: DataFrame, run, shape: str) -> DataFrame:
+    """``run`` over crowds of visitors (regions, row_id, ...) of each region and the region's rows (region, row_id, ...):
+    a visitor is sent once to each of its regions, a region's rows once to each crowd. No pairs are shuffled."""
+    crowds, key = found.crowds, ["region", "crowd"]
+    left = visitors.withColumn("region", F.explode("regions")).drop("regions").withColumn("crowd", F.pmod(F.xxhash64("row_id"), F.lit(crowds)).cast("int"))
+    right = rows.withColumn("crowd", F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))))
+    parts = len(found.members) * crowds  # asked for outright: groups are much work for their bytes
+    return left.repartition(parts, *key).groupBy(*key).cogroup(right.repartition(parts, *key).groupBy(*key)).applyInArrow(run, shape)
+
 
-    def visits(key: tuple, block: pa.Table) -> pa.Table:
-        """(cell, block, row_id, x) of each row and each block that it has to visit."""
+_NEAR = "row_id long, near array<struct<d: double, other: long>>"
+
+
+def _lists(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> pa.Table:
+    real = np.isfinite(d)
+    near = pa.StructArray.from_arrays([pa.array(d[real]), pa.array(others[real])], ["d", "other"])
+    return pa.table({"row_id": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(real.sum(1)))).astype(np.int32)), near)})
+
+
+def neighbours(rows: DataFrame | Cells, k: int) -> DataFrame:
+    """(row_id, near): the k nearest rows of each row (row_id, x), itself not included, as (d, other), nearest first; ties
+    go to the smaller id.
+
+    A block of a cell by itself bounds each row's k-th distance; the row then has to visit only the regions that can hold
+    something nearer, each at most once, so what is shuffled is a row for each region that it visits. The result is
+    exact; with nothing to tell regions apart, every row visits all of them."""
+    found = rows if isinstance(rows, Cells) else cells(rows)
+    if found is None:
+        return rows.select("row_id", F.array(F.struct(F.lit(0.0).alias("d"), F.col("row_id").alias("other"))).alias("near")).limit(0)
+
+    def visits(block: pa.Table) -> pa.Table:
         x, ids = _vectors_of(block), block["row_id"].to_numpy()
-        own = key[0].as_py()
-        _, d = _top(x, ids, x, ids, k)
-        bound = d[:, -1] if d.shape[1] == k else np.full(len(ids), np.inf)
-        to = _distances(x, pivots)
-        least = np.maximum(to - radius, (to - to[:, own][:, None]) / 2)
-        row, cell = np.nonzero((least <= bound[:, None] + 1e-9 * (1 + np.where(np.isfinite(bound), bound, 0)[:, None])) & (parts > 0))
-        times = parts[cell]
-        row, cell = np.repeat(row, times), np.repeat(cell, times)
-        part = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
-        return pa.table({"cell": pa.array(cell.astype(np.int32)), "block": pa.array(part.astype(np.int32)), "row_id": pa.array(ids[row]), "x": block["x"].combine_chunks().take(pa.array(row))})
-
-    asked = _settle(blocked.groupBy("cell", "block").applyInArrow(visits, f"cell int, block int, row_id long, x {x_type}"))
-    # visitors of a block come in parts, each with a copy of the block's rows
-    crowds = asked.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("crowds"))
-    left = asked.join(crowds, ["cell", "block"]).withColumn("crowd", F.pmod(F.xxhash64("row_id"), F.col("crowds")))
-    right = blocked.join(crowds, ["cell", "block"]).withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)))
+        bound = _closest(x, ids, x, ids, k, np.full(len(ids), np.inf))[1][:, -1]
+        near = found_within(x, bound)
+        regions = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(near.sum(1)))).astype(np.int32)), pa.array(np.nonzero(near)[1].astype(np.int32)))
+        return pa.table({"row_id": block["row_id"], "x": block["x"], "bound": bound, "regions": regions})
+
+    found_within = Cells(None, found.n, found.pivots, found.radius, found.members).within  # without the table, for the tasks
+    asked = _settle(found.rows.select("block", "row_id", "x").groupBy("block").applyInArrow(visits, f"row_id long, x {_X}, bound double, regions array<int>"))
 
     def meet(visitors: pa.Table, block: pa.Table) -> pa.Table:
-        if not len(visitors) or not len(block):
-            return pa.table({"row_id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         ids = visitors["row_id"].to_numpy()
-        others, d = _top(_vectors_of(visitors), ids, _vectors_of(block), block["row_id"].to_numpy(), k)
-        row, at = np.nonzero(np.isfinite(d))
-        return pa.table({"row_id": ids[row], "other": others[row, at], "d": d[row, at]})
-
-    key = ["cell", "block", "crowd"]
-    found = left.select(*key, "row_id", "x").groupBy(*key).cogroup(right.select(*key, "row_id", "x").groupBy(*key)).applyInArrow(meet, "row_id long, other long, d double")
-    best = found.groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k).alias("x"))
-    return best.select("row_id", F.explode("x").alias("x")).select("row_id", "x.other", "x.d")
+        if not len(visitors) or not len(block):
+            return _lists(ids[:0], np.zeros((0, k), np.int64), np.zeros((0, k)))
+        return _lists(ids, *_closest(_vectors_of(visitors), ids, _vectors_of(block), block["row_id"].to_numpy(), k, visitors["bound"].to_numpy()))
 
+    met = _meetings(found, asked, found.rows.select("region", "row_id", "x"), meet, _NEAR)
+    return met.groupBy("row_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
-def core_distances(rows: DataFrame, min_samples: int) -> DataFrame:
-    """(row_id, core): the distance to the min_samples-th nearest row, the row itself counted first."""
-    near = nearest(rows, max(min_samples - 1, 1))
-    return near.groupBy("row_id").agg(F.max("d").alias("core")) if min_samples > 1 else rows.select("row_id", F.lit(0.0).alias("core"))
 
+def nearest(rows: DataFrame, k: int) -> DataFrame:
+    """(row_id, other, d): :func:`neighbours`, a row each."""
+    return neighbours(rows, k).select("row_id", F.explode("near").alias("x")).select("row_id", "x.other", "x.d")
 
-def spanning_tree(rows: DataFrame, core: DataFrame) -> DataFrame:
-    """(a, b, d): the edges of the minimum spanning tree under mutual reachability, ties by ids."""
-    from functools import reduce
 
-    base = _settle(rows.join(core, "row_id").select("row_id", "x", "core"))
+def core_distances(rows: DataFrame, min_samples: int) -> DataFrame:
+    """(row_id, core): the distance to the min_samples-th nearest row, the row itself counted first."""
+    if min_samples <= 1:
+        return rows.select("row_id", F.lit(0.0).alias("core"))
+    return neighbours(rows, min_samples - 1).where(F.size("near") > 0).select("row_id", _core(min_samples).alias("core"))
+
+
+def _core(min_samples: int) -> Column:
+    """The core distance in a list of at least so many neighbours, or of all."""
+    return F.coalesce(F.get("near.d", F.least(F.size("near"), F.lit(min_samples - 1)) - 1), F.lit(0.0)) if min_samples > 1 else F.lit(0.0)
+
+
+def spanning_tree(rows: DataFrame, min_samples: int) -> DataFrame:
+    """(a, b, d): the edges of the minimum spanning tree under mutual reachability, ties by ids.
+
+    Every row's nearest rows are listed once. What a row has not listed is no nearer than the last that it has, so the
+    shortest listed edge that leaves a component is a tree's edge where it is shorter than the last distances of all the
+    component's rows. Rounds take these edges. Only where no component has one, the rows of all but the largest that could
+    have something shorter search all rows again."""
+    found = cells(rows)
+    if found is None:
+        return rows.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(0.0).alias("d")).limit(0)
+    k = max(LISTED, min_samples - 1)
+    lists = _settle(neighbours(found, k))
+    # without a k-th neighbour all other rows are listed
+    base = _settle(lists.select("row_id", _core(min_samples).alias("core"), F.when(F.size("near") < k, float("inf")).otherwise(F.get("near.d", F.lit(k - 1))).alias("last")))
+    core = lambda c: base.select(F.col("row_id").alias(c), F.col("core").alias(f"core_{c}"))
+    each = lists.select("row_id", F.explode("near").alias("x")).select(F.least("row_id", "x.other").alias("a"), F.greatest("row_id", "x.other").alias("b"), "x.d")
+    each = each.groupBy("a", "b").agg(F.min("d").alias("d")).join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("d", "core_a", "core_b").alias("d"))
+    edges = _settle(each.select("a", "b", "d", F.col("a").alias("la"), F.col("b").alias("lb")))
     labels = base.select("row_id", F.col("row_id").alias("label"))
+    one = F.struct("d", "a", "b").alias("e")
     trees = []
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _split(f)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"label": [], "d": [], "a": [], "b": []})
-        m = np.maximum(d, np.maximum(a.core.to_numpy()[:, None], b.core.to_numpy()[None]))
-        m = np.where(a.label.to_numpy()[:, None] == b.label.to_numpy()[None], np.inf, m)
-        # the nearest of another component, ties to the pair of smallest ids whichever side they stand on
-        order = np.argsort(b.row_id.to_numpy(), kind="stable")
-        at = order[m[:, order].argmin(1)]
-        out = pd.DataFrame({"label": a.label.to_numpy(), "d": m[np.arange(len(a)), at], "p": a.row_id.to_numpy(), "q": b.row_id.to_numpy()[at]})
-        out = out[np.isfinite(out.d)]
-        out["a"], out["b"] = np.minimum(out.p, out.q), np.maximum(out.p, out.q)
-        return out.sort_values(["d", "a", "b"]).groupby("label", as_index=False).first()[["label", "d", "a", "b"]]
-
     while True:
-        marked = base.join(labels, "row_id")
-        part = block_pairs(blocks(marked)).groupBy("left", "right").applyInPandas(run, "label long, d double, a long, b long")
-        out = part.groupBy("label").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*").distinct()
-        edges = _settle(out)
-        if edges.isEmpty():
+        groups = _settle(base.join(labels, "row_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("last").alias("last")))
+        if groups.limit(2).count() < 2:
             break
-        trees.append(edges)
-        labels = _settle(_relabel(labels, edges))
+        out = edges.select(F.col("la").alias("label"), one).unionByName(edges.select(F.col("lb").alias("label"), one)).groupBy("label").agg(F.min("e").alias("e"))
+        out = _settle(groups.join(out, "label", "left"))
+        chosen = _settle(out.where("e.d < last").select("e.*").distinct())
+        if chosen.isEmpty():
+            chosen = _settle(_searched(found, base.join(labels, "row_id"), out))
+        trees.append(chosen)
+        moved = _settle(_relabel(labels, chosen))
+        to = _settle(labels.withColumnRenamed("label", "old").join(moved, "row_id").where("old <> label").select("old", "label").distinct())
+        labels = moved
+        for c in ("la", "lb"):
+            edges = edges.join(to.select(F.col("old").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        edges = _settle(edges.where("la <> lb").select("a", "b", "d", "la", "lb"))
     return reduce(DataFrame.unionByName, trees) if trees else base.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.col("core").alias("d")).limit(0)
 
 
+def _searched(found: Cells, marked: DataFrame, out: DataFrame) -> DataFrame:
+    """(d, a, b): the shortest edge of each component but the largest, from ``marked`` (row_id, core, last, label) and
+    ``out`` (label, n, last, e) with the shortest listed edges."""
+    largest = out.orderBy(F.desc("n"), "label").first()["label"]
+    asking = out.where(F.col("label") != largest).select("label", "e", F.coalesce("e.d", F.lit(float("inf"))).alias("bound"))
+    placed = found.rows.join(marked, "row_id").select("region", "row_id", "x", "label", "core", "last")
+    within = Cells(None, found.n, found.pivots, found.radius, found.members).within
+    columns = f"row_id long, x {_X}, label long, core double, bound double"
+
+    def visits(batches):
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                near = within(_vectors_of(t), t["bound"].to_numpy())
+                regions = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(near.sum(1)))).astype(np.int32)), pa.array(np.nonzero(near)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, regions], [*b.schema.names, "regions"])
+
+    visitors = placed.join(asking.drop("e"), "label").where("last <= bound").select("row_id", "x", "label", "core", "bound").mapInArrow(visits, f"{columns}, regions array<int>")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = {"label": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())}
+        if not len(left) or not len(right):
+            return pa.table(empty)
+        ids = left["row_id"].to_numpy()
+        apart = (left["label"].to_numpy(), left["core"].to_numpy(), right["label"].to_numpy(), right["core"].to_numpy())
+        o, d = _closest(_vectors_of(left), ids, _vectors_of(right), right["row_id"].to_numpy(), 1, left["bound"].to_numpy(), apart)
+        real = np.isfinite(d[:, 0])
+        p, q = ids[real], o[real, 0]
+        best = pd.DataFrame({"label": apart[0][real], "d": d[real, 0], "a": np.minimum(p, q), "b": np.maximum(p, q)}).sort_values(["d", "a", "b"]).groupby("label", as_index=False).first()
+        return pa.Table.from_pandas(best[["label", "d", "a", "b"]], preserve_index=False)
+
+    more = _meetings(found, visitors, placed.select("region", "row_id", "x", "label", "core"), meet, "label long, d double, a long, b long")
+    both = more.select("label", F.struct("d", "a", "b").alias("e")).unionByName(asking.where("e IS NOT NULL").select("label", "e"))
+    return both.groupBy("label").agg(F.min("e").alias("e")).select("e.*").distinct()
+
+
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels after the components at both ends of each edge are joined: smallest labels and pointer jumping."""
     side = lambda c: labels.select(F.col("row_id").alias(c), F.col("label").alias(f"l{c}"))
@@ -292,19 +448,23 @@ def read_hierarchy(a: np.ndarray, b: np.ndarray, d: np.ndarray, ids: np.ndarray,
             owner[c] = owner[up[c]]
     raw = np.array([owner[int(h)] for h in home])
     labels, prob = np.full(n, -1), np.zeros(n)
-    for new, c in enumerate(sorted({int(x) for x in raw if x >= 0}, key=lambda c: ids[raw == c].min())):
-        own = raw == c
-        best = fall[own].max()
-        labels[own] = new
-        prob[own] = 1.0 if not np.isfinite(best) or best <= 0 else np.minimum(fall[own], best) / best
-        if not np.isfinite(best):
-            prob[own] = np.where(np.isfinite(fall[own]), 0.0, 1.0)
+    own = np.flatnonzero(raw >= 0)
+    if not len(own):
+        return labels, prob
+    kinds, kind = np.unique(raw[own], return_inverse=True)
+    first, best = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), -np.inf)
+    np.minimum.at(first, kind, ids[own])
+    np.maximum.at(best, kind, fall[own])
+    labels[own] = np.argsort(np.argsort(first))[kind]
+    top, level = best[kind], fall[own]
+    bounded = np.isfinite(top) & (top > 0)
+    prob[own] = np.where(bounded, np.divide(np.minimum(level, top), top, out=np.ones(len(own)), where=bounded), np.where(np.isfinite(top) | ~np.isfinite(level), 1.0, 0.0))
     return labels, prob
 
 
 def density_partition(rows: DataFrame, min_size: int = 5, min_samples: int = 5, epsilon: float = 0.0) -> DataFrame:
     """(token_id, cluster_id, probability) of rows (row_id, x)."""
-    tree = spanning_tree(rows, core_distances(rows, min_samples))
+    tree = spanning_tree(rows, min_samples)
     ids = rows.select(F.lit(0).alias("task"), F.col("row_id").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("d"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -334,10 +494,9 @@ def knn_core_distance(spark, sf_dir):
 @query("mutual_reachability", f"WITH {_VEC}, nn AS (SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pd) WHERE r = 1) SELECT i AS row_id, round(greatest(d, ci.core, cj.core), 5) AS reach FROM nn JOIN core ci ON nn.i = ci.row_id JOIN core cj ON nn.j = cj.row_id")
 def mutual_reachability(spark, sf_dir):
     """The mutual reachability of each row and its nearest row."""
-    rows = _vectors(spark, sf_dir)
-    core = core_distances(rows, 5)
-    near = nearest(rows, 1)
-    return near.join(core, "row_id").withColumnRenamed("core", "ca").join(core.select(F.col("row_id").alias("other"), F.col("core").alias("cb")), "other").select("row_id", F.round(F.greatest("d", "ca", "cb"), 5).alias("reach"))
+    lists = _settle(neighbours(_vectors(spark, sf_dir), 4).where(F.size("near") > 0).select("row_id", _core(5).alias("ca"), F.get("near", F.lit(0)).alias("first")))
+    core = lists.select(F.col("row_id").alias("other"), F.col("ca").alias("cb"))
+    return lists.withColumn("other", F.col("first.other")).join(core, "other").select("row_id", F.round(F.greatest("first.d", "ca", "cb"), 5).alias("reach"))
 
 
 @query("hdbscan_labels")

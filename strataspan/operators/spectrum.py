@@ -269,7 +269,8 @@ def prefix_slice(spark, sf_dir):
 
 def l2_normalised(features):
     norm = F.sqrt(F.aggregate(features, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(features, lambda x: x.cast("double") / (norm + 1e-12))
+    # a one-row lambda binds the norm, which is else added up again for every element
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(features, lambda x: x.cast("double") / (n + 1e-12))), 1)
 
 
 @query("row_l2", f"SELECT vec_id AS row_id, round({_NORM}, 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / ({_NORM} + 1e-12), 6) AS first FROM embeddings")

@@ -421,3 +421,41 @@ def test_far_cells_are_not_visited(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(density, "_settle", lambda df: seen.append(settle(df)) or seen[-1])
     assert density.nearest(rows, 3).count() == 1200
     assert seen[1].count() < 400 * 5  # of ten cells
+
+
+@pytest.mark.parametrize("listed", [16, 4])
+def test_spanning_tree_against_plain_prim(spark, monkeypatch, listed):
+    """Groups far apart, of which lists of neighbours leave every one alone, and equal rows, more than a list has."""
+    from strataspan.operators import density
+
+    monkeypatch.setattr(density, "LISTED", listed)
+    monkeypatch.setattr(density, "CELL", 20)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([50 * k + rng.normal(size=(30, 3)) for k in range(4)] + [np.full((25, 3), 7.0), rng.normal(size=(60, 3))])
+    rows = spark.createDataFrame([(int(k), r.tolist()) for k, r in enumerate(x)], "row_id long, x array<double>")
+    tree = [(r["d"], r["a"], r["b"]) for r in density.spanning_tree(rows, 5).collect()]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = np.sort(d, axis=1)[:, 4]
+    m = np.maximum(d, np.maximum(core[:, None], core[None]))
+    labels, want = np.arange(len(x)), []
+    for v, a, b in sorted((m[a, b], a, b) for a in range(len(x)) for b in range(a + 1, len(x))):  # Kruskal, ties by ids
+        if labels[a] != labels[b]:
+            labels[labels == labels[b]] = labels[a]
+            want.append((v, a, b))
+    assert len(tree) == len(x) - 1 and np.allclose(sorted(t[0] for t in tree), [w[0] for w in want])
+    assert {t[1:] for t in tree} == {w[1:] for w in want}
+
+
+def test_rows_meet_once_for_each_crowd(spark, monkeypatch):
+    """Rows that nothing tells apart: what is sent grows with the rows, not with rows times cells."""
+    from strataspan.operators import density
+
+    rng, sent = np.random.default_rng(2), {}
+    monkeypatch.setattr(density, "CELL", 8)
+    for n in (400, 1600):
+        rows = spark.createDataFrame([(k, rng.normal(size=24).tolist()) for k in range(n)], "row_id long, x array<double>")
+        meet = density._meetings
+        monkeypatch.setattr(density, "_meetings", lambda found, visitors, own, run, shape: sent.update({n: sum(len(r["regions"]) for r in visitors.select("regions").collect()) + n * found.crowds}) or meet(found, visitors, own, run, shape))
+        assert density.nearest(rows, 4).count() == 4 * n
+        monkeypatch.setattr(density, "_meetings", meet)
+    assert sent[1600] <= 1.1 * 4 * sent[400]
