@@ -459,3 +459,17 @@ def test_rows_meet_once_for_each_crowd(spark, monkeypatch):
         assert density.nearest(rows, 4).count() == 4 * n
         monkeypatch.setattr(density, "_meetings", meet)
     assert sent[1600] <= 1.1 * 4 * sent[400]
+
+
+def test_rows_beyond_the_vocabulary(spark, tmp_path):
+    from strataspan.operators.vocabularies import vocabulary_similarity
+
+    last = 50_257
+    rows = [(i, [1.0, 0.0], 2 + (i >= last)) for i in range(last - 3, last + 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["cluster_id"]: r for r in vocabulary_entropy(spark, str(tmp_path)).collect()}
+    known = {r[0] for r in read_vocabulary(spark, "/opt/tokenizers/byte_bpe_50k.json", "token_id long").collect()}
+    beyond = sum(i not in known for i, _, _ in rows)
+    assert beyond >= 1 and sum(r["cluster_size"] for r in got.values()) == 6
+    alike = {r["cluster_id"]: r for r in vocabulary_similarity(spark, str(tmp_path)).collect()}
+    assert sum(r["cluster_size"] for r in alike.values()) == 6 and alike[2]["score"] == 1.0
