@@ -57,7 +57,8 @@ class Stages:
             parts = self.partitions.rows_of(pending).select(*TASK, *PARTITION_ROWS.fieldNames())
             return summarised(category_entropies(parts, self.text), ["h", "h_norm"])
 
-        return self.metrics.run(tasks, made, policy, stop_on_error)
+        # a partition that is all noise has no clusters to measure, which is a result
+        return self.metrics.run(tasks, made, policy, stop_on_error, may_be_empty=self.partitions.manifest())
 
 
 def _resumed(spark: SparkSession, sf_dir: str) -> tuple[Stages, Report]:

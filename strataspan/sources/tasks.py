@@ -114,14 +114,14 @@ class TaskStore:
     def _check(self, reused: DataFrame) -> None:
         """What is to be reused must be there with the rows and the digest that the manifest tells."""
         want = reused.select("task", F.col("have.n_rows").alias("want_rows"), F.col("have.digest").alias("want_digest"))
-        bad = want.join(self._tallied(self.rows_of(reused)), "task", "left").where(~(F.col("n_rows").eqNullSafe(F.col("want_rows")) & F.col("digest").eqNullSafe(F.col("want_digest")))).first()
+        bad = want.join(self._tallied(self.rows_of(reused)), "task", "left").where(~(F.coalesce("n_rows", F.lit(0)).eqNullSafe(F.col("want_rows")) & F.coalesce("digest", F.lit(0)).eqNullSafe(F.col("want_digest")))).first()
         if bad:
             raise ValueError(f"the saved rows of task {bad['task']} are not those of the manifest")
 
-    def run(self, tasks: DataFrame, compute: Callable[[DataFrame], DataFrame], policy: RunPolicy = RunPolicy(), stop_on_error: bool = True) -> Report:
+    def run(self, tasks: DataFrame, compute: Callable[[DataFrame], DataFrame], policy: RunPolicy = RunPolicy(), stop_on_error: bool = True, may_be_empty: DataFrame | None = None) -> Report:
         """Bring ``tasks`` (key, config_hash) to be finished. ``compute`` gets (key, config_hash) of those to be done, in
         one table, and returns their rows (key, columns); with a further column ``error``, a text there fails the task
-        of the row. A task without rows fails, too. Failed tasks are not kept; with ``stop_on_error`` they raise
+        of the row. A task without rows fails, too, but for those in ``may_be_empty`` (key), whose result can be no rows. Failed tasks are not kept; with ``stop_on_error`` they raise
         :class:`TaskFailures` after the others are."""
         run_id, folder = uuid.uuid4().hex, shared_folder(self.spark, "tasks")
         planned = self._plan(tasks, policy, folder)
@@ -131,14 +131,24 @@ class TaskStore:
         done = pending.select("task", F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("digest"), F.lit(None).cast("string").alias("error")).limit(0)
         if not pending.isEmpty():
             done = self._compute(pending, compute, run_id)
-        tried = settled(pending.join(done, "task", "left"), folder, "tried")
-        ok = F.col("error").isNull() & (F.coalesce("n_rows", F.lit(0)) > 0)
+        tried = pending.join(done, "task", "left")
+        if may_be_empty is not None:
+            none = F.col("__may") & F.col("error").isNull()
+            tried = tried.join(may_be_empty.select(self._task(), F.lit(True).alias("__may")).distinct(), "task", "left").withColumns({c: F.when(none, F.coalesce(c, F.lit(0))).otherwise(F.col(c)) for c in ("n_rows", "digest")}).drop("__may")
+        tried = settled(tried, folder, "tried")
+        ok = F.col("error").isNull() & F.col("n_rows").isNotNull()
+        for r in tried.where(ok & (F.col("n_rows") == 0)).select("task").collect():  # tasks are a bounded list
+            self._folder(f"data/{run_id}/task={r['task']}")
         new = tried.where(ok).select(*self.key, "task", "config_hash", F.concat(F.lit(f"data/{run_id}/task="), "task").alias("path"), "n_rows", "digest", F.lit(run_id).alias("run_id"))
         merged = settled(self.manifest().join(new.select("task"), "task", "left_anti").select(*new.columns).unionByName(new).coalesce(1), folder, "manifest")
         if not tried.where(ok).isEmpty():
             self.store.write("manifest", merged, {"run": run_id}, RunPolicy("replace"))
         return self._report(reused, tried, ok, run_id, stop_on_error)
 
+    def _folder(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(path)
+
     def _compute(self, pending: DataFrame, compute: Callable[[DataFrame], DataFrame], run_id: str) -> DataFrame:
         rows = compute(pending.select(*self.key, "config_hash"))
         error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")

@@ -473,3 +473,21 @@ def test_rows_beyond_the_vocabulary(spark, tmp_path):
     assert beyond >= 1 and sum(r["cluster_size"] for r in got.values()) == 6
     alike = {r["cluster_id"]: r for r in vocabulary_similarity(spark, str(tmp_path)).collect()}
     assert sum(r["cluster_size"] for r in alike.values()) == 6 and alike[2]["score"] == 1.0
+
+
+def test_metrics_of_a_partition_that_is_all_noise(spark, tmp_path):
+    from strataspan.operators import runs
+
+    stages = runs.Stages.__new__(runs.Stages)
+    stages.spark, stages.path = spark, f"file://{tmp_path}"
+    stages.text = spark.createDataFrame([(0, "a", "Latin", "1-2"), (1, "b", "Latin", "1-2")], "token_id long, token_str string, script string, bucket string")
+    stages.partitions = runs.TaskStore(spark, f"{stages.path}/partitions", runs.TASK_KEY, runs.PARTITION_ROWS)
+    stages.metrics = runs.TaskStore(spark, f"{stages.path}/metrics", runs.TASK_KEY, runs.METRIC_ROWS)
+    tasks = runs.tasks_of(spark, (2, 4), controls=()).where("source = 'baseline'")
+    parts = spark.createDataFrame([("baseline", None, k, i, -1 if k == 4 else 0) for k in (2, 4) for i in (0, 1)], "source string, seed long, scale int, token_id long, cluster_id long")
+    stages.partitions.run(tasks, lambda pending: parts)
+    assert stages.make_metrics(tasks).counts == {"computed": 2, "reused": 0, "failed": 0}
+    wide = runs.tasks_of(spark, (runs.TOO_WIDE,), controls=()).where("source = 'baseline'")
+    again = stages.make_metrics(tasks.unionByName(wide), runs.RunPolicy("resume"), stop_on_error=False)
+    assert again.counts == {"computed": 0, "reused": 2, "failed": 1}
+    assert {r["scale"] for r in stages.metrics.rows().collect()} == {2}
