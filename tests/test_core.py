@@ -305,6 +305,21 @@ def test_inputs_that_do_not_fit(spark):
         schedule.case_study(parts, text, text.union(text)).collect()
 
 
+def test_case_study_deals_long_contents_to_tasks(spark, monkeypatch):
+    """Forty asked tokens of one cluster with a content of 1,200 bytes or so: no task returns all of them."""
+    monkeypatch.setattr(schedule, "CONTENT_BYTES", 8000, raising=False)
+    text = spark.range(160).select(F.col("id").alias("token_id"), F.concat(F.lit("token"), F.col("id").cast("string")).alias("token_str"))
+    parts = text.select(F.lit("s").alias("source"), F.lit(None).cast("long").alias("seed"), F.lit(2).alias("scale"), "token_id", F.when(F.col("token_id") == 0, -1).otherwise(3).cast("long").alias("cluster_id"))
+    both = parts.unionByName(parts.withColumn("seed", F.lit(5).cast("long")))
+    rows = schedule.case_study(both, text, text.where("token_id % 4 = 0").select("token_id")).withColumn("task", F.spark_partition_id()).collect()
+    content = " ".join(sorted(f"token{i}" for i in range(1, 160)))
+    assert sorted((r["seed"] or 0, r["token_id"], r["size"], r["content"]) for r in rows) == [(s, i, 159 if i else 0, content if i else "") for s in (0, 5) for i in range(0, 160, 4)]
+    held = {}
+    for r in rows:
+        held[r["task"]] = held.get(r["task"], 0) + len(r["content"])
+    assert max(held.values()) <= 4 * 8000 < sum(held.values()) / 2
+
+
 def test_bundles_and_layouts(spark, sf):
     from strataspan.sources.store import shared_folder
 
