@@ -45,13 +45,17 @@ def signatures(text: Column) -> Column:
     w = words(text)
     anchor = lambda x: x.isin(ANCHORS)
 
+    def ahead(t: Column, i: Column) -> Column:
+        # word by word: a slice of t would copy all of t for every anchor
+        return F.array(*[F.get(t, i + k) for k in range(1, REACH + 1)])
+
     def chain(t: Column) -> Column:
         # (anchor, its chain) of every anchor, where the chain is complete
         opened = F.filter(F.transform(t, lambda x, i: F.when(anchor(x), F.concat(
-            F.array(x), F.slice(F.filter(F.slice(t, i + 2, REACH), lambda y: ~anchor(y)), 1, CHAIN)))), lambda c: c.isNotNull() & (F.size(c) == CHAIN + 1))
+            F.array(x), F.slice(F.filter(ahead(t, i), lambda y: ~anchor(y)), 1, CHAIN)))), lambda c: c.isNotNull() & (F.size(c) == CHAIN + 1))
         plain = F.transform(t, lambda x: F.array(x))
-        return F.sort_array(F.array_distinct(F.transform(
-            F.when(F.size(opened) > 0, opened).otherwise(plain), lambda c: F.substring(F.md5(F.array_join(c, " ")), 1, 8))))
+        either = F.element_at(F.transform(F.array(opened), lambda o: F.when(F.size(o) > 0, o).otherwise(plain)), 1)
+        return F.sort_array(F.array_distinct(F.transform(either, lambda c: F.substring(F.md5(F.array_join(c, " ")), 1, 8))))
 
     # a one-row lambda binds the words once
     return F.element_at(F.transform(F.array(w), chain), 1)
@@ -65,6 +69,11 @@ def unpacked(raw: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.hex(raw)), F.lit(".{8}"), F.lit(0))
 
 
+def numbers(sigs: Column) -> Column:
+    """Signatures as 32-bit numbers in the same order, which take less room where sets are exploded."""
+    return F.transform(sigs, lambda s: (F.conv(s, 16, 10).cast("long") - (1 << 31)).cast("int"))
+
+
 def likeness(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double")
@@ -145,32 +154,35 @@ def spot_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Signatures are ranked by how many sets hold them, rarest first. Two sets that are alike enough share one of the
     first n - ceil(t n) + 1 signatures of each; sets meet in the buckets of these and of the length partitions that
-    can match, one leader of a bucket at a time, and are compared whole.
+    can match, one leader of a bucket at a time, and are compared whole. A signature that one set alone holds comes
+    before all others and makes no bucket, so only its number is kept; a set that has too many of them is like no other.
     """
     spark = docs.sparkSession
-    sets = docs.select(F.col(id_col).alias("id"), signatures(F.col(text_col)).alias("sigs")).where("id IS NOT NULL")
-    signed = sets.withColumn("h", F.sha2(F.array_join("sigs", ""), 256))
+    sets = docs.select(F.col(id_col).alias("id"), numbers(signatures(F.col(text_col))).alias("sigs")).where("id IS NOT NULL")
     settled = Settled(spark)
-    signed = settled(signed)
+    signed = settled(sets.withColumn("h", F.sha2(F.array_join(F.col("sigs").cast("array<string>"), " "), 256)))
     nodes = settled(signed.groupBy("h").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")))
     each = nodes.select("rep", F.size("sigs").alias("n"), F.explode("sigs").alias("s"))
-    ranked = ranked_sets(each, settled(each.groupBy("s").agg(F.count(F.lit(1)).alias("c"))))
-    prefix = F.slice("x", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    # an equal set is one node, so a signature is common when two nodes hold it
+    often = settled(each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    least = F.ceil(F.col("n") * threshold - 1e-9)
+    ranked = settled(ranked_sets(each, often).where(F.size("x") >= least))
+    prefix = F.slice("x", 1, (F.size("x") - least + 1).cast("int"))
     # sets of lengths within a factor t lie in one length partition or in two neighbouring ones
     part = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("int")
-    rows = ranked.select(F.col("rep").alias("a"), part.alias("l"), F.explode(prefix).alias("p")).select("a", F.explode(F.array("l", F.col("l") + 1)).alias("band"), F.col("p.s").alias("sig"))
+    rows = settled(ranked.select(F.col("rep").alias("a"), part.alias("l"), F.explode(prefix).alias("p")).select("a", F.explode(F.array("l", F.col("l") + 1)).alias("band"), F.col("p.s").alias("sig")))
     lead = settled(rows.groupBy("band", "sig").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b <> z").drop("z"))
     shared = settled(rows.join(lead, ["band", "sig"]))
+    whole = settled(nodes.join(shared.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select("rep", "sigs"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one, two = nodes.select(F.col("rep").alias("a"), F.col("sigs").alias("sa")), nodes.select(F.col("rep").alias("b"), F.col("sigs").alias("sb"))
+        one, two = whole.select(F.col("rep").alias("a"), F.col("sigs").alias("sa")), whole.select(F.col("rep").alias("b"), F.col("sigs").alias("sb"))
         wide = pairs.join(one, "a").join(two, "b")
         # lengths first: they bound the likeness
         near = F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb"))
         return wide.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("double").alias("overlap"), (near & (likeness(F.col("sa"), F.col("sb")) >= threshold)).alias("linked"))
 
-    # an equal set is one node, so a signature is common when two nodes hold it
-    shares = settled(ranked.select(F.col("rep").alias("a"), F.col("n").cast("double").alias("total"), F.size(F.filter("x", lambda y: y["c"] > 1)).cast("double").alias("common")))
+    shares = settled(ranked.select(F.col("rep").alias("a"), F.col("n").cast("double").alias("total"), F.size("x").cast("double").alias("common")))
     labels = classes_of_buckets(shared, lead, verify, lambda some: shares.join(some, "a", "left_semi"), threshold)
     classes = signed.select("id", "h").join(nodes.select("h", "rep"), "h").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return classes.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("class_id")).withColumnRenamed("id", id_col)

@@ -172,6 +172,23 @@ def test_op4_classes_against_brute_force(spark, sf):
     assert any(want[i] != i and sets[i] != sets[want[i]] for i in want)
 
 
+def test_spot_classes_rank_shared_signatures_only(spark, monkeypatch):
+    """Signatures that one set alone holds make no bucket: neither they nor sets that have too many of them are ranked."""
+    seen, plain = [], spotsigs.ranked_sets
+
+    def ranked(each, often):
+        seen.append((often.where("c < 2").count(), each.join(often, "s").count(), each.count()))
+        return plain(each, often)
+
+    monkeypatch.setattr(spotsigs, "ranked_sets", ranked)
+    text = lambda k: " ".join(f"the {k}word{i} {k}other{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(30)] + [(40, text("7") + " of house river"), (41, text("7"))], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in spotsigs.spot_matches(docs).collect()}
+    assert got == {i: i for i in range(30)} | {40: 7, 41: 7}
+    # twenty signatures in two sets each, of thirty-one sets that differ
+    assert seen == [(0, 40, 621)]
+
+
 def test_op5_recall_on_planted_copies(spark, sf):
     """Copies of real documents with more and more words changed, by plain Jaccard similarity of five-word shingles."""
     import random
