@@ -263,6 +263,23 @@ def test_metric_schedule_by_plain_scores(spark, sf):
         assert got["baseline", 8, metric, "count"] == len(values)
 
 
+def test_subsamples_rank_few_rows_and_lose_none(spark, monkeypatch):
+    """A large cluster, one whose rows all have the same hash (so that too few of them may be below the bound), a small one."""
+    from strataspan.operators import orthography
+
+    seen = []
+    monkeypatch.setattr(orthography, "settled", lambda df, *at: seen.append(df) or df, raising=False)
+    rows = spark.range(3000).selectExpr("id AS token_id", "1L AS cluster_id", "substr(sha2(cast(id AS string), 256), 1, 7) AS token_str")
+    rows = rows.union(spark.range(600).selectExpr("7L", "2L", "'same'")).union(spark.range(5).selectExpr("id", "3L", "concat('t', id)"))
+    got = {r["cluster_id"]: r["score"] for r in orthography.sampled_similarity(rows).collect()}
+    drawn = rows.where("cluster_id = 1").selectExpr("token_id", "token_str", f"explode(transform(sequence(1, 10), d -> struct(d, xxhash64({orthography.SEED}, d, token_id) AS h))) AS x").toPandas()
+    tries = [sorted((x["h"], i, t) for i, t, x in zip(drawn.token_id, drawn.token_str, drawn.x) if x["d"] == d)[:128] for d in range(1, 11)]
+    assert got[1] == pytest.approx(np.mean([mean_similarity([t for _, _, t in f]) for f in tries])) and got[2] == 1.0 and got[3] == pytest.approx(0.75)
+    # what was ranked first: full subsamples of the large cluster, the small cluster, and what of the other lies below the bound
+    first = {(r["cluster_id"], r["draw"]): r["count"] for r in seen[0].groupBy("cluster_id", "draw").count().collect()}
+    assert all(first[1, d] == 128 for d in range(1, 11)) and first[3, 0] == 5 and 0 < seen[1].count() < 10 and seen[1].where("cluster_id <> 2").isEmpty()
+
+
 def test_reports_refuse_what_does_not_fit(spark):
     rows = [("c", s, m, a, k, float(k), float(k * s + 1)) for s in (1, 2) for m in ("script", "length") for a in ("mean", "std") for k in (2, 4, 8)]
     pairs = spark.createDataFrame(rows, "source string, seed long, metric string, aggregation string, scale int, r double, t double")
