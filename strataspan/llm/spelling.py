@@ -141,18 +141,20 @@ def near_words(words: DataFrame) -> DataFrame:
     near = (F.col("a.end") == F.col("b.end")) & (F.col("a.last") <= F.col("b.last")) & lengths & (F.levenshtein("a.word", "b.word", EDITS) == EDITS)
     first = F.col("a.word") < F.col("b.word")
     one, two = (F.struct(F.col(f"{t}.word").alias("word"), F.col(f"{t}.n").alias("n")) for t in "ab")
-    pairs = a.join(b, near).select(F.when(first, one).otherwise(two).alias("x"), F.when(first, two).otherwise(one).alias("y")).distinct()
+    # a table's size as Spark sees it leaves out the keys of a word, dozens of them: by itself it would broadcast either side
+    pairs = a.join(b.hint("merge"), near).select(F.when(first, one).otherwise(two).alias("x"), F.when(first, two).otherwise(one).alias("y")).distinct()
     both = pairs.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p"))
     return both.select("p.x.word", "p.x.n", F.col("p.y.word").alias("near"), F.col("p.y.n").alias("near_n"))
 
 
 def roots(forms: DataFrame, settled: Settled) -> DataFrame:
     """(word, root) for (word, form): where following forms ends. Counts rise along the way, so there are no circles, and
-    each round halves what is left of it."""
+    each round halves what is left of it. The tables are shuffled: the size of a saved table, by which Spark would broadcast
+    it, is that of its compressed files."""
     at = settled(forms.select("word", F.col("form").alias("root")))
     while True:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = settled(at.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        step = settled(at.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         at = step.drop("moved")
         if step.where("moved").isEmpty():
             return at
@@ -169,7 +171,7 @@ def spelling_variants(words: DataFrame, ratio: float = 2, settled: Settled | Non
     known = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), found.alias("best"))
     known = settled(known.select("word", "n", "n_near", F.col("best.form").alias("form"), F.col("best.n").alias("form_n")))
     ends = roots(known.where("form IS NOT NULL"), settled)
-    return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

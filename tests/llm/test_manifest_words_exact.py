@@ -139,6 +139,26 @@ def test_forms_follow_ties_and_chains(spark):
         spelling.spelling_variants(empty, 1)
 
 
+def test_variants_are_not_broadcast_by_the_size_of_files(spark, tmp_path):
+    """The words' files are small, but a word has dozens of keys, and files are compressed."""
+    words = {"colour": 9, "color": 30, "colours": 30, "coulour": 4, "alone": 5}
+    spark.createDataFrame(list(words.items()), "word string, n long").write.parquet(f"{tmp_path}/words")
+    saved = spark.read.parquet(f"{tmp_path}/words")
+    near = spelling.near_words(saved)
+    assert near.count() == 6 and "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    joined = []
+
+    class Watched(spelling.Settled):
+        def __call__(self, df, narrow=False):
+            joined.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().__call__(df, narrow)
+
+    out = spelling.spelling_variants(saved, settled=Watched(spark))
+    assert sorted(map(tuple, out.select("word", "form", "root", "n", "n_near", "form_n").collect())) == brute_variants(words)
+    # the first table joins what a shuffle has counted, by its size as it turns out
+    assert len(joined) > 2 and not any("BroadcastHashJoin" in p for p in [*joined[1:], out._jdf.queryExecution().executedPlan().toString()])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=3, max_size=7, unique=True), st.data())
 def test_pivots_are_the_least_disjoint_grams(starts, data):
