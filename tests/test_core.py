@@ -337,6 +337,25 @@ def test_case_study_deals_long_contents_to_tasks(spark, monkeypatch):
     assert max(held.values()) <= 4 * 8000 < sum(held.values()) / 2
 
 
+def test_case_study_holds_repeated_contents_once(spark, monkeypatch, tmp_path):
+    """Three clusters with contents of 600 KB, which no compression shortens, for forty asked tokens each: files hold a
+    content once for each chunk, and however small the chunks, eight copies of it are shuffled at most."""
+    long = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{k}")), 256) for k in range(32)])
+    text = spark.range(900).select(F.col("id").alias("token_id"), long.alias("token_str"))
+    parts = text.select(F.lit("s").alias("source"), F.lit(None).cast("long").alias("seed"), F.lit(2).alias("scale"), "token_id", (F.col("token_id") % 3).alias("cluster_id"))
+    saved, save = {}, schedule.settled
+    monkeypatch.setattr(schedule, "settled", lambda df, folder, name: saved.setdefault(name, []).append(save(df, folder, name)) or saved[name][-1])
+    asked = text.where("token_id < 120").select("token_id")
+    schedule.case_study(parts, text, asked).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    contents = {k: " ".join(sorted(r["token_str"] for r in text.where(f"token_id % 3 = {k}").collect())) for k in range(3)}
+    assert [tuple(r) for r in out.groupBy("cluster_id", "content").agg(F.count("*").alias("n")).orderBy("cluster_id").collect()] == [(k, contents[k], 40) for k in range(3)]
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6 * sum(map(len, contents.values())) / 3
+    monkeypatch.setattr(schedule, "CONTENT_BYTES", 8000)
+    assert schedule.case_study(parts, text, asked).agg(F.sum(F.length("content"))).first()[0] == 40 * sum(map(len, contents.values()))
+    assert saved["sizes"][-1].agg(F.max("chunks")).first()[0] == 8
+
+
 def test_bundles_and_layouts(spark, sf):
     from strataspan.sources.store import shared_folder
 
